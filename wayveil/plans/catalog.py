@@ -1,11 +1,643 @@
-"""All registered queries over the given tables, and their SQL."""
+"""All registered queries over the given tables, and their SQL. Doubles are rounded to six decimals on both sides."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayveil.functions import scalar
+from wayveil.functions.measures import measure
+from wayveil.functions.tables import shared_folder
+from wayveil.operators import attack, clean, grid, model, network, similarity, synth, utility
+from wayveil.plans import adapters as a
+from wayveil.sources import trajectories as io
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def r6(c, name: str | None = None):
+    out = F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return out.alias(name or c)
+
+
+def both(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return df.where("dataset = 'original'"), df.where("dataset = 'synthetic'")
+
+
+def _shared(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+
+
+# Sources and coordinates.
+@query("s1_s2_dat_round_trip", f"WITH {a.POINTS} SELECT traj_id, seq, round(x, 6) AS x, y, ts FROM pts")
+def _(spark, d):
+    path = _shared(spark)
+    io.write_dat(a.points(spark, d), path, with_ts=True)
+    return io.read_dat(spark, path).select("traj_id", F.col("seq").cast("long").alias("seq"), r6("x"), "y", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("p1_p2_p3_filters", f"WITH {a.GPS} SELECT traj_id, seq, round(x, 6) AS x, round(y, 6) AS y FROM gps WHERE x BETWEEN -8.6 AND -8.2 AND y BETWEEN 41.0 AND 41.3 AND x <> 0 AND y <> 0 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-02-15'")
+def _(spark, d):
+    x, y = F.col("x"), F.col("y")
+    return a.gps(spark, d).where(scalar.within_bounds(x, y, -8.6, -8.2, 41.0, 41.3) & scalar.off_null_island(x, y) & scalar.within_dates(F.col("ts"), "2024-01-05", "2024-02-15")).select("traj_id", "seq", r6("x"), r6("y"))
+
+
+_HAV = "2 * 6371000 * asin(sqrt(least(pow(sin((radians(y) - radians(py)) / 2), 2) + cos(radians(py)) * cos(radians(y)) * pow(sin(radians(x - px) / 2), 2), 1)))"
+
+
+@query("p4_haversine", f"WITH {a.GPS}, s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM gps WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)) SELECT traj_id, seq, round({_HAV}, 3) AS metres FROM s WHERE px IS NOT NULL")
+def _(spark, d):
+    own = model.W.partitionBy("dataset", "traj_id").orderBy("seq")
+    g = a.gps(spark, d).withColumn("px", F.lag("x").over(own)).withColumn("py", F.lag("y").over(own)).where("px is not null")
+    return g.select("traj_id", "seq", F.round(scalar.haversine_m(F.col("px"), F.col("py"), F.col("x"), F.col("y")), 3).alias("metres"))
+
+
+@query("p5_planar_speed", f"WITH {a.GPS}, s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(ts) OVER w AS pt FROM gps WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)) SELECT traj_id, seq, round(sqrt((x - px) * (x - px) + (y - py) * (y - py)) * 111000 / nullif(epoch(ts) - epoch(pt), 0), 6) AS speed FROM s WHERE px IS NOT NULL")
+def _(spark, d):
+    own = model.W.partitionBy("dataset", "traj_id").orderBy("seq")
+    g = a.gps(spark, d).withColumn("px", F.lag("x").over(own)).withColumn("py", F.lag("y").over(own)).withColumn("s", F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(own))).where("px is not null")
+    return g.select("traj_id", "seq", r6(scalar.planar_speed(F.col("px"), F.col("py"), F.col("x"), F.col("y"), F.col("s")), "speed"))
+
+
+@query("p6_local_xy", f"WITH {a.GPS}, o AS (SELECT avg(x) AS lon, avg(y) AS lat FROM gps WHERE dataset = 'original') SELECT traj_id, seq, round(6371000 * radians(x - lon) * cos(radians(lat)), 3) AS east, round(6371000 * radians(y - lat), 3) AS north FROM gps, o")
+def _(spark, d):
+    g = a.gps(spark, d)
+    east, north = scalar.to_local_xy(F.col("x"), F.col("y"), scalar.local_origin(g.where("dataset = 'original'")))
+    return g.select("traj_id", "seq", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
+@query("p7_p8_utm_round_trip", f"WITH {a.GPS} SELECT traj_id, seq, round(x, 6) AS x, round(y, 6) AS y FROM gps")
+def _(spark, d):
+    g = a.gps(spark, d)
+    e, n = scalar.gps_to_utm(F.col("x"), F.col("y"), 29)
+    g = g.withColumn("e", e).withColumn("n", n)
+    lon, lat = scalar.utm_to_gps(F.col("e"), F.col("n"), 29)
+    return g.select("traj_id", "seq", r6(lon, "x"), r6(lat, "y"))
+
+
+@query("p9_scale", f"WITH {a.GPS} SELECT traj_id, seq, round((x + 8.78::DOUBLE) * 1000, 6) AS scaled, round(x, 6) AS back FROM gps")
+def _(spark, d):
+    g = a.gps(spark, d).withColumn("scaled", scalar.scale_coord(F.col("x"), -8.78, 1000.0))
+    return g.select("traj_id", "seq", r6("scaled"), r6(scalar.unscale_coord(F.col("scaled"), -8.78, 1000.0), "back"))
+
+
+@query("p10_p11_times", f"WITH {a.POINTS}, s AS (SELECT *, epoch(ts) - epoch(date_trunc('day', ts)) AS s FROM pts), k AS (SELECT *, CAST(floor(s / 900) AS BIGINT) AS b FROM s) SELECT traj_id, seq, CAST(greatest(CASE WHEN s = b * 900 THEN b - 1 ELSE b END, 0) AS INTEGER) AS t, TIMESTAMP '2009-01-01' + to_seconds(CAST(s AS BIGINT)) AS fixed FROM k")
+def _(spark, d):
+    return a.points(spark, d).select("traj_id", "seq", scalar.time_index(F.col("ts"), "00:00:00", 15).alias("t"), scalar.fix_date(F.col("ts"), "2009-01-01").cast("timestamp_ntz").alias("fixed"))
+
+
+@query("p15_coord_key", f"WITH {a.GPS} SELECT CAST(round(x * 1e3) AS BIGINT) AS kx, CAST(round(y * 1e3) AS BIGINT) AS ky, count(*) AS n FROM gps GROUP BY ALL")
+def _(spark, d):
+    return a.gps(spark, d).groupBy(scalar.coord_key(F.col("x"), F.col("y"), 3).alias("k")).agg(F.count("*").alias("n")).select("k.kx", "k.ky", "n")
+
+
+# Cleaning and selecting.
+@query("c1_clean_split")
+def _(spark, d):
+    return clean.clean_split(a.gps(spark, d), ["dataset", "traj_id"], max_time=43_200, max_distance=0.9).select("traj_id", "seq", "part")
+
+
+@query("c5_keep_meaningful", f"WITH {a.SHORT}, s AS (SELECT dataset, traj_id, count(*) AS n, sqrt(pow(arg_max(x, seq) - arg_min(x, seq), 2) + pow(arg_max(y, seq) - arg_min(y, seq), 2)) AS d FROM trips GROUP BY ALL) SELECT traj_id, seq, round(x, 6) AS x, y FROM trips SEMI JOIN (SELECT * FROM s WHERE n >= 3 AND d > 20) USING (dataset, traj_id)")
+def _(spark, d):
+    return clean.keep_meaningful(a.short_trips(spark, d), 3, 20.0).select("traj_id", "seq", r6("x"), "y")
+
+
+@query("c5_keep_meaningful_path", f"WITH {a.SHORT}, p AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM trips WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)), s AS (SELECT dataset, traj_id, count(*) AS n, sum(step) AS d FROM p GROUP BY ALL) SELECT traj_id, n FROM s WHERE n >= 3 AND d > 100")
+def _(spark, d):
+    return clean.keep_meaningful(a.short_trips(spark, d), 3, 100.0, "path").groupBy("traj_id").agg(F.count("*").alias("n"))
+
+
+@query("c6_c7_valid_trips", f"WITH {a.POINTS}, o AS (SELECT *, x < lag(x) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AND y < 20 AS bad FROM pts), v AS (SELECT DISTINCT traj_id FROM o WHERE bad AND traj_id % 3 = 0) SELECT traj_id, count(*) AS n FROM pts ANTI JOIN v USING (traj_id) GROUP BY ALL")
+def _(spark, d):
+    p = a.points(spark, d)
+    bad = F.coalesce(F.col("x") < F.lag("x").over(model.W.partitionBy("dataset", "traj_id").orderBy("seq")), F.lit(False)) & (F.col("y") < 20) & (F.col("traj_id") % 3 == 0)
+    spoilt = p.withColumn("ts", F.when(~bad, F.col("ts")))
+    return clean.drop_invalid(p, clean.invalid_trips(spoilt)).groupBy("traj_id").agg(F.count("*").alias("n"))
+
+
+@query("c8_drop_backwards", f"WITH {a.POINTS}, m AS (SELECT *, max(x) OVER (PARTITION BY dataset, traj_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM pts), k AS (SELECT *, count(*) OVER (PARTITION BY dataset, traj_id) AS n FROM m WHERE b IS NULL OR x > b) SELECT traj_id, seq FROM k WHERE n >= 2")
+def _(spark, d):
+    return clean.drop_backwards(a.points(spark, d).withColumn("ts", F.col("x"))).select("traj_id", "seq")
+
+
+@query("c9_drop_repeats", f"WITH {a.LOCATED}, l AS (SELECT *, lag(cell) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS b FROM located) SELECT traj_id, seq FROM l WHERE b IS NULL OR b <> cell")
+def _(spark, d):
+    p = a.located(spark, d)
+    return clean.drop_repeats(p.withColumn("x", F.col("cell")).withColumn("y", F.col("cell"))).select("traj_id", "seq")
+
+
+@query("c4_take_prefix", f"WITH {a.POINTS}, f AS (SELECT *, min(CASE WHEN x BETWEEN 50 AND 500 AND y BETWEEN 0 AND 95 THEN seq END) OVER (PARTITION BY dataset, traj_id) AS f FROM pts), g AS (SELECT *, epoch(ts) - epoch(date_trunc('day', ts)) AS s FROM f WHERE seq >= f), b AS (SELECT *, NOT (x BETWEEN 50 AND 500 AND y BETWEEN 0 AND 95) OR coalesce((s - lag(s) OVER (PARTITION BY dataset, traj_id ORDER BY seq) + 86400) % 86400 > 80000, false) AS br FROM g), c AS (SELECT *, min(CASE WHEN br THEN seq END) OVER (PARTITION BY dataset, traj_id) AS st FROM b), n AS (SELECT *, count(*) OVER (PARTITION BY dataset, traj_id) AS n FROM c WHERE st IS NULL OR seq < st) SELECT traj_id, seq FROM n WHERE n >= 2")
+def _(spark, d):
+    return clean.take_prefix(a.points(spark, d), 50, 500, 0, 95, 80_000, 2).select("traj_id", "seq")
+
+
+@query("c12_c13_head_and_range", f"WITH {a.SHORT}, r AS (SELECT * FROM trips WHERE traj_id BETWEEN 100 AND 5000), i AS (SELECT traj_id, row_number() OVER (ORDER BY traj_id) - 1 AS new_id FROM (SELECT DISTINCT traj_id FROM r ORDER BY traj_id LIMIT 50)) SELECT new_id AS traj_id, seq, round(x, 6) AS x FROM r JOIN i USING (traj_id)")
+def _(spark, d):
+    return clean.head_trips(clean.id_range(a.short_trips(spark, d), 100, 5000), 50).select("traj_id", "seq", r6("x"))
+
+
+@query("c11_sample_trips")
+def _(spark, d):
+    return clean.sample_trips(a.short_trips(spark, d), 100).select("traj_id", "seq")
+
+
+@query("c14_reindex", f"WITH {a.SHORT}, i AS (SELECT traj_id, row_number() OVER (ORDER BY traj_id) - 1 AS new_id FROM (SELECT DISTINCT traj_id FROM trips)) SELECT new_id AS traj_id, count(*) AS n FROM trips JOIN i USING (traj_id) GROUP BY ALL")
+def _(spark, d):
+    return io.dense_ids(a.short_trips(spark, d)).groupBy("traj_id").agg(F.count("*").alias("n"))
+
+
+@query("c15_mdl_simplify")
+def _(spark, d):
+    return clean.mdl_simplify(a.short_trips(spark, d).drop("segment_id")).select("traj_id", "seq")
+
+
+# Grids.
+@query("g1_bounds", f"WITH {a.POINTS} SELECT round(min(x), 6) AS x0, round(max(x), 6) AS x1, min(y) AS y0, max(y) AS y1 FROM pts")
+def _(spark, d):
+    return a.points(spark, d).agg(r6(F.min("x"), "x0"), r6(F.max("x"), "x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+
+
+@query("g3_assign_cell", f"WITH {a.LOCATED} SELECT traj_id, seq, cell FROM located")
+def _(spark, d):
+    return a.located(spark, d).select("traj_id", "seq", "cell")
+
+
+@query("g3_assign_closed_first", f"WITH {a.POINTS} SELECT traj_id, seq, CAST(CASE WHEN x BETWEEN 0 AND 500 AND y BETWEEN 0 AND 90 THEN greatest(ceil(x / 50) - 1, 0) * 10 + greatest(ceil(y / 9) - 1, 0) ELSE 0 END AS INTEGER) AS cell FROM pts WHERE NOT (x > 500 AND x - 0.001 <= 500)")
+def _(spark, d):
+    return grid.assign_cell(a.points(spark, d).where("not (x > 500 and x - 0.001 <= 500)"), grid.Grid(0.0, 500.0, 0.0, 90.0, 10), "closed_first").select("traj_id", "seq", "cell")
+
+
+@query("g4_cell_sequence", f"WITH {a.CELLS} SELECT dataset, traj_id, seq, cell FROM cells")
+def _(spark, d):
+    return a.cells(spark, d)
+
+
+@query("g5_run_lengths", f"WITH {a.LOCATED}, n AS (SELECT *, CASE WHEN cell = lag(cell) OVER w THEN 0 ELSE 1 END AS new FROM located WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)), r AS (SELECT *, sum(new) OVER (PARTITION BY dataset, traj_id ORDER BY seq) - 1 AS run FROM n) SELECT dataset, traj_id, CAST(run AS BIGINT) AS run, cell, count(*) AS length FROM r GROUP BY ALL")
+def _(spark, d):
+    return grid.run_lengths(a.located(spark, d))
+
+
+@query("g6_fill_route", f"WITH {a.CELLS}, s AS (SELECT *, cell // 6 AS i, cell % 6 AS j, lead(cell) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS nx FROM cells), t AS (SELECT *, coalesce(nx // 6 - i, 0) AS di, coalesce(nx % 6 - j, 0) AS dj FROM s), u AS (SELECT *, unnest(range(0, greatest(abs(di), abs(dj), 1))) AS t FROM t) SELECT dataset, traj_id, row_number() OVER (PARTITION BY dataset, traj_id ORDER BY seq, t) - 1 AS seq, CAST((i + sign(di) * least(t, abs(di))) * 6 + j + sign(dj) * least(t, abs(dj)) AS INTEGER) AS cell FROM u")
+def _(spark, d):
+    return grid.fill_route(a.cells(spark, d), 6)
+
+
+@query("g9_cell_visits", f"WITH {a.CELLS}, e AS (SELECT CAST(range AS INTEGER) AS cell FROM range(36)) SELECT cell, count(seq) AS visits FROM e LEFT JOIN cells USING (cell) GROUP BY ALL")
+def _(spark, d):
+    return grid.cell_visits(a.cells(spark, d), 6)
+
+
+@query("g9_nth_densest", f"WITH {a.CELLS}, v AS (SELECT cell, count(*) AS visits FROM cells GROUP BY ALL) SELECT cell, visits, 10 AS rank FROM v ORDER BY visits DESC, cell LIMIT 1 OFFSET 9")
+def _(spark, d):
+    return grid.nth_densest(a.cells(spark, d), 6, 10)
+
+
+@query("g10_passes_through", f"WITH {a.CELLS} SELECT cell, count(DISTINCT traj_id) AS trips FROM cells GROUP BY ALL")
+def _(spark, d):
+    return grid.passes_through(a.cells(spark, d))
+
+
+@query("g11_density_weighted", f"WITH {a.CELLS}, n AS (SELECT *, count(*) OVER (PARTITION BY dataset, traj_id) AS n FROM cells) SELECT cell, round(sum(1.0::DOUBLE / n), 6) AS density FROM n GROUP BY ALL")
+def _(spark, d):
+    return grid.density_weighted(a.cells(spark, d)).select("cell", r6("density"))
+
+
+@query("g12_adaptive_split", f"WITH {a.CELLS}, n AS (SELECT *, count(*) OVER (PARTITION BY dataset, traj_id) AS n FROM cells), dn AS (SELECT cell, round(sum(1.0::DOUBLE / n), 4) AS density FROM n GROUP BY ALL), m AS (SELECT cell, CAST(greatest(ceil(5 * density / 10), 1) AS INTEGER) AS m FROM dn), t AS (SELECT DISTINCT traj_id, cell, m, CAST(least(greatest(floor((x - (0.0::DOUBLE + {a.GRID.w!r}::DOUBLE * (cell // 6))) / ({a.GRID.w!r}::DOUBLE / m)), 0), m - 1) AS INTEGER) AS si, CAST(least(greatest(floor((y - (0.0::DOUBLE + {a.GRID.h!r}::DOUBLE * (cell % 6))) / ({a.GRID.h!r}::DOUBLE / m)), 0), m - 1) AS INTEGER) AS sj FROM located JOIN m USING (cell)) SELECT cell, si, sj, m, count(*) AS touching FROM t GROUP BY ALL")
+def _(spark, d):
+    dens = grid.density_weighted(a.cells(spark, d)).withColumn("density", F.round("density", 4))
+    return grid.adaptive_split_trips(a.located(spark, d), a.GRID, dens, 10, 1.0).where("touching > 0").select("cell", "si", "sj", "m", "touching")
+
+
+@query("g17_space_time_states", f"WITH {a.LOCATED}, h AS (SELECT *, CAST(extract(hour FROM ts) AS INTEGER) // 4 AS t FROM located), k AS (SELECT * FROM (SELECT *, lag(cell) OVER w AS pc, lag(t) OVER w AS pt FROM h WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)) WHERE pc IS NULL OR pc <> cell OR pt <> t) SELECT dataset, traj_id, row_number() OVER (PARTITION BY dataset, traj_id ORDER BY seq) - 1 AS seq, cell, t, count(*) OVER (PARTITION BY dataset, traj_id) AS length FROM k")
+def _(spark, d):
+    return grid.space_time_states(a.located(spark, d).withColumn("t", F.floor(F.hour("ts") / 4).cast("int")))
+
+
+@query("g18_density_map", f"WITH {a.LOCATED} SELECT CAST(cell // 6 AS BIGINT) AS ix, CAST(cell % 6 AS INTEGER) AS iy, count(*) AS points FROM located GROUP BY ALL")
+def _(spark, d):
+    return grid.density_map(a.points(spark, d), a.GRID)
+
+
+@query("g20_space_time_range", f"WITH {a.POINTS}, e AS (SELECT traj_id, arg_min(ts, seq) AS f, arg_max(ts, seq) AS l FROM pts GROUP BY ALL) SELECT min(strftime(f, '%H:%M:%S')) AS start, max(strftime(l, '%H:%M:%S')) AS \"end\" FROM e")
+def _(spark, d):
+    return grid.space_time_range(a.points(spark, d))
+
+
+# Models.
+@query("a1_od_counts", f"WITH {a.ENDS} SELECT src, dst, count(*) AS n, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) AS p FROM ends GROUP BY src, dst")
+def _(spark, d):
+    return model.od_counts(a.cells(spark, d)).select("src", "dst", "n", r6("p"))
+
+
+@query("a2_transitions", f"WITH {a.MOVES} SELECT src, dst, count(*) AS n, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) AS p FROM moves GROUP BY src, dst")
+def _(spark, d):
+    return model.transitions(a.cells(spark, d)).select("src", "dst", "n", r6("p"))
+
+
+_FULL = ", f AS (SELECT i.range AS src, j.range AS dst FROM range(36) i, range(36) j), w AS (SELECT src, dst, sum(1.0::DOUBLE / (length - 1)) AS w FROM moves GROUP BY ALL), g AS (SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, coalesce(w, 0) AS w FROM f LEFT JOIN w USING (src, dst))"
+
+
+@query("a3_transitions_weighted", f"WITH {a.MOVES}{_FULL} SELECT src, dst, round(coalesce(w / nullif(sum(w) OVER (PARTITION BY src), 0), 0), 6) AS w FROM g")
+def _(spark, d):
+    return model.transitions_weighted(a.cells(spark, d), 6, adjacent_only=False).select("src", "dst", r6("w"))
+
+
+@query("a4_start_end", f"WITH {a.CELLS}, b AS (SELECT *, 1.0::DOUBLE / (count(*) OVER (PARTITION BY dataset, traj_id) + 1) AS w, lead(cell) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS nx FROM cells), u AS (SELECT cell AS src, coalesce(nx, -2) AS dst, w FROM b UNION ALL SELECT -1, cell, w FROM b WHERE seq = 0) SELECT src, dst, round(sum(w), 6) AS w FROM u GROUP BY ALL")
+def _(spark, d):
+    return model.transitions_start_end(a.cells(spark, d)).select("src", "dst", r6("w"))
+
+
+@query("a5_a6_second_order", f"WITH {a.CELLS}, b AS (SELECT lag(cell) OVER w AS prev, cell AS cur, lead(cell) OVER w AS next, 1.0::DOUBLE / count(*) OVER (PARTITION BY dataset, traj_id) AS w FROM cells WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)), v AS (SELECT cell FROM cells GROUP BY ALL ORDER BY count(*) DESC, cell LIMIT 5) SELECT prev, cur, next, round(sum(w), 6) AS w FROM b WHERE prev IS NOT NULL AND next IS NOT NULL AND cur IN (SELECT cell FROM v) GROUP BY ALL")
+def _(spark, d):
+    c = a.cells(spark, d)
+    heavy = c.groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(5).select("cell")
+    return model.second_order(c, heavy).select("prev", "cur", "next", r6("w"))
+
+
+@query("a5_sensitive_states")
+def _(spark, d):
+    return model.sensitive_states(model.transitions_start_end(a.cells(spark, d)))
+
+
+@query("a9_two_step_mask", f"WITH {a.MOVES}, n AS (SELECT DISTINCT src, dst FROM moves WHERE traj_id % 31 = 0), m1 AS (SELECT * FROM n UNION SELECT n.src, m.dst FROM n JOIN n m ON n.dst = m.src UNION SELECT m.src, n.dst FROM n JOIN n m ON m.dst = n.src) SELECT * FROM m1 UNION SELECT m1.src, m.dst FROM m1 JOIN n m ON m1.dst = m.src UNION SELECT m.src, m1.dst FROM m1 JOIN n m ON m.dst = m1.src")
+def _(spark, d):
+    return model.two_step_mask(model.transitions(a.cells(spark, d).where("traj_id % 31 = 0")))
+
+
+@query("a10_length_thresholds", f"WITH {a.ENDS} SELECT src, round(avg(length), 6) AS length FROM ends GROUP BY ALL")
+def _(spark, d):
+    return model.length_thresholds(a.cells(spark, d)).select("src", r6("length"))
+
+
+@query("a11_extra_lengths", f"WITH {a.ENDS} SELECT src, dst, CAST(length - (greatest(abs(src // 6 - dst // 6), abs(src % 6 - dst % 6), 1) + 1) AS BIGINT) AS extra, count(*) AS trips FROM ends GROUP BY ALL")
+def _(spark, d):
+    return model.extra_lengths(a.cells(spark, d), 6)
+
+
+@query("a11_fit_extra_lengths")
+def _(spark, d):
+    return model.fit_extra_lengths(a.cells(spark, d), 6)
+
+
+@query("a14_markov_power", f"WITH {a.MOVES}{_FULL}, p AS (SELECT src, dst, coalesce(w / nullif(sum(w) OVER (PARTITION BY src), 0), 0) AS w FROM g), p2 AS (SELECT x.src, y.dst, sum(x.w * y.w) AS w FROM p x JOIN p y ON x.dst = y.src WHERE x.w > 0 AND y.w > 0 GROUP BY ALL), p3 AS (SELECT x.src, y.dst, sum(x.w * y.w) AS w FROM p2 x JOIN p y ON x.dst = y.src WHERE y.w > 0 GROUP BY ALL) SELECT src, dst, round(w, 6) AS w FROM p3")
+def _(spark, d):
+    return model.markov_power(model.transitions_weighted(a.cells(spark, d), 6, adjacent_only=False), 3).select("src", "dst", r6("w"))
+
+
+@query("a15_prefix_next", f"WITH {a.CELLS}, t AS (SELECT traj_id, list(cell ORDER BY seq) AS c FROM cells GROUP BY ALL) SELECT c[2] AS next, count(*) AS trips FROM t WHERE c[1] = 2 GROUP BY ALL")
+def _(spark, d):
+    return model.prefix_next(a.cells(spark, d), [2])
+
+
+@query("n2_row_normalise", f"WITH {a.MOVES}, n AS (SELECT src, dst, count(*) AS n FROM moves GROUP BY ALL) SELECT src, dst, round(n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY src), 6) AS w FROM n")
+def _(spark, d):
+    t = model.transitions(a.cells(spark, d)).select("src", "dst", F.col("n").cast("double").alias("w"))
+    return model.row_normalise(t, ["src"]).select("src", "dst", r6("w"))
+
+
+@query("n3_queue_minus", f"WITH {a.MOVES}, n AS (SELECT src, dst, count(*) - 12.0::DOUBLE AS w FROM moves GROUP BY ALL), c AS (SELECT *, -sum(least(w, 0)) OVER (PARTITION BY src) AS neg, sum(greatest(w, 0)) OVER (PARTITION BY src ORDER BY greatest(w, 0), dst ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM n) SELECT src, dst, greatest(0.0, least(cum - neg, greatest(w, 0))) AS w FROM c")
+def _(spark, d):
+    t = model.transitions(a.cells(spark, d)).select("src", "dst", (F.col("n") - 12.0).alias("w"))
+    return model.queue_minus(t, ["src"])
+
+
+@query("n1_noisy_transitions")
+def _(spark, d):
+    return model.transitions_weighted(a.cells(spark, d), 6, eps=1.0).select("src", "dst", r6("w"))
+
+
+@query("n5_median_length")
+def _(spark, d):
+    return model.dp_median_length(a.cells(spark, d), 1.0)
+
+
+# Synthesis.
+@query("y1_synth_grid_markov")
+def _(spark, d):
+    c = a.cells(spark, d)
+    return synth.synth_grid_markov(model.od_counts(c), model.fit_extra_lengths(c, 6), model.transitions_weighted(c, 6), 6, c.select("traj_id").distinct().count())
+
+
+@query("y2_synth_median_length")
+def _(spark, d):
+    c = a.cells(spark, d)
+    return synth.synth_median_length(model.od_counts(c), model.dp_median_length(c, None), model.transitions_weighted(c, 6, adjacent_only=False), 6, c.select("traj_id").distinct().count())
+
+
+@query("y4_synth_count_split")
+def _(spark, d):
+    c = a.cells(spark, d)
+    m = model.transitions_start_end(c)
+    share = model.row_normalise(m, ["src"])
+    starts = c.where("seq = 0").groupBy("cell").agg(F.count("*").alias("n"))
+    return synth.synth_count_split(starts, share.where("src >= 0 and dst >= 0").select("src", "dst", F.col("w").alias("p")))
+
+
+@query("y5_realise_points")
+def _(spark, d):
+    return synth.realise_points(a.cells(spark, d), a.GRID).select("traj_id", "seq", "cell", "x", "y")
+
+
+# Utility.
+def _jsd(o: str, s: str, key: str, add: str = "") -> str:
+    p, q = f"(coalesce(o.p, 0){add})", f"(coalesce(s.p, 0){add})"
+    return f"SELECT round(sum(CASE WHEN {p} > 0 THEN {p} * ln({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * ln({q} / (({p} + {q}) / 2)) ELSE 0 END) / 2, 6) AS jsd FROM {o} o FULL JOIN {s} s USING ({key})"
+
+
+def _share(name: str, source: str, where: str, key: str) -> str:
+    return f", {name} AS (SELECT {key}, count(*) * 1.0::DOUBLE / sum(count(*)) OVER () AS p FROM {source} WHERE {where} GROUP BY {key})"
+
+
+@query("u1_jsd_transitions", f"WITH {a.MOVES}{_share('o_', 'moves', chr(39).join(['dataset = ', 'original', '']), 'src, dst')}{_share('s_', 'moves', chr(39).join(['dataset = ', 'synthetic', '']), 'src, dst')} {_jsd('o_', 's_', 'src, dst')}")
+def _(spark, d):
+    o, s = both(a.cells(spark, d))
+    return utility.jsd(model.transitions(o), model.transitions(s), ["src", "dst"]).select(r6("jsd"))
+
+
+@query("u5_trip_error", f"WITH {a.ENDS}{_share('o_', 'ends', chr(39).join(['dataset = ', 'original', '']), 'src, dst')}{_share('s_', 'ends', chr(39).join(['dataset = ', 'synthetic', '']), 'src, dst')} {_jsd('o_', 's_', 'src, dst')}")
+def _(spark, d):
+    o, s = both(a.cells(spark, d))
+    return utility.trip_error(o, s).select(r6("jsd"))
+
+
+_SEG = ", seg AS (SELECT * FROM (SELECT dataset, traj_id, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM pts WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)) WHERE x2 IS NOT NULL), cl AS (SELECT *, CASE WHEN (x2 - x) * (x2 - x) + (y2 - y) * (y2 - y) = 0 THEN 0 ELSE least(greatest(((cx - x) * (x2 - x) + (cy - y) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)), 0), 1) END AS t FROM seg, circles), hit AS (SELECT dataset, query_id, count(DISTINCT traj_id) AS n FROM cl WHERE sqrt(pow(cx - (x + t * (x2 - x)), 2) + pow(cy - (y + t * (y2 - y)), 2)) <= r OR (x = x2 AND y = y2) GROUP BY ALL)"
+
+
+@query("u2_query_error", f"WITH {a.POINTS}, {a.CIRCLES}{_SEG} SELECT round(avg(abs(coalesce(s.n, 0) - coalesce(o.n, 0)) / greatest(coalesce(o.n, 0), t.trips * 0.01::DOUBLE)), 6) AS error FROM circles c LEFT JOIN (SELECT * FROM hit WHERE dataset = 'original') o USING (query_id) LEFT JOIN (SELECT * FROM hit WHERE dataset = 'synthetic') s USING (query_id), (SELECT count(DISTINCT traj_id) AS trips FROM pts WHERE dataset = 'original') t")
+def _(spark, d):
+    o, s = both(a.points(spark, d))
+    return utility.query_error(o, s, a.circles(spark, d)).select(r6("error"))
+
+
+@query("u3_query_error_points", f"WITH {a.POINTS}, {a.CIRCLES}, hit AS (SELECT dataset, query_id, count(DISTINCT traj_id) AS n FROM pts, circles WHERE sqrt(pow(x - cx, 2) + pow(y - cy, 2)) <= r GROUP BY ALL) SELECT query_id, sum(CASE WHEN dataset = 'original' THEN n ELSE 0 END)::BIGINT AS o, sum(CASE WHEN dataset = 'synthetic' THEN n ELSE 0 END)::BIGINT AS s FROM circles LEFT JOIN hit USING (query_id) GROUP BY ALL")
+def _(spark, d):
+    o, s = both(a.points(spark, d))
+    q = a.circles(spark, d)
+    return utility.touching_points(o, q).withColumnRenamed("n", "o").join(utility.touching_points(s, q).withColumnRenamed("n", "s"), "query_id")
+
+
+@query("u6_diameter", f"WITH {a.SHORT} SELECT p.traj_id, round(max(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))), 6) AS d FROM trips p JOIN trips q USING (dataset, traj_id) GROUP BY p.traj_id")
+def _(spark, d):
+    return utility.diameter(a.short_trips(spark, d)).select("traj_id", r6("d"))
+
+
+_LEN = ", len AS (SELECT dataset, traj_id, coalesce(sum(step), 0) AS d FROM (SELECT dataset, traj_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM trips WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)) GROUP BY ALL)"
+_BUCKETS = ", wd AS (SELECT (max(d) - min(d)) / 20 AS width FROM len WHERE dataset = 'original'), bk AS (SELECT dataset, floor(d / width) AS bucket FROM len, wd WHERE floor(d / width) < 20)"
+
+
+@query("u8_length_error", f"WITH {a.SHORT}{_LEN}{_BUCKETS}{_share('o_', 'bk', chr(39).join(['dataset = ', 'original', '']), 'bucket')}{_share('s_', 'bk', chr(39).join(['dataset = ', 'synthetic', '']), 'bucket')} {_jsd('o_', 's_', 'bucket')}")
+def _(spark, d):
+    o, s = both(utility.path_length(a.short_trips(spark, d)))
+    return utility.bucket_error(o, s, 20).select(r6("jsd"))
+
+
+_GRAM = ", lists AS (SELECT dataset, traj_id, list(cell ORDER BY seq) AS c FROM cells GROUP BY ALL), gram AS (SELECT dataset, c[i:i + k - 1] AS pattern FROM (SELECT dataset, c, k, unnest(range(1, len(c) - k + 2)) AS i FROM (SELECT *, unnest([2, 3, 4]) AS k FROM lists))), sup AS (SELECT dataset, array_to_string(pattern, ',') AS pattern, count(*) AS support FROM gram GROUP BY ALL)"
+
+
+@query("u9_mine_patterns", f"WITH {a.CELLS}{_GRAM} SELECT dataset, pattern, support FROM sup")
+def _(spark, d):
+    out = [utility.mine_patterns(x, 2, 4).select(F.lit(n).alias("dataset"), F.array_join("pattern", ",").alias("pattern"), "support") for n, x in zip(("original", "synthetic"), both(a.cells(spark, d)))]
+    return out[0].union(out[1])
+
+
+def _patterns(spark, d):
+    return [utility.mine_patterns(x, 2, 4).withColumn("pattern", F.array_join("pattern", ",")) for x in both(a.cells(spark, d))]
+
+
+_TOP = ", ot AS (SELECT pattern, support FROM sup WHERE dataset = 'original' ORDER BY support DESC, pattern LIMIT 100), st AS (SELECT pattern, support FROM sup WHERE dataset = 'synthetic' ORDER BY support DESC, pattern LIMIT 100), sa AS (SELECT pattern, support FROM sup WHERE dataset = 'synthetic')"
+
+
+@query("u11_top_patterns", f"WITH {a.CELLS}{_GRAM}{_TOP} SELECT * FROM ot")
+def _(spark, d):
+    return utility.top_patterns(_patterns(spark, d)[0], 100)
+
+
+@query("u12_pattern_f1", f"WITH {a.CELLS}{_GRAM}{_TOP} SELECT round(2.0::DOUBLE * (SELECT count(*) FROM ot SEMI JOIN st USING (pattern)) / ((SELECT count(*) FROM ot) + (SELECT count(*) FROM st)), 6) AS f1")
+def _(spark, d):
+    o, s = (utility.top_patterns(x, 100) for x in _patterns(spark, d))
+    return utility.pattern_f1(o, s).select(r6("f1"))
+
+
+@query("u13_pattern_jaccard", f"WITH {a.CELLS}{_GRAM}{_TOP}, b AS (SELECT count(*) AS b FROM ot SEMI JOIN st USING (pattern)) SELECT round(b * 1.0::DOUBLE / ((SELECT count(*) FROM ot) + (SELECT count(*) FROM st) - b), 6) AS jaccard FROM b")
+def _(spark, d):
+    o, s = (utility.top_patterns(x, 100) for x in _patterns(spark, d))
+    return utility.pattern_jaccard(o, s).select(r6("jaccard"))
+
+
+@query("u14_pattern_support_error", f"WITH {a.CELLS}{_GRAM}{_TOP} SELECT round(avg(abs(ot.support - coalesce(sa.support, 0)) * 1.0::DOUBLE / ot.support), 6) AS error FROM ot LEFT JOIN sa USING (pattern)")
+def _(spark, d):
+    o, s = _patterns(spark, d)
+    return utility.pattern_support_error(utility.top_patterns(o, 100), s).select(r6("error"))
+
+
+@query("u15_pattern_ranking", f"WITH {a.CELLS}{_GRAM}{_TOP}, j AS (SELECT ot.pattern, ot.support AS o, coalesce(sa.support, 0) AS s FROM ot LEFT JOIN sa USING (pattern)) SELECT round(sum(sign(p.o - q.o) * sign(p.s - q.s)) * 1.0::DOUBLE / count(*), 6) AS tau FROM j p JOIN j q ON p.pattern < q.pattern")
+def _(spark, d):
+    o, s = _patterns(spark, d)
+    return utility.pattern_ranking(utility.top_patterns(o, 100), s).select(r6("tau"))
+
+
+@query("u16_coverage_ranking", f"WITH {a.CELLS}, c AS (SELECT e.range AS cell, count(DISTINCT CASE WHEN dataset = 'original' THEN traj_id END) AS o, count(DISTINCT CASE WHEN dataset = 'synthetic' THEN traj_id END) AS s FROM range(36) e LEFT JOIN cells ON cells.cell = e.range GROUP BY ALL) SELECT round(sum(CASE WHEN (p.o > q.o AND p.s > q.s) OR (p.o < q.o AND p.s <= q.s) THEN 1 WHEN p.o <> q.o THEN -1 ELSE 0 END) * 1.0::DOUBLE / count(*), 6) AS tau FROM c p JOIN c q ON p.cell < q.cell")
+def _(spark, d):
+    o, s = both(a.cells(spark, d))
+    return utility.coverage_ranking(o, s, 6).select(r6("tau"))
+
+
+@query("u18_matrix_error", f"WITH {a.MOVES}{_share('o_', 'moves', chr(39).join(['dataset = ', 'original', '']), 'src, dst')}{_share('s_', 'moves', chr(39).join(['dataset = ', 'synthetic', '']), 'src, dst')} SELECT round(sum(abs(coalesce(o.p, 0) - coalesce(s.p, 0))), 6) AS error FROM o_ o FULL JOIN s_ s USING (src, dst)")
+def _(spark, d):
+    o, s = both(a.cells(spark, d))
+    return utility.matrix_error(model.transitions(o), model.transitions(s), ["src", "dst"]).select(r6("error"))
+
+
+@query("u19_bin_density", f"WITH {a.POINTS}, b AS (SELECT CAST((x > 100)::INTEGER + (x > 200)::INTEGER + (x > 400)::INTEGER AS INTEGER) AS bin, count(*) AS n FROM pts WHERE x BETWEEN 0 AND 600 GROUP BY ALL) SELECT CAST(e.range AS INTEGER) AS bin, round(coalesce(n, 0) * 1.0::DOUBLE / sum(n) OVER (), 6) AS share FROM range(4) e LEFT JOIN b ON b.bin = e.range")
+def _(spark, d):
+    return utility.bin_density(a.points(spark, d), "x", [0.0, 100.0, 200.0, 400.0, 600.0]).select("bin", r6("share"))
+
+
+# Attacks.
+@query("k1_region_frames")
+def _(spark, d):
+    return attack.region_frames(a.points(spark, d), 8, 12)
+
+
+@query("k2_reidentification")
+def _(spark, d):
+    frames = attack.sampled_bins(a.points(spark, d), 12)
+    return attack.reidentification(grid.assign_cell(frames, grid.Grid(0.0, 600.0, 0.0, 100.0, 2)).select("dataset", "traj_id", "bin", F.col("cell").alias("region")), 3, 0.5).select("user", r6("rate"), r6("found"))
+
+
+@query("k1_sampled_bins", f"WITH {a.POINTS}, n AS (SELECT dataset, traj_id, count(*) AS n FROM pts GROUP BY ALL), b AS (SELECT *, unnest(range(12)) AS bin FROM n) SELECT b.dataset, b.traj_id, CAST(bin AS INTEGER) AS bin, round(x, 6) AS x, y FROM b JOIN pts p ON p.traj_id = b.traj_id AND p.seq = bin * (n - 1) // 11")
+def _(spark, d):
+    return attack.sampled_bins(a.points(spark, d), 12).select("dataset", "traj_id", "bin", r6("x"), "y")
+
+
+@query("k3_bayesian_attack", f"WITH {a.CELLS}, th AS (SELECT * FROM cells WHERE dataset = 'synthetic' AND traj_id IN (SELECT traj_id FROM cells WHERE dataset = 'synthetic' AND cell = 8)), eo AS (SELECT traj_id, arg_min(cell, seq) AS src, arg_max(cell, seq) AS dst FROM cells WHERE dataset = 'original' GROUP BY ALL), es AS (SELECT traj_id, arg_min(cell, seq) AS src, arg_max(cell, seq) AS dst FROM th GROUP BY ALL){_share('o_', 'eo', 'true', 'src, dst')}{_share('s_', 'es', 'true', 'src, dst')} {_jsd('o_', 's_', 'src, dst', ' + 2.220446049250313e-16').replace('AS jsd', 'AS start_end')}")
+def _(spark, d):
+    o, s = both(a.cells(spark, d))
+    return attack.bayesian_attack(o, s, 8).select(r6("start_end"))
+
+
+@query("k3_bayesian_risk")
+def _(spark, d):
+    o, s = both(a.cells(spark, d))
+    return attack.bayesian_attack(o, s, 8)
+
+
+@query("k4_partial_sniffing")
+def _(spark, d):
+    o, s = both(a.located(spark, d))
+    return attack.partial_sniffing(o, s, 20, 1).select("i", "j", r6("dtw"), "n", "visits", "fails")
+
+
+@query("k5_first_segment", f"WITH {a.LOCATED}, f AS (SELECT *, min(CASE WHEN cell = 8 THEN seq END) OVER (PARTITION BY dataset, traj_id) AS f FROM located), e AS (SELECT *, min(CASE WHEN cell <> 8 AND seq > f THEN seq END) OVER (PARTITION BY dataset, traj_id) AS e FROM f) SELECT traj_id, seq FROM e WHERE seq >= f AND (e IS NULL OR seq < e)")
+def _(spark, d):
+    return attack.first_segment_in_cell(a.located(spark, d), 8).select("traj_id", "seq")
+
+
+@query("k6_intersections", f"WITH {a.POINTS}, pr AS (SELECT DISTINCT traj_id AS i, traj_id + 1 AS j FROM pts WHERE traj_id % 2 = 0) SELECT i, j, count(DISTINCT CASE WHEN sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) < 10 THEN q.seq END) AS n FROM pr LEFT JOIN pts p ON p.traj_id = i LEFT JOIN pts q ON q.traj_id = j GROUP BY ALL")
+def _(spark, d):
+    o, s = both(a.points(spark, d))
+    pairs = o.select(F.col("traj_id").alias("i"), (F.col("traj_id") + 1).alias("j")).distinct()
+    return attack.intersection_count(pairs, o, s, 10.0)
+
+
+def _vectors(spark, d):
+    return a.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+@query("k7_knn_2d", "WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), d AS (SELECT p.id, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d, row_number() OVER (PARTITION BY p.id ORDER BY sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))) AS r FROM v p, v q) SELECT id, round(avg(d), 6) AS score FROM d WHERE r <= 5 GROUP BY ALL")
+def _(spark, d):
+    return attack.knn_score_2d(_vectors(spark, d), 5).select("id", r6("score"))
+
+
+@query("k7_knn_1d", "WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x FROM embeddings), d AS (SELECT p.id, abs(p.x - q.x) AS d, row_number() OVER (PARTITION BY p.id ORDER BY abs(p.x - q.x)) AS r FROM v p, v q) SELECT id, round(avg(d), 6) AS score FROM d WHERE r <= 5 GROUP BY ALL")
+def _(spark, d):
+    return attack.knn_score_1d(_vectors(spark, d).select("id", F.col("x").alias("v")), 5).select("id", r6("score"))
+
+
+@query("k9_plausible_deniability", f"WITH {a.POINTS}, f AS (SELECT dataset, traj_id AS id, arg_min(x, seq) AS x, arg_min(y, seq) AS y FROM pts GROUP BY ALL), d AS (SELECT s.id, sqrt((s.x - o.x) * (s.x - o.x) + (s.y - o.y) * (s.y - o.y)) AS d FROM f s, f o WHERE s.dataset = 'synthetic' AND o.dataset = 'original'), m AS (SELECT *, min(d) OVER (PARTITION BY id) AS nearest FROM d) SELECT id, round(nearest, 6) AS nearest, sum((abs(d - nearest) <= 0.1::DOUBLE * 500)::INTEGER)::BIGINT AS plausible FROM m GROUP BY ALL")
+def _(spark, d):
+    f = a.points(spark, d).groupBy("dataset", F.col("traj_id").alias("id")).agg(F.array(F.min_by("x", "seq"), F.min_by("y", "seq")).alias("v"))
+    o, s = both(f)
+    return attack.plausible_deniability(s.select("id", "v"), o.select("v"), 500.0).select("id", r6("nearest"), "plausible")
+
+
+@query("k10_rare_cells")
+def _(spark, d):
+    return attack.rare_cell_candidates(a.cells(spark, d).where("dataset = 'synthetic'"), 20)
+
+
+@query("k11_outlier_leakage")
+def _(spark, d):
+    o, s = both(a.points(spark, d))
+    return attack.outlier_leakage(o, s)
+
+
+# Networks and similarity.
+@query("m1_chunks", f"WITH {a.POINTS}, c AS (SELECT traj_id, seq, unnest(CASE WHEN seq % 9 = 0 AND seq >= 9 THEN [seq // 9 - 1, seq // 9] ELSE [seq // 9] END) AS chunk FROM pts) SELECT traj_id, seq, CAST(chunk AS INTEGER) AS chunk FROM (SELECT *, count(*) OVER (PARTITION BY traj_id, chunk) AS n FROM c) WHERE n > 1")
+def _(spark, d):
+    return network.chunk_points(a.points(spark, d), 10, 1).select("traj_id", "seq", "chunk")
+
+
+@query("m2_stitch", f"WITH {a.POINTS}, c AS (SELECT traj_id, x, seq // 10 AS chunk, seq % 10 AS idx FROM pts), k AS (SELECT * FROM c WHERE chunk = 0 OR idx > 0) SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY chunk, idx) - 1 AS seq, round(x, 6) AS x FROM k")
+def _(spark, d):
+    g = a.points(spark, d).select("dataset", "traj_id", "x", F.floor(F.col("seq") / 10).alias("chunk"), (F.col("seq") % 10).alias("idx"))
+    return network.stitch_chunks(g).select("traj_id", "seq", r6("x"))
+
+
+@query("m4_end_times", f"WITH {a.POINTS}, n AS (SELECT *, count(*) OVER (PARTITION BY traj_id) AS n FROM pts) SELECT traj_id, seq, CASE WHEN n = 1 THEN 0.0 ELSE round_even(6000.0::DOUBLE * seq / (n - 1), 0) END AS t FROM n")
+def _(spark, d):
+    return network.interp_end_times(a.points(spark, d).withColumn("t0", F.lit(0)).withColumn("t1", F.lit(6000))).select("traj_id", "seq", "t")
+
+
+@query("m3_anchor_times")
+def _(spark, d):
+    return network.interp_anchor_times(a.points(spark, d).withColumn("t", F.when(F.col("seq") % 5 == 2, F.unix_timestamp("ts")))).select("traj_id", "seq", r6("t"))
+
+
+@query("m5_m6_registry")
+def _(spark, d):
+    p = a.points(spark, d).withColumn("x", F.floor(F.col("x") / 100) / 100).withColumn("y", F.floor(F.col("y") / 20) / 100)
+    nodes, edges = network.build_registry(p)
+    return edges.select("edge_id", "start_node", "end_node", r6("length"))
+
+
+@query("m10_downsample", f"WITH {a.POINTS}, n AS (SELECT traj_id, count(*) AS n FROM pts GROUP BY ALL), i AS (SELECT traj_id, n, unnest(range(least(n, 50))) AS i FROM n) SELECT i.traj_id, CAST(i AS INTEGER) AS seq, round(p.x, 6) AS x, p.y FROM i JOIN pts p ON p.traj_id = i.traj_id AND p.seq = CASE WHEN n > 50 THEN CAST(round_even(i * (n - 1) / 49, 0) AS BIGINT) ELSE i END")
+def _(spark, d):
+    return network.downsample(a.points(spark, d), 50).select("traj_id", "seq", r6("x"), "y")
+
+
+@query("m12_network_distance")
+def _(spark, d):
+    e = a.edges(spark, d)
+    pairs = e.select(F.col("start_node").alias("a"), ((F.col("end_node") * 3) % 199).alias("b")).distinct()
+    return network.network_distance(pairs, e).select("a", "b", r6("d"))
+
+
+@query("t8_trip_length", f"WITH {a.SHORT}, {a.EDGES} SELECT traj_id, round(sum(length), 6) AS metres FROM trips JOIN edges ON segment_id = edge_id GROUP BY ALL")
+def _(spark, d):
+    t = a.short_trips(spark, d)
+    return similarity.trip_length(t, t, a.edges(spark, d)).select("traj_id", r6("metres"))
+
+
+@query("t9_length_groups", f"WITH {a.SHORT}, {a.EDGES}, l AS (SELECT traj_id, sum(length) AS m FROM trips JOIN edges ON segment_id = edge_id GROUP BY ALL) SELECT CASE WHEN m <= 750 THEN 'small' WHEN m <= 1250 THEN 'medium' WHEN m >= 2000 THEN 'large' ELSE 'gap' END AS grp, count(*) AS n FROM l GROUP BY ALL")
+def _(spark, d):
+    t = a.short_trips(spark, d)
+    return similarity.trip_length(t, t, a.edges(spark, d)).groupBy(similarity.length_group(F.col("metres")).alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query("t12_summary", f"WITH {a.POINTS} SELECT dataset, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS low, round(quantile_cont(x, 0.5), 6) AS median, round(max(x), 6) AS high FROM pts GROUP BY ALL")
+def _(spark, d):
+    s = similarity.summarise(a.points(spark, d).withColumnRenamed("x", "score"), ["dataset"])
+    return s.select("dataset", "n", *[r6(c) for c in ("mean", "std", "low", "median", "high")])
+
+
+@query("t13_size_stats", f"WITH {a.SHORT}, n AS (SELECT dataset, traj_id, count(*) AS n FROM trips GROUP BY ALL) SELECT dataset, min(n) AS points_min, round(avg(n), 6) AS points_avg, max(n) AS points_max, min(n) AS segments_min, round(avg(n), 6) AS segments_avg, max(n) AS segments_max FROM n GROUP BY ALL")
+def _(spark, d):
+    t = a.short_trips(spark, d)
+    return similarity.size_stats(t, t).withColumn("points_avg", F.round("points_avg", 6)).withColumn("segments_avg", F.round("segments_avg", 6))
+
+
+def _scores(spark, d, m):
+    o, s = both(similarity.trajs(network.downsample(a.gps(spark, d), 20)))
+    return similarity.compare(o, s, m, 200)
+
+
+@query("t1_t10_compare_edr")
+def _(spark, d):
+    return _scores(spark, d, measure("edr", threshold=20_000.0))
+
+
+@query("t3_compare_erp")
+def _(spark, d):
+    return _scores(spark, d, measure("erp", gap=10.0))
+
+
+@query("t6_compare_dtw")
+def _(spark, d):
+    return _scores(spark, d, measure("dtw"))
+
+
+@query("t7_compare_tp")
+def _(spark, d):
+    return _scores(spark, d, measure("tp"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
