@@ -6,14 +6,13 @@ computed for a whole Arrow buffer at once, a few nanoseconds a byte, so no Pytho
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from wayveil.functions.tables import cut, shared_folder  # noqa: F401
 from wayveil.functions.workers import ready
 
 SHINGLE = 5
@@ -31,22 +30,6 @@ _WORD_INV = pow(_WORD_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (a local session)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows once as a table in the shared folder and read them back: cuts the lineage and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so long texts do not fill a Python worker."""
     ready(spark)
