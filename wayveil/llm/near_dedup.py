@@ -7,12 +7,13 @@ bit, so that the population count of the XOR of two sketches estimates a high si
 1. Documents with equal sets are one node, named by the smallest id.
 2. In each band bucket every node is paired with the smallest node there only (a star, never all pairs).
 3. Pairs whose sizes or sketches rule the similarity out go; the rest are confirmed on full shingle sets of whole texts.
-4. Buckets that still hold more than one component get their cross-component pairs, except those already tested: nodes
-   outside the bucket's largest component against all nodes of other components. Components therefore equal those of
-   all candidate pairs, while a group of near copies costs pairs in proportion to its size.
+4. Buckets that still hold more than one component get their cross-component pairs: nodes outside the bucket's largest
+   component against all nodes of other components. These are tested inside the join with sharper odd sketches (1,024
+   samples), and what passes is confirmed on full sets. Components therefore equal those of all candidate pairs, while a
+   group of near copies makes rows in proportion to its size.
 
-With 32 bands of 4 rows a pair at similarity 0.75 is missed with probability 5e-6, at 0.8 with 5e-8. The sketch cut lies
-more than six standard deviations below 0.75.
+With 32 bands of 4 rows a pair at similarity 0.75 is missed with probability 5e-6, at 0.8 with 5e-8. The sketch cuts lie
+six standard deviations below 0.75.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Rows with a null id link with
 nothing and get a null component. Exact repeats of a row are copies: each row is returned, with the same component. Ids
@@ -112,11 +113,64 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int, most_bits: int)
     return pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (differing <= most_bits)).select("a", "b")
 
 
+def _sharp_sketches(texts: DataFrame, samples: int, sketch_words: int, seed: int) -> DataFrame:
+    """(node, sharp): odd sketches of many more samples, for the nodes that need a close estimate."""
+    rng = np.random.default_rng(seed)
+    mult = rng.integers(1, 1 << 63, samples, dtype=_U)[:, None] * _U(2) + _U(1)
+    plus = rng.integers(0, 1 << 63, samples, dtype=_U)[:, None]
+    salt = np.arange(samples, dtype=_U) * _U(0x9E3779B97F4A7C15)
+    bits = 64 * sketch_words
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, at = Words(part.column(1)).shingles()
+                out = np.zeros((part.num_rows, sketch_words), np.int64)
+                for i in range(part.num_rows):
+                    own, low = np.unique(hashes[at[i] : at[i + 1]]), np.full(samples, np.iinfo(np.uint64).max, _U)
+                    for k in range(0, len(own), 128):
+                        np.minimum(low, (own[k : k + 128] * mult + plus).min(axis=1), out=low)
+                    odd = (np.bincount((mix(low ^ salt) % _U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+                    out[i] = np.packbits(odd).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * sketch_words, pa.int32()), pa.array(out.ravel()))], names=["node", "sharp"])
+
+    return texts.select("node", "text").mapInArrow(sketch, "node long, sharp array<long>")
+
+
+def _most_bits(samples: int, bits: int, percent: int, deviations: float) -> int:
+    """Bits in which the sketches of two sets at the similarity differ at most, but for a chance that many deviations out."""
+    apart = 1 - percent / 100
+    mismatches = min(float(samples), samples * apart + deviations * np.sqrt(samples * apart * (1 - apart)))
+    return int(bits / 2 * (1 - np.exp(-4 * mismatches / bits))) + 10
+
+
+def _across(held: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, most_bits: int) -> DataFrame:
+    """Pairs (a, b) in one bucket but in different components that sharp sketches allow to reach the similarity.
+
+    Nodes outside a bucket's largest component meet the nodes of its other components. A pair is tested in the first band
+    it shares, inside the join, so no row is made for pairs that the sketches rule out or for further shared bands.
+    """
+    sizes = held.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n")).where("comps > 1 and n > 2")
+    rest = cut(held.join(mixed.select("band", "value", "main"), ["band", "value"]))
+    left = texts.join(rest.select("node").distinct(), "node", "left_semi")
+    samples, words = 1024, 64
+    sharp = cut(_sharp_sketches(left, samples, words, 2).join(nodes.select("node", "n_shingles", "bands", "sketch"), "node"))
+    rows = rest.join(sharp, "node")
+    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n_shingles", "bands", "sketch", "sharp")]]
+    other = rows.where("comp != main").select("band", "value", *side("a"))
+    whole = rows.select("band", "value", "main", *side("b"))
+    differing = lambda x: F.aggregate(F.zip_with(f"{x}_a", f"{x}_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
+    fits = F.expr("comp_a != comp_b and (comp_b = main or a > b)") & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+    here = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), F.lit(True)) == F.col("band") + 1
+    close = (differing("sketch") <= most_bits) & (differing("sharp") <= _most_bits(samples, 64 * words, percent, 6))
+    return other.join(whole, ["band", "value"]).where(fits & here & close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int = 4, sketch_words: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); see the module's text."""
     samples, bits = bands * rows, 64 * sketch_words
-    # At the cut the estimate of the similarity is percent less a third of it at least: far outside the noise at percent.
-    most_bits = int(bits / 2 * (1 - np.exp(-4 * samples * min(1.0, 1 - percent / 150) / bits))) + 10
+    most_bits = _most_bits(samples, bits, percent, 6.5)
     signed = cut(signatures(docs, bands, rows, sketch_words))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     names = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
@@ -137,15 +191,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 32, rows: i
     comps = components(links)
 
     # Cross-component pairs of buckets that the stars left with more than one component.
-    members = stars.select("band", "value", "node", "hub").union(stars.select("band", "value", F.col("hub"), F.col("hub")).distinct())
-    held = cut(members.join(comps, "node", "left").select("band", "value", "node", "hub", F.coalesce("comp", "node").alias("comp")))
-    sizes = held.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    rest = held.where("node != hub").join(mixed, ["band", "value"])
-    other = rest.where("comp != main").select("band", "value", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    every = rest.select("band", "value", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "main")
-    across = other.join(every, ["band", "value"]).where("comp_a != comp_b and (comp_b = main or a > b)").select("a", "b").distinct()
-    more = cut(confirm(cut(_plausible(across, nodes, percent, most_bits)), texts, percent))
+    members = stars.select("band", "value", "node").union(stars.select("band", "value", "hub").distinct())
+    held = cut(members.join(comps, "node", "left").select("band", "value", "node", F.coalesce("comp", "node").alias("comp")))
+    more = cut(confirm(cut(_across(held, nodes, texts, percent, most_bits)), texts, percent))
     if more.limit(1).count():
         comps = components(links.union(more))
 
