@@ -119,7 +119,7 @@ def _encode(tokenizer: str, end_id: int):
         end = np.array([end_id], tokens.kind).tobytes()
         part, row, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            coded = [tokens.encoded(x or "") + end for x in batch.column(1).to_pylist()]
+            coded = [x + end for x in tokens.encoded([x or "" for x in batch.column(1).to_pylist()])]
             sizes = np.array([len(x) for x in coded]) // np.dtype(tokens.kind).itemsize
             n = len(coded)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), pa.array(start + np.cumsum(sizes) - sizes), batch.column(0), pa.array(sizes), pa.array(coded, pa.binary())], names=["part", "row", "start", "doc_id", "n_tokens", "ids"])
