@@ -1,6 +1,6 @@
 """Token counts without token ids.
 
-A task turns about 16 MB of documents at a time (a batch) into one row for each distinct pre-token of the batch, with the
+A task turns about 32 MB of documents at a time (a batch) into one row for each distinct pre-token of the batch, with the
 batch's documents that hold it and how often. Pieces are counted once for each distinct pre-token of the corpus; the
 counts are joined to those rows and summed by batch. A very common pre-token has one row a batch, so it makes no hot key.
 
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from . import bpe
 from .shared import bounded_batches
 
-BATCH_BYTES = 16 << 20
-_POSTINGS = "batch long, token string, docs array<int>, often array<long>, ids array<long>, n_bytes array<long>"
+BATCH_BYTES = 32 << 20
+#: Documents of a batch, and the most that one entry counts: both fit 16 bits.
+_MOST = 30_000
+_POSTINGS = "batch long, token string, docs array<short>, often array<short>, ids array<long>, n_bytes array<long>, base array<long>"
 
 
 def _postings(path: str):
@@ -42,10 +44,10 @@ def _postings(path: str):
             order = np.argsort(at, kind="stable")
             ends = np.searchsorted(at[order], np.arange(len(names) + 1))
             lists = lambda x, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
-            yield _batch(number, list(names), lists(doc[order], ends, pa.int32()), lists(n[order], ends, pa.int64()), None, None)
+            yield _batch(number, list(names), lists(doc[order], ends, pa.int16()), lists(n[order], ends, pa.int16()), None, None, None)
             # "#" and digits never stand in one pre-token: a name that no pre-token has, so batches' headers spread out.
             one = [0, len(ids)]
-            yield _batch(number, [f"#{number}"], lists(np.arange(len(ids)), one, pa.int32()), lists(base, one, pa.int64()), pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(ids, pa.int64())), lists(sizes, one, pa.int64()))
+            yield _batch(number, [f"#{number}"], lists([], [0, 0], pa.int16()), lists([], [0, 0], pa.int16()), pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(ids, pa.int64())), lists(sizes, one, pa.int64()), lists(base, one, pa.int64()))
             ids, sizes, base, names, where, which, often = [], [], [], {}, [], [], []
 
         ids, sizes, base, names, where, which, often = [], [], [], {}, [], [], []
@@ -58,14 +60,16 @@ def _postings(path: str):
                     if (pieces := short.get(token)) is not None:
                         known += n * pieces
                     else:
-                        which.append(names.setdefault(token, len(names)))
-                        where.append(len(ids))
-                        often.append(n)
+                        while n > 0:
+                            which.append(names.setdefault(token, len(names)))
+                            where.append(len(ids))
+                            often.append(min(n, _MOST))
+                            n -= _MOST
                 ids.append(doc_id)
                 sizes.append(size)
                 base.append(known)
                 held += size
-                if held >= BATCH_BYTES or len(ids) >= 100_000:
+                if held >= BATCH_BYTES or len(ids) >= _MOST:
                     yield from flush()
                     held = 0
         if ids:
@@ -74,10 +78,10 @@ def _postings(path: str):
     return work
 
 
-def _batch(number, names, docs, often, ids, sizes) -> pa.RecordBatch:
+def _batch(number, names, docs, often, ids, sizes, base) -> pa.RecordBatch:
     n = len(names)
     none = pa.nulls(n, pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(names, pa.string()), docs, often, none if ids is None else ids, none if sizes is None else sizes], names=[x.split()[0] for x in _POSTINGS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(names, pa.string()), docs, often, none if ids is None else ids, none if sizes is None else sizes, none if base is None else base], names=[x.split()[0] for x in _POSTINGS.split(", ")])
 
 
 _known: dict[str, dict[str, int]] = {}
@@ -106,11 +110,11 @@ def _count(path: str):
 def _total(rows: pa.Table) -> pa.Table:
     """Documents of one batch with their sums."""
     header = np.flatnonzero(rows["ids"].is_valid().to_numpy(zero_copy_only=False))[0]
-    ids, sizes = rows["ids"][header].values, rows["n_bytes"][header].values
+    ids, sizes, base = rows["ids"][header].values, rows["n_bytes"][header].values, rows["base"][header].values
     flat = lambda x: x.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     length = np.diff(rows["docs"].combine_chunks().offsets.to_numpy())
-    pieces = rows["pieces"].fill_null(1).to_numpy()
-    total = np.bincount(flat(rows["docs"]), weights=flat(rows["often"]) * np.repeat(pieces, length), minlength=len(ids))
+    pieces = rows["pieces"].fill_null(0).to_numpy()
+    total = base.to_numpy() + np.bincount(flat(rows["docs"]), weights=flat(rows["often"]) * np.repeat(pieces, length), minlength=len(ids))
     return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(np.rint(total).astype(np.int64))})
 
 
@@ -122,6 +126,6 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_postings(tokenizer), _POSTINGS)
     pieces = rows.where("ids is null").select("token").distinct().mapInArrow(_count(tokenizer), "token string, pieces long")
-    joined = rows.join(pieces, "token", "left").select("batch", "docs", "often", "ids", "n_bytes", "pieces")
+    joined = rows.join(pieces, "token", "left").select("batch", "docs", "often", "ids", "n_bytes", "base", "pieces")
     out = joined.groupBy("batch").applyInArrow(lambda t: _total(t), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
