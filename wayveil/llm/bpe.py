@@ -14,11 +14,10 @@ import re
 import struct
 from array import array
 
-import regex
-
-#: Fixed value: the pattern of byte-level pre-tokens.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RARE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ–—‘-”•…€]")
+#: Fixed value: the pattern of byte-level pre-tokens, over the characters that are not rare: their letters, numbers and white space, spelt out.
+_LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+PLAIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\t\n\r {_LETTER}{_DIGIT}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
 _MOST = 600_000
 
 
@@ -37,9 +36,12 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         self.added = {x["content"]: x["id"] for x in stated["added_tokens"]}
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._find = regex.compile(PATTERN).findall
+        self._find = re.compile(PLAIN).findall
         self.size = self.library.get_vocab_size()
         self._ids: dict[str, bytes] = {}
+        # Bytes stand as characters in the file's vocabulary: printable ones as themselves, the others from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self._bytes = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
 
     def pretokens(self, text: str) -> list[str]:
@@ -55,10 +57,14 @@ class ByteBpe:
 
     def pieces(self, pretokens: list[str]) -> list[int]:
         """How many ids each pre-token has."""
-        return [len(x.ids) for x in self.library.encode_batch_fast(pretokens, add_special_tokens=False)]
+        tokenize = self._pieces
+        return [1 if x in self.added else len(tokenize(x)) for x in pretokens]
+
+    def _pieces(self, pretoken: str) -> list:
+        return self.library.model.tokenize(pretoken.encode().decode("latin-1").translate(self._bytes))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian integers of type `kind`. Pre-tokens not known yet are encoded together."""
+        """The ids of each text, as little-endian integers of type `kind`. Pre-tokens not known yet are encoded once."""
         parts, ids = [self.pretokens(x) for x in texts], self._ids
         every = set().union(*parts)
         if missing := [x for x in every if x not in ids]:
@@ -66,8 +72,8 @@ class ByteBpe:
                 ids.clear()
                 missing = list(every)
             code = {n: struct.Struct(f"<{n}{'H' if self.kind == '<u2' else 'I'}").pack for n in range(1, 9)}
-            for x, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-                own = e.ids
+            for x in missing:
+                own = [self.added[x]] if x in self.added else [t.id for t in self._pieces(x)]
                 ids[x] = code[len(own)](*own) if len(own) in code else array("H" if self.kind == "<u2" else "I", own).tobytes()
         return [b"".join([ids[x] for x in p]) for p in parts]
 
