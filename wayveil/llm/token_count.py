@@ -1,89 +1,76 @@
 """Token counts without token ids.
 
-A task turns about 32 MB of documents at a time (a batch) into one row for each distinct pre-token of the batch, with the
-batch's documents that hold it and how often. Pieces are counted once for each distinct pre-token of the corpus; the
-counts are joined to those rows and summed by batch. A very common pre-token has one row a batch, so it makes no hot key.
+A task turns about 32 MB of documents at a time (a batch) into one row: the batch's documents, its distinct pre-tokens,
+and for each of those the documents that hold it and how often. These rows are written once. The pre-tokens of all
+batches then meet, sorted, so each distinct pre-token of the corpus has its pieces counted once; the counts go back to the
+batches, are joined to the frequencies there and summed by document. A very common pre-token has one row a batch, so it
+makes no hot key.
 
 Pre-tokens that are whole entries of the vocabulary are counted in the task, from a table whose size is the
 vocabulary's. A null text counts as empty. Each input row gives one output row, also where ids repeat or are null.
-Batches are numbered by task and order, so the input should be one that Spark reads alike again after a lost executor,
-such as files.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import bounded_batches
+from .shared import bounded_batches, cut
 
 BATCH_BYTES = 32 << 20
-#: Documents of a batch, and the most that one entry counts: both fit 16 bits.
-_MOST = 30_000
-_POSTINGS = "batch long, token string, docs array<short>, often array<short>, ids array<long>, n_bytes array<long>, base array<long>"
+#: Documents of a batch: their numbers fit 16 bits.
+_MOST = 60_000
+_FREQUENCIES = "batch long, ids array<long>, n_bytes array<long>, base array<long>, tokens array<string>, ends array<int>, docs binary, often binary"
 
 
-def _postings(path: str):
+def _frequencies(path: str):
+    """Rows of batches. The token at position i of `tokens` has entries ends[i - 1]:ends[i] of `docs` and `often`."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = bpe.load(path)
-        short = {x: n for x, n in _vocabulary(path).items()}
-        made = 0
+        tokens, whole, made = bpe.load(path), _vocabulary(path), 0
 
-        def flush():
-            nonlocal ids, sizes, base, names, where, which, often, made
+        def flush() -> pa.RecordBatch:
             number = (TaskContext.get().partitionId() << 32) + made
-            made += 1
-            at, doc, n = (np.fromiter(x, np.int64, len(x)) for x in (which, where, often))
-            order = np.argsort(at, kind="stable")
-            ends = np.searchsorted(at[order], np.arange(len(names) + 1))
-            lists = lambda x, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
-            yield _batch(number, list(names), lists(doc[order], ends, pa.int16()), lists(n[order], ends, pa.int16()), None, None, None)
-            # "#" and digits never stand in one pre-token: a name that no pre-token has, so batches' headers spread out.
-            one = [0, len(ids)]
-            yield _batch(number, [f"#{number}"], lists([], [0, 0], pa.int16()), lists([], [0, 0], pa.int16()), pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(ids, pa.int64())), lists(sizes, one, pa.int64()), lists(base, one, pa.int64()))
-            ids, sizes, base, names, where, which, often = [], [], [], {}, [], [], []
-
-        ids, sizes, base, names, where, which, often = [], [], [], {}, [], [], []
-        held = 0
+            known = np.fromiter((whole.get(x, -1) for x in index), np.int32, len(index))
+            which, doc = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+            base = np.bincount(doc, np.maximum(known, 0)[which], len(found)).astype(np.int64)
+            place = np.cumsum(known < 0) - 1
+            new = known[which] < 0
+            entries, often = np.unique((place[which[new]] << 16) | doc[new], return_counts=True)
+            names = [x for x, k in zip(index, known) if k < 0]
+            ends = np.searchsorted(entries >> 16, np.arange(len(names)), side="right").astype(np.int32)
+            one = lambda x, kind: pa.array([x], pa.list_(kind))
+            binary = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+            columns = [pa.array([number]), one(ids, pa.int64()), one(sizes, pa.int64()), one(base, pa.int64()), one(names, pa.string()), one(ends, pa.int32()), binary(entries & 0xFFFF, "<u2"), binary(often, "<u4")]
+            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _FREQUENCIES.split(", ")])
+
+        index, found, ids, sizes, held = defaultdict(count().__next__), [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                size, known = len(text.encode()), 0
-                for token, n in Counter(tokens.pretokens(text)).items():
-                    if (pieces := short.get(token)) is not None:
-                        known += n * pieces
-                    else:
-                        while n > 0:
-                            which.append(names.setdefault(token, len(names)))
-                            where.append(len(ids))
-                            often.append(min(n, _MOST))
-                            n -= _MOST
+                pretokens = tokens.pretokens(text or "")
+                found.append(np.fromiter(map(index.__getitem__, pretokens), np.int32, len(pretokens)))
                 ids.append(doc_id)
-                sizes.append(size)
-                base.append(known)
-                held += size
+                sizes.append(len((text or "").encode()))
+                held += sizes[-1]
                 if held >= BATCH_BYTES or len(ids) >= _MOST:
-                    yield from flush()
-                    held = 0
+                    yield flush()
+                    made += 1
+                    index, found, ids, sizes, held = defaultdict(count().__next__), [], [], [], 0
         if ids:
-            yield from flush()
+            yield flush()
 
     return work
 
 
-def _batch(number, names, docs, often, ids, sizes, base) -> pa.RecordBatch:
-    n = len(names)
-    none = pa.nulls(n, pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(names, pa.string()), docs, often, none if ids is None else ids, none if sizes is None else sizes, none if base is None else base], names=[x.split()[0] for x in _POSTINGS.split(", ")])
-
-
 _known: dict[str, dict[str, int]] = {}
 
 
@@ -98,24 +85,32 @@ def _vocabulary(path: str) -> dict[str, int]:
 
 
 def _count(path: str):
+    """Pieces of sorted pre-tokens: one count for a run of equal ones."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = bpe.load(path)
+        tokens, last = bpe.load(path), {}
         for batch in batches:
-            n = tokens.pieces(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["token", "pieces"])
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(2).cast(pa.large_string()))
+            names = runs.values.to_pylist()
+            pieces = [last[names[0]], *tokens.pieces(names[1:])] if names[0] in last else tokens.pieces(names)
+            last = {names[-1]: pieces[-1]}
+            n = np.repeat(np.array(pieces, np.int32), np.diff(runs.run_ends.to_numpy(), prepend=0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=["batch", "place", "pieces"])
 
     return work
 
 
-def _total(rows: pa.Table) -> pa.Table:
+def _total(batch: pa.Table, counted: pa.Table) -> pa.Table:
     """Documents of one batch with their sums."""
-    header = np.flatnonzero(rows["ids"].is_valid().to_numpy(zero_copy_only=False))[0]
-    ids, sizes, base = rows["ids"][header].values, rows["n_bytes"][header].values, rows["base"][header].values
-    flat = lambda x: x.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    length = np.diff(rows["docs"].combine_chunks().offsets.to_numpy())
-    pieces = rows["pieces"].fill_null(0).to_numpy()
-    total = base.to_numpy() + np.bincount(flat(rows["docs"]), weights=flat(rows["often"]) * np.repeat(pieces, length), minlength=len(ids))
-    return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(np.rint(total).astype(np.int64))})
+    ids, sizes, base, ends = (batch[x].combine_chunks()[0].values for x in ("ids", "n_bytes", "base", "ends"))
+    docs, often = (np.frombuffer(batch[x][0].as_buffer(), kind) for x, kind in (("docs", "<u2"), ("often", "<u4")))
+    pieces = np.zeros(len(ends), np.int64)
+    pieces[counted["place"].to_numpy()] = counted["pieces"].to_numpy()
+    each = np.repeat(pieces, np.diff(ends.to_numpy(), prepend=0))
+    total = base.to_numpy() + np.rint(np.bincount(docs, often * each, len(ids))).astype(np.int64)
+    return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(total)})
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
@@ -124,8 +119,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     tokenizer: path of a byte-level BPE file of the tokenizers library, found on every executor.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_postings(tokenizer), _POSTINGS)
-    pieces = rows.where("ids is null").select("token").distinct().mapInArrow(_count(tokenizer), "token string, pieces long")
-    joined = rows.join(pieces, "token", "left").select("batch", "docs", "often", "ids", "n_bytes", "base", "pieces")
-    out = joined.groupBy("batch").applyInArrow(lambda t: _total(t), "doc_id long, n_bytes long, n_tokens long")
+    batches = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_frequencies(tokenizer), _FREQUENCIES))
+    every = batches.select("batch", F.posexplode("tokens").alias("place", "token")).repartition("token").sortWithinPartitions("token")
+    counted = every.mapInArrow(_count(tokenizer), "batch long, place int, pieces int")
+    out = batches.drop("tokens").groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(lambda a, b: _total(a, b), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
