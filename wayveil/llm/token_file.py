@@ -7,8 +7,8 @@ ids and lengths, the packed bits, and the bit offset of every 256th id. Those ch
 side by side, each step one look-up of the next `limit` bits in a table.
 
 The folder holds `code` (id, bits: the code lengths, from which the canonical code follows) and `blocks`. A null text is
-an empty document: it has only the end id. Rows with a null id come first; equal ids are ordered by text, so repeated
-rows are neighbours. Other columns are ignored.
+an empty document: it has only the end id. Rows with a null id come first; equal ids are ordered by a hash of the text and
+the text, so repeated rows are neighbours. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -170,7 +170,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     spark = docs.sparkSession
     bounded_batches(spark)
     shape = bpe.load(tokenizer)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    tie = F.xxhash64("text")  # ranges are drawn from sampled keys, which should not hold whole texts
+    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     encoded = cut(ordered.mapInArrow(_encode(tokenizer, end_id), "part int, row long, start long, doc_id long, n_tokens long, ids binary"))
     tally = encoded.select("ids").mapInArrow(_tally(shape.kind, shape.size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(shape.size, np.int64)
