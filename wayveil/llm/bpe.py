@@ -42,6 +42,8 @@ class ByteBpe:
         # Bytes stand as characters in the file's vocabulary: printable ones as themselves, the others from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self._bytes = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
+        self._space = chr(self._bytes[32])
+        self._tokenize = self.library.model.tokenize
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
 
     def pretokens(self, text: str) -> list[str]:
@@ -61,7 +63,9 @@ class ByteBpe:
         return [1 if x in self.added else len(tokenize(x)) for x in pretokens]
 
     def _pieces(self, pretoken: str) -> list:
-        return self.library.model.tokenize(pretoken.encode().decode("latin-1").translate(self._bytes))
+        if pretoken.isascii() and pretoken.isprintable():  # of these bytes, only the space is shown as another character
+            return self._tokenize(pretoken.replace(" ", self._space))
+        return self._tokenize(pretoken.encode().decode("latin-1").translate(self._bytes))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of type `kind`. Pre-tokens not known yet are encoded once."""
