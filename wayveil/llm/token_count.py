@@ -19,6 +19,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +30,11 @@ from .shared import bounded_batches, cut
 BATCH_BYTES = 32 << 20
 #: Documents of a batch: their numbers fit 16 bits.
 _MOST = 60_000
-_FREQUENCIES = "batch long, ids array<long>, n_bytes array<long>, base array<long>, tokens array<string>, ends array<int>, docs binary, often binary"
+_FREQUENCIES = "batch long, ids array<long>, n_bytes array<long>, base array<long>, tokens array<string>, entries binary, docs binary, often binary"
 
 
 def _frequencies(path: str):
-    """Rows of batches. The token at position i of `tokens` has entries ends[i - 1]:ends[i] of `docs` and `often`."""
+    """Rows of batches: `entries` tells how many of `docs` and `often`, in order, belong to each of `tokens`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, whole, made = bpe.load(path), _vocabulary(path), 0
@@ -47,10 +48,10 @@ def _frequencies(path: str):
             new = known[which] < 0
             entries, often = np.unique((place[which[new]] << 16) | doc[new], return_counts=True)
             names = [x for x, k in zip(index, known) if k < 0]
-            ends = np.searchsorted(entries >> 16, np.arange(len(names)), side="right").astype(np.int32)
+            each = np.bincount(entries >> 16, minlength=len(names))
             one = lambda x, kind: pa.array([x], pa.list_(kind))
-            binary = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
-            columns = [pa.array([number]), one(ids, pa.int64()), one(sizes, pa.int64()), one(base, pa.int64()), one(names, pa.string()), one(ends, pa.int32()), binary(entries & 0xFFFF, "<u2"), binary(often, "<u4")]
+            packed = lambda x, kind: pa.array([zstandard.compress(x.astype(kind).tobytes())], pa.binary())
+            columns = [pa.array([number]), one(ids, pa.int64()), one(sizes, pa.int64()), one(base, pa.int64()), one(names, pa.string()), packed(each, "<u4"), packed(entries & 0xFFFF, "<u2"), packed(often, "<u4")]
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _FREQUENCIES.split(", ")])
 
         index, found, ids, sizes, held = defaultdict(count().__next__), [], [], [], 0
@@ -104,12 +105,11 @@ def _count(path: str):
 
 def _total(batch: pa.Table, counted: pa.Table) -> pa.Table:
     """Documents of one batch with their sums."""
-    ids, sizes, base, ends = (batch[x].combine_chunks()[0].values for x in ("ids", "n_bytes", "base", "ends"))
-    docs, often = (np.frombuffer(batch[x][0].as_buffer(), kind) for x, kind in (("docs", "<u2"), ("often", "<u4")))
-    pieces = np.zeros(len(ends), np.int64)
+    ids, sizes, base = (batch[x][0].values for x in ("ids", "n_bytes", "base"))
+    entries, docs, often = (np.frombuffer(zstandard.decompress(batch[x][0].as_py()), kind) for x, kind in (("entries", "<u4"), ("docs", "<u2"), ("often", "<u4")))
+    pieces = np.zeros(len(entries), np.int64)
     pieces[counted["place"].to_numpy()] = counted["pieces"].to_numpy()
-    each = np.repeat(pieces, np.diff(ends.to_numpy(), prepend=0))
-    total = base.to_numpy() + np.rint(np.bincount(docs, often * each, len(ids))).astype(np.int64)
+    total = base.to_numpy() + np.bincount(docs, often * np.repeat(pieces, entries), len(ids)).astype(np.int64)
     return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(total)})
 
 
