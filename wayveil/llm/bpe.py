@@ -11,7 +11,6 @@ import functools
 import json
 import os
 import re
-import struct
 from array import array
 
 _RARE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ–—‘-”•…€]")
@@ -38,13 +37,13 @@ class ByteBpe:
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._find = re.compile(PLAIN).findall
         self.size = self.library.get_vocab_size()
-        self._ids: dict[str, bytes] = {}
         # Bytes stand as characters in the file's vocabulary: printable ones as themselves, the others from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self._bytes = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
         self._space = chr(self._bytes[32])
         self._tokenize = self.library.model.tokenize
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self._ids = _Ids(self)
 
     def pretokens(self, text: str) -> list[str]:
         """The text in order, cut into pre-tokens and strings of added tokens."""
@@ -69,17 +68,22 @@ class ByteBpe:
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of type `kind`. Pre-tokens not known yet are encoded once."""
-        parts, ids = [self.pretokens(x) for x in texts], self._ids
-        every = set().union(*parts)
-        if missing := [x for x in every if x not in ids]:
-            if len(ids) + len(missing) > _MOST:
-                ids.clear()
-                missing = list(every)
-            code = {n: struct.Struct(f"<{n}{'H' if self.kind == '<u2' else 'I'}").pack for n in range(1, 9)}
-            for x in missing:
-                own = [self.added[x]] if x in self.added else [t.id for t in self._pieces(x)]
-                ids[x] = code[len(own)](*own) if len(own) in code else array("H" if self.kind == "<u2" else "I", own).tobytes()
-        return [b"".join([ids[x] for x in p]) for p in parts]
+        if len(self._ids) > _MOST:
+            self._ids = _Ids(self)
+        known = self._ids.__getitem__
+        return [b"".join(map(known, self.pretokens(x))) for x in texts]
+
+
+class _Ids(dict):
+    """Ids of pre-tokens as bytes, each made when first asked for."""
+
+    def __init__(self, tokens: ByteBpe):
+        self.pieces, self.code = tokens._pieces, "H" if tokens.kind == "<u2" else "I"
+        super().__init__({x: array(self.code, [i]).tobytes() for x, i in tokens.added.items()})
+
+    def __missing__(self, pretoken: str) -> bytes:
+        ids = self[pretoken] = array(self.code, [t.id for t in self.pieces(pretoken)]).tobytes()
+        return ids
 
 
 @functools.lru_cache(2)
