@@ -70,6 +70,16 @@ def test_token_counts(spark, which):
     assert got == sorted(want, key=str)
 
 
+def test_token_counts_over_many_batches(spark, monkeypatch):
+    """Batches of a few documents share pre-tokens; one document repeats a new pre-token more often than 16 bits count."""
+    monkeypatch.setattr(token_count, "BATCH_BYTES", 100)
+    texts = [f"zyqqual{i % 7} wroxel{i % 3} the zyqqual{i}" for i in range(200)] + [" qzxvw" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tok = library()
+    got = {r.doc_id: r.n_tokens for r in token_count.token_counts(docs, tokenizer_path()).collect()}
+    assert got == {i: len(tok.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 @pytest.mark.parametrize("which", ["table", "odd", "empty"])
 def test_token_file(spark, which):
     docs = spark.read.parquet(f"{SF}/documents.parquet") if which == "table" else odd(spark).where("true" if which == "odd" else "false")
