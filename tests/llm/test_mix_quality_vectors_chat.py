@@ -145,6 +145,19 @@ def test_vectors_saturated_and_odd(spark):
     assert vectors.near_vectors(table.where("false")).count() == 0
 
 
+def test_vectors_nested_groups(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v)
+    centre = unit(rng.normal(size=64))
+    versions = [centre + 0.2 * unit(rng.normal(size=64)) for _ in range(10)]
+    rows = [v + 0.01 * unit(rng.normal(size=64)) for v in versions for _ in range(40)] + list(rng.normal(size=(300, 64)))
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(rows)]
+    want = brute_vectors(rows)
+    assert sum(component == 0 for _, component in want.values()) == 400
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(table).collect()} == want
+
+
 def test_chat_links_quotes(spark):
     rows = [
         (1, 0, "user", "First question here?\n\nSecond paragraph."), (1, 1, "assistant", "An answer."), (1, 2, "user", "> Second  PARAGRAPH.\nI ask about that."),

@@ -1,13 +1,11 @@
-"""Near-duplicate embeddings by NN-descent.
+"""Near-duplicate embeddings by an exact join, block against block.
 
-Equal vectors of one label are one node with a multiplicity. A first neighbour graph comes from random projections:
-nodes are range-sorted by (label, projection) and each is compared with its neighbours in that order. Then neighbours of
-neighbours are joined: every node's list meets in one small group, all its pairs are compared, and each node keeps its
-best `k`. Nodes whose list is full of links are saturated; their lists grow to their whole component: nodes of such a
-component are dealt to blocks, and all pairs of blocks are compared, each pair of blocks a task of bounded size. Recall is
-audited against brute force for a stated, bounded query set (hash order, `audit` vectors against all rows); while it is
-under `recall`, another round of joins follows, `max_rounds` at most. Links are pairs with cosine >= threshold, each
-confirmed in double precision.
+Equal vectors of one label are one node with a multiplicity. The nodes of each label and length are dealt to blocks of
+about `block` nodes by hash, and every pair of blocks, each block with itself among them, is a task of bounded size that
+compares all its pairs in double precision. Links are pairs with cosine >= threshold, so none is missed. A task hands on,
+for each of its nodes with links, their number and the smallest node that its own links reach: rows grow with the nodes of
+a group of near-equal vectors, never with its pairs. The comparisons and the copies of vectors that are sent to the tasks
+grow with the square of a label's nodes.
 
 Null, zero and non-finite vectors, and rows with a null label or a null id, link with nothing; they are returned as their
 own component. Rows that repeat an id are vectors of their own, named alike. Other columns are ignored.
@@ -15,8 +13,6 @@ own component. Rows that repeat an id are vectors of their own, named alike. Oth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +21,7 @@ from pyspark.sql import functions as F
 from .near_dedup import components
 from .shared import bounded_batches, cut
 
-_PAIRS = "a long, b long, cosine double"
+_FOUND = "node long, links long, low long"
 
 
 def _matrix(column) -> np.ndarray:
@@ -50,87 +46,28 @@ def nodes_of(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, cut(named.union(alone))
 
 
-def _window_pairs(width: int):
-    """Pairs of rows at most `width` places apart with equal labels and lengths."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = pa.Table.from_batches([batch.slice(at, 2048)])
-                table = part if tail is None else pa.concat_tables([tail, part])
-                old = 0 if tail is None else tail.num_rows
-                tail = table.slice(max(0, table.num_rows - width))
-                node, key = table["node"].to_numpy(), table["key"].to_numpy()
-                for dim in np.unique(size := np.diff(table["vector"].combine_chunks().offsets.to_numpy())):
-                    of = np.flatnonzero(size == dim)
-                    x = _matrix(table["vector"].take(pa.array(of)))
-                    left, right = [], []
-                    for d in range(1, width + 1):
-                        i = np.arange(len(of) - d)
-                        i = i[(of[i + d] >= old) & (key[of[i]] == key[of[i + d]])]
-                        left.append(i)
-                        right.append(i + d)
-                    i, j = np.concatenate(left), np.concatenate(right)
-                    cosine = np.einsum("ij,ij->i", x[i], x[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(node[of[i]]), pa.array(node[of[j]]), pa.array(cosine)], names=["a", "b", "cosine"])
-
-    return work
-
-
-def first_graph(nodes: DataFrame, projections: int, width: int, seed: int) -> DataFrame:
-    """Pairs of neighbours along random projections."""
-    out = None
-    for p in range(projections):
-        # The projection's coefficients are hashes of (place, seed): the same for every row, whatever its length.
-        coefficient = lambda i: F.hash(i, F.lit(seed * 1000 + p)) / float(1 << 31)  # noqa: E731, B023
-        along = F.aggregate(F.zip_with("vector", F.sequence(F.lit(1), F.size("vector")), lambda x, i: x * coefficient(i)), F.lit(0.0), lambda t, x: t + x)
-        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))
-        ordered = nodes.select("node", F.xxhash64("label").alias("key"), (along / norm).alias("along"), "vector").repartitionByRange("key", "along").sortWithinPartitions("key", "along", "node")
-        pairs = ordered.drop("along").mapInArrow(_window_pairs(width), _PAIRS)
-        out = pairs if out is None else out.union(pairs)
-    return out
-
-
-def best(pairs: DataFrame, k: int) -> DataFrame:
-    """(a, b, cosine): both directions of the pairs, each node's k best."""
-    both = pairs.union(pairs.select("b", "a", "cosine")).where("a != b")
-    once = both.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    top = once.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "b")), asc=False), 1, k).alias("top"))
-    return top.select("a", F.explode("top").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.cosine").alias("cosine"))
-
-
-def _local_join(rows: pa.Table) -> pa.Table:
-    """Among the neighbours of one node, the pairs that beat what either side has."""
-    node, floor, x = rows["b"].to_numpy(), rows["floor"].to_numpy(), _matrix(rows["vector"])
-    i, j = np.triu_indices(len(node), 1)
-    cosine = np.einsum("ij,ij->i", x[i], x[j])
-    new = (node[i] != node[j]) & ((cosine > floor[i]) | (cosine > floor[j]))
-    return pa.table({"a": node[i[new]], "b": node[j[new]], "cosine": cosine[new]})
-
-
-def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """One round of NN-descent: neighbours of neighbours, both directions of every edge, then the best k again.
-
-    A node in more lists than 2 k stands in the lists of the 2 k nodes it is nearest to; others reach it by their own.
-    """
-    reverse = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")
-    lists = best_directed(graph.union(reverse), 2 * k)
-    floors = graph.groupBy(F.col("a").alias("b")).agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(F.lit(-2.0)).alias("floor"))
-    carried = nodes.select(F.col("node").alias("b"), "vector").join(floors, "b", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-    met = lists.select("a", "b").join(carried, "b").groupBy("a").applyInArrow(lambda t: _local_join(t), _PAIRS)
-    return cut(best(graph.union(met), k))
-
-
-def best_directed(edges: DataFrame, k: int) -> DataFrame:
-    once = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    top = once.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "b")), asc=False), 1, k).alias("top"))
-    return top.select("a", F.explode("top").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.cosine").alias("cosine"))
-
-
-def _block_counts(threshold: float):
+def _reached(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest node of each row's and each column's component; close: links between the nodes left and right."""
+    most = np.iinfo(np.int64).max
+    low_left, low_right = np.full(len(left), most), np.full(len(right), most)
+    for k in np.flatnonzero(close.any(axis=1)):
+        if low_left[k] != most:
+            continue
+        rows, cols = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        rows[k] = True
+        fresh = rows
+        while fresh.any():
+            met = close[fresh].any(axis=0) & ~cols
+            cols |= met
+            fresh = close[:, met].any(axis=1) & ~rows
+            rows |= fresh
+        low_left[rows] = low_right[cols] = min(left[rows].min(), right[cols].min())
+    return low_left, low_right
+
+
+def _block_links(threshold: float):
     def work(rows: pa.Table) -> pa.Table:
-        """Links between two blocks of a component, as counts by node."""
+        """Of two blocks, or one and itself: for every node with links, their number and the smallest node they lead to."""
         x, node, n, side = _matrix(rows["vector"]), rows["node"].to_numpy(), rows["n"].to_numpy(), rows["side"].to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(right)
@@ -140,81 +77,33 @@ def _block_counts(threshold: float):
             close[k : k + 512] = x[left[k : k + 512]] @ x[right].T >= threshold
         if same:
             np.fill_diagonal(close, False)
-            return pa.table({"node": node[left], "links": close @ n[right]})
-        return pa.table({"node": np.concatenate([node[left], node[right]]), "links": np.concatenate([close @ n[right], close.T @ n[left]])})
+        low_left, low_right = _reached(close, node[left], node[right])
+        sides = [(left, close @ n[right], low_left)] + ([] if same else [(right, close.T @ n[left], low_right)])
+        of, links, low = (np.concatenate(c) for c in zip(*sides))
+        some = links > 0
+        return pa.table({"node": node[of[some]], "links": links[some], "low": low[some]})
 
     return work
 
 
-def _dense_links(nodes: DataFrame, comps: DataFrame, full: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, links) of every node in a component that has a saturated node: all pairs, block against block."""
-    wanted = comps.join(full.select("node"), "node").select("comp").distinct()
-    members = comps.join(wanted, "comp").join(nodes, "node")
-    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def all_links(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, links, low), a row for each node and pair of blocks in which it has links: all pairs, block against block."""
+    keyed = nodes.withColumn("dim", F.size("vector"))
+    sizes = keyed.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = keyed.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("node", "vector"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "node", "vector", "n"
+        "label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "node", "vector", "n"
     )
-    found = pairs.groupBy("comp", "i", "j").applyInArrow(_block_counts(threshold), "node long, links long")
-    return found.groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def audited_recall(links: DataFrame, nodes: DataFrame, threshold: float, audit: int) -> float:
-    """Share of the true links of `audit` nodes, found by brute force over all rows, that the graph has or implies.
-
-    The graph implies a link inside one component with a saturated node, since those are compared in full; links: (a, b).
-    """
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(audit).select("node", F.xxhash64("label").alias("key"), "vector").collect()
-    if not sample:
-        return 1.0
-    asked = [(x["node"], x["key"], np.array(x["vector"]) / np.linalg.norm(x["vector"])) for x in sample]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, key, size = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
-            for dim in np.unique(size):
-                of = np.flatnonzero(size == dim)
-                x = _matrix(batch.column(2).take(pa.array(of)))
-                mine = [q for q in asked if len(q[2]) == dim]
-                if not mine:
-                    continue
-                q = np.stack([v for _, _, v in mine])
-                i, j = np.nonzero((q @ x.T >= threshold) & (np.array([k for _, k, _ in mine])[:, None] == key[of]))
-                ids = np.array([m for m, _, _ in mine])[i]
-                apart = ids != node[of[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(node[of[j]][apart])], names=["a", "b"])
-
-    true = nodes.select("node", F.xxhash64("label").alias("key"), "vector").mapInArrow(work, "a long, b long")
-    said = links.withColumn("hit", F.lit(1))
-    row = true.join(said, ["a", "b"], "left").agg(F.count("*").alias("n"), F.sum("hit").alias("hit")).first()
-    return (row["hit"] or 0) / row["n"] if row["n"] else 1.0
-
-
-def near_vectors(table: DataFrame, threshold: float = 0.93, k: int = 12, rounds: int = 2, max_rounds: int = 6, recall: float = 0.97, audit: int = 200, projections: int = 4, width: int = 12, block: int = 1024, seed: int = 3) -> DataFrame:
+    return pairs.groupBy("label", "dim", "i", "j").applyInArrow(_block_links(threshold), _FOUND)
+
+
+def near_vectors(table: DataFrame, threshold: float = 0.93, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of table (vec_id, embedding, label); see the module's text."""
     bounded_batches(table.sparkSession)
     nodes, named = nodes_of(table)
-    graph = cut(best(first_graph(nodes, projections, width, seed), k))
-    done = 0
-    while True:
-        for _ in range(rounds if not done else 1):
-            graph = refine(graph, nodes, k)
-            done += 1
-        near = cut(graph.where(F.col("cosine") >= threshold).select("a", "b").union(graph.where(F.col("cosine") >= threshold).select("b", "a")).distinct())
-        comps = components(near)
-        full = graph.where(F.col("cosine") >= threshold).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("held")).where(F.col("held") >= k)
-        dense = comps.join(full.select("node"), "node").select("comp").distinct()
-        # For the audit: a pair inside a dense component counts as found, since it will be compared.
-        sampled = nodes.orderBy(F.xxhash64("node"), "node").limit(audit).select(F.col("node").alias("a"))
-        inside = comps.join(dense, "comp")
-        implied = sampled.join(inside.select(F.col("node").alias("a"), "comp"), "a").join(inside.select(F.col("node").alias("b"), "comp"), "comp").select("a", "b").where("a != b")
-        reached = audited_recall(near.join(sampled, "a").select("a", "b").union(implied).distinct(), nodes, threshold, audit)
-        if reached >= recall or done >= max_rounds:
-            break
-    counts = nodes.select("node", "n")
-    sparse = near.join(counts.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    thick = _dense_links(nodes, comps, full, threshold, block)
-    links = sparse.join(thick.select("node"), "node", "left_anti").unionByName(thick)
-    by_node = counts.join(links, "node", "left").join(comps, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "node").alias("component_id"))
+    found = cut(all_links(nodes, threshold, block))
+    comps = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    by_node = nodes.select("node", "n").join(links, "node", "left").join(comps, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "node").alias("component_id"))
     out = named.join(by_node, "node", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
