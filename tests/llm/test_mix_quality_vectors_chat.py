@@ -158,6 +158,18 @@ def test_vectors_nested_groups(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(table).collect()} == want
 
 
+def test_vectors_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre, first = unit(rng.normal(size=64)), unit(rng.normal(size=(400, 64)))
+    rows = np.concatenate([centre + 0.1 * unit(rng.normal(size=(1500, 64))), first, first + 0.33 * unit(rng.normal(size=(400, 64))), rng.normal(size=(2700, 64))])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(rows)]
+    want = brute_vectors(rows)
+    assert sum(links > 0 for i, (links, _) in want.items() if i >= 1500) > 600
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(table).collect()} == want
+
+
 def test_chat_links_quotes(spark):
     rows = [
         (1, 0, "user", "First question here?\n\nSecond paragraph."), (1, 1, "assistant", "An answer."), (1, 2, "user", "> Second  PARAGRAPH.\nI ask about that."),

@@ -3,9 +3,9 @@
 Equal vectors of one label are one node with a multiplicity. The nodes of each label and length are dealt to blocks of
 about `block` nodes by hash, and every pair of blocks, each block with itself among them, is a task of bounded size that
 compares all its pairs in double precision. Links are pairs with cosine >= threshold, so none is missed. A task hands on,
-for each of its nodes with links, their number and the smallest node that its own links reach: rows grow with the nodes of
-a group of near-equal vectors, never with its pairs. The comparisons and the copies of vectors that are sent to the tasks
-grow with the square of a label's nodes.
+for each of its nodes with links, their number and the smallest node that its own links reach: no row is made for a pair.
+The comparisons grow with the square of a label's nodes, as do, divided by `block`, the copies of vectors sent to the tasks
+and, within a group of near-equal vectors, the rows they hand on.
 
 Null, zero and non-finite vectors, and rows with a null label or a null id, link with nothing; they are returned as their
 own component. Rows that repeat an id are vectors of their own, named alike. Other columns are ignored.
