@@ -176,3 +176,37 @@ def test_passages_of_over_fifty_words_are_found(spark):
                 repeats.add(i)
     got = {r.doc_id for r in span_dedup.span_dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
     assert len(repeats - got) <= 0.05 * len(repeats), (len(repeats), len(repeats - got), sorted(repeats - got)[:10])
+
+
+def test_every_passage_of_over_fifty_words_is_found(spark):
+    """Each 51 words that stood before, in an earlier text or place, lose a run of SEED words at least."""
+    from wayveil.llm import queries
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    removed = {r.doc_id: r.removed for r in queries.op5(spark, "/root/testdata/sf0.01").collect()}
+    seen, repeats, kept = set(), 0, []
+    for i in sorted(docs):
+        found = list(re.finditer(rb"[^\x20\x09-\x0d]+", docs[i]))
+        lost = [0]
+        for m in found:
+            lost.append(lost[-1] + any(x.start <= m.start() < x.end for x in removed.get(i, [])))
+        for k in range(len(found) - 50):
+            key = hash(tuple(m[0].lower() for m in found[k : k + 51]))
+            if key in seen:
+                repeats += 1
+                if lost[k + 51] - lost[k] < span_dedup.SEED:
+                    kept.append((i, k))
+            seen.add(key)
+    assert repeats > 1000 and not kept, (repeats, len(kept), kept[:10])
+
+
+def test_passages_without_whole_sentences(spark):
+    passage = " ".join(f"item{k}," for k in range(51))
+    rows = [(k, " ".join(f"own{k}x{j}" for j in range(60 + k)) + f" {passage} " + " ".join(f"more{k}x{j}" for j in range(40))) for k in range(30)]
+    rows += [(100, f"{passage} end"), (101, f"{passage} end"), (102, 'He said "it ends so." ' + passage)]
+    got = {r.doc_id: r for r in span_dedup.span_dedup(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=51).collect()}
+    assert got.keys() == {i for i, _ in rows} - {0}
+    for i, text in rows[1:]:
+        lost = b"".join(text.encode()[x.start : x.end] for x in got[i].removed).decode()
+        assert len(lost.split()) >= span_dedup.SEED and not set(lost.split()) - {*passage.split(), "end"}
+    assert got[101].text == "" and got[101].n_sentences == got[101].n_removed == 1

@@ -32,7 +32,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.span_dedup(_table(spark, sf_dir, "documents"))
+    return span_dedup.span_dedup(_table(spark, sf_dir, "documents"), passage_words=51)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
