@@ -152,3 +152,40 @@ def test_top_outliers_and_known_regions(spark):
     assert [r.id for r in attack.top_outliers(s, 2).collect()] == [2, 2] and [r.id for r in attack.top_outliers(s, 2, exact=False).collect()] == [2, 3]
     same = spark.createDataFrame([(d, t, b, b) for d, t in (("original", 1), ("synthetic", 2)) for b in range(4)], "dataset string, traj_id long, bin int, region int")
     assert tuple(attack.reidentification(same, 2).first()) == (1, 1.0, 1.0)
+
+
+def test_second_order_of_all_sensitive_states(spark):
+    from collections import defaultdict
+
+    from wayveil.plans import adapters, catalog
+
+    d = "/root/testdata/sf0.001"
+    trips = defaultdict(list)
+    for r in sorted(adapters.cells(spark, d).collect(), key=lambda r: (r.dataset, r.traj_id, r.seq)):
+        trips[r.dataset, r.traj_id].append(r.cell)
+    out, ends, starts, moves, triples = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(lambda: defaultdict(float)), defaultdict(float)
+    for c in trips.values():
+        starts[c[0]] += 1 / (len(c) + 1)
+        ends[c[-1]] += 1 / (len(c) + 1)
+        for x in c:
+            out[x] += 1 / (len(c) + 1)
+        for x, y in zip(c, c[1:]):
+            moves[x][y] += 1 / (len(c) + 1)
+        for t in zip(c, c[1:], c[2:]):
+            triples[t] += 1 / len(c)
+    part = lambda v, x: v[x] / sum(v.values())
+    best = {x: sorted(m.values(), reverse=True)[:2] for x, m in moves.items()}
+    close = {x for x, b in best.items() if len(b) == 2 and b[0] / b[1] < 5}
+    sensitive = {x for x in out if (x in close and part(out, x) > 0.002) or max(part(out, x), part(starts, x), part(ends, x)) > 0.02}
+    assert len(sensitive) > 5
+    got = {(r.prev, r.cur, r.next): r.w for r in catalog.queries()["a5_a6_second_order_sensitive"](spark, d).collect()}
+    want = {t: w for t, w in triples.items() if t[1] in sensitive}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 2e-6 for t in want)
+
+
+def test_mask_of_all_trips(spark):
+    from wayveil.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    some, whole = (catalog.queries()[q](spark, d).count() for q in ("a9_two_step_mask", "a9_two_step_mask_all"))
+    assert some < whole

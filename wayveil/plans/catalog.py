@@ -267,6 +267,12 @@ def _(spark, d):
     return model.second_order(c, heavy).select("prev", "cur", "next", r6("w"))
 
 
+@query("a5_a6_second_order_sensitive")
+def _(spark, d):
+    c = a.cells(spark, d)
+    return model.second_order(c, model.sensitive_states(model.transitions_start_end(c))).select("prev", "cur", "next", r6("w"))
+
+
 @query("a5_sensitive_states")
 def _(spark, d):
     return model.sensitive_states(model.transitions_start_end(a.cells(spark, d)))
@@ -277,6 +283,14 @@ def _(spark, d):
     return model.two_step_mask(model.transitions(a.cells(spark, d).where("traj_id % 31 = 0")))
 
 
+_REACH = f"WITH {a.MOVES}, n AS (SELECT DISTINCT src, dst FROM moves), m1 AS (SELECT * FROM n UNION SELECT n.src, m.dst FROM n JOIN n m ON n.dst = m.src UNION SELECT m.src, n.dst FROM n JOIN n m ON m.dst = n.src) SELECT * FROM m1 UNION SELECT m1.src, m.dst FROM m1 JOIN n m ON m1.dst = m.src UNION SELECT m.src, m1.dst FROM m1 JOIN n m ON m.dst = m1.src"
+
+
+@query("a9_two_step_mask_all", _REACH)
+def _(spark, d):
+    return model.two_step_mask(model.transitions(a.cells(spark, d)))
+
+
 @query("a10_length_thresholds", f"WITH {a.ENDS} SELECT src, round(avg(length), 6) AS length FROM ends GROUP BY ALL")
 def _(spark, d):
     return model.length_thresholds(a.cells(spark, d)).select("src", r6("length"))
