@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,29 @@ def test_mask_of_all_trips(spark):
     d = "/root/testdata/sf0.001"
     some, whole = (catalog.queries()[q](spark, d).count() for q in ("a9_two_step_mask", "a9_two_step_mask_all"))
     assert some < whole
+
+
+def test_scores_of_whole_trips(spark):
+    from wayveil.functions.measures import measure
+    from wayveil.operators import similarity
+    from wayveil.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    trips = {r.traj_id: (r.dataset, r.pts) for r in similarity.trajs(a.gps(spark, d)).collect()}
+    got = {(r.comparison, r.i, r.j): r.score for r in catalog.queries()["t6_compare_dtw"](spark, d).collect()}
+    sides = {"OO": ("original", "original"), "OS": ("original", "synthetic"), "SS": ("synthetic", "synthetic")}
+    pairs = [(c, i, j) for c, (x, y) in sides.items() for i in trips for j in trips if (trips[i][0], trips[j][0]) == (x, y)]
+    assert got.keys() == set(pairs) and max(len(p) for _, p in trips.values()) > 50
+    rows = spark.createDataFrame([(c, i, j, trips[i][1], trips[j][1]) for c, i, j in pairs], "c string, i long, j long, a array<struct<seq:long,x:double,y:double>>, b array<struct<seq:long,x:double,y:double>>")
+    want = {(r.c, r.i, r.j): r.score for r in rows.select("c", "i", "j", measure("dtw")("a", "b").alias("score")).collect()}
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_long_walks_keep_their_length(spark):
+    od = spark.createDataFrame([(0, 1, 1.0)], "src long, dst long, p double")
+    lengths = spark.createDataFrame([(0, 1, 2000.0)], "src long, dst long, length double")
+    matrix = spark.createDataFrame([(i, j, 0.25) for i in range(4) for j in range(4)], "src long, dst long, w double")
+    walked = synth.synth_median_length(od, lengths, matrix, 2, 20).groupBy("traj_id").count().collect()
+    rng = lambda k: np.random.default_rng([0, k])
+    want = {k: max(2, round((r := rng(k), r.random())[0].exponential(2000.0 / np.log(2)))) for k in range(20)}
+    assert {r.traj_id: r["count"] for r in walked} == want and max(want.values()) > 200

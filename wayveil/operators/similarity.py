@@ -22,7 +22,9 @@ def sample_pairs(left: DataFrame, right: DataFrame, most: int, seed: int = 42) -
     rank = lambda df, name: df.select(F.col("traj_id").alias(name), (F.row_number().over(W.orderBy("traj_id")) - 1).alias(f"r_{name}"))  # noqa: E731  ids only
     a, b = left.select("traj_id").distinct(), right.select("traj_id").distinct()
     m, n = a.count(), b.count()
-    most = min(most, m * n)
+    if m * n <= 4 * most:  # few pairs in all: drawing with repeats would miss some
+        every = a.select(F.col("traj_id").alias("i")).crossJoin(b.select(F.col("traj_id").alias("j")))
+        return every.orderBy(unit_hash(F.col("i"), F.col("j"), seed=seed), "i", "j").limit(most)
     draws = spark.range(4 * most + 16).select("id", F.least(F.floor(unit_hash(F.col("id"), F.lit(0), seed=seed) * m), F.lit(m - 1)).alias("r_i"), F.least(F.floor(unit_hash(F.col("id"), F.lit(1), seed=seed) * n), F.lit(n - 1)).alias("r_j"))
     once = draws.groupBy("r_i", "r_j").agg(F.min("id").alias("id")).orderBy("id").limit(most)
     return once.join(rank(a, "i"), "r_i").join(rank(b, "j"), "r_j").select("i", "j")

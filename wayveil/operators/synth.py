@@ -70,7 +70,10 @@ def synth_grid_markov(od: DataFrame, extra: DataFrame, matrix: DataFrame, n: int
 
 
 def synth_median_length(od: DataFrame, lengths: DataFrame, matrix: DataFrame, n: int, trips: int, seed: int = 0) -> DataFrame:
-    """As synth_grid_markov, with exponential lengths about a pair's median and middle cells anywhere; dead ends are skipped."""
+    """As synth_grid_markov, with exponential lengths about a pair's median and middle cells anywhere; dead ends are skipped.
+
+    While more than 200 steps are left, the 200th power of the matrix stands for the higher ones.
+    """
     spark = od.sparkSession
     ready(spark)
     pairs = sorted((r["src"], r["dst"], r["p"]) for r in _rows(od))
@@ -91,10 +94,10 @@ def synth_median_length(od: DataFrame, lengths: DataFrame, matrix: DataFrame, n:
                 a, b, _ = pairs[min(int(np.searchsorted(cum, rng.random() * cum[-1], side="right")), len(pairs) - 1)]
                 size = max(2, round(rng.exponential(median.get((a, b), 2) / np.log(2))))
                 cells = [a]
-                for left in range(min(size, 200) - 2, 0, -1):
-                    while len(powers) <= left:
+                for left in range(size - 2, 0, -1):
+                    while len(powers) <= min(left, 200):
                         powers.append(powers[-1] @ p)
-                    w = p[cells[-1]] * powers[left][:, b]
+                    w = p[cells[-1]] * powers[min(left, 200)][:, b]
                     if w.sum() <= 0:
                         continue
                     cells.append(int(rng.choice(len(w), p=w / w.sum())))

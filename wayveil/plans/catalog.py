@@ -625,8 +625,8 @@ def _(spark, d):
 
 
 def _scores(spark, d, m):
-    o, s = both(similarity.trajs(network.downsample(a.gps(spark, d), 20)))
-    return similarity.compare(o, s, m, 200)
+    o, s = both(similarity.trajs(a.gps(spark, d)))
+    return similarity.compare(o, s, m, 10_000)
 
 
 @query("t1_t10_compare_edr")
