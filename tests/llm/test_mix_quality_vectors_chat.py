@@ -186,6 +186,12 @@ def test_chat_links_quotes(spark):
     assert chat.chat(table.where("false")).count() == 0
 
 
+def test_chat_links_nested_quotes(spark):
+    rows = [(1, 0, "a", "First."), (1, 1, "b", "Second."), (1, 2, "c", "> > First.\nNested only."), (1, 3, "a", "> unknown\n>>> First.\n>> Second.\nTwo."), (1, 4, "b", ">> Second.\n> First.\nLevel one.")]
+    got = {r.place: (r.parent, r.by_quote) for r in chat.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, False), 1: (0, False), 2: (0, True), 3: (1, True), 4: (0, True)}
+
+
 def test_chat_keeps_every_message(spark):
     table = spark.read.parquet(f"{SF}/conversations.parquet")
     got = chat.chat(table)

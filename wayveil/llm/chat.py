@@ -3,8 +3,8 @@
 Lines that begin with quote marks (">", nested as ">>" or "> >") are quoted passages; their level is the number of marks.
 A passage is a run of lines of one level. Each message offers the hashes of its own unquoted body, of its paragraphs and
 of its lines, normalised (case, white space, marks); quoted passages are hashed alike and joined to the earlier messages
-of the same conversation that offer them. A message replies to the latest original of its first-level quotes, or, where
-it quotes nothing known, to the message before it. Conversations are ordered by depth in the reply tree, then by turn, and
+of the same conversation that offer them. A message replies to the latest original of its first-level quotes, or else of
+the lowest level with a known one, or, where it quotes nothing known, to the message before it. Conversations are ordered by depth in the reply tree, then by turn, and
 are written without their quotes.
 
 Places inside a conversation are found over ranges of turns and their totals, so a conversation that holds a third of all
@@ -78,18 +78,18 @@ def _hashes(text: Column) -> Column:
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """(conv_id, place, parent): for messages with first-level quotes of earlier messages, the latest of the best quoted.
+    """(conv_id, place, parent): for messages with quotes of earlier messages, the latest of the best quoted, by lowest level.
 
     messages: conv_id, place, body, quotes. A quote is known by its whole passage, or else by any of its pieces.
     """
-    asks = messages.where(F.size("quotes") > 0).select("conv_id", "place", F.explode("quotes").alias("q")).where("q.level = 1")
-    asks = asks.select("conv_id", "place", F.posexplode(_hashes(F.col("q.passage"))).alias("piece", "hash"))
+    asks = messages.where(F.size("quotes") > 0).select("conv_id", "place", F.explode("quotes").alias("q"))
+    asks = asks.select("conv_id", "place", "q.level", F.posexplode(_hashes(F.col("q.passage"))).alias("piece", "hash"))
     wanted = asks.select(F.col("conv_id").alias("_c")).distinct()
     offers = messages.join(wanted, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi").select(F.col("conv_id").alias("_c"), F.col("place").alias("origin"), F.explode(_hashes(F.col("body"))).alias("_h"))
     # One offer a range is enough: the latest before the asker is in the asker's range, or the last of an earlier one.
     met = asks.join(offers.groupBy("_c", "_h", F.floor(F.col("origin") / RANGE).alias("_r")).agg(F.sort_array(F.collect_set("origin")).alias("origins")), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")) & (F.col("_r") <= F.floor(F.col("place") / RANGE)))
     latest = F.array_max(F.filter("origins", lambda x: x < F.col("place")))
-    best = met.withColumn("origin", latest).where("origin is not null").groupBy("conv_id", "place").agg(F.max_by("origin", F.struct(-F.col("piece"), F.col("origin"))).alias("parent"))
+    best = met.withColumn("origin", latest).where("origin is not null").groupBy("conv_id", "place").agg(F.max_by("origin", F.struct(-F.col("level"), -F.col("piece"), F.col("origin"))).alias("parent"))
     return best
 
 
