@@ -69,6 +69,43 @@ def test_cross_component_pairs(spark):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a), (3, b), (3, b), (5, b + " more"), (7, a + " more"), (9, "alone here"), (9, None)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(3, 3, True): 3, (5, 3, False): 1, (7, 3, False): 1, (9, 9, True): 2}
+
+
+def test_without_copies_keeps_one_row_of_a_component(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a, 1), (3, a, 2), (3, a + " more", 1), (3, b, 1), (5, a, 0), (5, "c d e f g h", 7), (1, b, 9), (None, a, 1), (None, a, 1), (8, None, 1), (8, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = near_dedup.without_copies(docs).collect()
+    assert Counter((r.doc_id, (r.text or "")[:2]) for r in got) == {(3, "a0"): 1, (5, "c "): 1, (1, "b0"): 1, (None, "a0"): 2, (8, ""): 2}
+    assert sorted(map(str, got)) == sorted(map(str, near_dedup.without_copies(docs.repartition(3)).collect()))
+    assert near_dedup.without_copies(docs.where("false")).columns == docs.columns
+
+
+def test_a_large_group_with_an_unlike_hub(spark, monkeypatch):
+    """Near copies of which many are unlike the hubs of their buckets, over units of few nodes."""
+    import random
+
+    draw = random.Random(5)
+    base = chain(120)
+    rows = []
+    for k in range(400):
+        text, changed = list(base), draw.choice([0, 1, 2, 3, 4, 5, 6])
+        for _ in range(changed):
+            text[draw.randrange(120)] = draw.choice(["x", "y", f"own{k}"])
+        rows.append((1000 - k, " ".join(text)))
+    rows.append((1, " ".join(base[:70] + ["z"] * 50)))
+    monkeypatch.setattr(near_dedup, "UNIT", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    want = brute_components(rows)
+    assert len({c for _, _, c, _ in want}) > 3 and got == want
+
+
 def brute_leaks(docs, items):
     out = {}
     grams = {}

@@ -36,7 +36,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
