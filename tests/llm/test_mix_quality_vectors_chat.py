@@ -60,6 +60,27 @@ def test_mix_odd_rows(spark):
     assert sum(len((r.text or "").split()) for r in out.where("source = 'big'").collect()) == sum(r.taken for r in plan if r.doc_id and r.doc_id >= 10)
 
 
+def test_rows_that_differ_in_other_columns_only(spark):
+    rows = [(1, "a b c", "s", {"k": 1}), (1, "a b c", "t", {"k": 1}), (1, "a b c", "t", {"k": 2}), (1, "a b c", "t", {"k": 2}), (2, "d e f g", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row map<string,int>")
+    plan, out = mixing.mix(docs).collect(), mixing.mixed_documents(docs).collect()
+    assert len(out) == sum(r.repeats for r in plan)
+    every = mixing.mixed_documents(docs, schedule=lambda sources: sources.withColumn("knots", F.expr("array(named_struct('t', 0D, 'w', double(source_size)), named_struct('t', 1D, 'w', double(source_size)))"))).collect()
+    assert sorted(map(str, every)) == sorted(map(str, docs.collect()))  # weights by size: each row once
+
+
+def test_a_schedule_of_zero_and_knots_at_one_time(spark):
+    docs = spark.createDataFrame([(k, "w " * 10, "ab"[k % 2]) for k in range(40)], "doc_id long, text string, source string")
+    none = "array(named_struct('t', 0D, 'w', 0D), named_struct('t', 1D, 'w', 0D))"
+    jump = "array(named_struct('t', 0D, 'w', 1D), named_struct('t', 0.5D, 'w', 1D), named_struct('t', 0.5D, 'w', 3D), named_struct('t', 1D, 'w', 3D))"
+    got = mixing.mix(docs, schedule=lambda x: x.withColumn("knots", F.expr(f"if(source_name = 'a', {none}, {jump})"))).collect()
+    assert {(r.doc_id % 2, r.target) for r in got} == {(0, 0.0), (1, 400.0)}
+    at = sorted(x for r in got for x in r.positions)
+    assert len(at) == 40 and sum(x < 0.5 for x in at) == 10
+    nobody = mixing.mix(docs, schedule=lambda x: x.withColumn("knots", F.expr(none))).collect()
+    assert {(r.target, r.taken) for r in nobody} == {(0.0, 0)}
+
+
 def test_positions_follow_the_schedule(spark):
     knots = [(0.0, 2.0), (0.25, 0.0), (0.5, 0.0), (1.0, 4.0)]
     t, w = np.array(knots).T

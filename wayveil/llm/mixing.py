@@ -12,7 +12,8 @@ Places in a stream come from running sums in two steps (hash bins of a source, t
 a third of all rows is many bins, not one task.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last; rows with a null id are mixed like any
-other. Repeated rows are documents of their own. An empty table gives an empty mix. Other columns are ignored.
+other. Repeated rows are documents of their own. A source whose schedule is zero throughout has the target 0. An empty
+table gives an empty mix. Other columns are ignored by the plan; mixed_documents returns every row with its own.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SHAPES = {1: (1.5, 0.5), 2: (1.0, 1.0), 3: (0.5, 1.5)}
 _SOURCE = ("no_source", "source_name")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, its source's key, size in words and a hash that orders the source's stream; no text."""
+def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, its source's key, size in words and a hash that orders the source's stream, and the carried columns; no text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id"),
@@ -38,6 +39,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_name"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64("doc_id", text).alias("place"),
+        *carry,
     )
 
 
@@ -56,15 +58,15 @@ def targets(scheduled: DataFrame, cap: float = 3.0) -> DataFrame:
     area = lambda i: (F.col("knots")[i + 1]["t"] - F.col("knots")[i]["t"]) * (F.col("knots")[i + 1]["w"] + F.col("knots")[i]["w"]) / 2
     weight = F.aggregate(F.sequence(F.lit(0), F.size("knots") - 2), F.lit(0.0), lambda t, i: t + area(i))
     base = scheduled.withColumn("weight", weight).withColumn("most", F.lit(cap) * F.col("source_size"))
-    every, before = W.partitionBy(F.lit(0)), W.partitionBy(F.lit(0)).orderBy(F.col("most") / F.col("weight"), *_SOURCE).rowsBetween(W.unboundedPreceding, -1)
+    every, before = W.partitionBy(F.lit(0)), W.partitionBy(F.lit(0)).orderBy(F.try_divide("most", "weight").asc_nulls_last(), *_SOURCE).rowsBetween(W.unboundedPreceding, -1)
     none = F.lit(0.0)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), none)
     over = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), none)
-    stopped = base.withColumn("stopped", left * F.col("weight") >= F.col("most") * over)
+    stopped = base.withColumn("stopped", (F.col("weight") > 0) & (left * F.col("weight") >= F.col("most") * over))
     free = lambda x, otherwise: F.sum(F.when(F.col("stopped"), otherwise).otherwise(F.col(x))).over(every)
     rest = F.sum("source_size").over(every) - F.sum(F.when(F.col("stopped"), F.col("most")).otherwise(none)).over(every)
     share = F.least(F.col("most"), rest * F.col("weight") / F.nullif(free("weight", none), none))
-    return stopped.select(*_SOURCE, "source_size", "knots", "weight", F.when(F.col("stopped"), F.col("most")).otherwise(share).alias("target"))
+    return stopped.select(*_SOURCE, "source_size", "knots", "weight", F.when(F.col("stopped"), F.col("most")).when(F.col("weight") > 0, share).otherwise(none).alias("target"))
 
 
 def position(part: Column, knots: Column, weight: Column) -> Column:
@@ -78,18 +80,21 @@ def position(part: Column, knots: Column, weight: Column) -> Column:
     pass_by = lambda s, i: F.when((s["sum"] + area(i) < need) & (i < last), F.struct((s["sum"] + area(i)).alias("sum"), (s["sum"] + area(i)).alias("low"), (i + 1).alias("i"))).otherwise(F.struct(F.lit(float("inf")).alias("sum"), s["low"].alias("low"), s["i"].alias("i")))
     found = F.aggregate(F.sequence(F.lit(0), last), start, pass_by)
     i, y = found["i"], F.greatest(need - found["low"], F.lit(0.0))
-    slope = (w(i + 1) - w(i)) / width(i)
+    slope = F.coalesce(F.try_divide(w(i + 1) - w(i), width(i)), F.lit(0.0))
     root = F.sqrt(F.greatest(w(i) * w(i) + 2 * slope * y, F.lit(0.0)))
     return F.least(t(i) + F.coalesce(2 * y / F.nullif(w(i) + root, F.lit(0.0)), F.lit(0.0)), t(i + 1))
 
 
-def mix(docs: DataFrame, schedule=default_schedule, cap: float = 3.0, bin_bits: int = 10) -> DataFrame:
-    """Per row of docs (doc_id, text, source): doc_id, place, size, source_size, target, taken, repeats, positions.
+def mix(docs: DataFrame, schedule=default_schedule, cap: float = 3.0, bin_rows: int = 1 << 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs (doc_id, text, source): doc_id, place, size, source_size, target, taken, repeats, positions, *carry.
 
     schedule: from (no_source, source_name, source_size) to the same with `knots`, an array of (t, w) from t = 0 to 1.
     positions: one for each time the document is taken, in 0..1. taken: size times their number.
+    bin_rows: rows of a hash bin of a source, about, if that source holds all rows; there are 1,024 bins at least.
     """
-    known = cut(sized(docs).withColumn("bin", F.shiftrightunsigned("place", 64 - bin_bits)))
+    known = cut(sized(docs, carry))
+    bits = min(30, max(10, (known.count() // bin_rows).bit_length()))
+    known = known.withColumn("bin", F.shiftrightunsigned("place", 64 - bits))
     bins = cut(known.groupBy(*_SOURCE, "bin").agg(F.sum("size").alias("n")))
     plan = targets(schedule(bins.groupBy(*_SOURCE).agg(F.sum("n").alias("source_size"))), cap)
     offsets = bins.select(*_SOURCE, "bin", F.coalesce(F.sum("n").over(W.partitionBy(*_SOURCE).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
@@ -102,14 +107,18 @@ def mix(docs: DataFrame, schedule=default_schedule, cap: float = 3.0, bin_bits:
     counted = rows.withColumn("whole", whole.cast("int")).withColumn("repeats", F.col("whole") + F.when(enters, 1).otherwise(0))
     part = lambda k: (k * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
     at = F.transform(F.sequence(F.lit(0), F.col("repeats") - 1), lambda k: position(F.least(part(k), F.lit(1.0)), F.col("knots"), F.col("weight")))
-    return counted.select("doc_id", "place", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", F.when(F.col("repeats") > 0, at).otherwise(F.array().cast("array<double>")).alias("positions"))
+    return counted.select("doc_id", "place", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", F.when(F.col("repeats") > 0, at).otherwise(F.array().cast("array<double>")).alias("positions"), *carry)
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The columns of docs, each row as often as the mix takes it, range-sorted by training position."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # Rows that repeat an id and its text are one key here: the row stands once, with the positions of all of them.
-    plan = mix(docs, **parameters).where("repeats > 0").select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), F.explode("positions").alias("_position"))
-    plan = plan.groupBy("_id", "_place").agg(F.sort_array(F.collect_list("_position")).alias("_positions"))
-    joined = docs.withColumn("_key", F.xxhash64("doc_id", text)).dropDuplicates(["doc_id", "_key"]).join(plan, (F.col("_key") == F.col("_place")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("_positions").alias("_position")).orderBy("_position", "doc_id").drop("_position")
+    plain = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    keys = ["key_a", "key_b"]
+    row = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*plain).alias("key_a"), F.xxhash64(F.lit(1), *plain).alias("key_b"))
+    plan = cut(mix(row, carry=tuple(keys), **parameters).select(*keys, "positions"))
+    # Rows that repeat each other in every column share a key: one of them stands for all, at the positions of all.
+    repeated = cut(plan.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    once = row.select(*keys, "row").join(repeated, keys, "left_anti")
+    several = row.select(*keys, "row").join(repeated, keys, "left_semi").dropDuplicates(keys)
+    joined = once.union(several).join(plan.select(*keys, F.explode("positions").alias("position")), keys)
+    return joined.orderBy("position", "row.doc_id", *keys).select("row.*")
