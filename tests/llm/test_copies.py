@@ -203,6 +203,14 @@ def test_span_dedup_odd_rows(spark):
     assert span_dedup.span_dedup(docs.where("false")).count() == 0
 
 
+def test_span_dedup_of_repeated_ids(spark):
+    long = " ".join(f"word{k} goes on and on." for k in range(10))
+    other = " ".join(f"thing{k} is not here at all." for k in range(12))
+    rows = [(1, long), (2, "Too short."), (2, f"{other} {long}"), (2, f"{other} {long}"), (None, long), (None, "Short."), (None, other), (3, other)]
+    out = span_dedup.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in out) == {(2, 10): 2, (3, 12): 1, (None, 10): 1, (None, 12): 1}
+
+
 def test_passages_of_over_fifty_words_are_found(spark):
     docs = {r.doc_id: words(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     first, repeats = {}, set()

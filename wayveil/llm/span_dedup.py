@@ -12,8 +12,9 @@ around it, so each such repeat is found; neighbouring runs overlap, so only word
 and the last run of a text are chosen as well, so whole copies go with their ends.
 
 Copies of whole documents lose all sentences that a run covers, in all documents but the first. Nulls and texts with too
-few sentences have no run and stay as they are. Rows with a null id come after all others. Rows that repeat an id and a
-text are two places of that text only if their ids differ. Other columns are ignored.
+few sentences have no run and stay as they are. Rows with a null id come after all others. A document is an id and a text:
+texts under one id are documents of their own, ordered by the texts' hashes, and rows that repeat both are one document,
+which loses the same words in each row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .shared import Words, bounded_batches, cut, mix, slices
 
 BREAKS = b".!?"
 SEED = 32
-_RUNS = "a long, b int, doc_id long, first int, last int"
-_OUT = "doc_id long, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>, text string"
+_RUNS = "a long, b int, doc_id long, text_key long, first int, last int"
+_OUT = "doc_id long, text_key long, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>, text string"
 
 
 class Sentences:
@@ -69,7 +70,7 @@ def _runs(least_sentences: int, least_words: int, passage_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                s = Sentences(part.column(1))
+                s = Sentences(part.column(2))
                 text = np.repeat(np.arange(part.num_rows), np.diff(s.first))
                 k = np.arange(len(s.begin))
                 last = np.maximum(k + least_sentences - 1, np.searchsorted(s.upto, s.begin + least_words))
@@ -83,7 +84,7 @@ def _runs(least_sentences: int, least_words: int, passage_words: int):
                 hashes = s.words.runs(begin, upto) ^ salt
                 other = mix(s.words.runs(begin, upto - 1) ^ s.words.hash[upto - 1])
                 base = s.words.first[:-1][text]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array((other >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column(0).take(pa.array(text)), pa.array((begin - base).astype(np.int32)), pa.array((upto - 1 - base).astype(np.int32))], names=[x.split()[0] for x in _RUNS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array((other >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array((begin - base).astype(np.int32)), pa.array((upto - 1 - base).astype(np.int32))], names=[x.split()[0] for x in _RUNS.split(", ")])
 
     return work
 
@@ -91,8 +92,8 @@ def _runs(least_sentences: int, least_words: int, passage_words: int):
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            s = Sentences(part.column(1))
-            spans = part.column(2).to_pylist()
+            s = Sentences(part.column(2))
+            spans = part.column(3).to_pylist()
             sizes, counts, taken, kept = [], [], [], []
             for i in range(part.num_rows):
                 begin, n = s.words.first[i], int(s.words.first[i + 1] - s.words.first[i])
@@ -116,17 +117,24 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 taken.append([{"start": a, "end": b} for a, b in removed])
                 kept.append(raw[keep].tobytes().decode())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(taken, kind), pa.array(kept, pa.string())], names=["doc_id", "n_sentences", "n_removed", "removed", "text"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(taken, kind), pa.array(kept, pa.string())], names=["doc_id", "text_key", "n_sentences", "n_removed", "removed", "text"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text: a document's key and its text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 16, passage_words: int = 0) -> DataFrame:
-    """(doc_id, first, last, first_doc): runs of words that are not the first of their kind."""
+    """(doc_id, text_key, first, last, first_doc): runs of words that are not the first of their kind."""
     bounded_batches(docs.sparkSession)
-    runs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_runs(least_sentences, least_words, passage_words), _RUNS)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("first"))
-    often = runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1").drop("n")
+    runs = _keyed(docs).mapInArrow(_runs(least_sentences, least_words, passage_words), _RUNS)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("first"))
+    # Written, so that both sides of the join are dealt by the join alone and a very common run can be split.
+    often = cut(runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1").drop("n"))
     both = runs.join(often, ["a", "b"])
-    return both.where(place != F.col("origin")).select("doc_id", "first", "last", F.col("origin.doc_id").alias("first_doc"))
+    return both.where(place != F.col("origin")).select("doc_id", "text_key", "first", "last", F.col("origin.doc_id").alias("first_doc"))
 
 
 def span_dedup(docs: DataFrame, least_sentences: int = 2, least_words: int = 16, passage_words: int = 0) -> DataFrame:
@@ -134,11 +142,12 @@ def span_dedup(docs: DataFrame, least_sentences: int = 2, least_words: int = 16,
 
     n_removed counts sentences that are gone whole. passage_words: repeats of so many words (more than SEED) are found
     wherever sentences end; 0 leaves them to the runs of sentences.
-    first_docs: ids of the documents that keep the first places of what was removed, each once.
+    first_docs: ids of the documents that keep the first places of what was removed, each once. text_key: hash of the text.
     """
-    spans = cut(repeated_spans(docs, least_sentences, least_words, passage_words))
+    spans = cut(repeated_spans(docs, least_sentences, least_words, passage_words).distinct())
     # A document's spans grow with the document alone, its first_docs at most as much.
-    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(grouped, F.col("id").eqNullSafe(F.col("doc_id")))
-    out = joined.select("doc_id", "text", "spans").mapInArrow(_cut_out, _OUT)
-    return out.join(grouped.select(F.col("doc_id").alias("id"), "first_docs"), F.col("id").eqNullSafe(F.col("doc_id"))).drop("id")
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))
+    grouped = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).agg(F.collect_list(F.struct("first", "last")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
+    grouped = cut(grouped)
+    out = _keyed(docs).join(grouped.drop("first_docs"), key).select("doc_id", "text_key", "text", "spans").mapInArrow(_cut_out, _OUT)
+    return out.join(grouped.drop("spans"), key).drop("_id", "_text")
