@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 import zlib
 
 import numpy as np
@@ -238,6 +239,65 @@ def test_chat_links_nested_quotes(spark):
     assert got == {0: (None, False), 1: (0, False), 2: (0, True), 3: (1, True), 4: (0, True)}
 
 
+def test_bodies_keep_what_is_no_quote():
+    code = "Try\n\n\n\n```\n> not a quote\n>>> print(1)\n```\n  done  "
+    assert chat.parsed(code) == (code, [])
+    session = "It says\n>>> print(1)\n... \n1\n\n>>> x\nso."
+    assert chat.parsed(session) == (session, [])
+    assert chat.parsed("On Monday he wrote:\nNo quote here > at all.") == ("On Monday he wrote:\nNo quote here > at all.", [])
+    assert chat.parsed("a\n\n\n\nOn Monday he wrote:\n\n> b\n> c\n>> d\n>>> e\nf > g") == ("a\n\n\n\n\nf > g", [(1, "b\nc"), (2, "d"), (3, "e")])
+    assert chat.parsed(">>> deep\n> near\n") == ("", [(3, "deep"), (1, "near")])
+    long = "> line\n" * 200_000
+    assert chat.parsed(long)[1] == [(1, "\n".join(["line"] * 200_000))]
+
+
+def brute_parents(rows):
+    """Parents by trying every earlier message for every quote."""
+    flat = lambda x: " ".join(re.sub(r"(?m)^[ \t]*(?:>[ \t]?)+", "", x).lower().split())
+
+    def pieces(x):
+        found = [x, *re.split(r"\n[ \t]*\n", x), *x.split("\n")]
+        return list(dict.fromkeys(y for y in map(flat, found) if y))
+
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = [chat.parsed(r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))]
+        for k, (_, quotes) in enumerate(own):
+            best = max(((-level, -p, j) for level, q in quotes for p, x in enumerate(pieces(q)) for j in range(k) if x in pieces(own[j][0])), default=None)
+            out[conv, k] = best[2] if best else k - 1 if k else None
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_chat_against_brute_force(spark, monkeypatch, block):
+    """The given conversations, their messages quoting earlier ones, and one long conversation with a very common line."""
+    import random
+
+    draw, rows = random.Random(3), []
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
+    before = {}
+    for r in table:
+        earlier, text = before.setdefault(r.conv_id, []), r.text or ""
+        if earlier and draw.random() < 0.6:
+            quoted = draw.choice(earlier)
+            marks = ">" * draw.choice([1, 1, 2])
+            text = "\n".join(f"{marks} {x}" for x in quoted.split("\n")[: draw.choice([1, 5])]) + "\n" + text
+        earlier.append(r.text or "")
+        rows.append((r.conv_id, r.turn, r.role, text))
+    rows += [(-1, k, "user", f"thanks\nown {k}" + ("\n> thanks" if k % 3 == 0 else f"\n>> own {k // 2}" if k % 3 == 1 else "")) for k in range(200)]
+    monkeypatch.setattr(chat, "BLOCK", block)
+    got = {(r.conv_id, r.place): r.parent for r in chat.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want = brute_parents(rows)
+    assert got == want and sum(p != k - 1 for (_, k), p in want.items() if k) > 50
+
+
+def test_chat_of_equal_and_null_turns(spark):
+    rows = [(1, None, "user", f"text {k % 7}") for k in range(300)] + [(1, 5, "user", "> text 3\nyes")]
+    out = chat.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r.place for r in out) == list(range(301)) and next(r for r in out if r.turn == 5).place == 300
+    assert next(r for r in out if r.turn == 5).parent == max(r.place for r in out if r.text == "text 3")
+
+
 def test_chat_keeps_every_message(spark):
     table = spark.read.parquet(f"{SF}/conversations.parquet")
     got = chat.chat(table)
