@@ -113,7 +113,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 keys = np.array([_fingerprint(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in own], pa.binary())], names=["set_a", "set_b", "shingles"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Ids written as a table have a known size: where they are few, Spark sends them to the texts and not the texts to them.
+    ids = cut(wanted.select("doc_id").distinct())
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
     # An id may stand for other texts as well, and rows may repeat.
     packed = some.select("text").mapInArrow(pack, "set_a long, set_b long, shingles binary")
     return packed.join(wanted, ["set_a", "set_b"]).select("node", "shingles").dropDuplicates(["node"])
