@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Words, bounded_batches, cut, jaccard_at_least, mix, slices
+from .shared import Words, bounded_batches, cut, jaccard_at_least, marked, mix, scratch, slices
 
 #: Nodes on each side of a unit of a bucket.
 UNIT = 512
@@ -113,9 +113,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 keys = np.array([_fingerprint(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in own], pa.binary())], names=["set_a", "set_b", "shingles"])
 
-    # Ids written as a table have a known size: where they are few, Spark sends them to the texts and not the texts to them.
-    ids = cut(wanted.select("doc_id").distinct())
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    ids = wanted.select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    some = marked(texts, F.col("doc_id"), ids).where("_hit").drop("_hit").join(ids, "doc_id", "left_semi")
     # An id may stand for other texts as well, and rows may repeat.
     packed = some.select("text").mapInArrow(pack, "set_a long, set_b long, shingles binary")
     return packed.join(wanted, ["set_a", "set_b"]).select("node", "shingles").dropDuplicates(["node"])
@@ -271,6 +271,11 @@ def _by_unit(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int = 4, sketch_words: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key for every row of docs (doc_id, text); see the module's text."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, percent, bands, rows, sketch_words))
+
+
+def _near_duplicates(docs: DataFrame, percent: int, bands: int, rows: int, sketch_words: int) -> DataFrame:
     most_bits = _most_bits(bands * rows, 64 * sketch_words, percent, 6.5)
     signed = cut(signatures(docs, bands, rows, sketch_words).withColumn("row", F.monotonically_increasing_id()))
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -302,11 +307,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 32, rows: i
 
     # A component's id is its smallest document; nodes without a link are their own component.
     by_node = named.join(comps, "node", "left").select("set_a", "set_b", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    ids = cut(by_node.join(by_node.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("set_a", "set_b", "component_id"))
+    first_of = cut(by_node.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    ids = cut(by_node.join(first_of, "comp").select("set_a", "set_b", "component_id"))
     usable = F.expr("n_shingles > 0 and doc_id is not null")
     found = signed.where(usable).join(ids, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id", "text_key")
     alone = signed.where(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
-    return found.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")
+    return cut(found.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key"))
 
 
 def without_copies(docs: DataFrame, **parameters) -> DataFrame:
@@ -315,19 +321,20 @@ def without_copies(docs: DataFrame, **parameters) -> DataFrame:
     Rows that repeat that id are copies too, unless no words make them alike: of equal texts under one id the row that is
     first by its other columns stays. Rows with a null id and rows without words all stay.
     """
-    found = cut(near_duplicates(docs, **parameters).where("doc_id is not null and n_shingles > 0"))
-    key = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct()
-    lost = key(found.where("not kept"))
-    here = found.where("kept")
-    # Of texts under one id in one component the smallest key stays, and of its rows the first.
-    several = here.groupBy("component_id").agg(F.count("*").alias("n"), F.min("text_key").alias("_stays")).where("n > 1")
-    others = key(here.join(several, "component_id").where("text_key != _stays"))
-    repeats = several.select(F.col("component_id").alias("_id"), F.col("_stays").alias("_text"))
+    with scratch(docs.sparkSession) as keep:
+        found = cut(near_duplicates(docs, **parameters).where("doc_id is not null and n_shingles > 0"))
+        key = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct()
+        here = found.where("kept")
+        # Of texts under one id in one component the smallest key stays, and of its rows the first.
+        several = cut(here.groupBy("component_id").agg(F.count("*").alias("n"), F.min("text_key").alias("_stays")).where("n > 1"))
+        others = key(here.join(several, "component_id").where("text_key != _stays"))
+        lost = keep(cut(key(found.where("not kept")).union(others)))
+        repeats = keep(cut(several.select(F.col("component_id").alias("_id"), F.col("_stays").alias("_text"))))
+    # Rows whose id has lost no row stay where they are; the others meet what is lost.
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    text = F.xxhash64(F.col("row.text").cast("string"))
-    on = (F.col("row.doc_id").cast("long") == F.col("_id")) & (text == F.col("_text"))
-    left = row.join(cut(lost.union(others)), on, "left_anti")
-    repeats = cut(repeats)
+    row = marked(row, F.col("row.doc_id").cast("long"), lost.select("_id").union(repeats.select("_id")))
+    on = (F.col("row.doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("_text"))
+    left = row.where("_hit").join(lost, on, "left_anti")
     once = left.join(repeats, on, "left_anti")
     first = left.join(repeats, on).withColumn("place", F.row_number().over(W.partitionBy("_id", "_text").orderBy(F.to_json("row")))).where("place = 1")
-    return once.select("row.*").union(first.select("row.*"))
+    return row.where("not _hit").select("row.*").union(once.select("row.*")).union(first.select("row.*"))

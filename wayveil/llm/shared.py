@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayveil.functions.tables import cut, shared_folder  # noqa: F401
+from wayveil.functions.tables import cut, scratch, shared_folder  # noqa: F401
 from wayveil.functions.workers import ready
 
 SHINGLE = 5
@@ -37,6 +38,24 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+#: Words of 64 bits of a bitmap of keys, 1 MB whatever the number of keys.
+BITMAP_WORDS = 1 << 17
+
+
+def marked(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """Adds _hit, true where the key's bit is set in a bitmap of the wanted keys (the one column of `wanted`).
+
+    All wanted keys are hit, and so many others as the bitmap is full; the exact join that follows then moves no other rows.
+    The bitmap has at most BITMAP_WORDS rows, so it can be sent to every task.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS))
+    one = lambda c: F.element_at(F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)]), (F.pmod(F.shiftrightunsigned(F.xxhash64(c), 40), F.lit(64)) + 1).cast("int"))
+    name = wanted.columns[0]
+    bitmap = cut(wanted.select(word(F.col(name)).alias("_word"), one(F.col(name)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    both = rows.join(F.broadcast(bitmap), word(key) == F.col("_word"), "left")
+    return both.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(one(key)) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> _U(30))

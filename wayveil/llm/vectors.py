@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .near_dedup import components
-from .shared import bounded_batches, cut
+from .shared import bounded_batches, cut, scratch
 
 log = logging.getLogger(__name__)
 #: Rows of a window of a bucket; nodes of a block.
@@ -330,6 +330,11 @@ def audited_recall(nodes: DataFrame, found: DataFrame, threshold: float, audit:
 def near_vectors(table: DataFrame, threshold: float = 0.93, k: int = 10, tables: int = 10, audit: int = 1000, target: float = 0.97) -> DataFrame:
     """vec_id, n_links, component_id, kept, audited_recall for every row of table (vec_id, embedding, label)."""
     bounded_batches(table.sparkSession)
+    with scratch(table.sparkSession) as keep:
+        return keep(_near_vectors(table, threshold, k, tables, audit, target))
+
+
+def _near_vectors(table: DataFrame, threshold: float, k: int, tables: int, audit: int, target: float) -> DataFrame:
     nodes, named = nodes_of(table)
     reach = float(np.cos(min(2 * np.arccos(threshold), np.pi)))
     lists, done = cut(nearest(first_edges(nodes, reach, k, tables), k)), tables
@@ -345,4 +350,4 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, k: int = 10, tables:
     by_node = cut(nodes.select("node", "first", "n").join(found, "node", "left").select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "node").alias("comp")))
     ids = by_node.groupBy("comp").agg(F.min("first").alias("component_id"))
     out = named.join(by_node.join(ids, "comp").select("node", "n_links", "component_id"), "node", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.lit(recall).alias("audited_recall")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return cut(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.lit(recall).alias("audited_recall")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
