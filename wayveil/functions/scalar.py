@@ -144,7 +144,7 @@ def parse_ts(text: Column) -> Column:
 
 
 def swap_lonlat(pts: DataFrame) -> DataFrame:
-    return pts.withColumnsRenamed({"x": "y", "y": "x"})
+    return pts.withColumns({"x": F.col("y"), "y": F.col("x")})
 
 
 def strip_time(pts: DataFrame) -> DataFrame:

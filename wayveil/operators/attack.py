@@ -9,11 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.measures import measure
-from wayveil.functions.tables import cut
+from wayveil.functions.tables import cut, ranked
 from wayveil.functions.workers import ready
-from wayveil.operators.grid import TRIP
+from wayveil.operators.grid import TRIP, assign_cell, cell_sequence, data_bounds, fill_route
 from wayveil.operators.model import od_counts, transitions
-from wayveil.operators.utility import TINY, jsd
+from wayveil.operators.utility import TINY, jsd, path_length
 
 
 def sampled_bins(pts: DataFrame, bins: int) -> DataFrame:
@@ -37,7 +37,8 @@ def reidentification(frames: DataFrame, known: int, least: float = 0.8, seed: in
     o, s = frames.where("dataset = 'original'"), frames.where("dataset = 'synthetic'")
     pick = F.row_number().over(W.partitionBy("traj_id").orderBy(F.xxhash64(F.lit(seed), "traj_id", "bin")))
     told = o.withColumn("_k", pick).where(F.col("_k") <= known).select(F.col("traj_id").alias("user"), "bin", "region")
-    match = told.join(s.select(F.col("traj_id").alias("twin"), "bin", F.col("region").alias("theirs")), "bin").groupBy("user", "twin").agg((F.sum((F.col("region") == F.col("theirs")).cast("int")) / known).alias("rate"))
+    # Only twins that agree somewhere meet a user: the others' rate is 0.
+    match = told.join(s.select(F.col("traj_id").alias("twin"), "bin", "region"), ["bin", "region"]).groupBy("user", "twin").agg((F.count("*") / known).alias("rate"))
     top = match.withColumn("_best", F.max("rate").over(W.partitionBy("user"))).where((F.col("rate") == F.col("_best")) & (F.col("rate") > least)).select("user", "twin", "rate")
     votes = top.join(s.select(F.col("traj_id").alias("twin"), "bin", "region"), "twin").groupBy("user", "rate", "bin", "region").agg(F.count("*").alias("n"))
     modal = votes.groupBy("user", "rate", "bin").agg(F.max_by("region", F.struct("n", -F.col("region"))).alias("guess"))
@@ -72,59 +73,95 @@ def intersection_count(pairs: DataFrame, a: DataFrame, b: DataFrame, tol: float)
     return pairs.join(counts, ["i", "j"], "left").fillna(0, ["n"])
 
 
+#: Cells of the finest level of a search by growing cells, along each side.
+FINEST = 1 << 10
+
+
+def _by_growing_cells(left: DataFrame, data: DataFrame, settle) -> DataFrame:
+    """What `settle` finds for every query, meeting the data in 3 x 3 cells that double until a query is settled.
+
+    left: queries with id, x, y. data: px, py and more. settle: from the pairs of one level to a row for each query, with
+    id and far: all data within that distance of the query are among the pairs. A query is settled where a cell is as wide.
+    """
+    b = data.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"), F.count("*").alias("n")).first()
+    q = left.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if not b["n"] or q["x0"] is None:
+        return settle(left.crossJoin(data.limit(0))).drop("far")
+    x0, y0 = min(b["x0"], q["x0"]), min(b["y0"], q["y0"])
+    whole = max(max(b["x1"], q["x1"]) - x0, max(b["y1"], q["y1"]) - y0, 1e-9)
+    side, out, left = whole / min(FINEST, max(1, int(b["n"] ** 0.5))), None, cut(left)
+    around = F.expr("explode(flatten(transform(sequence(-1, 1), p -> transform(sequence(-1, 1), q -> struct(p, q)))))")
+    while True:
+        at = lambda v, low: F.floor((F.col(v) - low) / side)  # noqa: B023, E731
+        cells = left.withColumn("_o", around).withColumn("_u", at("x", x0) + F.col("_o.p")).withColumn("_v", at("y", y0) + F.col("_o.q")).drop("_o")
+        found = settle(cells.join(data.withColumn("_u", at("px", x0)).withColumn("_v", at("py", y0)), ["_u", "_v"]).drop("_u", "_v"))
+        last = side > whole  # then 3 x 3 cells hold everything
+        done = cut(found if last else found.where(F.col("far") <= side))
+        out = done if out is None else out.union(done)
+        if last:
+            return out.drop("far")
+        left = cut(left.join(done.select("id"), "id", "left_anti"))
+        if not left.limit(1).count():
+            return out.drop("far")
+        side *= 2
+
+
 def partial_sniffing(o: DataFrame, s: DataFrame, sniff: int, sensitive: int, threshold: int = 3, tol: float = 1.0) -> DataFrame:
     """(i, j, dtw, n, visits, fails): for each original seen in the sniffed cell, the nearest synthetic one there.
 
-    It fails if the two meet at `threshold` points or the synthetic trip visits the sensitive cell. Points with cell.
+    It fails if the two meet at `threshold` points or the synthetic trip visits the sensitive cell. Points with cell. The
+    first points of two parts always meet, so a part that begins farther away than the best DTW so far cannot be nearer:
+    parts are met in cells about their first points that grow until the best one is inside.
     """
     ready(o.sparkSession)
     seen = lambda df, name: first_segment_in_cell(df, sniff).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias(name))
-    a, b = seen(o, "a").withColumnRenamed("traj_id", "i"), seen(s, "b").withColumnRenamed("traj_id", "j")
-    # Only parts in one cell meet; originals are dealt over tasks, synthetic parts are met in full.
-    scored = a.repartition("i").join(b, F.lit(True)).select("i", "j", measure("dtw")("a", "b").alias("dtw"))
-    best = scored.groupBy("i").agg(F.min_by("j", F.struct("dtw", "j")).alias("j"), F.min("dtw").alias("dtw"))
+    a = seen(o, "a").select(F.col("traj_id").alias("id"), F.col("a")[0]["x"].alias("x"), F.col("a")[0]["y"].alias("y"), "a")
+    b = seen(s, "b").select(F.col("traj_id").alias("j"), F.col("b")[0]["x"].alias("px"), F.col("b")[0]["y"].alias("py"), "b")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        scored = pairs.select("id", "j", measure("dtw")("a", "b").alias("dtw"))
+        return scored.groupBy("id").agg(F.min_by("j", F.struct("dtw", "j")).alias("j"), F.min("dtw").alias("dtw")).withColumn("far", F.col("dtw"))
+
+    best = cut(_by_growing_cells(a, cut(b), nearest)).select(F.col("id").alias("i"), "j", "dtw")
     meets = intersection_count(best.select("i", "j"), o, s, tol)
     visits = s.where(F.col("cell") == sensitive).select(F.col("traj_id").alias("j"), F.lit(True).alias("visits")).distinct()
     out = best.join(meets, ["i", "j"]).join(visits, "j", "left").fillna(False, ["visits"])
     return out.select("i", "j", "dtw", "n", "visits", ((F.col("n") >= threshold) | F.col("visits")).alias("fails"))
 
 
-def knn_score_1d(values: DataFrame, k: int) -> DataFrame:
-    """(id, score): mean distance to the k nearest of (id, v), itself included, from a window of sorted neighbours."""
-    order = W.orderBy("v", "id").rowsBetween(-(k - 1), k - 1)
-    near = values.withColumn("_w", F.collect_list("v").over(order))
-    gaps = F.slice(F.array_sort(F.transform("_w", lambda x: F.abs(x - F.col("v")))), 1, k)
+def knn_score_1d(values: DataFrame, k: int, block: int = 1 << 16) -> DataFrame:
+    """(id, score): mean distance to the k nearest of (id, v), itself included.
+
+    The k nearest of a value stand within k - 1 places of it in sorted order; places are cut into blocks that overlap so far.
+    """
+    block = max(block, k)
+    at = ranked(values.select("id", F.col("v").cast("double").alias("v")), ["v", "id"])
+    own, place = F.floor(F.col("rank") / block), F.col("rank") % block
+    copies = F.array_compact(F.array(own, F.when((place < k - 1) & (own > 0), own - 1), F.when(place > block - k, own + 1)))
+    order = W.partitionBy("block").orderBy("rank").rowsBetween(-(k - 1), k - 1)
+    near = at.withColumn("own", own).withColumn("block", F.explode(copies)).withColumn("w", F.collect_list("v").over(order)).where("block = own")
+    gaps = F.slice(F.array_sort(F.transform("w", lambda x: F.abs(x - F.col("v")))), 1, k)
     return near.select("id", (F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x) / F.size(gaps)).alias("score"))
 
 
 def knn_score_2d(points: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """(id, score): mean distance from each query to its k nearest of (id, x, y), itself included.
+    """(id, score): mean distance of each of (id, x, y) to its k nearest, itself included.
 
-    Points are met bucket by bucket in growing rings; a query is done when its k-th distance is inside the ring.
+    queries: (id, x, y) whose nearest points are sought, where they are not the points themselves; distances are still
+    those between the points.
     """
-    ready(points.sparkSession)
-    b = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")).first()
-    if not b["n"]:
-        return points.select("id", F.lit(0.0).alias("score")).limit(0)
-    side = max(b["x1"] - b["x0"], b["y1"] - b["y0"], 1e-9) / max(1, int((b["n"] / max(k, 1)) ** 0.5))
-    at = lambda v, low: F.floor((F.col(v) - low) / side)
-    data = points.select(F.col("x").alias("px"), F.col("y").alias("py"), at("x", b["x0"]).alias("u"), at("y", b["y0"]).alias("v"))
-    left, ring, out, most = cut((points if queries is None else queries).select("id", "x", "y")), 1, None, min(64, int(max(b["x1"] - b["x0"], b["y1"] - b["y0"]) / side) + 2)
-    while True:
-        r = F.sequence(F.lit(-ring), F.lit(ring))
-        spread = left.withColumn("_u", F.explode(r)).withColumn("_v", F.explode(r)).select("id", "x", "y", (at("x", b["x0"]) + F.col("_u")).alias("u"), (at("y", b["y0"]) + F.col("_v")).alias("v"))
-        # In the last ring every point is met, so buckets need no more rings.
-        d = spread.join(data, ["u", "v"]) if ring < most else left.join(data.drop("u", "v"), F.lit(True))
-        d = d.select("id", "x", "y", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")).alias("d"))
-        best = d.withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy("d"))).where(F.col("_r") <= k).groupBy("id", "x", "y").agg(F.avg("d").alias("score"), F.max("d").alias("far"), F.count("*").alias("got"))
-        whole = ring >= most
-        done = best.where(F.lit(whole) | ((F.col("got") >= k) & (F.col("far") <= ring * side)))
-        done = cut(done.select("id", "score"))
-        out = done if out is None else out.union(done)
-        left = cut(left.join(done.select("id"), "id", "left_anti"))
-        if whole or not left.limit(1).count():
-            return out
-        ring = min(ring * 3, most)
+    data = points.select(F.col("x").alias("px"), F.col("y").alias("py"))
+    left = points.select("id", "x", "y", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    if queries is not None:
+        left = left.drop("x", "y").join(queries.select("id", "x", "y"), "id").select("id", "x", "y", "ox", "oy")
+
+    def mean(pairs: DataFrame) -> DataFrame:
+        d = pairs.select("id", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")).alias("d"), F.hypot(F.col("px") - F.col("ox"), F.col("py") - F.col("oy")).alias("own"))
+        best = d.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "own"))).where(F.col("r") <= k)
+        met = best.groupBy("id").agg(F.avg("own").alias("score"), F.max("d").alias("d"), F.count("*").alias("n"))
+        return met.select("id", "score", F.when(F.col("n") >= k, F.col("d")).otherwise(float("inf")).alias("far"))
+
+    return _by_growing_cells(left, cut(data), mean)
 
 
 def top_outliers(scores: DataFrame, n: int, exact: bool = True) -> DataFrame:
@@ -133,16 +170,33 @@ def top_outliers(scores: DataFrame, n: int, exact: bool = True) -> DataFrame:
     return first.orderBy(F.desc("score"), "id").limit(n).select(F.col("_id").alias("id"), "score")
 
 
-def plausible_deniability(cands: DataFrame, o: DataFrame, most: float, closest: float = 0.05, beta: float = 0.1, kappa: int = 3) -> DataFrame:
-    """(id, nearest, plausible, passes) of candidates (id, v...) against originals, by distance of the arrays v.
+def deniable(distances: DataFrame, most, closest: float, beta: float, kappa: int) -> DataFrame:
+    """(id, nearest, plausible, passes) from (id, d, gap): passes if the smallest d is above closest * most, or if kappa
+    originals have a gap within beta * most of it. most: a number, or None for the largest d of the id."""
+    near = distances.groupBy("id").agg(F.min("d").alias("nearest"), (F.max("d") if most is None else F.lit(float(most))).alias("most"))
+    close = distances.join(F.broadcast(near), "id").groupBy("id", "nearest", "most").agg(F.sum((F.abs(F.col("gap") - F.col("nearest")) <= beta * F.col("most")).cast("int")).alias("plausible"))  # a row a candidate
+    return close.select("id", "nearest", "plausible", ((F.col("nearest") > closest * F.col("most")) | (F.col("plausible") >= kappa)).alias("passes"))
 
-    Passes if nothing is nearer than closest * most, or if kappa originals lie within beta * most of the nearest.
+
+def plausible_deniability(cands: DataFrame, o: DataFrame, most: float | None = None, kind: str = "point", closest: float = 0.05, beta: float = 0.1, kappa: int = 3, signed: bool = False) -> DataFrame:
+    """(id, nearest, plausible, passes) of candidates (id, v), a stated set of checked size, against originals (v).
+
+    kind: point (arrays of coordinates), length (numbers; signed: the nearest by signed difference) or dtw (arrays of
+    points, with the largest distance of a candidate as its measure).
     """
-    gap = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
-    d = o.select(F.col("v").alias("w")).join(F.broadcast(cands), F.lit(True)).select("id", gap.alias("d"))  # the stated candidates
-    near = d.groupBy("id").agg(F.min("d").alias("nearest"))
-    close = d.join(F.broadcast(near), "id").groupBy("id", "nearest").agg(F.sum((F.abs(F.col("d") - F.col("nearest")) <= beta * most).cast("int")).alias("plausible"))
-    return close.withColumn("passes", (F.col("nearest") > closest * most) | (F.col("plausible") >= kappa))
+    if cands.limit(100_001).count() > 100_000:
+        raise ValueError("over 100,000 candidates are too many to send to every task")
+    pairs = o.select(F.col("v").alias("w")).join(F.broadcast(cands.select("id", "v")), F.lit(True))
+    if kind == "dtw":
+        ready(o.sparkSession)
+        d = cut(pairs.select("id", measure("dtw")("v", "w").alias("d"))).withColumn("gap", F.col("d"))  # computed once
+        return deniable(d, None, closest, beta, kappa)
+    if kind == "length":
+        far = F.col("w") - F.col("v")
+        d = pairs.select("id", (far if signed else F.abs(far)).alias("d"), F.abs(far).alias("gap"))
+    else:
+        d = pairs.select("id", F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)).alias("d")).withColumn("gap", F.col("d"))
+    return deniable(d, most, closest, beta, kappa)
 
 
 def rare_cell_candidates(cells: DataFrame, n: int, descending: bool = True) -> DataFrame:
@@ -153,19 +207,47 @@ def rare_cell_candidates(cells: DataFrame, n: int, descending: bool = True) -> D
     return cells.join(F.broadcast(some.select("cell")), "cell", "left_semi").select(*TRIP).distinct().orderBy(*TRIP).limit(n)
 
 
-def outlier_leakage(o: DataFrame, s: DataFrame, n: int = 10, k: int = 5) -> DataFrame:
-    """(stage, tested, failed): start, end and length outliers of the synthetic trips, each stage on what passed before."""
-    ends = lambda df: df.groupBy("traj_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b"), F.count("*").cast("double").alias("n"))
-    oe, se, out = cut(ends(o)), cut(ends(s)), None
-    for stage, v in (("start", "array(a.x, a.y)"), ("end", "array(b.x, b.y)"), ("length", "array(n, 0.0D)")):
-        mine, theirs = se.select(F.col("traj_id").alias("id"), F.expr(v).alias("v")), oe.select(F.expr(v).alias("v"))
-        flat = mine.select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
-        scores = knn_score_1d(flat.select("id", F.col("x").alias("v")), k) if stage == "length" else knn_score_2d(flat, k)
-        tested = mine.join(F.broadcast(top_outliers(scores, n if stage != "length" else n // 2, exact=False).select("id")), "id", "left_semi")
-        box = theirs.select(F.col("v")[0].alias("x"), F.col("v")[1].alias("y")).agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 1.0
-        result = cut(plausible_deniability(tested, theirs, box))
-        row = result.agg(F.lit(stage).alias("stage"), F.count("*").alias("tested"), F.sum((~F.col("passes")).cast("int")).alias("failed"))
-        out = row if out is None else out.union(row)
-        se = se.join(result.where("not passes").select(F.col("id").alias("traj_id")), "traj_id", "left_anti")
-    return out
+def outlier_leakage(o: DataFrame, s: DataFrame, **parameters) -> DataFrame:
+    """(stage, tested, tested_once, failed, failed_once) of the stages of leaking_outliers, and overall."""
+    return leaking_outliers(o, s, **parameters)[0]
+
 
+def leaking_outliers(o: DataFrame, s: DataFrame, n: int = 200, k: int = 50, closest: float = 0.1, beta: float = 0.05, kappa: int = 100, exact: bool = True, sample: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(stage, tested, tested_once, failed, failed_once) for start, end, length and location outliers of the synthetic
+    trips, each stage on what passed before, and overall; and (traj_id) of those that fail. Points: dataset, traj_id, seq,
+    x, y.
+
+    exact: a score stands for its first trip, ends are sought from the starts, lengths compare by signed difference, and
+    rare cells come in descending order of visits. sample: so many originals, by hash, to compare with.
+    """
+    own = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
+    trips = lambda df: df.groupBy(*TRIP).agg(own.alias("p")).join(path_length(df), TRIP).select(*TRIP, "p", F.col("d").alias("length"))
+    theirs, mine, rows, failing = cut(trips(o)), cut(trips(s)), [], []
+    box = o.agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
+    span = theirs.agg(F.max("length") - F.min("length")).first()[0]
+    theirs = theirs if sample is None else theirs.orderBy(F.xxhash64(F.lit(seed), *TRIP), *TRIP).limit(sample)
+    end = lambda df, at: df.select(F.col("traj_id").alias("id"), F.element_at("p", at)["x"].alias("x"), F.element_at("p", at)["y"].alias("y"))
+    for stage in ("start", "end", "length", "location"):
+        if stage == "location":
+            left = s.join(mine.select(*TRIP), TRIP, "left_semi")
+            cells = fill_route(cell_sequence(assign_cell(left, data_bounds(left, 25))), 25)
+            top = rare_cell_candidates(cells, n, exact).select(F.col("traj_id").alias("id"))
+        else:
+            at = {"start": 1, "end": -1, "length": 1}[stage]
+            if stage == "length":
+                scores = knn_score_1d(mine.select(F.col("traj_id").alias("id"), F.col("length").alias("v")), k)
+            else:
+                scores = knn_score_2d(end(mine, at), k, end(mine, 1) if exact and stage == "end" else None)
+            top = top_outliers(cut(scores), n // 2 if stage == "length" else n, exact).select("id")
+        top = cut(top)
+        v = {"start": "array(p[0].x, p[0].y)", "end": "array(element_at(p, -1).x, element_at(p, -1).y)", "length": "length", "location": "p"}[stage]
+        tested = mine.select(F.col("traj_id").alias("id"), F.expr(v).alias("v")).join(top.distinct(), "id", "left_semi")
+        kind = {"length": "length", "location": "dtw"}.get(stage, "point")
+        result = cut(plausible_deniability(tested, theirs.select(F.expr(v).alias("v")), span if kind == "length" else box, kind, closest, beta, kappa, exact))
+        bad = result.where("not passes").select("id", F.lit(1).alias("bad"))
+        rows.append(cut(top.join(bad, "id", "left").agg(F.lit(stage).alias("stage"), F.count("*").alias("tested"), F.count_distinct("id").alias("tested_once"), F.coalesce(F.sum("bad"), F.lit(0)).alias("failed"), F.count_distinct(F.when(F.col("bad") == 1, F.col("id"))).alias("failed_once"))))
+        failing.append(bad.select(F.col("id").alias("traj_id")))
+        mine = cut(mine.join(bad.select(F.col("id").alias("traj_id")), "traj_id", "left_anti"))
+    out = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    out = out.union(out.agg(F.lit("overall").alias("stage"), *[F.sum(c).alias(c) for c in out.columns[1:]]))
+    return out, failing[0].union(failing[1]).union(failing[2]).union(failing[3])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayveil.functions.scalar import point_time
 from wayveil.functions.workers import ready
 
 TRIP = ["dataset", "traj_id"]
@@ -46,6 +47,33 @@ def clean_split(raw: DataFrame, key: list[str], min_distance: float = 1e-4, max_
     return raw.groupBy(*key).applyInPandas(walk, schema)
 
 
+def clean_porto(raw: DataFrame, key: list[str], left: float, right: float, bottom: float, top: float, min_distance: float = 1e-4, max_speed: float = 40.0, step_s: int = 15) -> DataFrame:
+    """Lines sampled at a fixed rate (key, seq, x, y, start): drops noise, leaps and points outside the box; adds ts.
+
+    A point is compared with the last one that was kept. Noise and leaps take their time with them; a point outside the
+    box takes none, so the times of what follows move up.
+    """
+    ready(raw.sparkSession)
+
+    def walk(line: pd.DataFrame) -> pd.DataFrame:
+        line = line.sort_values("seq", kind="stable")
+        x, y = line["x"].to_numpy(), line["y"].to_numpy()
+        keep, at, last, passed = np.zeros(len(line), bool), np.zeros(len(line), np.int64), -1, 0
+        for k in range(len(line)):
+            far = float(np.hypot(x[k] - x[last], y[k] - y[last])) if last >= 0 else None
+            bad = far is not None and (far < min_distance or far * 111_000 / step_s > max_speed)
+            if not bad and left <= x[k] <= right and bottom <= y[k] <= top:
+                keep[k], at[k], last = True, passed, k
+            elif not bad:
+                continue
+            passed += 1
+        return line.assign(at=at)[keep]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema)
+    kept = raw.groupBy(*key).applyInPandas(walk, f"{schema}, at long")
+    return kept.withColumn("ts", point_time(F.col("start"), F.col("at"), step_s)).drop("at")
+
+
 def take_prefix(pts: DataFrame, left: float, right: float, bottom: float, top: float, max_gap_s: int = 6500, min_points: int = 3) -> DataFrame:
     """From the first point inside the box to the first one outside, or to a gap (time of day, modulo a day)."""
     own = _own()

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayveil.functions.workers import ready
+
 TRIP = ["dataset", "traj_id"]
 
 
@@ -31,8 +36,10 @@ class Grid:
 
 
 def data_bounds(pts: DataFrame, n: int, pad: float = 0.0) -> Grid:
-    """The data's box, padded; a span of 0 becomes 1e-6. One row comes to the driver."""
+    """The data's box, padded; a span of 0 becomes 1e-6. Without points it is the unit square. One row comes to the driver."""
     r = pts.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if r["x0"] is None or r["y0"] is None:
+        return Grid(0.0, 1.0, 0.0, 1.0, n)
     x1, y1 = (r["x1"] if r["x1"] > r["x0"] else r["x0"] + 1e-6), (r["y1"] if r["y1"] > r["y0"] else r["y0"] + 1e-6)
     return Grid(r["x0"] - pad, x1 + pad, r["y0"] - pad, y1 + pad, n)
 
@@ -184,6 +191,43 @@ def adaptive_grid_two_level(densities: DataFrame, trips: int, k: int) -> DataFra
     return densities.select("cell", F.when(d > 0.05 * trips / (k * k), F.greatest(F.ceil(F.sqrt(d / 200)), F.lit(1))).otherwise(1).cast("int").alias("m"))
 
 
+def insert_midpoints(pts: DataFrame, g: Grid, step_min: float = 15.0, most_steps: int = 2) -> DataFrame:
+    """dataset, traj_id, seq, x, y, ts with points halfway in place and time between neighbours, again and again, until
+    their cells are adjacent and their time bins at most `most_steps` apart; numbered anew. Moves back in time stay as they
+    are. Bins count from midnight; an exact edge belongs to the bin before. No shuffle but the one that orders trips.
+    """
+    ready(pts.sparkSession)
+    own = W.partitionBy(*TRIP).orderBy("seq")
+    second = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    moves = pts.select(*TRIP, "seq", "x", "y", second.alias("t"), F.lead("x").over(own).alias("x2"), F.lead("y").over(own).alias("y2"), F.lead(second).over(own).alias("t2"))
+
+    def halve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        column = lambda v, low, step: np.clip(np.floor((v - low) / step), 0, g.n - 1)
+        bins = lambda t: np.maximum(np.ceil(np.mod(t, 86_400) / (step_min * 60)) - 1, 0)
+        for batch in batches:
+            kept = batch[["dataset", "traj_id", "seq"]].assign(part=0.0, x=batch["x"], y=batch["y"], t=batch["t"])
+            out, row = [kept], np.flatnonzero(batch["t2"].notna().to_numpy())
+            a = batch[["x", "y", "t"]].to_numpy(float)[row]
+            b = batch[["x2", "y2", "t2"]].to_numpy(float)[row]
+            low, width = np.zeros(len(row)), np.ones(len(row))
+            while len(row):
+                far = (abs(column(a[:, 0], g.x0, g.w) - column(b[:, 0], g.x0, g.w)) > 1) | (abs(column(a[:, 1], g.y0, g.h) - column(b[:, 1], g.y0, g.h)) > 1)
+                far |= abs(bins(a[:, 2]) - bins(b[:, 2])) > most_steps
+                far &= (b[:, 2] > a[:, 2]) | (width < 1)
+                # A move of no length whose time cannot be halved any more is as near as it gets.
+                far &= (abs(a - b)[:, :2].max(axis=1, initial=0) > 1e-12) | (b[:, 2] - a[:, 2] > 1)
+                row, a, b, low, width = row[far], a[far], b[far], low[far], width[far] / 2
+                mid = (a + b) / 2
+                mid[:, 2] = a[:, 2] + np.floor((b[:, 2] - a[:, 2]) / 2)
+                out.append(batch[["dataset", "traj_id", "seq"]].iloc[row].assign(part=low + width, x=mid[:, 0], y=mid[:, 1], t=mid[:, 2]))
+                row, low, width = np.tile(row, 2), np.concatenate([low, low + width]), np.tile(width, 2)
+                a, b = np.concatenate([a, mid]), np.concatenate([mid, b])
+            yield pd.concat(out).astype({"t": "int64"})
+
+    found = moves.mapInPandas(halve, "dataset string, traj_id long, seq long, part double, x double, y double, t long")
+    return found.select(*TRIP, (F.row_number().over(W.partitionBy(*TRIP).orderBy("seq", "part")) - 1).cast("long").alias("seq"), "x", "y", F.timestamp_seconds("t").alias("ts"))
+
+
 def space_time_states(pts: DataFrame) -> DataFrame:
     """(cell, t) without consecutive repeats, numbered, with the trip's length."""
     own = W.partitionBy(*TRIP).orderBy("seq")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import unit_hash
+from wayveil.functions.tables import cut
 from wayveil.operators.grid import TRIP, grid_steps, neighbours
 
 
@@ -46,21 +47,22 @@ def ends(cells: DataFrame) -> DataFrame:
 
 
 def dp_median_length(cells: DataFrame, eps: float | None, seed: int = 0) -> DataFrame:
-    """(src, dst, length): a median length by pair, 2 at least; trips over 1.25 of the longest usual length left out.
+    """(src, dst, length): a median length by pair by N4's mechanism over the pair's sorted lengths, 2 at least.
 
-    eps None: the candidate nearest the middle, ties to the shorter.
+    A length's score is -|rank - n / 2| with ranks from 0; trips of one cell, or above 1.25 of the longest, are left out.
+    eps None: the best score, ties to the shorter.
     """
     trips = ends(cells)
+    longest = trips.agg((1.25 * F.max("length")).alias("most"))
+    trips = trips.crossJoin(F.broadcast(longest)).where((F.col("length") >= 2) & (F.col("length") <= F.col("most")))  # one row
     own = W.partitionBy("src", "dst")
-    ranked = trips.withColumn("rank", F.row_number().over(own.orderBy("length", *TRIP))).withColumn("n", F.count("*").over(own))
-    scored = ranked.withColumn("score", -F.abs(F.col("rank") - F.col("n") / 2))
+    ranked = trips.withColumn("rank", F.row_number().over(own.orderBy("length", *TRIP)) - 1).withColumn("n", F.count("*").over(own))
+    scored = ranked.withColumn("score", -F.abs(F.col("rank") - F.col("n") / 2)).withColumn("pick", F.struct("rank", "length"))
     if eps is None:
-        out = scored.groupBy("src", "dst").agg(F.max_by("length", F.struct("score", -F.col("rank"))).alias("length"))
+        best = scored.groupBy("src", "dst").agg(F.max_by("pick", F.struct("score", -F.col("rank"))).alias("pick"))
     else:
-        picks = scored.withColumn("pick", F.struct("rank", "length"))
-        gumbel = -F.log(-F.log(unit_hash(F.col("src"), F.col("dst"), F.col("rank"), seed=seed)))
-        out = picks.groupBy("src", "dst").agg(F.max_by("length", eps * F.col("score") / 2 + gumbel).alias("length"))
-    return out.withColumn("length", F.greatest("length", F.lit(2)))
+        best = exp_mechanism(scored, ["src", "dst"], "pick", "score", eps, seed)
+    return best.select("src", "dst", F.greatest(F.col("pick.length"), F.lit(2)).alias("length"))
 
 
 def od_counts(cells: DataFrame) -> DataFrame:
@@ -106,42 +108,75 @@ def transitions_start_end(states: DataFrame, eps: float | None = None, seed: int
     return out
 
 
-def sensitive_states(matrix: DataFrame, share: float = 0.02, ratio: float = 5.0) -> DataFrame:
-    """States whose next moves matter: heavy ones, and ones whose two best moves are close."""
-    inner = matrix.where("src >= 0")
-    top = inner.where("dst >= 0").withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))).where("rank <= 2")
-    close = top.groupBy("src").agg(F.max("w").alias("a"), F.min("w").alias("b"), F.count("*").alias("k")).where(F.expr(f"k = 2 and b > 0 and a / b < {ratio}")).select("src", F.lit(True).alias("close"))
-    degree = inner.groupBy("src").agg(F.sum("w").alias("out"), F.sum(F.when(F.col("dst") == -2, F.col("w")).otherwise(0.0)).alias("ends"))
-    starts = matrix.where("src = -1").select(F.col("dst").alias("src"), F.col("w").alias("starts"))
-    all_ = degree.join(starts, "src", "left").join(close, "src", "left").fillna(0.0, ["starts"])
-    every = W.partitionBy(F.lit(0))
-    part = lambda c: F.col(c) / F.nullif(F.sum(c).over(every), F.lit(0.0))
-    flags = all_.select("src", (F.coalesce("close", F.lit(False)) & (part("out") > share / 10)).alias("a"), (part("out") > share).alias("b"), (part("starts") > share).alias("c"), (part("ends") > share).alias("d"))
-    return flags.where("a or b or c or d").select(F.col("src").alias("cell"))
+def sensitive_states(matrix: DataFrame, eps: float, part: float = 0.6, share: float = 0.02, ratio: float = 5.0) -> DataFrame:
+    """States whose next moves matter: ones with enough moves whose two best are close, and ones with over `share` of all
+    outgoing mass (starts included), of the starts or of the ends.
 
-
-def second_order(states: DataFrame, sensitive: DataFrame) -> DataFrame:
-    """(prev, cur, next, w): next moves of sensitive states by where the trip came from; each trip weighs 1 / length."""
+    Enough: more than states * 1.414 / (eps * part). matrix: (src, dst, w) with a start state -1 and an end state -2.
+    """
+    states = matrix.select(F.col("src").alias("cell")).union(matrix.select("dst")).where("cell >= 0").distinct()
+    inner = matrix.where("src >= 0 and dst >= 0")
+    top = inner.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))).where("rank <= 2")
+    close = top.groupBy("src").agg(F.max("w").alias("a"), F.min("w").alias("b"), F.count("*").alias("k")).where(F.expr(f"k = 2 and b > 0 and a / b < {ratio}")).select(F.col("src").alias("cell"), F.lit(True).alias("close"))
+    moves_out = inner.groupBy(F.col("src").alias("cell")).agg(F.sum("w").alias("moves"))
+    out = matrix.groupBy(F.col("src").alias("cell")).agg(F.sum("w").alias("out"))
+    starts = matrix.where("src = -1 and dst >= 0").select(F.col("dst").alias("cell"), F.col("w").alias("starts"))
+    stops = matrix.where("dst = -2 and src >= 0").select(F.col("src").alias("cell"), F.col("w").alias("stops"))
+    whole = matrix.agg(F.sum("w").alias("all_out"), F.sum(F.when((F.col("src") == -1) & (F.col("dst") >= 0), F.col("w"))).alias("all_starts"), F.sum(F.when((F.col("dst") == -2) & (F.col("src") >= 0), F.col("w"))).alias("all_stops"))
+    whole = whole.crossJoin(states.agg(F.count("*").alias("n")))  # one row
+    every = states.join(moves_out, "cell", "left").join(out, "cell", "left").join(starts, "cell", "left").join(stops, "cell", "left").fillna(0.0).join(close, "cell", "left").crossJoin(F.broadcast(whole))
+    enough = F.col("moves") > F.col("n") * 1.414 / (eps * part)
+    large = lambda c: F.coalesce(F.col(c) > share * F.col(f"all_{c}"), F.lit(False))
+    return every.where((enough & F.coalesce("close", F.lit(False))) | large("out") | large("starts") | large("stops")).select("cell")
+
+
+def second_order(states: DataFrame, sensitive: DataFrame, first: DataFrame | None = None, eps: float | None = None, seed: int = 0) -> DataFrame:
+    """(prev, cur, next, w): next moves of sensitive states by where the trip came from; each trip weighs 1 / length.
+
+    prev -1: the trip starts there; next -2: it ends there. With eps: noise on the whole domain, N3 by (cur, prev), whole
+    numbers by truncation. first: (src, dst, w) of the first order; ends are then scaled by 1.5 times the ratio of the
+    first order's end mass to the second order's.
+    """
     own = W.partitionBy(*TRIP).orderBy("seq")
-    base = states.select(F.lag("cell").over(own).alias("prev"), F.col("cell").alias("cur"), F.lead("cell").over(own).alias("next"), (1 / F.count("*").over(W.partitionBy(*TRIP))).alias("w"))
-    triples = base.where("prev is not null and next is not null").join(sensitive.select(F.col("cell").alias("cur")), "cur", "left_semi")
-    return triples.groupBy("prev", "cur", "next").agg(F.sum("w").alias("w"))
+    weight = 1 / F.count("*").over(W.partitionBy(*TRIP))
+    base = states.select(F.coalesce(F.lag("cell").over(own), F.lit(-1)).alias("prev"), F.col("cell").alias("cur"), F.coalesce(F.lead("cell").over(own), F.lit(-2)).alias("next"), weight.alias("w"))
+    out = base.join(sensitive.select(F.col("cell").alias("cur")), "cur", "left_semi").groupBy("prev", "cur", "next").agg(F.sum("w").alias("w"))
+    if eps is not None:
+        known = states.select("cell").distinct()
+        side = lambda name, more: known.select(F.col("cell").alias(name)).union(states.sparkSession.range(1).select(F.lit(more).cast("int")))
+        domain = sensitive.select(F.col("cell").alias("cur")).crossJoin(side("prev", -1)).crossJoin(side("next", -2))  # the model's own size
+        out = domain.join(out, ["prev", "cur", "next"], "left").fillna(0.0, ["w"])
+        out = out.withColumn("w", F.col("w") + laplace([F.col("cur"), F.col("prev"), F.col("next")], eps, seed=seed))
+        out = queue_minus(out, ["cur", "prev"], tie="next").withColumn("w", F.floor("w").cast("double")).where("w > 0").select("prev", "cur", "next", "w")
+    if first is not None:
+        ends_of = first.where("dst = -2").select(F.col("src").alias("cur"), F.col("w").alias("_one"))
+        two = F.sum(F.when(F.col("next") == -2, F.col("w")).otherwise(0.0)).over(W.partitionBy("cur"))
+        scale = F.when((F.col("next") == -2) & (F.col("_two") > 0), 1.5 * F.coalesce("_one", F.lit(0.0)) / F.col("_two")).otherwise(1.0)
+        out = out.withColumn("_two", two).join(ends_of, "cur", "left").select("prev", "cur", "next", (F.col("w") * scale).alias("w"))
+        out = out.withColumn("w", F.floor("w").cast("double")) if eps is not None else out
+    return out
 
 
-def two_step_mask(transitions_: DataFrame) -> DataFrame:
-    """(src, dst) of observed moves, grown twice by the neighbours of either side."""
-    near = transitions_.select("src", "dst").distinct()
-    mask = near
+def two_step_mask(transitions_: DataFrame, near: DataFrame) -> DataFrame:
+    """(src, dst) of observed moves, grown twice by the spatial neighbours of either side. near: (cell, other)."""
+    mask = transitions_.select("src", "dst").distinct()
     for _ in range(2):
-        right = mask.join(near.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        left = mask.join(near.select(F.col("dst").alias("src"), F.col("src").alias("far")), "src").select(F.col("far").alias("src"), "dst")
-        mask = mask.union(right).union(left).distinct()
+        left = mask.join(near.select(F.col("cell").alias("src"), F.col("other").alias("_o")), "src").select(F.col("_o").alias("src"), "dst")
+        right = mask.join(near.select(F.col("cell").alias("dst"), F.col("other").alias("_o")), "dst").select("src", F.col("_o").alias("dst"))
+        mask = cut(mask.union(left).union(right).distinct())
     return mask
 
 
-def length_thresholds(cells: DataFrame) -> DataFrame:
-    """(src, length): mean length of the trips that start in a state."""
-    return ends(cells).groupBy("src").agg(F.avg("length").alias("length"))
+def length_thresholds(od: DataFrame, coarse: DataFrame, top_cells: int) -> DataFrame:
+    """(src, length): expected coarse length of the trips from a state, -1 without trips.
+
+    The coarse length of a pair is |rows| + |columns| + 1 between its top cells plus the square root of their number.
+    od: (src, dst, w). coarse: (cell, row, col), a state's top cell.
+    """
+    side = lambda name, k: coarse.select(F.col("cell").alias(name), F.col("row").alias(f"r{k}"), F.col("col").alias(f"c{k}"))
+    far = F.abs(F.col("r1") - F.col("r2")) + F.abs(F.col("c1") - F.col("c2")) + 1 + top_cells**0.5
+    some = od.where("w > 0").join(side("src", 1), "src").join(side("dst", 2), "dst").groupBy("src").agg((F.sum(far * F.col("w")) / F.sum("w")).alias("length"))
+    return coarse.select(F.col("cell").alias("src")).join(some, "src", "left").fillna(-1.0, ["length"])
 
 
 def extra_lengths(cells: DataFrame, n: int) -> DataFrame:
@@ -181,13 +216,19 @@ def start_counts(states: DataFrame, domain: DataFrame, eps: float | None = None,
 
 
 def scale_counts(counts: DataFrame, total: int) -> DataFrame:
-    """Adds whole: floor(T p) for the largest T whose floors sum to `total` at most."""
-    shares = counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))).persist()
+    """Adds whole: floor(T p) for the largest T whose floors sum to `total` at most.
+
+    T lies between total and total + rows; each job tries 64 values between the bounds and keeps the gap that holds it.
+    """
+    shares = cut(counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))))
     low, high = total, total + shares.count() + 1
     while high - low > 1:
-        mid = (low + high) // 2
-        got = shares.agg(F.sum(F.floor(mid * F.col("p")))).first()[0] or 0
-        low, high = (mid, high) if got <= total else (low, mid)
+        step = max(1, (high - low + 63) // 64)
+        tries = list(range(low + step, high, step))
+        got = shares.agg(*[F.coalesce(F.sum(F.floor(t * F.col("p"))), F.lit(0)).alias(f"t{k}") for k, t in enumerate(tries)]).first() if tries else []
+        fit = [t for t, n in zip(tries, got) if n <= total]
+        low = max([low, *fit])
+        high = min([high, *[t for t in tries if t not in fit]])
     return shares.withColumn("whole", F.floor(low * F.col("p"))).drop("p")
 
 

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayveil.functions.scalar import coord_key, haversine_m
-from wayveil.functions.workers import ready
+from wayveil.functions.scalar import coord_key, dist_to_segment, haversine_m
+from wayveil.functions.tables import cut, ranked
 from wayveil.operators.grid import TRIP
 
 
@@ -51,22 +47,41 @@ def interp_end_times(geom: DataFrame) -> DataFrame:
     return geom.withColumn("t", F.when((F.col("t1") <= F.col("t0")) | (n == 1), F.col("t0").cast("double")).otherwise(F.bround(F.col("t0") + part)))
 
 
-def build_registry(geom: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_registry(geom: DataFrame, existing: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes (node_id, lon, lat) by rounded coordinates and directed edges (edge_id, start_node, end_node, length).
 
-    Ids are ranks of the keys in order of their first place; the ranking sees one row a key.
+    New ids follow the order of the keys' first places. existing: (nodes, edges) that keep their ids; new ones come after.
     """
     keyed = geom.withColumn("key", coord_key(F.col("x"), F.col("y")))
     first = keyed.groupBy("key").agg(F.min(F.struct("traj_id", "seq")).alias("at"), F.min_by("x", F.struct("traj_id", "seq")).alias("lon"), F.min_by("y", F.struct("traj_id", "seq")).alias("lat"))
-    nodes = first.select("key", (F.row_number().over(W.orderBy("at")) - 1).alias("node_id"), "lon", "lat")
+    nodes, next_node, next_edge = None, 0, 0
+    if existing is not None:
+        nodes = existing[0].select(coord_key(F.col("lon"), F.col("lat")).alias("key"), "node_id", "lon", "lat")
+        first = first.join(nodes.select("key"), "key", "left_anti")
+        next_node, next_edge = ((df.agg(F.max(c)).first()[0] if df is not None else None) for df, c in ((existing[0], "node_id"), (existing[1], "edge_id")))
+        next_node, next_edge = (0 if x is None else x + 1 for x in (next_node, next_edge))
+    fresh = ranked(first.select("key", F.col("at.traj_id").alias("_t"), F.col("at.seq").alias("_s"), "lon", "lat").withColumn("_k", F.xxhash64("key")), ["_t", "_s", "_k"], "node_id")
+    fresh = fresh.select("key", (F.col("node_id") + next_node).alias("node_id"), "lon", "lat")
+    nodes = cut(fresh if nodes is None else nodes.union(fresh))
     own = W.partitionBy(*TRIP).orderBy("seq")
     steps = keyed.select("traj_id", "seq", "key", F.lead("key").over(own).alias("key2")).where("key2 is not null and key != key2")
     pairs = steps.groupBy("key", "key2").agg(F.min(F.struct("traj_id", "seq")).alias("at"))
     a, b = nodes.select("key", F.col("node_id").alias("start_node"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1")), nodes.select(F.col("key").alias("key2"), F.col("node_id").alias("end_node"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    edges = pairs.join(a, "key").join(b, "key2").select((F.row_number().over(W.orderBy("at")) - 1).alias("edge_id"), "start_node", "end_node", haversine_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")).alias("length"))
+    found = pairs.join(a, "key").join(b, "key2").select(F.col("at.traj_id").alias("_t"), F.col("at.seq").alias("_s"), "start_node", "end_node", haversine_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")).alias("length"))
+    if existing is not None:
+        found = found.join(existing[1].select("start_node", "end_node"), ["start_node", "end_node"], "left_anti")
+    edges = ranked(found, ["_t", "_s", "start_node", "end_node"], "edge_id").select((F.col("edge_id") + next_edge).alias("edge_id"), "start_node", "end_node", "length")
+    if existing is not None:
+        edges = existing[1].select("edge_id", "start_node", "end_node", "length").union(edges)
     return nodes.drop("key"), edges
 
 
+def geometry_to_segments(geom: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Points of matched geometry to edge ids through the registry's coordinate keys."""
+    keys = nodes.select(coord_key(F.col("lon"), F.col("lat")).alias("key"), "node_id")
+    return legs_to_segments(geom.withColumn("key", coord_key(F.col("x"), F.col("y"))).join(keys, "key").select(*TRIP, "seq", "node_id"), edges)
+
+
 def legs_to_segments(node_pts: DataFrame, edges: DataFrame) -> DataFrame:
     """Consecutive nodes (node_id by seq) to edge ids: no moves of zero length, no repeated ids in a row."""
     own = W.partitionBy(*TRIP).orderBy("seq")
@@ -80,11 +95,17 @@ def combine_segments(o: DataFrame, s: DataFrame) -> DataFrame:
     return o.withColumn("dataset", F.lit("original")).unionByName(s.withColumn("dataset", F.lit("synthetic")))
 
 
-def attach_network(segs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """dataset, traj_id, seq, node_id, x, y: the first start node, then all end nodes."""
-    start = segs.where("`order` = 0").select(*TRIP, F.lit(0).alias("seq"), F.col("start_node").alias("node_id"))
-    rest = segs.select(*TRIP, (F.col("order") + 1).alias("seq"), F.col("end_node").alias("node_id"))
-    return start.union(rest).join(nodes.select("node_id", F.col("lon").alias("x"), F.col("lat").alias("y")), "node_id", "left").select(*TRIP, "seq", "node_id", "x", "y")
+def attach_network(pts: DataFrame, segs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """dataset, traj_id, seq, node_id, x, y, ts: the first start node, then all end nodes, each at the time of the point at
+    the same place, or of the last one; trips without segments keep their points (node_id null)."""
+    start = segs.where("`order` = 0").select(*TRIP, F.lit(0).cast("long").alias("seq"), F.col("start_node").alias("node_id"))
+    rest = segs.select(*TRIP, (F.col("order") + 1).cast("long").alias("seq"), F.col("end_node").alias("node_id"))
+    last = pts.groupBy(*TRIP).agg(F.max("seq").alias("_last"))
+    placed = start.union(rest).join(last, TRIP, "left").withColumn("_at", F.least("seq", "_last"))
+    timed = placed.join(pts.select(*TRIP, F.col("seq").alias("_at"), "ts"), [*TRIP, "_at"], "left")
+    on = timed.join(nodes.select("node_id", F.col("lon").alias("x"), F.col("lat").alias("y")), "node_id", "left").select(*TRIP, "seq", "node_id", "x", "y", "ts")
+    alone = pts.join(segs.select(*TRIP).distinct(), TRIP, "left_anti").select(*TRIP, F.col("seq").cast("long").alias("seq"), F.lit(None).cast("long").alias("node_id"), "x", "y", "ts")
+    return on.union(alone)
 
 
 def downsample(pts: DataFrame, most: int = 50) -> DataFrame:
@@ -94,51 +115,67 @@ def downsample(pts: DataFrame, most: int = 50) -> DataFrame:
     return trips.select(*TRIP, F.posexplode(F.transform(at, lambda i: F.element_at("p", i + 1))).alias("seq", "q")).select(*TRIP, "seq", "q.x", "q.y")
 
 
-def nearest_node(pts: DataFrame, nodes: DataFrame, size: float) -> DataFrame:
-    """Adds node_id, the nearest node; met in buckets of `size` degrees, and in full where the 3 x 3 buckets do not settle it."""
-    at = lambda v: F.floor(F.col(v) / size)
-    ring = F.sequence(F.lit(-1), F.lit(1))
-    n = nodes.select("node_id", "lon", "lat", at("lon").alias("u"), at("lat").alias("v"))
-    places = pts.select("x", "y").distinct()
-    near = places.withColumn("_a", F.explode(ring)).withColumn("_b", F.explode(ring)).select("x", "y", (at("x") + F.col("_a")).alias("u"), (at("y") + F.col("_b")).alias("v")).join(n, ["u", "v"])
+def nearest_road(pts: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, size: float = 0.01) -> DataFrame:
+    """Adds node_id, the nearest node, and with edges edge_id, the nearest edge (ties: the smaller id).
+
+    Places meet nodes in 3 x 3 buckets of `size` degrees that double for those not settled. An edge stands in every bucket
+    that its box touches.
+    """
+    places = cut(pts.select("x", "y").distinct())
     d = F.hypot(F.col("x") - F.col("lon"), F.col("y") - F.col("lat"))
-    best = near.groupBy("x", "y").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("m")).where(F.col("m.d") <= size)
-    left = places.join(best, ["x", "y"], "left_anti")
-    rest = left.join(n, F.lit(True)).groupBy("x", "y").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("m"))
-    return pts.join(best.union(rest).select("x", "y", F.col("m.node_id").alias("node_id")), ["x", "y"])
+    near = _nearest_in_buckets(places, nodes.select(F.col("node_id").alias("id"), "lon", "lat", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), d, size)
+    out = pts.join(near.withColumnRenamed("id", "node_id"), ["x", "y"])
+    if edges is not None:
+        at = lambda k, x, y: nodes.select(F.col("node_id").alias(k), F.col("lon").alias(x), F.col("lat").alias(y))
+        lines = edges.join(at("start_node", "lon", "lat"), "start_node").join(at("end_node", "lon2", "lat2"), "end_node").select(F.col("edge_id").alias("id"), "lon", "lat", "lon2", "lat2")
+        d = dist_to_segment(F.col("x"), F.col("y"), F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
+        out = out.join(_nearest_in_buckets(places, lines, d, size).withColumnRenamed("id", "edge_id"), ["x", "y"])
+    return out
+
+
+def drop_repeated(pts: DataFrame, key: str) -> DataFrame:
+    """Points whose key (node_id or edge_id) is not that of the point before."""
+    same = F.col(key).eqNullSafe(F.lag(key).over(W.partitionBy(*TRIP).orderBy("seq"))) & (F.row_number().over(W.partitionBy(*TRIP).orderBy("seq")) > 1)
+    return pts.withColumn("_same", same).where("not _same").drop("_same")
+
+
+def _nearest_in_buckets(places: DataFrame, lines: DataFrame, d, size: float) -> DataFrame:
+    """(x, y, id): the nearest of the lines (id, lon, lat, lon2, lat2) to each place."""
+    b = lines.agg(F.min(F.least("lon", "lon2")).alias("x0"), F.max(F.greatest("lon", "lon2")).alias("x1"), F.min(F.least("lat", "lat2")).alias("y0"), F.max(F.greatest("lat", "lat2")).alias("y1")).first()
+    q = places.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if b["x0"] is None or q["x0"] is None:
+        return places.select("x", "y", F.lit(None).cast("long").alias("id")).limit(0)
+    whole = max(max(b["x1"], q["x1"]) - min(b["x0"], q["x0"]), max(b["y1"], q["y1"]) - min(b["y0"], q["y0"]))
+    ring, out, left = F.sequence(F.lit(-1), F.lit(1)), None, places
+    while True:
+        at = lambda c: F.floor(c / size)  # noqa: B023, E731
+        span = lambda a, c: F.explode(F.sequence(at(F.least(a, c)), at(F.greatest(a, c))))
+        held = lines.withColumn("u", span("lon", "lon2")).withColumn("v", span("lat", "lat2"))
+        asks = left.withColumn("_a", F.explode(ring)).withColumn("_b", F.explode(ring)).select("x", "y", (at(F.col("x")) + F.col("_a")).alias("u"), (at(F.col("y")) + F.col("_b")).alias("v"))
+        best = asks.join(held, ["u", "v"]).groupBy("x", "y").agg(F.min(F.struct(d.alias("d"), "id")).alias("m"))
+        last = size > whole
+        done = cut((best if last else best.where(F.col("m.d") <= size)).select("x", "y", F.col("m.id").alias("id")))
+        out = done if out is None else out.union(done)
+        left = cut(left.join(done.select("x", "y"), ["x", "y"], "left_anti"))
+        if last or not left.limit(1).count():
+            return out
+        size *= 2
 
 
 def network_distance(pairs: DataFrame, edges: DataFrame, cutoff: float = 10_000.0) -> DataFrame:
     """(a, b, d) for pairs of nodes: shortest undirected paths from distinct sources; the cutoff beyond it or without a path.
 
-    The graph is sent to the tasks, so it must be of a checked size; a last edge wins over an earlier one of two nodes.
+    Distances from the sources are relaxed along the edges, from the nodes that came nearer in the round before only, and
+    not beyond the cutoff, until none comes nearer. A last edge wins over an earlier one of two nodes.
     """
-    ready(pairs.sparkSession)
-    if edges.limit(5_000_001).count() > 5_000_000:
-        raise ValueError("a graph of over five million edges is too large to send to every task")
-    once = edges.groupBy(F.least("start_node", "end_node").alias("u"), F.greatest("start_node", "end_node").alias("v")).agg(F.max_by("length", "edge_id").alias("length"))
-    links: dict[int, list] = {}
-    for r in once.collect():  # of checked size
-        links.setdefault(r["u"], []).append((r["v"], r["length"]))
-        links.setdefault(r["v"], []).append((r["u"], r["length"]))
-    sent = pairs.sparkSession.sparkContext.broadcast(links)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for a, ends in zip(batch["a"], batch["ends"]):
-                done, heap, want = {}, [(0.0, a)], set(ends)
-                while heap and want:
-                    d, u = heapq.heappop(heap)
-                    if u in done or d > cutoff:
-                        continue
-                    done[u] = d
-                    want.discard(u)
-                    for v, w in sent.value.get(u, ()):
-                        if v not in done:
-                            heapq.heappush(heap, (d + w, v))
-                out += [(a, b, 0.0 if a == b else min(done.get(b, cutoff), cutoff)) for b in ends]
-            yield pd.DataFrame(out, columns=["a", "b", "d"])
-
-    return pairs.groupBy("a").agg(F.collect_set("b").alias("ends")).mapInPandas(walk, "a long, b long, d double")
-
+    once = edges.groupBy(F.least("start_node", "end_node").alias("u"), F.greatest("start_node", "end_node").alias("v")).agg(F.max_by("length", "edge_id").alias("length")).where("u != v")
+    links = cut(once.select("u", "v", "length").union(once.select("v", "u", "length")))
+    best = cut(pairs.select(F.col("a").alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("d")))
+    front = best
+    while front.limit(1).count():
+        reached = front.join(links, front["node"] == links["u"]).select("source", F.col("v").alias("node"), (F.col("d") + F.col("length")).alias("d")).where(F.col("d") <= cutoff).groupBy("source", "node").agg(F.min("d").alias("d"))
+        known = best.select("source", "node", F.col("d").alias("_was"))
+        front = cut(reached.join(known, ["source", "node"], "left").where("_was is null or d < _was").select("source", "node", "d"))
+        best = cut(best.join(front.select("source", "node"), ["source", "node"], "left_anti").union(front))
+    found = pairs.select("a", "b").distinct().join(best.select(F.col("source").alias("a"), F.col("node").alias("b"), "d"), ["a", "b"], "left")
+    return found.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("d", F.lit(cutoff))).alias("d"))

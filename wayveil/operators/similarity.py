@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import haversine_m, unit_hash
+from wayveil.functions.tables import ranked
 from wayveil.functions.workers import ready
 from wayveil.operators.grid import TRIP
 
@@ -19,7 +20,7 @@ def trajs(pts: DataFrame) -> DataFrame:
 def sample_pairs(left: DataFrame, right: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """(i, j): `most` random pairs of ids without building the cross: ranks are drawn, then looked up by two joins."""
     spark = left.sparkSession
-    rank = lambda df, name: df.select(F.col("traj_id").alias(name), (F.row_number().over(W.orderBy("traj_id")) - 1).alias(f"r_{name}"))  # noqa: E731  ids only
+    rank = lambda df, name: ranked(df, ["traj_id"], f"r_{name}").withColumnRenamed("traj_id", name)
     a, b = left.select("traj_id").distinct(), right.select("traj_id").distinct()
     m, n = a.count(), b.count()
     if m * n <= 4 * most:  # few pairs in all: drawing with repeats would miss some

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import unit_hash
 from wayveil.functions.tables import cut
 from wayveil.functions.workers import ready
+from wayveil.operators.attack import bayesian_attack, leaking_outliers, partial_sniffing
 from wayveil.operators.grid import Grid, neighbours
 
 #: The most entries of a model that is sent to the walkers.
@@ -26,53 +28,119 @@ def _rows(df: DataFrame) -> list:
     return rows
 
 
-def synth_grid_markov(od: DataFrame, extra: DataFrame, matrix: DataFrame, n: int, trips: int, seed: int = 0) -> DataFrame:
-    """dataset, traj_id, seq, cell: start and end by od (src, dst, p); length = shortest + extra (src, dst, mean);
-    middle cells in proportion to the move's weight times the weight of reaching the end in the steps left."""
+def _uniform(seed: int, ids: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in (0, 1) by seed, walker and step (the splitmix64 finaliser)."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 0xD1342543DE82EF95 + step * 0x2545F4914F6CDD1D) % (1 << 64))
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54
+
+
+def _draw(w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """One column a row in proportion to the row's weights, which have a sum."""
+    cum = np.cumsum(w, axis=1)
+    return np.minimum((cum < (u * cum[:, -1])[:, None]).sum(axis=1), w.shape[1] - 1)
+
+
+def _reach(p: np.ndarray, end: int, most: int) -> np.ndarray:
+    """Row k: for every cell the weight of being at `end` after k moves."""
+    out = np.zeros((most + 1, len(p)))
+    out[0, end] = 1
+    for k in range(most):
+        out[k + 1] = p @ out[k]
+    return out
+
+
+def _trips(ids: np.ndarray, cells: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+    at = np.arange(cells.shape[1])
+    some = at < size[:, None]
+    return pd.DataFrame({"dataset": "synthetic", "traj_id": np.repeat(ids, size), "seq": np.broadcast_to(at, cells.shape)[some].astype("int64"), "cell": cells[some].astype("int32")})
+
+
+_EMPTY = pd.DataFrame({"dataset": pd.Series(dtype=str), "traj_id": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64"), "cell": pd.Series(dtype="int32")})
+_TRIPS = "dataset string, traj_id long, seq long, cell int"
+
+
+def _extra(family: str, mean: float, cap: int) -> np.ndarray:
+    """Running shares of 0, 1, ... extra cells; what is above the cap counts as the cap."""
+    k = np.arange(cap + 1)
+    if family == "uniform":
+        share = (k <= round(2 * mean)) / (round(2 * mean) + 1)
+    elif family == "geometric":
+        share = (mean / (mean + 1)) ** k / (mean + 1)
+    else:
+        share = np.exp(np.cumsum(np.concatenate([[-mean], np.log(mean) - np.log(k[1:])]))) if mean > 0 else (k == 0) * 1.0
+    out = np.cumsum(share)
+    out[-1] = 1.0
+    return out
+
+
+def synth_grid_markov(od: DataFrame, extra: DataFrame, matrix: DataFrame, n: int, trips: int, seed: int = 0, first_id: int = 0, powers: int = 100) -> DataFrame:
+    """dataset, traj_id, seq, cell: start and end by od (src, dst, p); length = shortest route + a draw from the pair's
+    family of extra lengths (src, dst, mean, family, cap), never above its cap; each middle cell among the neighbours, in
+    proportion to the move's weight times the weight of reaching the end in the steps left. Where no neighbour has any
+    weight, the walker takes one step straight to the end and goes on. More than `powers` steps left count as so many.
+
+    The walkers of a batch with one end advance together. The model (n * n cells) is sent to the tasks, of checked size.
+    """
     spark = od.sparkSession
     ready(spark)
     pairs = sorted((r["src"], r["dst"], r["p"]) for r in _rows(od))
-    mean = {(r["src"], r["dst"]): r["mean"] for r in _rows(extra)}
+    lengths = {(r["src"], r["dst"]): (r["family"], r["mean"], r["cap"]) for r in _rows(extra)}
     p = np.zeros((n * n, n * n))
     for r in _rows(matrix):
         p[r["src"], r["dst"]] = r["w"]
-    cum = np.cumsum([x for _, _, x in pairs])
-    near = {}
-    for r in neighbours(spark, n, with_self=False).collect():
-        near.setdefault(r["cell"], []).append(r["other"])
-    sent = spark.sparkContext.broadcast((pairs, mean, p, cum, near))
+    near = np.full((n * n, 8), -1)
+    held: dict[int, list] = {}
+    for r in sorted(neighbours(spark, n, with_self=False).collect()):
+        held.setdefault(r["cell"], []).append(r["other"])
+    for cell, others in held.items():
+        near[cell, : len(others)] = others
+    sent = spark.sparkContext.broadcast((np.array([x[:2] for x in pairs]).reshape(-1, 2), np.cumsum([x[2] for x in pairs]), lengths, p, near))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, mean, p, cum, near = sent.value
-        powers = [np.eye(len(p))]
+        pairs, cum, lengths, p, near = sent.value
         for batch in batches:
-            out = []
-            for k in batch["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                a, b, _ = pairs[min(int(np.searchsorted(cum, rng.random() * cum[-1], side="right")), len(pairs) - 1)]
-                size = max(abs(a // n - b // n), abs(a % n - b % n), 1) + 1 + int(rng.poisson(mean.get((a, b), 0.0)))
-                cells = [a]
-                for left in range(size - 2, 0, -1):
-                    while len(powers) <= left:
-                        powers.append(powers[-1] @ p)
-                    options = near[cells[-1]]
-                    w = p[cells[-1], options] * powers[left][options, b]
-                    if w.sum() <= 0:
-                        break
-                    cells.append(options[int(rng.choice(len(options), p=w / w.sum()))])
-                while max(abs(cells[-1] // n - b // n), abs(cells[-1] % n - b % n)) > 1:  # straight on
-                    i, j = cells[-1] // n, cells[-1] % n
-                    cells.append((i + int(np.sign(b // n - i))) * n + j + int(np.sign(b % n - j)))
-                out.append(pd.DataFrame({"dataset": "synthetic", "traj_id": int(k), "seq": range(len(cells) + 1), "cell": [*cells, b]}))
-            yield pd.concat(out) if out else pd.DataFrame({"dataset": [], "traj_id": [], "seq": [], "cell": []})
-
-    return spark.range(trips).mapInPandas(walk, "dataset string, traj_id long, seq long, cell int")
-
-
-def synth_median_length(od: DataFrame, lengths: DataFrame, matrix: DataFrame, n: int, trips: int, seed: int = 0) -> DataFrame:
+            ids = batch["id"].to_numpy()
+            if not len(ids) or not len(cum):
+                yield _EMPTY
+                continue
+            pick = np.minimum(np.searchsorted(cum, _uniform(seed, ids, 0) * cum[-1]), len(cum) - 1)
+            a, b = pairs[pick].T
+            size = np.maximum(np.maximum(abs(a // n - b // n), abs(a % n - b % n)), 1) + 1
+            more = _uniform(seed, ids, 1)
+            for k in np.unique(pick):
+                own = pick == k
+                if (found := lengths.get(tuple(pairs[k].tolist()))) is not None:
+                    size[own] += np.searchsorted(_extra(*found), more[own])
+            for end in np.unique(b):
+                own = np.flatnonzero(b == end)
+                yield _trips(ids[own], _walks(a[own], int(end), size[own], ids[own], p, near), size[own])
+
+    def _walks(start, end, size, ids, p, near):
+        reach = _reach(p, end, min(powers, int(size.max())))
+        cells = np.full((len(start), size.max()), -1)
+        cells[:, 0] = start
+        for i in range(1, int(size.max()) - 1):
+            on = np.flatnonzero(i < size - 1)
+            now, left = cells[on, i - 1], np.minimum(size[on] - i - 1, powers)
+            options = near[now]
+            w = p[now[:, None], options] * reach[left[:, None], options] * (options >= 0)
+            lost = w.sum(axis=1) < 1e-5
+            w[lost, 0] = 1
+            to = options[np.arange(len(on)), _draw(w, _uniform(seed, ids[on], i + 1))]
+            straight = (now // n + np.sign(end // n - now // n)) * n + now % n + np.sign(end % n - now % n)
+            cells[on, i] = np.where(lost, straight, to)
+        cells[np.arange(len(start)), size - 1] = end
+        return cells
+
+    return spark.range(first_id, first_id + trips).mapInPandas(walk, _TRIPS)
+
+
+def synth_median_length(od: DataFrame, lengths: DataFrame, matrix: DataFrame, n: int, trips: int, seed: int = 0, powers: int = 200) -> DataFrame:
     """As synth_grid_markov, with exponential lengths about a pair's median and middle cells anywhere; dead ends are skipped.
 
-    While more than 200 steps are left, the 200th power of the matrix stands for the higher ones.
+    While more than `powers` steps are left, that power of the matrix stands for the higher ones.
     """
     spark = od.sparkSession
     ready(spark)
@@ -81,30 +149,39 @@ def synth_median_length(od: DataFrame, lengths: DataFrame, matrix: DataFrame, n:
     p = np.zeros((n * n, n * n))
     for r in _rows(matrix):
         p[r["src"], r["dst"]] = r["w"]
-    cum = np.cumsum([x for _, _, x in pairs])
-    sent = spark.sparkContext.broadcast((pairs, median, p, cum))
+    half = np.array([median.get(x[:2], 2) for x in pairs], float)
+    sent = spark.sparkContext.broadcast((np.array([x[:2] for x in pairs]).reshape(-1, 2), np.cumsum([x[2] for x in pairs]), half, p))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, median, p, cum = sent.value
-        powers = [np.eye(len(p))]
+        pairs, cum, half, p = sent.value
         for batch in batches:
-            out = [pd.DataFrame({"dataset": pd.Series(dtype=str), "traj_id": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int32"), "cell": pd.Series(dtype="int32")})]
-            for k in batch["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                a, b, _ = pairs[min(int(np.searchsorted(cum, rng.random() * cum[-1], side="right")), len(pairs) - 1)]
-                size = max(2, round(rng.exponential(median.get((a, b), 2) / np.log(2))))
-                cells = [a]
-                for left in range(size - 2, 0, -1):
-                    while len(powers) <= min(left, 200):
-                        powers.append(powers[-1] @ p)
-                    w = p[cells[-1]] * powers[min(left, 200)][:, b]
-                    if w.sum() <= 0:
-                        continue
-                    cells.append(int(rng.choice(len(w), p=w / w.sum())))
-                out.append(pd.DataFrame({"dataset": "synthetic", "traj_id": int(k), "seq": range(len(cells) + 1), "cell": [*cells, b]}))
-            yield pd.concat(out)
-
-    return spark.range(trips).mapInPandas(walk, "dataset string, traj_id long, seq long, cell int")
+            ids = batch["id"].to_numpy()
+            if not len(ids) or not len(cum):
+                yield _EMPTY
+                continue
+            pick = np.minimum(np.searchsorted(cum, _uniform(seed, ids, 0) * cum[-1]), len(cum) - 1)
+            a, b = pairs[pick].T
+            size = np.maximum(2, np.rint(-np.log(_uniform(seed, ids, 1)) * half[pick] / np.log(2)).astype(int))
+            for end in np.unique(b):
+                own = np.flatnonzero(b == end)
+                yield _trips(ids[own], *_walks(a[own], int(end), size[own], ids[own], p))
+
+    def _walks(start, end, size, ids, p):
+        reach = _reach(p, end, min(powers, int(size.max())))
+        cells, used = np.full((len(start), size.max()), -1), np.ones(len(start), int)
+        cells[:, 0] = start
+        for i in range(1, int(size.max()) - 1):
+            on = np.flatnonzero(i < size - 1)
+            w = p[cells[on, used[on] - 1]] * reach[np.minimum(size[on] - i - 1, powers)]
+            go = w.sum(axis=1) > 0
+            on, w = on[go], w[go]
+            if len(on):
+                cells[on, used[on]] = _draw(w, _uniform(seed, ids[on], i + 1))
+                used[on] += 1
+        cells[np.arange(len(start)), used] = end
+        return cells, used + 1
+
+    return spark.range(trips).mapInPandas(walk, _TRIPS)
 
 
 def synth_count_split(starts: DataFrame, moves: DataFrame, max_len: int = 125) -> DataFrame:
@@ -145,24 +222,76 @@ def synth_count_split(starts: DataFrame, moves: DataFrame, max_len: int = 125) -
     return starts.mapInPandas(walk, "cells array<int>, copies long")
 
 
-def realise_points(cells: DataFrame, g: Grid, seed: int = 0) -> DataFrame:
-    """Adds x, y: uniform inside each point's cell, from a hash of the point."""
+def realise_points(cells: DataFrame, g: Grid, seed: int = 0, how: str = "uniform", subs: DataFrame | None = None, start: str = "00:00:00", step_min: float = 15.0, date: str = "2009-01-01") -> DataFrame:
+    """Adds x, y to cells by a hash of the point. how:
+
+    uniform: anywhere in the cell. adaptive: in a sub-cell of it, by subs (cell, si, sj, m, share); a cell without shares
+    is one. subcell: cell is a state of subs (cell, x0, x1, y0, y1), and a trip of one state gets a second point. centre:
+    the middle of the cell, and ts, the middle of the time bin t.
+    """
     u = lambda k: unit_hash(F.col("traj_id"), F.col("seq"), F.lit(k), seed=seed)
     i, j = F.floor(F.col("cell") / g.n), F.col("cell") % g.n
-    return cells.withColumn("x", g.x0 + (i + u(0)) * g.w).withColumn("y", g.y0 + (j + u(1)) * g.h)
+    if how == "uniform":
+        return cells.withColumn("x", g.x0 + (i + u(0)) * g.w).withColumn("y", g.y0 + (j + u(1)) * g.h)
+    if how == "centre":
+        second = (F.unix_timestamp(F.lit(f"{date} {start}").cast("timestamp")) + F.lit(step_min * 60) * (F.col("t") + 0.5)).cast("long")
+        return cells.withColumn("x", g.x0 + (i + 0.5) * g.w).withColumn("y", g.y0 + (j + 0.5) * g.h).withColumn("ts", F.timestamp_seconds(second))
+    if how == "adaptive":
+        own = F.array_sort(F.collect_list(F.struct("si", "sj", "m", "share")))
+        shares = subs.groupBy("cell").agg(own.alias("_subs"))  # a row a cell
+        running = F.aggregate("_subs", F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("struct<si:int,sj:int,m:int,share:double>").alias("at")), lambda t, s: F.struct((t["sum"] + s["share"]).alias("sum"), F.when(t["at"].isNull() & (s["share"] > 0) & (t["sum"] + s["share"] >= F.col("_u")), s).otherwise(t["at"]).alias("at")), lambda t: t["at"])
+        placed = cells.join(F.broadcast(shares), "cell", "left").withColumn("_u", u(2) * (1 - 1e-12)).withColumn("_at", running)
+        m, si, sj = F.coalesce(F.col("_at.m"), F.lit(1)), F.coalesce(F.col("_at.si"), F.lit(0)), F.coalesce(F.col("_at.sj"), F.lit(0))
+        out = placed.withColumn("x", g.x0 + (i + (si + u(0)) / m) * g.w).withColumn("y", g.y0 + (j + (sj + u(1)) / m) * g.h)
+        return out.select(*cells.columns, "x", "y")
+    counted = cells.withColumn("_n", F.count("*").over(W.partitionBy("dataset", "traj_id")))
+    twice = counted.withColumn("seq", F.explode(F.when(F.col("_n") == 1, F.array(F.col("seq"), F.col("seq") + 1)).otherwise(F.array("seq"))))
+    boxed = twice.join(subs.select("cell", "x0", "x1", "y0", "y1"), "cell")
+    return boxed.select(*cells.columns, (F.col("x0") + u(0) * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + u(1) * (F.col("y1") - F.col("y0"))).alias("y"))
+
 
+def _fresh_ids(synthetic: DataFrame) -> int:
+    return (synthetic.agg(F.max("traj_id")).first()[0] or 0) + 1
 
-def defend(synthetic: DataFrame, failing, regenerate, rounds: int = 5):
-    """Drops the failing trips and draws as many anew, until none fails or the rounds are over.
 
-    failing: synthetic -> (traj_id). regenerate: (count, round) -> trips with fresh ids.
+def defend_bayesian(o_cells: DataFrame, synthetic: DataFrame, zone: int, theta: float, generate, rounds: int = 100) -> DataFrame:
+    """The synthetic cells, with all trips through the zone drawn anew until they give nothing away (K3).
+
+    generate: (count, round, first id) -> cells of new trips, as synth_grid_markov gives them. An error after the rounds.
     """
+    synthetic = cut(synthetic)
+    for k in range(rounds):
+        if bayesian_attack(o_cells, synthetic, zone, theta).select("passes").first()[0]:
+            return synthetic
+        bad = cut(synthetic.where(F.col("cell") == zone).select("traj_id").distinct())
+        synthetic = cut(synthetic.join(bad, "traj_id", "left_anti").unionByName(generate(bad.count(), k, _fresh_ids(synthetic))))
+    raise ValueError(f"the trips through the zone still differ by more than {theta} after {rounds} rounds")
+
+
+def _refilled(kept: DataFrame, missing: int, generate, avoid: list[int], rounds: int) -> DataFrame:
+    """kept (points with cell) and `missing` new trips that avoid some cells, drawn in rounds until there are enough."""
+    first = _fresh_ids(kept)
     for k in range(rounds):
-        bad = failing(synthetic).select("traj_id").distinct()
-        n = bad.count()
-        if not n:
-            break
-        synthetic = synthetic.join(bad, "traj_id", "left_anti").unionByName(regenerate(n, k))
-        synthetic = cut(synthetic)
-    return synthetic
+        if not missing:
+            return kept
+        new = cut(generate(missing, k, first))
+        good = new.join(new.where(F.col("cell").isin(avoid)).select("traj_id").distinct(), "traj_id", "left_anti")
+        missing -= good.select("traj_id").distinct().count()
+        first, kept = first + new.select("traj_id").distinct().count() + 1, cut(kept.unionByName(good.select(*kept.columns)))
+    if missing:
+        raise ValueError(f"{missing} new trips still meet the avoided cells after {rounds} rounds")
+    return kept
+
+
+def defend_sniffing(o_pts: DataFrame, synthetic: DataFrame, sniff: int, sensitive: int, generate, threshold: int = 5, tol: float = 1.0, rounds: int = 100) -> DataFrame:
+    """The synthetic points (with cell), with the trips that K4 finds leaking replaced by trips that avoid both zones."""
+    synthetic = cut(synthetic)
+    leaking = cut(partial_sniffing(o_pts, synthetic, sniff, sensitive, threshold, tol).where("fails").select(F.col("j").alias("traj_id")).distinct())
+    return _refilled(cut(synthetic.join(leaking, "traj_id", "left_anti")), leaking.count(), generate, [sniff, sensitive], rounds)
+
 
+def defend_outliers(o_pts: DataFrame, synthetic: DataFrame, generate, **parameters) -> DataFrame:
+    """The synthetic points (with cell), with the outliers that K11 finds linkable replaced by new trips."""
+    synthetic = cut(synthetic)
+    linkable = cut(leaking_outliers(o_pts, synthetic, **parameters)[1].distinct())
+    return _refilled(cut(synthetic.join(linkable, "traj_id", "left_anti")), linkable.count(), generate, [], 1)

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import dist_to_segment, unit_hash
+from wayveil.functions.tables import cut
 from wayveil.functions.workers import ready
-from wayveil.operators.grid import TRIP, passes_through
+from wayveil.operators.grid import TRIP, assign_cell, cell_sequence, data_bounds, passes_through
 from wayveil.operators.model import od_counts
 
 TINY = 2.0**-52
@@ -47,12 +48,12 @@ def touching_points(pts: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def query_error(o: DataFrame, s: DataFrame, queries: DataFrame, sanity: float = 0.01, points: bool = False) -> DataFrame:
-    """One row: mean |s - o| / max(o, N * sanity) over the queries."""
+    """One row: mean |s - o| / max(o, N * sanity) over the queries; a query whose denominator is 0 is left out."""
     count = touching_points if points else touching
     n = o.select(*TRIP).distinct().agg(F.count("*").alias("trips"))
     both = count(o, queries).select("query_id", F.col("n").alias("o")).join(count(s, queries).select("query_id", F.col("n").alias("s")), "query_id").crossJoin(F.broadcast(n))  # one row
     floor = F.floor(F.col("trips") * sanity) if points else F.col("trips") * sanity
-    return both.agg(F.avg(F.abs(F.col("s") - F.col("o")) / F.greatest(F.col("o"), floor)).alias("error"))
+    return both.agg(F.avg(F.try_divide(F.abs(F.col("s") - F.col("o")), F.greatest(F.col("o"), floor))).alias("error"))
 
 
 def random_queries(spark: SparkSession, x0: float, x1: float, y0: float, y1: float, n: int, seed: int = 0, low: float = 2.5, high: float = 3.0) -> DataFrame:
@@ -96,11 +97,51 @@ def path_length(pts: DataFrame) -> DataFrame:
     return pts.select(*TRIP).distinct().join(segments(pts).groupBy(*TRIP).agg(F.sum(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))).alias("d")), TRIP, "left").fillna(0.0, ["d"])
 
 
-def bucket_error(o: DataFrame, s: DataFrame, buckets: int) -> DataFrame:
-    """One row: divergence of b buckets of width (max - min) / b of the original, from 0 on; what is above the last goes."""
-    span = F.broadcast(o.agg(((F.max("d") - F.min("d")) / buckets).alias("width")))  # one row
-    share = lambda df: df.crossJoin(span).select(F.floor(F.col("d") / F.col("width")).alias("bucket")).where(F.col("bucket") < buckets).groupBy("bucket").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))))
-    return jsd(share(o), share(s), ["bucket"])
+def bucket_error(o: DataFrame, s: DataFrame, buckets: int, own_width: bool = False) -> DataFrame:
+    """One row: divergence of `buckets` buckets of the column d, shares being of all trips of a side.
+
+    The width is (max - min) / buckets of the original and buckets start at 0; what is above the last one goes. own_width:
+    each side has its own width from its own minimum, and its maximum belongs to the last bucket.
+    """
+    def share(df: DataFrame, span: DataFrame) -> DataFrame:
+        width = F.nullif(F.col("width"), F.lit(0.0))
+        k = F.floor(F.coalesce((F.col("d") - F.col("low")) / width, F.lit(0.0)))
+        k = F.least(k, F.lit(buckets - 1)) if own_width else k
+        n = df.crossJoin(F.broadcast(span)).select(k.alias("bucket"), "trips").where(F.col("bucket") < buckets)  # one row
+        return n.groupBy("bucket").agg((F.count("*") / F.first("trips")).alias("p"))
+
+    def span(df: DataFrame, trips: DataFrame) -> DataFrame:
+        low = F.min("d") if own_width else F.lit(0.0)
+        return df.agg(((F.max("d") - F.min("d")) / buckets).alias("width"), low.alias("low")).crossJoin(trips.agg(F.count("*").alias("trips")))
+
+    return jsd(share(o, span(o, o)), share(s, span(s if own_width else o, s)), ["bucket"])
+
+
+def diameter_error(o: DataFrame, s: DataFrame, buckets: int, own_width: bool = False) -> DataFrame:
+    """One row: divergence of the trips' diameters."""
+    return bucket_error(diameter(o), diameter(s), buckets, own_width)
+
+
+def length_error(o: DataFrame, s: DataFrame, buckets: int, own_width: bool = False) -> DataFrame:
+    """One row: divergence of the trips' path lengths."""
+    return bucket_error(path_length(o), path_length(s), buckets, own_width)
+
+
+def utility_report(o: DataFrame, s: DataFrame, queries: DataFrame, n: int = 6, fine: int = 15, buckets: int = 20, low: int = 2, high: int = 8, top: int = 100) -> DataFrame:
+    """(measure, value): how far one synthetic set is from the original, on grids over the original's box."""
+    at = lambda df, side: cell_sequence(assign_cell(df, data_bounds(o, side)))
+    oc, sc = cut(at(o, n)), cut(at(s, n))
+    op, sp = cut(mine_patterns(oc, low, high)), mine_patterns(sc, low, high)
+    best = top_patterns(op, top)
+    parts = {
+        "query": query_error(o, s, queries), "coverage": coverage_ranking(at(o, fine), at(s, fine), fine), "pattern_f1": pattern_f1(best, top_patterns(sp, top)),
+        "pattern_support": pattern_support_error(best, sp), "trip": trip_error(oc, sc), "diameter": diameter_error(o, s, buckets), "length": length_error(o, s, buckets),
+    }
+    out = None
+    for name, df in parts.items():
+        row = df.select(F.lit(name).alias("measure"), F.col(df.columns[0]).cast("double").alias("value"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 def mine_patterns(cells: DataFrame, low: int, high: int) -> DataFrame:

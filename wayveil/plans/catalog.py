@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayveil.functions import scalar
-from wayveil.functions.measures import measure
-from wayveil.functions.tables import shared_folder
-from wayveil.operators import attack, clean, grid, model, network, similarity, synth, utility
+from wayveil.functions.measures import lors, measure
+from wayveil.functions.tables import cut, shared_folder
+from wayveil.operators import adaptive, attack, clean, grid, model, network, similarity, synth, utility
+from wayveil.operators.adaptive import synth_adaptive
 from wayveil.plans import adapters as a
 from wayveil.sources import trajectories as io
 
@@ -104,12 +105,42 @@ def _(spark, d):
     return a.gps(spark, d).groupBy(scalar.coord_key(F.col("x"), F.col("y"), 3).alias("k")).agg(F.count("*").alias("n")).select("k.kx", "k.ky", "n")
 
 
+@query("p12_point_time", f"WITH {a.SHORT} SELECT traj_id, seq, TIMESTAMP '2013-07-01' + to_seconds(15 * seq) AS ts FROM trips")
+def _(spark, d):
+    return a.short_trips(spark, d).select("traj_id", "seq", scalar.point_time(F.lit(1_372_636_800), F.col("seq")).cast("timestamp_ntz").alias("ts"))
+
+
+@query("p13_swap_and_strip", f"WITH {a.GPS} SELECT dataset, traj_id, seq, round(y, 6) AS x, round(x, 6) AS y FROM gps")
+def _(spark, d):
+    return scalar.strip_time(scalar.swap_lonlat(a.gps(spark, d))).select("dataset", "traj_id", "seq", r6("x"), r6("y"))
+
+
 # Cleaning and selecting.
-@query("c1_clean_split")
+_STEP = "sqrt(pow(n.x - r.x, 2) + pow(n.y - r.y, 2))"
+
+
+@query("c1_clean_split", f"WITH RECURSIVE {a.GPS}, g AS MATERIALIZED (SELECT dataset, traj_id, x, y, epoch(ts) AS t, seq, row_number() OVER (PARTITION BY dataset, traj_id ORDER BY ts, seq) AS k FROM gps), r AS (SELECT dataset, traj_id, k, seq, x, y, t, 0 AS part, true AS kept FROM g WHERE k = 1 UNION ALL SELECT n.dataset, n.traj_id, n.k, n.seq, CASE WHEN ok THEN n.x ELSE r.x END, CASE WHEN ok THEN n.y ELSE r.y END, CASE WHEN ok THEN n.t ELSE r.t END, CASE WHEN ok AND (n.t - r.t > 43200 OR {_STEP} > 0.9::DOUBLE) THEN r.part + 1 ELSE r.part END, ok FROM (SELECT r.*, n.k AS nk, n.seq AS nseq, n.x AS nx, n.y AS ny, n.t AS nt, NOT ({_STEP} < 0.0001::DOUBLE OR (n.t - r.t > 0 AND {_STEP} * 111000 / (n.t - r.t) > 40)) AS ok FROM r JOIN g n ON n.dataset = r.dataset AND n.traj_id = r.traj_id AND n.k = r.k + 1) r, LATERAL (SELECT r.dataset, r.traj_id, r.nk AS k, r.nseq AS seq, r.nx AS x, r.ny AS y, r.nt AS t) n) SELECT traj_id, seq, part FROM r WHERE kept")
 def _(spark, d):
     return clean.clean_split(a.gps(spark, d), ["dataset", "traj_id"], max_time=43_200, max_distance=0.9).select("traj_id", "seq", "part")
 
 
+@query("c2_clean_split_first")
+def _(spark, d):
+    return clean.clean_split(a.gps(spark, d), ["dataset", "traj_id"], max_time=43_200, max_distance=None, split_first=True, bad_if_no_time=True).select("traj_id", "seq", "part")
+
+
+@query("c3_clean_porto")
+def _(spark, d):
+    lines = a.gps(spark, d).drop("ts").withColumn("start", F.lit(1_372_636_800).cast("long"))
+    return clean.clean_porto(lines, ["dataset", "traj_id"], -8.7, -8.0, 40.95, 41.4, max_speed=4000.0).select("traj_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("c10_cut_space_time", f"WITH {a.LOCATED}, i AS (SELECT *, x BETWEEN 50 AND 560 AND y BETWEEN 2 AND 97 AS ok FROM located), f AS (SELECT * FROM (SELECT *, min(CASE WHEN ok THEN seq END) OVER (PARTITION BY dataset, traj_id) AS f FROM i) WHERE seq >= f), n AS (SELECT *, CASE WHEN cell IS NOT DISTINCT FROM lag(cell) OVER (PARTITION BY dataset, traj_id ORDER BY seq) THEN 0 ELSE 1 END AS nw FROM f), r AS (SELECT *, sum(nw) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS run FROM n), w AS (SELECT *, epoch(ts) - min(epoch(ts)) OVER (PARTITION BY dataset, traj_id, run) AS stay FROM r), b AS (SELECT *, min(CASE WHEN NOT ok OR stay > 60000 THEN seq END) OVER (PARTITION BY dataset, traj_id) AS st FROM w) SELECT traj_id, seq FROM b WHERE st IS NULL OR seq < st")
+def _(spark, d):
+    inside = scalar.within_bounds(F.col("x"), F.col("y"), 50.0, 560.0, 2.0, 97.0)
+    return clean.cut_space_time(a.located(spark, d), inside, 60_000).select("traj_id", "seq")
+
+
 @query("c5_keep_meaningful", f"WITH {a.SHORT}, s AS (SELECT dataset, traj_id, count(*) AS n, sqrt(pow(arg_max(x, seq) - arg_min(x, seq), 2) + pow(arg_max(y, seq) - arg_min(y, seq), 2)) AS d FROM trips GROUP BY ALL) SELECT traj_id, seq, round(x, 6) AS x, y FROM trips SEMI JOIN (SELECT * FROM s WHERE n >= 3 AND d > 20) USING (dataset, traj_id)")
 def _(spark, d):
     return clean.keep_meaningful(a.short_trips(spark, d), 3, 20.0).select("traj_id", "seq", r6("x"), "y")
@@ -167,7 +198,13 @@ def _(spark, d):
 # Grids.
 @query("g1_bounds", f"WITH {a.POINTS} SELECT round(min(x), 6) AS x0, round(max(x), 6) AS x1, min(y) AS y0, max(y) AS y1 FROM pts")
 def _(spark, d):
-    return a.points(spark, d).agg(r6(F.min("x"), "x0"), r6(F.max("x"), "x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    g = grid.data_bounds(a.points(spark, d), 6)
+    return spark.createDataFrame([(g.x0, g.x1, g.y0, g.y1)], "x0 double, x1 double, y0 double, y1 double").select(r6("x0"), r6("x1"), "y0", "y1")
+
+
+@query("g2_uniform_grid", f"WITH {a.POINTS}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts), c AS (SELECT CAST(i.range * 8 + j.range AS INTEGER) AS cell, CAST(i.range AS INTEGER) AS i, CAST(j.range AS INTEGER) AS j FROM range(8) i, range(8) j) SELECT cell, i, j, round(x0 + i * (x1 - x0) / 8, 6) AS x0, round(x0 + (i + 1) * (x1 - x0) / 8, 6) AS x1, round(y0 + j * (y1 - y0) / 8, 6) AS y0, round(y0 + (j + 1) * (y1 - y0) / 8, 6) AS y1 FROM c, b")
+def _(spark, d):
+    return grid.uniform_grid(spark, grid.data_bounds(a.points(spark, d), 8)).select("cell", "i", "j", r6("x0"), r6("x1"), r6("y0"), r6("y1"))
 
 
 @query("g3_assign_cell", f"WITH {a.LOCATED} SELECT traj_id, seq, cell FROM located")
@@ -175,9 +212,21 @@ def _(spark, d):
     return a.located(spark, d).select("traj_id", "seq", "cell")
 
 
-@query("g3_assign_closed_first", f"WITH {a.POINTS} SELECT traj_id, seq, CAST(CASE WHEN x BETWEEN 0 AND 500 AND y BETWEEN 0 AND 90 THEN greatest(ceil(x / 50) - 1, 0) * 10 + greatest(ceil(y / 9) - 1, 0) ELSE 0 END AS INTEGER) AS cell FROM pts WHERE NOT (x > 500 AND x - 0.001 <= 500)")
+def _lower(v: str, low: float, step: float, n: int) -> str:
+    return f"least(greatest(ceil(({v} - {low}) / {step}) - 1, 0), {n - 1})"
+
+
+@query("g3_assign_closed_first", f"WITH {a.POINTS} SELECT traj_id, seq, CAST(CASE WHEN x BETWEEN 0 AND 500 AND y BETWEEN 0 AND 90 THEN {_lower('x', 0, 50, 10)} * 10 + {_lower('y', 0, 9, 10)} WHEN x - 0.001::DOUBLE BETWEEN 0 AND 500 AND y - 0.001::DOUBLE BETWEEN 0 AND 90 THEN {_lower('(x - 0.001::DOUBLE)', 0, 50, 10)} * 10 + {_lower('(y - 0.001::DOUBLE)', 0, 9, 10)} ELSE 0 END AS INTEGER) AS cell FROM pts")
 def _(spark, d):
-    return grid.assign_cell(a.points(spark, d).where("not (x > 500 and x - 0.001 <= 500)"), grid.Grid(0.0, 500.0, 0.0, 90.0, 10), "closed_first").select("traj_id", "seq", "cell")
+    return grid.assign_cell(a.points(spark, d), grid.Grid(0.0, 500.0, 0.0, 90.0, 10), "closed_first").select("traj_id", "seq", "cell")
+
+
+@query("g3_assign_other_modes", f"WITH {a.POINTS} SELECT traj_id, seq, CAST(least(floor((x - 100) / 40), 9) * 10 + least(floor((y - 9) / 8), 9) AS INTEGER) AS topclamp, CAST({_lower('x', 100, 40, 10)} * 10 + {_lower('y', 9, 8, 10)} AS INTEGER) AS lower, CAST(CASE WHEN x < 100 - 1e-4 OR x > 500 + 1e-4 OR y < 9 - 1e-4 OR y > 89 + 1e-4 THEN -1 ELSE {_lower('x', 100, 40, 10)} * 10 + {_lower('y', 9, 8, 10)} END AS INTEGER) AS bins FROM pts")
+def _(spark, d):
+    g, p = grid.Grid(100.0, 500.0, 9.0, 89.0, 10), a.points(spark, d)
+    for mode, name in (("floor_topclamp", "topclamp"), ("snap_lower", "lower"), ("bins_left", "bins")):
+        p = grid.assign_cell(p, g, mode).withColumnRenamed("cell", name)
+    return p.select("traj_id", "seq", "topclamp", "lower", "bins")
 
 
 @query("g4_cell_sequence", f"WITH {a.CELLS} SELECT dataset, traj_id, seq, cell FROM cells")
@@ -236,6 +285,59 @@ def _(spark, d):
     return grid.space_time_range(a.points(spark, d))
 
 
+# Adaptive grids.
+_TOPGRID = grid.Grid(0.0, 600.0, 0.0, 100.0, 4)
+#: States of a 4 x 4 top grid, split by trips: m from the density of raw points.
+_STATES = f"WITH {a.POINTS}, tc AS (SELECT *, CAST({_lower('x', 0, 150, 4)} * 4 + {_lower('y', 0, 25, 4)} AS INTEGER) AS cell FROM pts), wn AS (SELECT *, count(*) OVER (PARTITION BY dataset, traj_id) AS n FROM tc), dn AS (SELECT CAST(e.range AS INTEGER) AS cell, coalesce(d, 0) AS d FROM range(16) e LEFT JOIN (SELECT cell, round(sum(1.0::DOUBLE / n), 9) AS d FROM wn GROUP BY ALL) q ON q.cell = e.range), sp AS (SELECT cell, CAST(greatest(round_even(sqrt(d * 0.8::DOUBLE), 0), 1) AS INTEGER) AS m FROM dn), sub AS (SELECT cell, m, cell // 4 AS r, cell % 4 AS c, i.range AS si, j.range AS sj FROM sp, range(64) i, range(64) j WHERE i.range < m AND j.range < m), states AS (SELECT CAST(row_number() OVER (ORDER BY cell, si, sj) - 1 AS INTEGER) AS state, *, 150.0::DOUBLE * (r + si * 1.0::DOUBLE / m) AS x0, 150.0::DOUBLE * (r + (si + 1) * 1.0::DOUBLE / m) AS x1, 25.0::DOUBLE * (c + sj * 1.0::DOUBLE / m) AS y0, 25.0::DOUBLE * (c + (sj + 1) * 1.0::DOUBLE / m) AS y1 FROM sub)"
+
+
+def _states(spark, d):
+    return adaptive.sqrt_states(a.points(spark, d), _TOPGRID, 0.8)
+
+
+@query("g13_adaptive_states", f"{_STATES} SELECT state, cell, m, CAST(si AS INTEGER) AS si, CAST(sj AS INTEGER) AS sj, round(x0, 6) AS x0, round(x1, 6) AS x1, round(y0, 6) AS y0, round(y1, 6) AS y1 FROM states")
+def _(spark, d):
+    return _states(spark, d).select("state", "cell", "m", "si", "sj", r6("x0"), r6("x1"), r6("y0"), r6("y1"))
+
+
+@query("g13_assign_closed", f"{_STATES} SELECT traj_id, seq, state FROM pts JOIN states ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+def _(spark, d):
+    return adaptive.assign_states(a.points(spark, d), _TOPGRID, _states(spark, d), closed=True).select("traj_id", "seq", "state")
+
+
+@query("g14_two_level", f"WITH {a.POINTS}, tc AS (SELECT *, CAST({_lower('x', 0, 150, 4)} * 4 + {_lower('y', 0, 25, 4)} AS INTEGER) AS cell FROM pts), wn AS (SELECT *, count(*) OVER (PARTITION BY dataset, traj_id) AS n FROM tc), dn AS (SELECT cell, sum(1.0::DOUBLE / n) AS d FROM wn GROUP BY ALL), t AS (SELECT count(*) AS trips FROM (SELECT DISTINCT dataset, traj_id FROM pts)) SELECT CAST(e.range AS INTEGER) AS cell, CAST(CASE WHEN d > 0.05::DOUBLE * trips / 16 THEN greatest(ceil(sqrt(d / 200)), 1) ELSE 1 END AS INTEGER) AS m FROM range(16) e LEFT JOIN dn ON dn.cell = e.range, t")
+def _(spark, d):
+    return adaptive.two_level_states(a.points(spark, d), _TOPGRID).select("cell", "m").distinct()
+
+
+@query("g14_assign_states", f"{_STATES} SELECT traj_id, seq, state FROM pts JOIN states ON (x > x0 OR (x0 = 0 AND x >= x0)) AND x <= x1 AND (y > y0 OR (y0 = 0 AND y >= y0)) AND y <= y1")
+def _(spark, d):
+    return adaptive.assign_states(a.points(spark, d), _TOPGRID, _states(spark, d)).select("traj_id", "seq", "state")
+
+
+_BESIDE = "near AS (SELECT DISTINCT p.state, q.state AS other FROM states p JOIN states q ON p.state <> q.state WHERE (p.cell = q.cell AND abs(p.si - q.si) + abs(p.sj - q.sj) = 1) OR (p.r + 1 = q.r AND p.c = q.c AND p.si = p.m - 1 AND q.si = 0) OR (p.r - 1 = q.r AND p.c = q.c AND p.si = 0 AND q.si = q.m - 1) OR (p.r = q.r AND p.c + 1 = q.c AND p.sj = p.m - 1 AND q.sj = 0) OR (p.r = q.r AND p.c - 1 = q.c AND p.sj = 0 AND q.sj = q.m - 1))"
+
+
+@query("g15_subcell_neighbours", f"{_STATES}, {_BESIDE} SELECT state, other FROM near")
+def _(spark, d):
+    return adaptive.subcell_neighbours(_states(spark, d))
+
+
+@query("g16_insert_midpoints")
+def _(spark, d):
+    return grid.insert_midpoints(a.points(spark, d), a.GRID).select("traj_id", "seq", r6("x"), r6("y"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("g19_ranked_bounds", f"WITH {a.POINTS}, t AS (SELECT dataset, traj_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY ALL), b1 AS (SELECT min(x0) AS a0, max(x1) AS a1, min(y0) AS a2, max(y1) AS a3 FROM t), t1 AS (SELECT t.*, x0 = a0 OR x1 = a1 OR y0 = a2 OR y1 = a3 AS hit FROM t, b1), b2 AS (SELECT min(x0) AS a0, max(x1) AS a1, min(y0) AS a2, max(y1) AS a3 FROM t1 WHERE NOT hit) SELECT traj_id, 1 AS rank FROM t1 WHERE hit UNION ALL SELECT traj_id, 2 FROM t1, b2 WHERE NOT hit AND (x0 = a0 OR x1 = a1 OR y0 = a2 OR y1 = a3)")
+def _(spark, d):
+    return grid.ranked_bounds(a.points(spark, d), 2)[1].select("traj_id", "rank")
+
+
+@query("g21_subcells_in_box", f"{_STATES} SELECT state FROM states WHERE x0 <= 320 AND x1 >= 140 AND y0 <= 60 AND y1 >= 20")
+def _(spark, d):
+    return grid.subcells_in_box(_states(spark, d), 140.0, 320.0, 20.0, 60.0).select("state")
+
+
 # Models.
 @query("a1_od_counts", f"WITH {a.ENDS} SELECT src, dst, count(*) AS n, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) AS p FROM ends GROUP BY src, dst")
 def _(spark, d):
@@ -260,40 +362,52 @@ def _(spark, d):
     return model.transitions_start_end(a.cells(spark, d)).select("src", "dst", r6("w"))
 
 
-@query("a5_a6_second_order", f"WITH {a.CELLS}, b AS (SELECT lag(cell) OVER w AS prev, cell AS cur, lead(cell) OVER w AS next, 1.0::DOUBLE / count(*) OVER (PARTITION BY dataset, traj_id) AS w FROM cells WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)), v AS (SELECT cell FROM cells GROUP BY ALL ORDER BY count(*) DESC, cell LIMIT 5) SELECT prev, cur, next, round(sum(w), 6) AS w FROM b WHERE prev IS NOT NULL AND next IS NOT NULL AND cur IN (SELECT cell FROM v) GROUP BY ALL")
+_SE = f"{a.CELLS}, se_b AS (SELECT *, 1.0::DOUBLE / (count(*) OVER (PARTITION BY dataset, traj_id) + 1) AS w, lead(cell) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS nx FROM cells), se_u AS (SELECT cell AS src, coalesce(nx, -2) AS dst, w FROM se_b UNION ALL SELECT -1, cell, w FROM se_b WHERE seq = 0), se AS (SELECT src, dst, sum(w) AS w FROM se_u GROUP BY ALL)"
+_SENSITIVE = f"{_SE}, st AS (SELECT DISTINCT cell FROM cells), rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM se WHERE src >= 0 AND dst >= 0), cl AS (SELECT src AS cell FROM rk WHERE r <= 2 GROUP BY src HAVING count(*) = 2 AND min(w) > 0 AND max(w) / min(w) < 5), mv AS (SELECT src AS cell, sum(w) AS w FROM se WHERE src >= 0 AND dst >= 0 GROUP BY src), ou AS (SELECT src AS cell, sum(w) AS w FROM se GROUP BY src), sensitive AS (SELECT st.cell FROM st LEFT JOIN cl USING (cell) LEFT JOIN mv USING (cell) LEFT JOIN ou USING (cell) LEFT JOIN (SELECT dst AS cell, w FROM se WHERE src = -1) s USING (cell) LEFT JOIN (SELECT src AS cell, w FROM se WHERE dst = -2) e USING (cell), (SELECT count(*) AS n FROM st) n WHERE (cl.cell IS NOT NULL AND coalesce(mv.w, 0) > n.n * 1.414::DOUBLE / (5.0::DOUBLE * 0.6::DOUBLE)) OR coalesce(ou.w, 0) > 0.02::DOUBLE * (SELECT sum(w) FROM se) OR coalesce(s.w, 0) > 0.02::DOUBLE * (SELECT sum(w) FROM se WHERE src = -1 AND dst >= 0) OR coalesce(e.w, 0) > 0.02::DOUBLE * (SELECT sum(w) FROM se WHERE dst = -2 AND src >= 0))"
+
+
+@query("a5_sensitive_states", f"WITH {_SENSITIVE} SELECT cell FROM sensitive")
 def _(spark, d):
-    c = a.cells(spark, d)
-    heavy = c.groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(5).select("cell")
-    return model.second_order(c, heavy).select("prev", "cur", "next", r6("w"))
+    return model.sensitive_states(model.transitions_start_end(a.cells(spark, d)), 5.0)
 
 
-@query("a5_a6_second_order_sensitive")
+@query("a5_a6_second_order_sensitive", f"WITH {_SENSITIVE}, t AS (SELECT coalesce(lag(cell) OVER w, -1) AS prev, cell AS cur, coalesce(lead(cell) OVER w, -2) AS next, 1.0::DOUBLE / count(*) OVER (PARTITION BY dataset, traj_id) AS w FROM cells WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)), o AS (SELECT prev, cur, next, sum(w) AS w FROM t SEMI JOIN sensitive ON t.cur = sensitive.cell GROUP BY ALL), x AS (SELECT *, sum(CASE WHEN next = -2 THEN w ELSE 0 END) OVER (PARTITION BY cur) AS two FROM o) SELECT prev, cur, next, round(x.w * CASE WHEN next = -2 AND two > 0 THEN 1.5::DOUBLE * coalesce(se.w, 0) / two ELSE 1 END, 6) AS w FROM x LEFT JOIN (SELECT * FROM se WHERE dst = -2) se ON se.src = x.cur")
 def _(spark, d):
     c = a.cells(spark, d)
-    return model.second_order(c, model.sensitive_states(model.transitions_start_end(c))).select("prev", "cur", "next", r6("w"))
+    first = model.transitions_start_end(c)
+    return model.second_order(c, model.sensitive_states(first, 5.0), first).select("prev", "cur", "next", r6("w"))
 
 
-@query("a5_sensitive_states")
+@query("a6_noisy_second_order")
 def _(spark, d):
-    return model.sensitive_states(model.transitions_start_end(a.cells(spark, d)))
+    c = a.cells(spark, d)
+    first = model.transitions_start_end(c, 2.0)
+    return model.second_order(c, model.sensitive_states(first, 5.0), first, 1.0)
 
 
-@query("a9_two_step_mask", f"WITH {a.MOVES}, n AS (SELECT DISTINCT src, dst FROM moves WHERE traj_id % 31 = 0), m1 AS (SELECT * FROM n UNION SELECT n.src, m.dst FROM n JOIN n m ON n.dst = m.src UNION SELECT m.src, n.dst FROM n JOIN n m ON m.dst = n.src) SELECT * FROM m1 UNION SELECT m1.src, m.dst FROM m1 JOIN n m ON m1.dst = m.src UNION SELECT m.src, m1.dst FROM m1 JOIN n m ON m.dst = m1.src")
-def _(spark, d):
-    return model.two_step_mask(model.transitions(a.cells(spark, d).where("traj_id % 31 = 0")))
+def _fine(spark, d):
+    return grid.cell_sequence(grid.assign_cell(a.points(spark, d), grid.Grid(0.0, 600.0, 0.0, 100.0, 40)))
 
 
-_REACH = f"WITH {a.MOVES}, n AS (SELECT DISTINCT src, dst FROM moves), m1 AS (SELECT * FROM n UNION SELECT n.src, m.dst FROM n JOIN n m ON n.dst = m.src UNION SELECT m.src, n.dst FROM n JOIN n m ON m.dst = n.src) SELECT * FROM m1 UNION SELECT m1.src, m.dst FROM m1 JOIN n m ON m1.dst = m.src UNION SELECT m.src, m1.dst FROM m1 JOIN n m ON m.dst = m1.src"
+def _edge_neighbours(spark, n: int):
+    """Cells that share an edge, from the states of a grid without splits."""
+    g = grid.Grid(0.0, 600.0, 0.0, 100.0, n)
+    states = adaptive.states_of(g, grid.uniform_grid(spark, g).select("cell", F.lit(1).alias("m")))
+    return adaptive.subcell_neighbours(states).select(F.col("state").alias("cell"), "other")
 
 
-@query("a9_two_step_mask_all", _REACH)
+_GROWN = f"WITH {a.POINTS}, lo AS (SELECT *, CAST(least(greatest(floor(x / 15), 0), 39) * 40 + least(greatest(floor(y / 2.5::DOUBLE), 0), 39) AS INTEGER) AS cell FROM pts), kp AS (SELECT *, lag(cell) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS b FROM lo), cl AS (SELECT dataset, traj_id, seq, cell FROM kp WHERE b IS NULL OR b <> cell), m0 AS (SELECT DISTINCT cell AS src, nx AS dst FROM (SELECT cell, lead(cell) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS nx FROM cl) WHERE nx IS NOT NULL), ids AS (SELECT CAST(range AS INTEGER) AS c FROM range(1600)), nb AS (SELECT p.c AS cell, q.c AS other FROM ids p JOIN ids q ON q.c IN (p.c - 40, p.c + 40, CASE WHEN p.c % 40 > 0 THEN p.c - 1 END, CASE WHEN p.c % 40 < 39 THEN p.c + 1 END)), m1 AS (SELECT * FROM m0 UNION SELECT nb.other, m0.dst FROM m0 JOIN nb ON nb.cell = m0.src UNION SELECT m0.src, nb.other FROM m0 JOIN nb ON nb.cell = m0.dst) SELECT * FROM m1 UNION SELECT nb.other, m1.dst FROM m1 JOIN nb ON nb.cell = m1.src UNION SELECT m1.src, nb.other FROM m1 JOIN nb ON nb.cell = m1.dst"
+
+
+@query("a9_two_step_mask", _GROWN)
 def _(spark, d):
-    return model.two_step_mask(model.transitions(a.cells(spark, d)))
+    return model.two_step_mask(model.transitions(_fine(spark, d)), _edge_neighbours(spark, 40))
 
 
-@query("a10_length_thresholds", f"WITH {a.ENDS} SELECT src, round(avg(length), 6) AS length FROM ends GROUP BY ALL")
+@query("a10_length_thresholds", f"WITH {a.ENDS}, w AS (SELECT src, dst, count(*) AS w FROM ends GROUP BY ALL), t AS (SELECT src, sum((abs(src // 6 - dst // 6) + abs(src % 6 - dst % 6) + 1 + 6) * w) * 1.0::DOUBLE / sum(w) AS length FROM w GROUP BY ALL) SELECT CAST(e.range AS INTEGER) AS src, round(coalesce(length, -1), 6) AS length FROM range(36) e LEFT JOIN t ON t.src = e.range")
 def _(spark, d):
-    return model.length_thresholds(a.cells(spark, d)).select("src", r6("length"))
+    coarse = grid.uniform_grid(spark, a.GRID).select("cell", F.col("i").alias("row"), F.col("j").alias("col"))
+    return model.length_thresholds(model.od_counts(a.cells(spark, d)).withColumnRenamed("n", "w"), coarse, 36).select("src", r6("length"))
 
 
 @query("a11_extra_lengths", f"WITH {a.ENDS} SELECT src, dst, CAST(length - (greatest(abs(src // 6 - dst // 6), abs(src % 6 - dst % 6), 1) + 1) AS BIGINT) AS extra, count(*) AS trips FROM ends GROUP BY ALL")
@@ -306,6 +420,48 @@ def _(spark, d):
     return model.fit_extra_lengths(a.cells(spark, d), 6)
 
 
+_ST = f"WITH {a.LOCATED}, h AS (SELECT *, CAST(extract(hour FROM ts) AS INTEGER) // 4 AS t FROM located), k AS (SELECT * FROM (SELECT *, lag(cell) OVER w AS pc, lag(t) OVER w AS pt FROM h WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)) WHERE pc IS NULL OR pc <> cell OR pt <> t), st AS (SELECT dataset, traj_id, row_number() OVER (PARTITION BY dataset, traj_id ORDER BY seq) - 1 AS seq, cell, t, count(*) OVER (PARTITION BY dataset, traj_id) AS length FROM k)"
+
+
+def _space_time(spark, d):
+    return grid.space_time_states(a.located(spark, d).withColumn("t", F.floor(F.hour("ts") / 4).cast("int")))
+
+
+@query("a12_start_counts", f"{_ST}, dom AS (SELECT CAST(c.range AS INTEGER) AS cell, CAST(t.range AS INTEGER) AS t FROM range(36) c, range(6) t), n AS (SELECT dom.cell, dom.t, count(st.seq) AS n FROM dom LEFT JOIN st ON st.cell = dom.cell AND st.t = dom.t AND st.seq = 0 GROUP BY ALL), p AS (SELECT *, n * 1.0::DOUBLE / sum(n) OVER () AS p FROM n), tr AS (SELECT 100 + range AS total FROM range(217)), ok AS (SELECT max(total) AS total FROM (SELECT total, sum(floor(total * p)) AS f FROM p, tr GROUP BY total) WHERE f <= 100) SELECT cell, t, CAST(n AS DOUBLE) AS n, CAST(floor(total * p) AS BIGINT) AS whole FROM p, ok")
+def _(spark, d):
+    domain = spark.range(216).select(F.floor(F.col("id") / 6).cast("int").alias("cell"), (F.col("id") % 6).cast("int").alias("t"))
+    return model.scale_counts(model.start_counts(_space_time(spark, d), domain), 100).select("cell", "t", "n", "whole")
+
+
+@query("a13_space_time_transitions", f"{_ST}, mv AS (SELECT cell, t, lead(cell) OVER w AS cell2, lead(t) OVER w AS t2, 1.0::DOUBLE / length AS w FROM st WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)), sn AS (SELECT cell, t, cell2, t2, sum(w) AS w FROM mv WHERE cell2 IS NOT NULL GROUP BY ALL), dom AS (SELECT CAST(p.range AS INTEGER) AS cell, CAST(q.range AS INTEGER) AS cell2, CAST(t.range AS INTEGER) AS t, CAST(t.range + s.range AS INTEGER) AS t2 FROM range(36) p, range(36) q, range(6) t, range(3) s WHERE abs(p.range // 6 - q.range // 6) <= 1 AND abs(p.range % 6 - q.range % 6) <= 1 AND t.range + s.range < 6 AND CASE WHEN p.range = q.range THEN s.range >= 1 ELSE s.range <= 1 END) SELECT cell, t, cell2, t2, round(coalesce(coalesce(w, 0) / nullif(sum(coalesce(w, 0)) OVER (PARTITION BY cell, t), 0), 0), 6) AS w FROM dom LEFT JOIN sn USING (cell, t, cell2, t2)")
+def _(spark, d):
+    return model.space_time_transitions(_space_time(spark, d), 6, 6).select("cell", "t", "cell2", "t2", r6("w"))
+
+
+def _adaptive_model(spark, d):
+    """States, their neighbours and paths, first-order moves, sensitive states and calibrated trips, without noise."""
+    p = a.points(spark, d)
+    states = _states(spark, d)
+    near, walked = cut(adaptive.subcell_neighbours(states)), grid.cell_sequence(adaptive.assign_states(p, _TOPGRID, states).withColumnRenamed("state", "cell"))
+    walked, paths = cut(walked), cut(adaptive.state_paths(states, near))
+    first = cut(model.transitions_start_end(walked))
+    mask = model.two_step_mask(first.where("src >= 0 and dst >= 0"), near.select(F.col("state").alias("cell"), "other"))
+    starts, stops = first.where("src = -1").select(F.col("dst").alias("src"), "w"), first.where("dst = -2").select(F.col("src").alias("dst"), "w")
+    trips = adaptive.calibrate_trips(starts, stops, paths, mask, p.select("traj_id").distinct().count())
+    return states, near, walked, first, paths, trips
+
+
+@query("a7_calibrate_trips")
+def _(spark, d):
+    return _adaptive_model(spark, d)[5].select("src", "dst", r6("w"))
+
+
+@query("a8_state_paths")
+def _(spark, d):
+    states = _states(spark, d)
+    return adaptive.state_paths(states, adaptive.subcell_neighbours(states))
+
+
 @query("a14_markov_power", f"WITH {a.MOVES}{_FULL}, p AS (SELECT src, dst, coalesce(w / nullif(sum(w) OVER (PARTITION BY src), 0), 0) AS w FROM g), p2 AS (SELECT x.src, y.dst, sum(x.w * y.w) AS w FROM p x JOIN p y ON x.dst = y.src WHERE x.w > 0 AND y.w > 0 GROUP BY ALL), p3 AS (SELECT x.src, y.dst, sum(x.w * y.w) AS w FROM p2 x JOIN p y ON x.dst = y.src WHERE y.w > 0 GROUP BY ALL) SELECT src, dst, round(w, 6) AS w FROM p3")
 def _(spark, d):
     return model.markov_power(model.transitions_weighted(a.cells(spark, d), 6, adjacent_only=False), 3).select("src", "dst", r6("w"))
@@ -333,7 +489,12 @@ def _(spark, d):
     return model.transitions_weighted(a.cells(spark, d), 6, eps=1.0).select("src", "dst", r6("w"))
 
 
-@query("n5_median_length")
+@query("n5_median_length", f"WITH {a.ENDS}, r AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY length, dataset, traj_id) - 1 AS r, count(*) OVER (PARTITION BY src, dst) AS n FROM ends WHERE length >= 2), b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY abs(r - n / 2.0::DOUBLE), r) AS k FROM r) SELECT src, dst, greatest(length, 2) AS length FROM b WHERE k = 1")
+def _(spark, d):
+    return model.dp_median_length(a.cells(spark, d), None)
+
+
+@query("n4_n5_noisy_median_length")
 def _(spark, d):
     return model.dp_median_length(a.cells(spark, d), 1.0)
 
@@ -351,6 +512,18 @@ def _(spark, d):
     return synth.synth_median_length(model.od_counts(c), model.dp_median_length(c, None), model.transitions_weighted(c, 6, adjacent_only=False), 6, c.select("traj_id").distinct().count())
 
 
+@query("y3_synth_adaptive")
+def _(spark, d):
+    states, near, walked, first, paths, trips = _adaptive_model(spark, d)
+    second = model.second_order(walked, model.sensitive_states(first, 5.0), first)
+    limits = model.length_thresholds(trips, states.select(F.col("state").alias("cell"), "row", "col"), _TOPGRID.n**2)
+    # The trips of the table leap over top cells at most moves, so walks that may not do so come from the moves between neighbours.
+    place = states.select("state", "row", "col")
+    steps = first.where("src >= 0 and dst >= 0").join(place.toDF("src", "r1", "c1"), "src").join(place.toDF("dst", "r2", "c2"), "dst").where("abs(r1 - r2) + abs(c1 - c2) <= 1").select("src", "dst", "w")
+    legal = steps.union(first.where("src < 0 or dst < 0").select("src", "dst", "w"))
+    return synth_adaptive(states, near, legal, second.join(steps.select(F.col("src").alias("cur"), F.col("dst").alias("next")), ["cur", "next"]), trips, paths, limits, _TOPGRID.n, walked.select("traj_id").distinct().count())
+
+
 @query("y4_synth_count_split")
 def _(spark, d):
     c = a.cells(spark, d)
@@ -365,6 +538,48 @@ def _(spark, d):
     return synth.realise_points(a.cells(spark, d), a.GRID).select("traj_id", "seq", "cell", "x", "y")
 
 
+@query("y5_realise_centres", f"{_ST} SELECT traj_id, seq, round(100.0::DOUBLE * (cell // 6 + 0.5::DOUBLE), 6) AS x, round({a.GRID.h!r}::DOUBLE * (cell % 6 + 0.5::DOUBLE), 6) AS y, TIMESTAMP '2009-01-01' + to_seconds(CAST((t + 0.5) * 14400 AS BIGINT)) AS ts FROM st")
+def _(spark, d):
+    out = synth.realise_points(_space_time(spark, d), a.GRID, how="centre", step_min=240.0)
+    return out.select("traj_id", "seq", r6("x"), r6("y"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("y5_realise_in_subcells")
+def _(spark, d):
+    trips = a.points(spark, d).select("traj_id").distinct().count()
+    subs = grid.adaptive_split_trips(a.located(spark, d), a.GRID, grid.density_weighted(a.cells(spark, d)), trips, 1.0)
+    return synth.realise_points(a.cells(spark, d), a.GRID, how="adaptive", subs=subs).select("traj_id", "seq", "cell", "x", "y")
+
+
+def _generator(spark, d):
+    """(count, round, first id) -> cells of new trips, from the original trips' model."""
+    c = cut(a.cells(spark, d).where("dataset = 'original'"))
+    od, extra, matrix = cut(model.od_counts(c)), cut(model.fit_extra_lengths(c, 6)), cut(model.transitions_weighted(c, 6))
+    return lambda n, k, first: synth.synth_grid_markov(od, extra, matrix, 6, n, seed=k + 1, first_id=first)
+
+
+@query("y6_defend_bayesian")
+def _(spark, d):
+    o, s = both(a.cells(spark, d))
+    return synth.defend_bayesian(o, s, 8, 0.55, _generator(spark, d))
+
+
+@query("y7_defend_sniffing")
+def _(spark, d):
+    o, s = both(a.located(spark, d).select("dataset", "traj_id", "seq", "x", "y", "cell"))
+    new = _generator(spark, d)
+    points = lambda n, k, first: synth.realise_points(new(n, k, first), a.GRID, seed=k).select("dataset", "traj_id", "seq", "x", "y", "cell")
+    return synth.defend_sniffing(o, s, 20, 1, points, rounds=1000)
+
+
+@query("y8_defend_outliers")
+def _(spark, d):
+    o, s = both(a.located(spark, d).select("dataset", "traj_id", "seq", "x", "y", "cell"))
+    new = _generator(spark, d)
+    points = lambda n, k, first: synth.realise_points(new(n, k, first), a.GRID, seed=k).select("dataset", "traj_id", "seq", "x", "y", "cell")
+    return synth.defend_outliers(o, s, points)
+
+
 # Utility.
 def _jsd(o: str, s: str, key: str, add: str = "") -> str:
     p, q = f"(coalesce(o.p, 0){add})", f"(coalesce(s.p, 0){add})"
@@ -396,11 +611,10 @@ def _(spark, d):
     return utility.query_error(o, s, a.circles(spark, d)).select(r6("error"))
 
 
-@query("u3_query_error_points", f"WITH {a.POINTS}, {a.CIRCLES}, hit AS (SELECT dataset, query_id, count(DISTINCT traj_id) AS n FROM pts, circles WHERE sqrt(pow(x - cx, 2) + pow(y - cy, 2)) <= r GROUP BY ALL) SELECT query_id, sum(CASE WHEN dataset = 'original' THEN n ELSE 0 END)::BIGINT AS o, sum(CASE WHEN dataset = 'synthetic' THEN n ELSE 0 END)::BIGINT AS s FROM circles LEFT JOIN hit USING (query_id) GROUP BY ALL")
+@query("u3_query_error_points", f"WITH {a.POINTS}, {a.CIRCLES}, hit AS (SELECT dataset, query_id, count(DISTINCT traj_id) AS n FROM pts, circles WHERE sqrt(pow(x - cx, 2) + pow(y - cy, 2)) <= r GROUP BY ALL) SELECT round(avg(abs(coalesce(s.n, 0) - coalesce(o.n, 0)) * 1.0::DOUBLE / nullif(greatest(coalesce(o.n, 0), floor(t.trips * 0.01::DOUBLE)), 0)), 6) AS error FROM circles c LEFT JOIN (SELECT * FROM hit WHERE dataset = 'original') o USING (query_id) LEFT JOIN (SELECT * FROM hit WHERE dataset = 'synthetic') s USING (query_id), (SELECT count(DISTINCT traj_id) AS trips FROM pts WHERE dataset = 'original') t")
 def _(spark, d):
     o, s = both(a.points(spark, d))
-    q = a.circles(spark, d)
-    return utility.touching_points(o, q).withColumnRenamed("n", "o").join(utility.touching_points(s, q).withColumnRenamed("n", "s"), "query_id")
+    return utility.query_error(o, s, a.circles(spark, d), points=True).select(r6("error"))
 
 
 @query("u6_diameter", f"WITH {a.SHORT} SELECT p.traj_id, round(max(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))), 6) AS d FROM trips p JOIN trips q USING (dataset, traj_id) GROUP BY p.traj_id")
@@ -409,13 +623,36 @@ def _(spark, d):
 
 
 _LEN = ", len AS (SELECT dataset, traj_id, coalesce(sum(step), 0) AS d FROM (SELECT dataset, traj_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM trips WINDOW w AS (PARTITION BY dataset, traj_id ORDER BY seq)) GROUP BY ALL)"
-_BUCKETS = ", wd AS (SELECT (max(d) - min(d)) / 20 AS width FROM len WHERE dataset = 'original'), bk AS (SELECT dataset, floor(d / width) AS bucket FROM len, wd WHERE floor(d / width) < 20)"
+_BUCKETS = ", wd AS (SELECT (max(d) - min(d)) / 20 AS width FROM len WHERE dataset = 'original'), tr AS (SELECT dataset, count(*) AS trips FROM len GROUP BY ALL), bk AS (SELECT dataset, floor(d / width) AS bucket, trips FROM len JOIN tr USING (dataset), wd WHERE floor(d / width) < 20), o_ AS (SELECT bucket, count(*) * 1.0::DOUBLE / any_value(trips) AS p FROM bk WHERE dataset = 'original' GROUP BY ALL), s_ AS (SELECT bucket, count(*) * 1.0::DOUBLE / any_value(trips) AS p FROM bk WHERE dataset = 'synthetic' GROUP BY ALL)"
+_OWN = ", wd AS (SELECT dataset, (max(d) - min(d)) / 20 AS width, min(d) AS low, count(*) AS trips FROM len GROUP BY ALL), bk AS (SELECT dataset, least(floor((d - low) / width), 19) AS bucket, trips FROM len JOIN wd USING (dataset)), o_ AS (SELECT bucket, count(*) * 1.0::DOUBLE / any_value(trips) AS p FROM bk WHERE dataset = 'original' GROUP BY ALL), s_ AS (SELECT bucket, count(*) * 1.0::DOUBLE / any_value(trips) AS p FROM bk WHERE dataset = 'synthetic' GROUP BY ALL)"
+_DIA = ", len AS (SELECT p.dataset, p.traj_id, max(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))) AS d FROM trips p JOIN trips q USING (dataset, traj_id) GROUP BY ALL)"
 
 
-@query("u8_length_error", f"WITH {a.SHORT}{_LEN}{_BUCKETS}{_share('o_', 'bk', chr(39).join(['dataset = ', 'original', '']), 'bucket')}{_share('s_', 'bk', chr(39).join(['dataset = ', 'synthetic', '']), 'bucket')} {_jsd('o_', 's_', 'bucket')}")
+@query("u8_length_error", f"WITH {a.SHORT}{_LEN}{_BUCKETS} {_jsd('o_', 's_', 'bucket')}")
 def _(spark, d):
-    o, s = both(utility.path_length(a.short_trips(spark, d)))
-    return utility.bucket_error(o, s, 20).select(r6("jsd"))
+    return utility.length_error(*both(a.short_trips(spark, d)), 20).select(r6("jsd"))
+
+
+@query("u7_diameter_error", f"WITH {a.SHORT}{_DIA}{_BUCKETS} {_jsd('o_', 's_', 'bucket')}")
+def _(spark, d):
+    return utility.diameter_error(*both(a.short_trips(spark, d)), 20).select(r6("jsd"))
+
+
+@query("u7_diameter_error_own_width", f"WITH {a.SHORT}{_DIA}{_OWN} {_jsd('o_', 's_', 'bucket')}")
+def _(spark, d):
+    return utility.diameter_error(*both(a.short_trips(spark, d)), 20, own_width=True).select(r6("jsd"))
+
+
+@query("u17_utility_report")
+def _(spark, d):
+    o, s = both(a.points(spark, d))
+    return utility.utility_report(o, s, a.circles(spark, d)).select("measure", r6("value"))
+
+
+@query("u10_cell_paths", f"WITH {a.SHORT}, lo AS (SELECT dataset, traj_id, seq, CAST(least(greatest(floor(x / 100), 0), 5) * 6 + least(greatest(floor(y / 100 * 6), 0), 5) AS INTEGER) AS cell FROM trips), f AS (SELECT traj_id, cell, min(seq) AS fst FROM lo GROUP BY ALL), p AS (SELECT traj_id, string_agg(cell, ',' ORDER BY fst) AS pattern, count(*) AS n FROM f GROUP BY ALL) SELECT pattern, count(*) AS support FROM p WHERE n >= 3 GROUP BY ALL")
+def _(spark, d):
+    located = grid.assign_cell(a.short_trips(spark, d), a.GRID)
+    return utility.mine_cell_paths(located).select(F.array_join("pattern", ",").alias("pattern"), "support")
 
 
 _GRAM = ", lists AS (SELECT dataset, traj_id, list(cell ORDER BY seq) AS c FROM cells GROUP BY ALL), gram AS (SELECT dataset, c[i:i + k - 1] AS pattern FROM (SELECT dataset, c, k, unnest(range(1, len(c) - k + 2)) AS i FROM (SELECT *, unnest([2, 3, 4]) AS k FROM lists))), sup AS (SELECT dataset, array_to_string(pattern, ',') AS pattern, count(*) AS support FROM gram GROUP BY ALL)"
@@ -486,6 +723,12 @@ def _(spark, d):
     return attack.region_frames(a.points(spark, d), 8, 12)
 
 
+@query("k2_reidentification_all_known", f"WITH {a.POINTS}, n AS (SELECT dataset, traj_id, count(*) AS n FROM pts GROUP BY ALL), b AS (SELECT *, unnest(range(12)) AS bin FROM n), f AS (SELECT b.dataset, b.traj_id, bin, least(greatest(floor(x / 300), 0), 1) * 2 + least(greatest(floor(y / 50), 0), 1) AS region FROM b JOIN pts p ON p.traj_id = b.traj_id AND p.seq = bin * (n - 1) // 11), m AS (SELECT o.traj_id AS u, s.traj_id AS w, sum((o.region = s.region)::INTEGER) / 12.0::DOUBLE AS rate FROM f o JOIN f s ON o.bin = s.bin WHERE o.dataset = 'original' AND s.dataset = 'synthetic' GROUP BY ALL), t AS (SELECT *, max(rate) OVER (PARTITION BY u) AS best FROM m), v AS (SELECT u, rate, bin, region, count(*) AS n FROM t JOIN f ON f.traj_id = t.w WHERE rate = best AND rate > 0.5 GROUP BY ALL), g AS (SELECT u, rate, bin, arg_max(region, n * 10 - region) AS guess FROM v GROUP BY ALL), h AS (SELECT g.u, rate, avg((guess = region)::INTEGER) AS found FROM g JOIN f ON f.traj_id = g.u AND f.bin = g.bin GROUP BY ALL) SELECT o.traj_id AS \"user\", round(coalesce(rate, 0), 6) AS rate, round(coalesce(found, 0), 6) AS found FROM (SELECT DISTINCT traj_id FROM f WHERE dataset = 'original') o LEFT JOIN h ON h.u = o.traj_id")
+def _(spark, d):
+    frames = attack.sampled_bins(a.points(spark, d), 12)
+    return attack.reidentification(grid.assign_cell(frames, grid.Grid(0.0, 600.0, 0.0, 100.0, 2)).select("dataset", "traj_id", "bin", F.col("cell").alias("region")), 12, 0.5).select("user", r6("rate"), r6("found"))
+
+
 @query("k2_reidentification")
 def _(spark, d):
     frames = attack.sampled_bins(a.points(spark, d), 12)
@@ -497,10 +740,15 @@ def _(spark, d):
     return attack.sampled_bins(a.points(spark, d), 12).select("dataset", "traj_id", "bin", r6("x"), "y")
 
 
-@query("k3_bayesian_attack", f"WITH {a.CELLS}, th AS (SELECT * FROM cells WHERE dataset = 'synthetic' AND traj_id IN (SELECT traj_id FROM cells WHERE dataset = 'synthetic' AND cell = 8)), eo AS (SELECT traj_id, arg_min(cell, seq) AS src, arg_max(cell, seq) AS dst FROM cells WHERE dataset = 'original' GROUP BY ALL), es AS (SELECT traj_id, arg_min(cell, seq) AS src, arg_max(cell, seq) AS dst FROM th GROUP BY ALL){_share('o_', 'eo', 'true', 'src, dst')}{_share('s_', 'es', 'true', 'src, dst')} {_jsd('o_', 's_', 'src, dst', ' + 2.220446049250313e-16').replace('AS jsd', 'AS start_end')}")
+_ZONE = f"WITH {a.MOVES}, th AS (SELECT DISTINCT traj_id FROM cells WHERE dataset = 'synthetic' AND cell = 8), eo AS (SELECT traj_id, arg_min(cell, seq) AS src, arg_max(cell, seq) AS dst FROM cells WHERE dataset = 'original' GROUP BY ALL), es AS (SELECT traj_id, arg_min(cell, seq) AS src, arg_max(cell, seq) AS dst FROM cells SEMI JOIN th USING (traj_id) GROUP BY ALL), mo AS (SELECT src, dst FROM moves WHERE dataset = 'original'), ms AS (SELECT src, dst FROM moves SEMI JOIN th USING (traj_id)){_share('o_', 'eo', 'true', 'src, dst')}{_share('s_', 'es', 'true', 'src, dst')}{_share('om', 'mo', 'true', 'src, dst')}{_share('sm', 'ms', 'true', 'src, dst')}"
+_EPS = " + 2.220446049250313e-16"
+
+
+@query("k3_bayesian_attack", f"{_ZONE}, a1 AS ({_jsd('o_', 's_', 'src, dst', _EPS)}), a2 AS ({_jsd('om', 'sm', 'src, dst', _EPS)}) SELECT round(a1.jsd, 4) AS start_end, round(a2.jsd, 4) AS moves, round((a1.jsd + a2.jsd) / 2, 3) AS risk, (SELECT count(*) FROM th) = 0 OR (a1.jsd <= 0.5 AND a2.jsd <= 0.5) AS passes FROM a1, a2")
 def _(spark, d):
     o, s = both(a.cells(spark, d))
-    return attack.bayesian_attack(o, s, 8).select(r6("start_end"))
+    out = attack.bayesian_attack(o, s, 8)
+    return out.select(F.round("start_end", 4).alias("start_end"), F.round("moves", 4).alias("moves"), F.round("risk", 3).alias("risk"), "passes")
 
 
 @query("k3_bayesian_risk")
@@ -541,18 +789,35 @@ def _(spark, d):
     return attack.knn_score_1d(_vectors(spark, d).select("id", F.col("x").alias("v")), 5).select("id", r6("score"))
 
 
-@query("k9_plausible_deniability", f"WITH {a.POINTS}, f AS (SELECT dataset, traj_id AS id, arg_min(x, seq) AS x, arg_min(y, seq) AS y FROM pts GROUP BY ALL), d AS (SELECT s.id, sqrt((s.x - o.x) * (s.x - o.x) + (s.y - o.y) * (s.y - o.y)) AS d FROM f s, f o WHERE s.dataset = 'synthetic' AND o.dataset = 'original'), m AS (SELECT *, min(d) OVER (PARTITION BY id) AS nearest FROM d) SELECT id, round(nearest, 6) AS nearest, sum((abs(d - nearest) <= 0.1::DOUBLE * 500)::INTEGER)::BIGINT AS plausible FROM m GROUP BY ALL")
+@query("k9_plausible_deniability", f"WITH {a.POINTS}, f AS (SELECT dataset, traj_id AS id, arg_min(x, seq) AS x, arg_min(y, seq) AS y FROM pts GROUP BY ALL), d AS (SELECT s.id, sqrt((s.x - o.x) * (s.x - o.x) + (s.y - o.y) * (s.y - o.y)) AS d FROM f s, f o WHERE s.dataset = 'synthetic' AND o.dataset = 'original'), m AS (SELECT *, min(d) OVER (PARTITION BY id) AS nearest FROM d) SELECT id, round(nearest, 6) AS nearest, sum((abs(d - nearest) <= 0.1::DOUBLE * 500)::INTEGER)::BIGINT AS plausible, nearest > 0.05::DOUBLE * 500 OR sum((abs(d - nearest) <= 0.1::DOUBLE * 500)::INTEGER) >= 3 AS passes FROM m GROUP BY id, nearest")
 def _(spark, d):
     f = a.points(spark, d).groupBy("dataset", F.col("traj_id").alias("id")).agg(F.array(F.min_by("x", "seq"), F.min_by("y", "seq")).alias("v"))
     o, s = both(f)
-    return attack.plausible_deniability(s.select("id", "v"), o.select("v"), 500.0).select("id", r6("nearest"), "plausible")
+    return attack.plausible_deniability(s.select("id", "v"), o.select("v"), 500.0).select("id", r6("nearest"), "plausible", "passes")
 
 
-@query("k10_rare_cells")
+@query("k10_rare_cells", f"WITH {a.CELLS}, s AS (SELECT * FROM cells WHERE dataset = 'synthetic'), v AS (SELECT cell, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT cell, n, sum((n > 20)::INTEGER) OVER (ORDER BY n DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM v) SELECT DISTINCT dataset, traj_id FROM s SEMI JOIN (SELECT cell FROM f WHERE coalesce(over, 0) = 0) USING (cell) ORDER BY traj_id LIMIT 20")
 def _(spark, d):
     return attack.rare_cell_candidates(a.cells(spark, d).where("dataset = 'synthetic'"), 20)
 
 
+@query("k8_top_outliers", "WITH d AS (SELECT p.vec_id AS id, abs(p.embedding[1]::DOUBLE - q.embedding[1]::DOUBLE) AS d, row_number() OVER (PARTITION BY p.vec_id ORDER BY abs(p.embedding[1]::DOUBLE - q.embedding[1]::DOUBLE)) AS r FROM embeddings p, embeddings q), s AS (SELECT id, round(avg(d), 6) AS score FROM d WHERE r <= 5 GROUP BY ALL) SELECT min(id) OVER (PARTITION BY score) AS id, score FROM s ORDER BY score DESC, s.id LIMIT 50")
+def _(spark, d):
+    scores = attack.knn_score_1d(_vectors(spark, d).select("id", F.col("x").alias("v")), 5).select("id", r6("score"))
+    return attack.top_outliers(scores, 50)
+
+
+_FAR = "s.id, sqrt(pow(s.x - o.x, 2) + pow(s.y - o.y, 2)) AS d"
+
+
+@query("k9_length_deniability", f"WITH {a.SHORT}{_LEN}, c AS (SELECT traj_id AS id, d FROM len WHERE dataset = 'synthetic' ORDER BY d DESC, traj_id LIMIT 50), o AS (SELECT d FROM len WHERE dataset = 'original'), sp AS (SELECT max(d) - min(d) AS most FROM o), p AS (SELECT c.id, o.d - c.d AS d, abs(o.d - c.d) AS gap FROM c, o), n AS (SELECT id, min(d) AS nearest FROM p GROUP BY ALL) SELECT id, round(nearest, 6) AS nearest, sum((abs(gap - nearest) <= 0.05::DOUBLE * most)::INTEGER)::BIGINT AS plausible, nearest > 0.1::DOUBLE * any_value(most) OR sum((abs(gap - nearest) <= 0.05::DOUBLE * most)::INTEGER) >= 100 AS passes FROM p JOIN n USING (id), sp GROUP BY id, nearest")
+def _(spark, d):
+    o, s = both(utility.path_length(a.short_trips(spark, d)))
+    cands = s.orderBy(F.desc("d"), "traj_id").limit(50).select(F.col("traj_id").alias("id"), F.col("d").alias("v"))
+    span = o.agg(F.max("d") - F.min("d")).first()[0]
+    return attack.plausible_deniability(cands, o.select(F.col("d").alias("v")), span, "length", 0.1, 0.05, 100, signed=True).select("id", r6("nearest"), "plausible", "passes")
+
+
 @query("k11_outlier_leakage")
 def _(spark, d):
     o, s = both(a.points(spark, d))
@@ -576,16 +841,49 @@ def _(spark, d):
     return network.interp_end_times(a.points(spark, d).withColumn("t0", F.lit(0)).withColumn("t1", F.lit(6000))).select("traj_id", "seq", "t")
 
 
-@query("m3_anchor_times")
+@query("m3_anchor_times", f"WITH {a.POINTS}, k AS (SELECT *, CASE WHEN seq % 5 = 2 THEN epoch(ts) END AS k FROM pts), w AS (SELECT *, last_value(k IGNORE NULLS) OVER b AS t0, last_value(CASE WHEN k IS NOT NULL THEN seq END IGNORE NULLS) OVER b AS s0, first_value(k IGNORE NULLS) OVER f AS t1, first_value(CASE WHEN k IS NOT NULL THEN seq END IGNORE NULLS) OVER f AS s1 FROM k WINDOW b AS (PARTITION BY dataset, traj_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY dataset, traj_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT traj_id, seq, round(CASE WHEN k IS NOT NULL THEN k ELSE coalesce(t0 + (t1 - t0) * (seq - s0) * 1.0::DOUBLE / nullif(s1 - s0, 0), t0) END, 6) AS t FROM w")
 def _(spark, d):
     return network.interp_anchor_times(a.points(spark, d).withColumn("t", F.when(F.col("seq") % 5 == 2, F.unix_timestamp("ts")))).select("traj_id", "seq", r6("t"))
 
 
-@query("m5_m6_registry")
-def _(spark, d):
+_COARSE = f"WITH {a.POINTS}, g AS (SELECT dataset, traj_id, seq, floor(x / 100) / 100 AS x, floor(y / 20) / 100 AS y FROM pts), ky AS (SELECT *, CAST(round(x * 1e7) AS BIGINT) AS kx, CAST(round(y * 1e7) AS BIGINT) AS kk FROM g), nd AS (SELECT kx, kk, min((traj_id, seq)) AS fst, arg_min(x, (traj_id, seq)) AS lon, arg_min(y, (traj_id, seq)) AS lat FROM ky GROUP BY ALL), nodes AS (SELECT *, row_number() OVER (ORDER BY fst) - 1 AS node_id FROM nd), st AS (SELECT k.dataset, k.traj_id, k.seq, node_id, lon, lat, lead(node_id) OVER w AS n2, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM ky k JOIN nodes USING (kx, kk) WINDOW w AS (PARTITION BY k.dataset, k.traj_id ORDER BY k.seq)), pr AS (SELECT node_id, n2, min((traj_id, seq)) AS fst, any_value(lon) AS x, any_value(lat) AS y, any_value(lon2) AS x2, any_value(lat2) AS y2 FROM st WHERE n2 IS NOT NULL AND n2 <> node_id GROUP BY node_id, n2), edges AS (SELECT row_number() OVER (ORDER BY fst) - 1 AS edge_id, node_id AS start_node, n2 AS end_node, 2 * 6371000 * asin(sqrt(least(pow(sin((radians(y2) - radians(y)) / 2), 2) + cos(radians(y)) * cos(radians(y2)) * pow(sin(radians(x2 - x) / 2), 2), 1))) AS length FROM pr)"
+
+
+def _registry(spark, d):
     p = a.points(spark, d).withColumn("x", F.floor(F.col("x") / 100) / 100).withColumn("y", F.floor(F.col("y") / 20) / 100)
-    nodes, edges = network.build_registry(p)
-    return edges.select("edge_id", "start_node", "end_node", r6("length"))
+    return p, *network.build_registry(p)
+
+
+@query("m5_m6_registry", f"{_COARSE} SELECT edge_id, start_node, end_node, round(length, 4) AS length FROM edges")
+def _(spark, d):
+    return _registry(spark, d)[2].select("edge_id", "start_node", "end_node", F.round("length", 4).alias("length"))
+
+
+@query("m6_geometry_to_segments", f"{_COARSE}, s AS (SELECT traj_id, seq, edge_id, lag(edge_id) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS b FROM st JOIN edges ON start_node = node_id AND end_node = n2) SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY seq) - 1 AS \"order\", edge_id AS segment_id FROM s WHERE b IS NULL OR b <> edge_id")
+def _(spark, d):
+    return network.geometry_to_segments(*_registry(spark, d)).select("traj_id", "order", "segment_id")
+
+
+@query("m8_m9_attach_network", f"{_COARSE}, s AS (SELECT dataset, traj_id, seq, edge_id, start_node, end_node, lag(edge_id) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS b FROM st JOIN edges ON start_node = node_id AND end_node = n2), g2 AS (SELECT *, row_number() OVER (PARTITION BY dataset, traj_id ORDER BY seq) - 1 AS o FROM s WHERE b IS NULL OR b <> edge_id), p AS (SELECT dataset, traj_id, 0 AS seq, start_node AS node_id FROM g2 WHERE o = 0 UNION ALL SELECT dataset, traj_id, o + 1, end_node FROM g2), ln AS (SELECT dataset, traj_id, max(seq) AS l FROM pts GROUP BY ALL) SELECT p.traj_id, p.seq::BIGINT AS seq, p.node_id, q.ts FROM p JOIN ln USING (dataset, traj_id) JOIN pts q ON q.dataset = p.dataset AND q.traj_id = p.traj_id AND q.seq = least(p.seq, l) UNION ALL SELECT traj_id, seq, NULL, ts FROM pts ANTI JOIN g2 USING (dataset, traj_id)")
+def _(spark, d):
+    p, nodes, edges = _registry(spark, d)
+    o, s = both(network.geometry_to_segments(p, nodes, edges))
+    return network.attach_network(p, network.combine_segments(o, s), nodes).select("traj_id", "seq", "node_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("m11_nearest_road", f"WITH {a.GPS}, {a.EDGES}, nodes AS (SELECT CAST(range AS BIGINT) AS node_id, -8.7::DOUBLE + 0.03::DOUBLE * (range % 15) AS lon, 41.0::DOUBLE + 0.03::DOUBLE * (range // 15) AS lat FROM range(199)), ds AS (SELECT DISTINCT x, y FROM gps), nn AS (SELECT x, y, arg_min(node_id, (round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 12), node_id)) AS node_id FROM ds, nodes GROUP BY ALL) SELECT traj_id, seq, node_id FROM gps JOIN nn USING (x, y)")
+def _(spark, d):
+    return network.nearest_road(a.gps(spark, d), _nodes(spark), size=0.02).select("traj_id", "seq", "node_id")
+
+
+@query("m11_nearest_edge")
+def _(spark, d):
+    return network.drop_repeated(network.nearest_road(a.gps(spark, d), _nodes(spark), a.edges(spark, d), 0.02), "edge_id").select("traj_id", "seq", "edge_id")
+
+
+def _nodes(spark):
+    """Places of the road network's 199 nodes."""
+    return spark.range(199).select(F.col("id").alias("node_id"), (-8.7 + 0.03 * (F.col("id") % 15)).alias("lon"), (41.0 + 0.03 * F.floor(F.col("id") / 15)).alias("lat"))
 
 
 @query("m10_downsample", f"WITH {a.POINTS}, n AS (SELECT traj_id, count(*) AS n FROM pts GROUP BY ALL), i AS (SELECT traj_id, n, unnest(range(least(n, 50))) AS i FROM n) SELECT i.traj_id, CAST(i AS INTEGER) AS seq, round(p.x, 6) AS x, p.y FROM i JOIN pts p ON p.traj_id = i.traj_id AND p.seq = CASE WHEN n > 50 THEN CAST(round_even(i * (n - 1) / 49, 0) AS BIGINT) ELSE i END")
@@ -593,7 +891,12 @@ def _(spark, d):
     return network.downsample(a.points(spark, d), 50).select("traj_id", "seq", r6("x"), "y")
 
 
-@query("m12_network_distance")
+def _double(k: int) -> str:
+    """Shortest ways of up to twice as many edges, from d<k>."""
+    return f"d{k + 1} AS MATERIALIZED (SELECT u, v, min(d) AS d FROM (SELECT * FROM d{k} UNION ALL SELECT p.u, q.v, p.d + q.d FROM d{k} p JOIN d{k} q ON p.v = q.u WHERE p.d + q.d <= 10000) GROUP BY ALL)"
+
+
+@query("m12_network_distance", f"WITH {a.EDGES}, o AS (SELECT least(start_node, end_node) AS u, greatest(start_node, end_node) AS v, arg_max(length, edge_id) AS d FROM edges GROUP BY ALL), d0 AS MATERIALIZED (SELECT u, v, d FROM o WHERE u <> v AND d <= 10000 UNION ALL SELECT v, u, d FROM o WHERE u <> v AND d <= 10000), {', '.join(_double(k) for k in range(4))}, p AS (SELECT DISTINCT start_node AS a, (end_node * 3) % 199 AS b FROM edges) SELECT a, b, round(CASE WHEN a = b THEN 0 ELSE coalesce(d, 10000) END, 6) AS d FROM p LEFT JOIN d4 ON u = a AND v = b")
 def _(spark, d):
     e = a.edges(spark, d)
     pairs = e.select(F.col("start_node").alias("a"), ((F.col("end_node") * 3) % 199).alias("b")).distinct()
@@ -649,6 +952,39 @@ def _(spark, d):
     return _scores(spark, d, measure("tp"))
 
 
+@query("t4_lors")
+def _(spark, d):
+    o, s = both(_segments(spark, d))
+    return similarity.score_pairs(similarity.sample_pairs(o, s, 10_000), o, s, lors())
+
+
+@query("t5_lcrs")
+def _(spark, d):
+    o, s = both(_segments(spark, d).withColumn("pts", F.transform("pts", lambda x: x["id"])))
+    return similarity.score_pairs(similarity.sample_pairs(o, s, 10_000), o, s, measure("lcrs"))
+
+
+def _segments(spark, d):
+    """Trips as arrays of segments with their lengths."""
+    t = a.short_trips(spark, d).join(a.edges(spark, d).select(F.col("edge_id").alias("segment_id"), "length"), "segment_id")
+    own = F.array_sort(F.collect_list(F.struct("seq", F.col("segment_id").alias("id"), "length")))
+    return t.groupBy("dataset", "traj_id").agg(F.transform(own, lambda p: F.struct(p["id"].alias("id"), p["length"].cast("double").alias("length"))).alias("pts"))
+
+
+@query("t11_compare_by_length")
+def _(spark, d):
+    t = a.short_trips(spark, d)
+    lengths = similarity.trip_length(t, t, a.edges(spark, d))
+    o, s = both(_segments(spark, d).withColumn("pts", F.transform("pts", lambda x: x["id"])))
+    return similarity.compare_by_length(o, s, lengths, measure("lcrs"), 10_000)
+
+
+@query("u4_random_queries")
+def _(spark, d):
+    g = grid.data_bounds(a.points(spark, d), 1)
+    return utility.random_queries(spark, g.x0, g.x1, g.y0, g.y1, 200).join(utility.touching_points(a.points(spark, d), utility.random_queries(spark, g.x0, g.x1, g.y0, g.y1, 200)), "query_id")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import parse_ts, point_time
+from wayveil.functions.tables import ranked
 
 
-def read_dat(spark: SparkSession, path: str, dataset: str = "original", min_points: int = 1, require_ts: bool = False) -> DataFrame:
-    """Points of trajectory text: `#id` or `#id:`, then `>0:x,y[,time];...`. One record is one trip, so nothing shuffles."""
+def read_dat(spark: SparkSession, path: str, dataset: str = "original", min_points: int = 1, require_ts: bool = False, ids: str = "header") -> DataFrame:
+    """Points of trajectory text: `#id` or `#id:`, then `>0:x,y[,time];...`. One record is one trip, so nothing shuffles.
+
+    ids: "header", or "ordinal", the place of the trip among those that have points, by its header's number and file.
+    """
     raw = spark.read.option("lineSep", "#").text(path).select("value", F.col("_metadata.file_path").alias("file"))
     trips = raw.select(F.regexp_extract("value", r"^\s*(\d+)", 1).alias("id"), F.regexp_extract("value", r">0:([^\n]*)", 1).alias("body"), "file").where("id != '' and body != ''")
     items = F.filter(F.split("body", ";"), lambda x: F.trim(x) != "")
     parts = F.filter(F.transform(items, lambda x: F.split(x, ",")), lambda p: F.size(p) >= 2)
     pts = trips.select(F.col("id").cast("long").alias("traj_id"), "file", parts.alias("p")).where(F.size("p") >= min_points).select("traj_id", "file", F.posexplode("p").alias("seq", "p"))
     pts = pts.select(F.lit(dataset).alias("dataset"), "traj_id", "seq", F.trim(F.col("p")[0]).try_cast("double").alias("x"), F.trim(F.col("p")[1]).try_cast("double").alias("y"), parse_ts(F.trim(F.try_element_at("p", F.lit(3)))).alias("ts"), "file").where("x is not null and y is not null")
-    return pts.where("ts is not null") if require_ts else pts
+    pts = pts.where("ts is not null") if require_ts else pts
+    if ids == "header":
+        return pts
+    places = ranked(pts.select("file", "traj_id").distinct(), ["file", "traj_id"], "_place")
+    return pts.join(places, ["file", "traj_id"]).withColumn("traj_id", F.col("_place")).select(*pts.columns)
 
 
 def _number(v: Column, decimals: int | None) -> Column:
@@ -84,10 +91,6 @@ def list_synthetic(pts: DataFrame) -> DataFrame:
 
 
 def dense_ids(pts: DataFrame, order: str = "traj_id") -> DataFrame:
-    """Ids 0, 1, ... in the order of another column: ranks inside ranges of ids, plus the ranges' totals."""
-    ids = pts.select(order).distinct().repartitionByRange(order).sortWithinPartitions(order)
-    ids = ids.select(order, F.spark_partition_id().alias("part"))
-    totals = ids.groupBy("part").agg(F.count("*").alias("n"), F.min(order).alias("low"))
-    before = totals.select(F.col("part"), F.coalesce(F.sum("n").over(W.orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
-    ranked = ids.join(before, "part").select(order, (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(order)) - 1).alias("new_id"))
-    return pts.join(ranked, order).withColumn(order, F.col("new_id")).drop("new_id")
+    """Ids 0, 1, ... in the order of another column."""
+    ids = ranked(pts.select(order).distinct(), [order], "new_id")
+    return pts.join(ids, order).withColumn(order, F.col("new_id")).drop("new_id")
