@@ -142,6 +142,33 @@ def test_leaks(spark, block_items):
     assert clean == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
 
 
+def test_look_up_finds_all_within_the_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 256, (300, 8)).astype(np.uint8)
+    asks = prints[rng.integers(0, 300, 200)].copy()
+    for k, row in enumerate(asks):
+        for bit in rng.choice(64, k % 21, replace=False):
+            row[bit // 8] ^= np.uint8(1 << (bit % 8))
+    got = set(zip(*(x.tolist() for x in decontaminate._looked_up([decontaminate._table(prints[:, j]) for j in range(8)], asks, 300))))
+    apart = np.bitwise_count(asks[:, None] ^ prints[None]).sum(axis=2)
+    assert {(a, b) for a, b in zip(*np.nonzero(apart <= decontaminate.RADIUS))} <= got and len(got) < 200 * 300
+
+
+def test_recall_of_the_fingerprints(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id * 50 AS doc_id", "text")
+    found, every = decontaminate.measured_recall(docs, spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet"))
+    assert every > 10 and found >= 0.98 * every
+
+
+def test_repeated_items_and_null_ids_of_items(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "z")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "a b c d e f g h"), (5, "a b c d e f g h"), (None, "b c d e f g"), (5, "q r s t u v")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, round(r.similarity, 6)) for r in decontaminate.benchmark_leaks(docs, items).collect())
+    assert got == {(1, 5, 1.0): 4, (1, None, 1.0): 2}
+
+
 def test_leaks_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 7)], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")

@@ -92,6 +92,49 @@ def test_positions_follow_the_schedule(spark):
         assert abs(np.interp(r.at, fine, demand) - r.part * demand[-1]) < 1e-6
 
 
+def plain_statistics(text):
+    raw = (text or "").encode()
+    words = [m[0] for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
+    n, per = max(len(raw), 1), max(len(words), 1)
+    symbols = set(b"#$%&*@^~<>=+_\\/{}[]|")
+    odd = [w[-1] in symbols for w in words]
+    shouted = [sum(65 <= c <= 90 for c in w) >= 2 and not any(97 <= c <= 122 for c in w) for w in words]
+    low = [w.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) for w in words]
+    repeats = [k > 0 and low[k] == low[k - 1] for k in range(len(low))]
+    recent = [any(k >= j and low[k] == low[k - j] for j in (1, 2, 3, 4)) for k in range(len(low))]
+
+    def worst(flags):
+        ends = [min(k + 32, len(flags)) for k in range(len(flags))]
+        return max((sum(flags[max(e - 32, 0) : e]) / max(e - max(e - 32, 0), 1) for e in ends), default=0.0)
+
+    share = lambda keep: sum(map(keep, raw)) / n
+    return [
+        math.log1p(len(words)), sum(map(len, words)) / per, share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in symbols), share(lambda c: c == 33), share(lambda c: c == 124), share(lambda c: c >= 128), share(lambda c: c == 10), share(lambda c: c in b".?"),
+        *(sum(x) / per for x in (odd, shouted, repeats, recent)), len(set(low)) / len(words) if words else 0.0, *map(worst, (odd, shouted, repeats, recent)),
+    ]
+
+
+def test_statistics_and_rules_against_plain_code(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "A!  a| #"), (-4, "BIG big BIG big {x} " * 50)], docs.schema))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rules = quality.fit(docs, labels)
+    assert rules.weighted
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    stats = {r.doc_id: r.stats for r in quality.with_statistics(docs, "stats", ["doc_id"]).collect()}
+    for i, text in texts.items():
+        assert np.allclose(stats[i], plain_statistics(text), atol=1e-9), i
+    for r in quality.scored(docs, labels).collect():
+        logit = rules.bias + sum(w for terms, w in rules.weighted if all((stats[r.doc_id][k] > t) == above for k, above, t in terms))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-logit)), rel_tol=1e-9) and r.predicted == (r.score >= 0.5)
+
+
+def test_other_labels_are_left_out(spark):
+    docs = spark.createDataFrame([(k, f"word {k} " * (k + 1)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(1, 7), (2, None), (3, -1)], "doc_id long, quality int")
+    assert quality.fit(docs, labels) == quality.fit(docs, labels.where("quality in (0, 1)"))
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = {r.doc_id: r for r in quality.scored(docs, labels).collect()}

@@ -29,8 +29,9 @@ from .shared import SHINGLE, Words, bounded_batches, slices
 RADIUS = 20
 BLOCKS = 8
 _U = np.uint64
-_BITS = np.array([bin(i).count("1") for i in range(256)])
-_NEAR = _BITS[np.arange(256)[:, None] ^ np.arange(256)] <= RADIUS // BLOCKS
+_VALUES = np.arange(256, dtype=np.uint8)
+#: For each value of a block, the values within its share of the radius.
+_NEAR = [_VALUES[np.bitwise_count(_VALUES ^ v) <= RADIUS // BLOCKS] for v in _VALUES]
 _FILTER = 20
 _CHUNK = 4096
 
@@ -51,6 +52,25 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / max(np.maximum(x, y).sum(), 1))
 
 
+def _table(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of a block, the items whose own value is near: items[at[v]:at[v + 1]]."""
+    by_value = [np.flatnonzero(values == v) for v in range(256)]
+    lists = [np.concatenate([by_value[x] for x in near]) for near in _NEAR]
+    return np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.concatenate(lists)
+
+
+def _looked_up(tables: list[tuple], found: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, item) of all pairs with a block in which they are near, each once."""
+    pairs = []
+    for (at, lists), values in zip(tables, found.T):
+        low, n = at[values], at[values.astype(int) + 1] - at[values]
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(low, n)
+        pairs.append(np.repeat(np.arange(len(values)), n) * items + lists[place])
+    pairs = np.unique(np.concatenate(pairs))
+    return pairs // items, pairs % items
+
+
 class Index:
     """A block of benchmark items: by length in words, their shingles, fingerprints and Hamming tables."""
 
@@ -69,7 +89,7 @@ class Index:
                 self.grams[int(k)] = words.runs(begin, begin + g)
                 by_gram.setdefault(g, []).append((self.grams[int(k)], size))
             prints = np.stack([fingerprint(_signs(self.grams[int(k)]).sum(axis=0)) for k in own])
-            self.classes[size] = (own, prints, np.stack([_NEAR[:, prints[:, j]] for j in range(BLOCKS)]))  # block x value x item
+            self.classes[size] = (own, prints, [_table(prints[:, j]) for j in range(BLOCKS)])
         self.known = {}
         for g, lists in by_gram.items():
             keys = np.unique(np.concatenate([x for x, _ in lists]))
@@ -78,8 +98,11 @@ class Index:
             table[(keys >> _U(64 - _FILTER)).astype(np.int64)] = True
             self.known[g] = (keys, table, lengths)
 
-    def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
-        """(row, item, first word, words, similarity): for each text and item that match, the best window."""
+    def leaks(self, texts: pa.Array, radius: int = RADIUS) -> Iterator[tuple[int, int, int, int, float]]:
+        """(row, item, first word, words, similarity): for each text and item that match, the best window.
+
+        A radius of 64 verifies every window and item that share a shingle.
+        """
         words = Words(texts)
         for g, (keys, table, lengths) in self.known.items():
             grams, at = words.grams(g)
@@ -92,11 +115,11 @@ class Index:
                 here, there = maybe[rows == row] - at[row], key[rows == row]
                 best: dict[int, tuple[float, int, int]] = {}
                 for size, has in lengths.items():
-                    self._windows(grams[at[row] : at[row + 1]], here[has[there]], size, g, best)
+                    self._windows(grams[at[row] : at[row + 1]], here[has[there]], size, g, best, radius)
                 for k, (value, begin, n) in sorted(best.items()):
                     yield row, self.ids[k], begin, n, value
 
-    def _windows(self, grams: np.ndarray, hits: np.ndarray, size: int, g: int, best: dict) -> None:
+    def _windows(self, grams: np.ndarray, hits: np.ndarray, size: int, g: int, best: dict, radius: int) -> None:
         """Windows of `size` words that hold a hit: fingerprints, look-up, verification."""
         if not len(hits):
             return
@@ -111,12 +134,13 @@ class Index:
                 total = np.zeros((high - low + 1, 64), np.int32)
                 np.cumsum(_signs(grams[low:high]), axis=0, out=total[1:])
                 found = fingerprint(total[np.minimum(group - low + span, high - low)] - total[group - low])
-                close = np.zeros((len(group), len(own)), bool)
-                for j in range(BLOCKS):
-                    close |= near[j][found[:, j]]
-                for a, b in zip(*np.nonzero(close)):
-                    if _BITS[found[a] ^ prints[b]].sum() > RADIUS:
-                        continue
+                if radius < 64:
+                    windows, them = _looked_up(near, found, len(own))
+                    near_enough = np.bitwise_count(found[windows] ^ prints[them]).sum(axis=1) <= radius
+                    windows, them = windows[near_enough], them[near_enough]
+                else:
+                    windows, them = (x.ravel() for x in np.indices((len(group), len(own))))
+                for a, b in zip(windows, them):
                     item, begin = int(own[b]), int(group[a])
                     window = grams[begin : begin + span]
                     value = weighted_similarity(window, self.grams[item])
@@ -134,7 +158,7 @@ def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple]]:
             yield [tuple(x) for x in rows[a : a + 2 * block_items]]
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, block_items: int = 2000) -> DataFrame:
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, block_items: int = 2000, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): the best window of each matching document and item."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -146,7 +170,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    found = list(index.value.leaks(part.column(1)))
+                    found = list(index.value.leaks(part.column(1), radius))
                     if found:
                         rows = pa.array([x[0] for x in found], pa.int64())
                         yield pa.RecordBatch.from_arrays([part.column(0).take(rows), *(pa.array([x[i] for x in found]) for i in range(1, 5))], names=kinds.names)
@@ -155,6 +179,13 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0
     return out
 
 
+def measured_recall(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, block_items: int = 2000) -> tuple[int, int]:
+    """(found, all): pairs of documents with ids divisible by 50 and items that the fingerprints find, of those that the
+    similarity of every window with a common shingle finds."""
+    some = docs.where("doc_id % 50 = 0")
+    return benchmark_leaks(some, benchmark, similarity, block_items).count(), benchmark_leaks(some, benchmark, similarity, block_items, radius=64).count()
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, block_items: int = 2000) -> DataFrame:
     """The rows of docs without a leak: one pass for each block of the benchmark, no shuffle."""
     spark = docs.sparkSession

@@ -7,8 +7,8 @@ are compiled into one Spark column expression over the statistics.
 The model is fitted on at most `max_rows` labelled rows, those with the smallest hash of their id: a documented bound.
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out of fitting. Labels, lang, source and doc_id are no inputs.
 
-Nulls: a null text is an empty one; all its statistics are 0 and it gets a score. A null id is never held out. Null or
-repeated labels: nulls are left out, repeated rows count as often as they stand. Without labelled rows the score is 0.5;
+Nulls: a null text is an empty one; all its statistics are 0 and it gets a score. A null id is never held out. Labels
+other than 0 and 1, null among them, are left out; repeated rows count as often as they stand. Without labelled rows the score is 0.5;
 with one class only it is that class's share. Other columns pass through untouched; the statistics' own column takes a
 name that docs does not have.
 """
@@ -144,7 +144,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, trees: int = 24, depth: int = 3, penalty: float = 0.0005, seed: int = 7) -> Rules:
     """Fit on at most max_rows labelled, not held-out rows."""
-    usable = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    usable = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     some = usable.select("doc_id", F.col("quality").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     known = docs.select("doc_id", "text").join(F.broadcast(cut(some)), "doc_id")  # max_rows pairs of numbers
     table = cut(with_statistics(known, "stats", ["label"]))

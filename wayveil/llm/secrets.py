@@ -4,7 +4,7 @@ Every version of every path is content-addressed by the SHA-256 of its text. The
 rule_version) pairs that were scanned, with their findings. A scan takes only the blobs that the ledger has not seen
 under the present rules, reads each of them once, appends to the ledger and joins the findings back to all paths.
 
-A null text counts as empty. Repeated rows each get a result row. A null path is a path like any other. Other columns
+A rule version is a hash of the rules themselves. A null text counts as empty. Repeated rows each get a result row. A null path is a path like any other. Other columns
 are ignored. Positions are code points, end exclusive; spans are ordered by start, then by kind in the order of KINDS.
 """
 
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, cut
 
-RULE_VERSION = "1"
 _FLAGS = re.ASCII
 #: Kind, pattern, the group that is measured, its least length.
 KINDS = (
@@ -30,6 +29,8 @@ KINDS = (
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----", _FLAGS), 0, 1),
     ("webtoken", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", _FLAGS), 0, 1),
 )
+#: Changes with the rules.
+RULE_VERSION = hashlib.sha256(repr([(kind, p.pattern, int(p.flags), group, least) for kind, p, group, least in KINDS]).encode()).hexdigest()[:16]
 BASE = ("assign", "access", "hex")
 FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -71,6 +72,17 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rule_version: str
     return found.dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
 
 
+def scan_with_ledger(table: DataFrame, folder: str, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """Findings of every row's path; the ledger is kept as a Parquet table in `folder` and gets the new pairs only."""
+    spark = table.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    ledger = spark.read.parquet(folder) if there else None
+    new = cut(scan(versions(table, path, text), ledger))
+    new.write.mode("append").parquet(folder)
+    return secret_scan(table, path, text, spark.read.parquet(folder))[0]
+
+
 def secret_scan(table: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(findings of every row's path, the ledger with the new pairs). Findings: path, blob and FINDINGS."""
     history = versions(table, path, text)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, bounded_batches, cut, mix, slices
+from .shared import Words, bounded_batches, cut, marked, mix, slices
 
 BREAKS = b".!?"
 SEED = 32
@@ -149,5 +149,7 @@ def span_dedup(docs: DataFrame, least_sentences: int = 2, least_words: int = 16,
     key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))
     grouped = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).agg(F.collect_list(F.struct("first", "last")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
     grouped = cut(grouped)
-    out = _keyed(docs).join(grouped.drop("first_docs"), key).select("doc_id", "text_key", "text", "spans").mapInArrow(_cut_out, _OUT)
+    # Only texts whose id has spans move to meet them.
+    some = marked(_keyed(docs), F.col("doc_id"), grouped.select("_id")).where("_hit")
+    out = some.join(grouped.drop("first_docs"), key).select("doc_id", "text_key", "text", "spans").mapInArrow(_cut_out, _OUT)
     return out.join(grouped.drop("spans"), key).drop("_id", "_text")
