@@ -63,7 +63,7 @@ def test_state_paths_and_calibration(spark):
 
 
 def test_adaptive_walks(spark):
-    states, near, walked, first, paths, trips_ = catalog._adaptive_model(spark, SF)
+    states, near, walked, first, paths, trips_ = catalog._adaptive_model(a.points(spark, SF))
     top = {r.state: (r.row, r.col) for r in states.collect()}
     got = catalog.queries()["y3_synth_adaptive"](spark, SF).orderBy("traj_id", "seq").collect()
     walks = {}

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.tables import cut, ranked
@@ -71,10 +72,11 @@ def assign_states(pts: DataFrame, top: Grid, states: DataFrame, closed: bool = F
     at = (assign_all_closed(pts, top) if closed else assign_cell(pts, top, "snap_lower")).join(F.broadcast(cells), "cell")
     x, y = (F.col("x"), top.x0 + F.col("row") * top.w, top.w / F.col("m")), (F.col("y"), top.y0 + F.col("col") * top.h, top.h / F.col("m"))
     if closed:
-        both = lambda v: F.explode(F.array_distinct(F.array(bound(up(*v)), bound(down(*v)))))
-        at = at.withColumn("si", both(x)).withColumn("sj", both(y))
-    else:
-        at = at.withColumn("si", bound(down(*x))).withColumn("sj", bound(down(*y)))
+        # The places beside the computed one as well; the states' own boxes decide.
+        around = lambda v: F.explode(F.array_distinct(F.array(bound(up(*v) - 1), bound(up(*v)), bound(up(*v) + 1))))
+        at = at.withColumn("si", around(x)).withColumn("sj", around(y)).join(states.select("cell", "si", "sj", "state", "x0", "x1", "y0", "y1"), ["cell", "si", "sj"])
+        return at.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select(*pts.columns, "state")
+    at = at.withColumn("si", bound(down(*x))).withColumn("sj", bound(down(*y)))
     return at.join(states.select("cell", "si", "sj", "state"), ["cell", "si", "sj"]).select(*pts.columns, "state")
 
 
@@ -132,7 +134,7 @@ def state_paths(states: DataFrame, near: DataFrame) -> DataFrame:
     return states.select("state").repartition("state").mapInPandas(walk, "src int, dst int, steps int, coarse int")
 
 
-def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask: DataFrame, total: float, rounds: int = 50) -> DataFrame:
+def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask: DataFrame, total: float, rounds: int = 25) -> DataFrame:
     """(src, dst, w): trips whose lengths-weighted sums fit the starts (src, w) and the stops (dst, w), over allowed pairs.
 
     A trip of a pair weighs 1 / steps. The sums are fitted in turn, which lessens both errors in every round until they
@@ -143,12 +145,11 @@ def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask:
     base = cut(base.where("a > 0 and b > 0").select("src", "dst", "a", "b", F.greatest(F.col("steps"), F.lit(1)).alias("steps"), F.lit(1.0).alias("v")))
     for k in range(rounds):
         for side, want in (("src", "a"), ("dst", "b")):
-            sums = base.groupBy(side).agg((F.first(want) / F.sum("v")).alias("by"))
-            base = base.join(sums, side).withColumn("v", F.col("v") * F.col("by")).drop("by")
+            base = base.withColumn("v", F.col("v") * F.col(want) / F.sum("v").over(W.partitionBy(side)))
         if k % 5 == 4:
             base = cut(base)
     trips = base.select("src", "dst", (F.col("v") * F.col("steps")).alias("w"))
-    scaled = lambda df: df.crossJoin(F.broadcast(df.agg(F.sum("w").alias("_all")))).withColumn("w", F.col("w") / F.col("_all") * total).drop("_all")  # noqa: E731  one row
+    scaled = lambda df: df.crossJoin(F.broadcast(df.agg(F.sum("w").alias("_all")))).withColumn("w", F.try_divide("w", "_all") * total).drop("_all")  # noqa: E731  one row
     return scaled(cut(scaled(trips).where("w >= 0.8")))
 
 

@@ -438,11 +438,10 @@ def _(spark, d):
     return model.space_time_transitions(_space_time(spark, d), 6, 6).select("cell", "t", "cell2", "t2", r6("w"))
 
 
-def _adaptive_model(spark, d):
-    """States, their neighbours and paths, first-order moves, sensitive states and calibrated trips, without noise."""
-    p = a.points(spark, d)
-    states = _states(spark, d)
-    near, walked = cut(adaptive.subcell_neighbours(states)), grid.cell_sequence(adaptive.assign_states(p, _TOPGRID, states).withColumnRenamed("state", "cell"))
+def _adaptive_model(p, top=_TOPGRID, beta: float = 0.8):
+    """States, their neighbours, the trips' states, first-order moves, paths and calibrated trips, without noise."""
+    states = adaptive.sqrt_states(p, top, beta)
+    near, walked = cut(adaptive.subcell_neighbours(states)), grid.cell_sequence(adaptive.assign_states(p, top, states).withColumnRenamed("state", "cell"))
     walked, paths = cut(walked), cut(adaptive.state_paths(states, near))
     first = cut(model.transitions_start_end(walked))
     mask = model.two_step_mask(first.where("src >= 0 and dst >= 0"), near.select(F.col("state").alias("cell"), "other"))
@@ -453,7 +452,7 @@ def _adaptive_model(spark, d):
 
 @query("a7_calibrate_trips")
 def _(spark, d):
-    return _adaptive_model(spark, d)[5].select("src", "dst", r6("w"))
+    return _adaptive_model(a.short_trips(spark, d), grid.Grid(0.0, 110.0, 0.0, 51.0, 4), 0.01)[5].select("src", "dst", r6("w"))
 
 
 @query("a8_state_paths")
@@ -514,7 +513,7 @@ def _(spark, d):
 
 @query("y3_synth_adaptive")
 def _(spark, d):
-    states, near, walked, first, paths, trips = _adaptive_model(spark, d)
+    states, near, walked, first, paths, trips = _adaptive_model(a.points(spark, d))
     second = model.second_order(walked, model.sensitive_states(first, 5.0), first)
     limits = model.length_thresholds(trips, states.select(F.col("state").alias("cell"), "row", "col"), _TOPGRID.n**2)
     # The trips of the table leap over top cells at most moves, so walks that may not do so come from the moves between neighbours.
