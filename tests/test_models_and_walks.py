@@ -245,3 +245,33 @@ def test_nearest_edge_against_brute_force(spark):
     got = {r.seq: (r.node_id, r.edge_id) for r in network.nearest_road(pts, nodes, edges, 0.05).collect()}
     for k, q in enumerate(p):
         assert got[k][0] == np.argmin(np.hypot(*(at - q).T)) and got[k][1] == np.argmin([far(q, at[u], at[v]) for _, u, v, _ in lines])
+
+
+def test_measures_on_the_network(spark):
+    from wayveil.functions.measures import matrix_measure
+    from wayveil.operators import similarity
+
+    rng = np.random.default_rng(4)
+    lines = [(k, int(u), int(v), float(w)) for k, (u, v, w) in enumerate(zip(rng.integers(0, 12, 18), rng.integers(0, 12, 18), rng.integers(500, 4000, 18)))]
+    edges = spark.createDataFrame(lines, "edge_id long, start_node long, end_node long, length double")
+    d = np.full((12, 12), 10_000.0)
+    for _, u, v, w in lines:  # a last edge wins
+        d[u, v] = d[v, u] = w
+    np.fill_diagonal(d, 0)
+    for k in range(12):
+        d = np.minimum(d, d[:, [k]] + d[[k], :])
+    trips_ = {i: rng.integers(0, 12, n).tolist() for i, n in enumerate([3, 5, 1, 7, 0])}
+    table = spark.createDataFrame(list(trips_.items()), "traj_id long, nodes array<long>")
+    pairs = spark.createDataFrame([(i, j) for i in trips_ for j in trips_], "i long, j long")
+
+    def edit(a, b, cost, gap):
+        t = np.zeros((len(a) + 1, len(b) + 1))
+        t[:, 0], t[0] = np.arange(len(a) + 1) * gap, np.arange(len(b) + 1) * gap
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = min(t[i, j] + cost(d[a[i], b[j]]), t[i, j + 1] + gap, t[i + 1, j] + gap)
+        return t[-1, -1]
+
+    for name, p, cost, gap in (("edr", {"threshold": 2000.0}, lambda x: float(x > 2000), 1.0), ("erp", {"gap": 2.0}, lambda x: x / 1000, 2.0)):
+        got = {(r.i, r.j): r.score for r in similarity.score_on_network(pairs, table, table, edges, matrix_measure(name, **p)).collect()}
+        assert len(got) == 25 and all(math.isclose(v, edit(trips_[i], trips_[j], cost, gap), abs_tol=1e-9) for (i, j), v in got.items())

@@ -66,30 +66,50 @@ def _pairs(f):
     return over
 
 
+def _edr(far: np.ndarray, p: dict) -> float:
+    return float(max(far.shape)) if not far.size else edit_table((far > p.get("threshold", 1000.0)).astype(float), 1.0)
+
+
+def _erp(far: np.ndarray, p: dict) -> float:
+    gap = p.get("gap", 1.0)
+    return max(far.shape) * gap if not far.size else edit_table(far / 1000.0, gap)
+
+
+def _tp(far: np.ndarray, p: dict) -> float:
+    if not far.size:
+        return 0.0
+    d = np.exp(-far / 1000.0)
+    space = d.max(axis=1).mean() + d.max(axis=0).mean()
+    late = lambda m, n: np.exp(-np.maximum(np.arange(m) - (n - 1), 0)).mean()
+    return -(0.99 * space + 0.01 * (late(*far.shape) + late(*far.shape[::-1])))
+
+
+def matrix_measure(name: str, **p):
+    """A column function of the distances (array, row by row) between the points of two trips and the trips' sizes."""
+    score = {"edr": _edr, "erp": _erp, "tp": _tp}[name]
+
+    def over(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([score(np.asarray(x, float).reshape(a, b), p) for x, a, b in zip(d, m, n)], dtype=float)
+
+    return F.pandas_udf(over, "double")
+
+
 def measure(name: str, **p):
     """A column function of two arrays. edr, erp, dtw, tp: of points (x, y); lcrs: of segment ids. planar=True: no degrees."""
     far = _plane if p.get("planar") else _metres
 
     def edr(a, b):
-        a, b = _points(a), _points(b)
-        return float(max(len(a), len(b))) if not len(a) or not len(b) else edit_table((far(a, b) > p.get("threshold", 1000.0)).astype(float), 1.0)
+        return _edr(far(_points(a), _points(b)), p)
 
     def erp(a, b):
-        a, b, gap = _points(a), _points(b), p.get("gap", 1.0)
-        return max(len(a), len(b)) * gap if not len(a) or not len(b) else edit_table(far(a, b) / 1000.0, gap)
+        return _erp(far(_points(a), _points(b)), p)
 
     def dtw(a, b):
         a, b = _points(a), _points(b)
         return float("inf") if not len(a) or not len(b) else edit_table(_plane(a, b), 0.0, "none")
 
     def tp(a, b):
-        a, b = _points(a), _points(b)
-        if not len(a) or not len(b):
-            return 0.0
-        d = np.exp(-far(a, b) / 1000.0)
-        space = d.max(axis=1).mean() + d.max(axis=0).mean()
-        late = lambda m, n: np.exp(-np.maximum(np.arange(m) - (n - 1), 0)).mean()
-        return -(0.99 * space + 0.01 * (late(len(a), len(b)) + late(len(b), len(a))))
+        return _tp(far(_points(a), _points(b)), p)
 
     def lcrs(a, b):
         both = common(list(a), list(b))

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import haversine_m, unit_hash
-from wayveil.functions.tables import ranked
+from wayveil.functions.tables import cut, ranked
 from wayveil.functions.workers import ready
 from wayveil.operators.grid import TRIP
+from wayveil.operators.network import network_distance
 
 
 def trajs(pts: DataFrame) -> DataFrame:
@@ -38,6 +39,20 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, measure) ->
     return both.select("i", "j", measure("a", "b").alias("score"))
 
 
+def score_on_network(pairs: DataFrame, left: DataFrame, right: DataFrame, edges: DataFrame, measure, cutoff: float = 10_000.0) -> DataFrame:
+    """(i, j, score) by distances over the road network; left and right: (traj_id, nodes), at most some 50 nodes a trip.
+
+    measure: a matrix_measure. Distances are found once for each pair of nodes that some pair of trips needs.
+    """
+    ready(pairs.sparkSession)
+    both = cut(pairs.join(left.select(F.col("traj_id").alias("i"), F.col("nodes").alias("a")), "i").join(right.select(F.col("traj_id").alias("j"), F.col("nodes").alias("b")), "j"))
+    grid = both.select("i", "j", F.posexplode("a").alias("p", "u"), "b").select("i", "j", "p", "u", F.posexplode("b").alias("q", "v"))
+    far = cut(network_distance(grid.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), edges, cutoff)).toDF("u", "v", "d")
+    cells = grid.join(far, ["u", "v"]).groupBy("i", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q", "d"))), lambda x: x["d"]).alias("d"))
+    whole = both.select("i", "j", F.size("a").alias("m"), F.size("b").alias("n")).join(cells, ["i", "j"], "left")
+    return whole.select("i", "j", measure(F.coalesce("d", F.array().cast("array<double>")), "m", "n").alias("score"))
+
+
 def trip_length(pts: DataFrame, segs: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """(dataset, traj_id, metres): by segments where a trip has some, else along its points; 0 for under two points."""
     own = W.partitionBy(*TRIP).orderBy("seq")

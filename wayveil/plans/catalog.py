@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayveil.functions import scalar
-from wayveil.functions.measures import lors, measure
+from wayveil.functions.measures import lors, matrix_measure, measure
 from wayveil.functions.tables import cut, shared_folder
 from wayveil.operators import adaptive, attack, clean, grid, model, network, similarity, synth, utility
 from wayveil.operators.adaptive import synth_adaptive
@@ -951,6 +951,30 @@ def _(spark, d):
     return _scores(spark, d, measure("tp"))
 
 
+def _on_network(spark, d, m):
+    """Pairs of the short trips, as the nodes at which their segments end."""
+    e = a.edges(spark, d)
+    ends = a.short_trips(spark, d).join(e.select(F.col("edge_id").alias("segment_id"), "end_node"), "segment_id")
+    own = F.array_sort(F.collect_list(F.struct("seq", "end_node")))
+    o, s = both(ends.groupBy("dataset", "traj_id").agg(F.transform(own, lambda p: p["end_node"]).alias("nodes")))
+    return similarity.score_on_network(similarity.sample_pairs(o, s, 10_000), o, s, e, m)
+
+
+@query("t2_network_edr")
+def _(spark, d):
+    return _on_network(spark, d, matrix_measure("edr", threshold=3000.0))
+
+
+@query("t3_network_erp")
+def _(spark, d):
+    return _on_network(spark, d, matrix_measure("erp"))
+
+
+@query("t7_network_tp")
+def _(spark, d):
+    return _on_network(spark, d, matrix_measure("tp"))
+
+
 @query("t4_lors")
 def _(spark, d):
     o, s = both(_segments(spark, d))
