@@ -29,3 +29,13 @@ def test_stages(spark, tmp_path):
     rows = sorted(kept[4][1].collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted(taken) and rows[0].start == 0
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+
+
+def test_stages_of_an_empty_table_and_odd_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, "", None, None, None), (None, None, "en", "s", 0), (7, "word " * 30_000, None, "s", 1), (7, "word " * 30_000, None, "t", 1)], docs.schema)
+    for rows in (docs.where("false"), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, sf)
+            assert rows.count() >= 0, name

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import Words, bounded_batches, cut, jaccard_at_least, marked, mix, scratch, slices
 
 #: Nodes on each side of a unit of a bucket.
-UNIT = 512
+UNIT = 256
 _U = np.uint64
 _SIGNED = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 #: A node's number XOR one of these is its place in one of the orders that choose hubs.
