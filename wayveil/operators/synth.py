@@ -268,9 +268,9 @@ def defend_bayesian(o_cells: DataFrame, synthetic: DataFrame, zone: int, theta:
     raise ValueError(f"the trips through the zone still differ by more than {theta} after {rounds} rounds")
 
 
-def _refilled(kept: DataFrame, missing: int, generate, avoid: list[int], rounds: int) -> DataFrame:
-    """kept (points with cell) and `missing` new trips that avoid some cells, drawn in rounds until there are enough."""
-    first = _fresh_ids(kept)
+def _refilled(kept: DataFrame, missing: int, first: int, generate, avoid: list[int], rounds: int) -> DataFrame:
+    """kept (points with cell) and `missing` new trips, with ids from `first` on, that avoid some cells: drawn in rounds
+    until there are enough."""
     for k in range(rounds):
         if not missing:
             return kept
@@ -287,11 +287,11 @@ def defend_sniffing(o_pts: DataFrame, synthetic: DataFrame, sniff: int, sensitiv
     """The synthetic points (with cell), with the trips that K4 finds leaking replaced by trips that avoid both zones."""
     synthetic = cut(synthetic)
     leaking = cut(partial_sniffing(o_pts, synthetic, sniff, sensitive, threshold, tol).where("fails").select(F.col("j").alias("traj_id")).distinct())
-    return _refilled(cut(synthetic.join(leaking, "traj_id", "left_anti")), leaking.count(), generate, [sniff, sensitive], rounds)
+    return _refilled(cut(synthetic.join(leaking, "traj_id", "left_anti")), leaking.count(), _fresh_ids(synthetic), generate, [sniff, sensitive], rounds)
 
 
 def defend_outliers(o_pts: DataFrame, synthetic: DataFrame, generate, **parameters) -> DataFrame:
     """The synthetic points (with cell), with the outliers that K11 finds linkable replaced by new trips."""
     synthetic = cut(synthetic)
     linkable = cut(leaking_outliers(o_pts, synthetic, **parameters)[1].distinct())
-    return _refilled(cut(synthetic.join(linkable, "traj_id", "left_anti")), linkable.count(), generate, [], 1)
+    return _refilled(cut(synthetic.join(linkable, "traj_id", "left_anti")), linkable.count(), _fresh_ids(synthetic), generate, [], 1)
