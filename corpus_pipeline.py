@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayveil.llm import decontaminate, mixing, near_dedup, quality, token_file
 from wayveil.llm.queries_path import tokenizer_path
-from wayveil.llm.shared import shared_folder
+from wayveil.llm.shared import scratch, shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch(spark):  # what the stage cut on its way goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
