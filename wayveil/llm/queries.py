@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, mixing, near_dedup, quality, secrets, span_dedup, token_count, token_file, vectors
+from . import alignment, chat, decontaminate, mixing, near_dedup, quality, secrets, span_dedup, token_count, token_file, vectors
 from .queries_path import tokenizer_path
 
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,6 +57,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat(_table(spark, sf_dir, "conversations"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    return alignment.aligned(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), digest).withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": op1,
@@ -68,6 +74,7 @@ def queries() -> dict:
         "op8_quality": op8,
         "op9_near_vectors": op9,
         "op10_quotation_chat": op10,
+        "op11_token_alignment": op11,
         "pipeline": corpus_pipeline.run,
     }
 
