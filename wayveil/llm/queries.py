@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import alignment, chat, decontaminate, mixing, near_dedup, phrases, quality, secrets, span_dedup, token_count, token_file, vectors
+from . import alignment, chat, decontaminate, languages, mixing, near_dedup, phrases, quality, secrets, span_dedup, token_count, token_file, vectors
 from .queries_path import tokenizer_path
 
 
@@ -66,6 +66,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(_table(spark, sf_dir, "documents")).drop("mixture")
+
+
 PHRASES_SQL = r"""
 WITH docs AS (
     SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -116,6 +120,7 @@ def queries() -> dict:
         "op10_quotation_chat": op10,
         "op11_token_alignment": op11,
         "op12_phrases": op12,
+        "op13_language_mixture": op13,
         "pipeline": corpus_pipeline.run,
     }
 
