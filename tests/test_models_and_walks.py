@@ -153,10 +153,31 @@ def test_sniffing_finds_the_nearest_part(spark):
     sniff = s.groupBy("cell").agg(F.count_distinct("traj_id").alias("n")).orderBy(F.desc("n"), "cell").first().cell
     part = lambda df: {k: [(r.x, r.y) for r in v] for k, v in _grouped(attack.first_segment_in_cell(df, sniff)).items()}
     left, right = part(o), part(s)
-    got = {r.i: r for r in attack.partial_sniffing(o, s, sniff, 1).collect()}
+    got = {r.i: r for r in attack.partial_sniffing(o, s, sniff, 1, tol=10.0).collect()}
     assert got.keys() == left.keys() and len(got) > 2
     for i, r in got.items():
         assert math.isclose(r.dtw, min(dtw(left[i], y) for y in right.values()), rel_tol=1e-9)
+        mine, theirs = ([(q.x, q.y) for q in _grouped(df)[k]] for df, k in ((o, i), (s, r.j)))
+        assert r.n == sum(any(math.dist(p, q) < 10 for q in theirs) for p in mine)
+
+
+@pytest.mark.parametrize("least", [0.4, 0.8])
+def test_reidentification_against_plain_code(spark, least):
+    """Most trips stand in one region; some users tell the same, some twins are equal."""
+    rng = np.random.default_rng(6)
+    diaries = {i: tuple(int(r) for r in np.where(rng.random(5) < 0.6, 1, rng.integers(2, 6, 5))) for i in range(60)}
+    diaries |= {60 + i: diaries[2 * i] for i in range(10)}
+    rows = [("original" if i % 2 else "synthetic", i, b, r) for i, d in diaries.items() for b, r in enumerate(d)]
+    frames = spark.createDataFrame(rows, "dataset string, traj_id long, bin int, region int")
+    got = {r.user: (r.rate, r.found) for r in attack.reidentification(frames, 5, least).collect()}
+    twins = {i: d for i, d in diaries.items() if i % 2 == 0}
+    for i, d in diaries.items():
+        if i % 2:
+            rates = {j: sum(x == y for x, y in zip(d, e)) / 5 for j, e in twins.items()}
+            best = [twins[j] for j, r in rates.items() if r == max(rates.values()) and r > least]
+            guess = [max({e[b] for e in best}, key=lambda r: (sum(e[b] == r for e in best), -r)) for b in range(5)] if best else []
+            assert got[i] == pytest.approx((max(rates.values()), np.mean([x == y for x, y in zip(guess, d)])) if best else (0, 0))
+    assert len(got) == sum(i % 2 for i in diaries)
 
 
 def _grouped(df):

@@ -1,4 +1,4 @@
-"""Pair measures over arrays, as pandas functions: one pair a row."""
+"""Pair measures over arrays, as pandas functions: a pair a row, many of them computed at once."""
 
 from __future__ import annotations
 
@@ -24,21 +24,65 @@ def _plane(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
 
 
-def edit_table(match: np.ndarray, step: float, first: str = "step") -> float:
-    """Least cost path over match costs; each skip costs `step`. first "none": the path starts and ends at the corners (DTW)."""
-    m, n = match.shape
-    if first == "none":
-        row = np.cumsum(match[0])
-        for i in range(1, m):
-            new = np.empty(n)
-            new[0] = row[0] + match[i, 0]
-            for j in range(1, n):
-                new[j] = match[i, j] + min(row[j], row[j - 1], new[j - 1])
-            row = new
-        return float(row[-1])
+def dtw_many(ax, ay, bx, by, limit: np.ndarray | None = None) -> np.ndarray:
+    """DTW of many pairs of point sequences, anti-diagonal by anti-diagonal; infinite where it is above the pair's limit.
+
+    Pairs of like sizes are taken together, some STEP numbers at once. A path steps over one anti-diagonal at most, so a
+    pair leaves when all of two neighbouring ones are above its limit.
+    """
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (ax, bx))
+    out = np.full(len(m), np.inf)
+    limit = np.full(len(m), np.inf) if limit is None else np.asarray(limit, float)
+    order = np.lexsort((np.maximum(m, n), np.minimum(m, n)))
+    order = order[(m[order] > 0) & (n[order] > 0)]
+    while len(order):
+        width = np.maximum(m[order], n[order])
+        upto = max(1, int(np.searchsorted(np.arange(1, len(order) + 1) * np.maximum.accumulate(width), STEP)))
+        some, order = order[:upto], order[upto:]
+        out[some] = _wavefront([ax[k] for k in some], [ay[k] for k in some], [bx[k] for k in some], [by[k] for k in some], m[some], n[some], limit[some])
+    return out
+
+
+#: Numbers of a side that a step of the wavefront takes.
+STEP = 1 << 14
+
+
+def _wavefront(ax, ay, bx, by, m: np.ndarray, n: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    def padded(rows, size):
+        out = np.zeros((len(rows), size))
+        for k, row in enumerate(rows):
+            out[k, : len(row)] = row
+        return out
+
+    most_m, most_n = int(m.max()), int(n.max())
+    ax, ay, bx, by = padded(ax, most_m), padded(ay, most_m), padded(bx, most_n), padded(by, most_n)
+    out, who, most = np.full(len(m), np.inf), np.arange(len(m)), limit
+    before = last = np.full((len(m), most_m + 1), np.inf)  # place i + 1 has point i of a
+    for k in range(most_m + most_n - 1):
+        low, high = max(0, k - most_n + 1), min(most_m - 1, k)
+        there = slice(k - high, k - low + 1)
+        cost = np.hypot(ax[:, low : high + 1] - bx[:, there][:, ::-1], ay[:, low : high + 1] - by[:, there][:, ::-1])
+        best = np.minimum(np.minimum(last[:, low + 1 : high + 2], last[:, low : high + 1]), before[:, low : high + 1]) if k else 0.0
+        now = np.full_like(last, np.inf)
+        now[:, low + 1 : high + 2] = cost + best
+        ended = m + n - 2 == k
+        out[who[ended]] = now[ended, m[ended]]
+        stay = ~ended & (np.minimum(now.min(axis=1), last.min(axis=1)) <= limit)
+        before, last = last, now
+        if not stay.any():
+            break
+        if 2 * stay.sum() <= len(stay):
+            ax, ay, bx, by, m, n, limit, who, before, last = (x[stay] for x in (ax, ay, bx, by, m, n, limit, who, before, last))
+    out[out > most] = np.inf
+    return out
+
+
+def edit_table(match: np.ndarray, step: float) -> float:
+    """Least cost path over match costs; each skip costs `step`."""
+    n = match.shape[1]
     row = np.arange(n + 1) * step
-    for i in range(m):
-        low = np.minimum(row[:-1] + match[i], row[1:] + step)
+    for cost in match:
+        low = np.minimum(row[:-1] + cost, row[1:] + step)
         # new[j] = min over k <= j of low[k] + (j - k) * step: a running minimum after taking the slope away
         slope = np.arange(n + 1) * step
         row = np.minimum.accumulate(np.concatenate([[row[0] + step], low]) - slope) + slope
@@ -46,16 +90,29 @@ def edit_table(match: np.ndarray, step: float, first: str = "step") -> float:
 
 
 def common(a, b, lengths: dict | None = None) -> float:
-    """Length-weighted longest common subsequence; the first row and column keep the longest match only."""
+    """Length-weighted longest common subsequence.
+
+    An id has one length, so a match never loses against a skip, and a row is the running maximum of what the row before
+    has there and what a match adds. Without lengths, rows are sets of steps, the bits of one whole number.
+    """
     if not len(a) or not len(b):
         return 0.0
-    size = [1.0 if lengths is None else lengths.get(x, 1.0) for x in a]
-    row = np.maximum.accumulate([(1.0 if lengths is None else lengths.get(y, 1.0)) if y == a[0] else 0.0 for y in b])
-    for i in range(1, len(a)):
-        new = [max(row[0], size[i] if a[i] == b[0] else 0.0)]
-        for j in range(1, len(b)):
-            new.append(row[j - 1] + size[i] if a[i] == b[j] else max(row[j], new[-1]))
-        row = new
+    if lengths is None:
+        places: dict = {}
+        for k, x in enumerate(a):
+            places[x] = places.get(x, 0) | 1 << k
+        whole = (1 << len(a)) - 1
+        row = whole
+        for y in b:
+            met = row & places.get(y, 0)
+            row = ((row + met) | (row - met)) & whole
+        return float(len(a) - row.bit_count())
+    ids: dict = {}
+    codes = [np.array([ids.setdefault(x, len(ids)) for x in side]) for side in (a, b)]
+    weights = np.array([lengths.get(x, 1.0) for x in ids])
+    row = np.zeros(len(b) + 1)
+    for x in codes[0]:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(codes[1] == x, row[:-1] + weights[x], 0.0)))
     return float(row[-1])
 
 
@@ -104,9 +161,9 @@ def measure(name: str, **p):
     def erp(a, b):
         return _erp(far(_points(a), _points(b)), p)
 
-    def dtw(a, b):
-        a, b = _points(a), _points(b)
-        return float("inf") if not len(a) or not len(b) else edit_table(_plane(a, b), 0.0, "none")
+    def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
+        left, right = ([_points(x) for x in side] for side in (a, b))
+        return pd.Series(dtw_many([x[:, 0] for x in left], [x[:, 1] for x in left], [x[:, 0] for x in right], [x[:, 1] for x in right]), dtype=float)
 
     def tp(a, b):
         return _tp(far(_points(a), _points(b)), p)
@@ -116,7 +173,7 @@ def measure(name: str, **p):
         whole = len(a) + len(b) - both
         return -both / whole if whole > 0 else 0.0
 
-    return F.pandas_udf(_pairs({"edr": edr, "erp": erp, "dtw": dtw, "tp": tp, "lcrs": lcrs}[name]), "double")
+    return F.pandas_udf(dtw if name == "dtw" else _pairs({"edr": edr, "erp": erp, "tp": tp, "lcrs": lcrs}[name]), "double")
 
 
 def lors():

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayveil.functions.measures import measure
 from wayveil.functions.tables import cut, ranked
-from wayveil.functions.workers import ready
-from wayveil.operators.grid import TRIP, assign_cell, cell_sequence, data_bounds, fill_route
+from wayveil.operators.grid import TRIP, Grid, assign_cell, cell_sequence, data_bounds, fill_route, nth_densest
 from wayveil.operators.model import od_counts, transitions
+from wayveil.operators.sequences import SequenceTree
 from wayveil.operators.utility import TINY, jsd, path_length
 
 
@@ -37,15 +38,40 @@ def reidentification(frames: DataFrame, known: int, least: float = 0.8, seed: in
     o, s = frames.where("dataset = 'original'"), frames.where("dataset = 'synthetic'")
     pick = F.row_number().over(W.partitionBy("traj_id").orderBy(F.xxhash64(F.lit(seed), "traj_id", "bin")))
     told = o.withColumn("_k", pick).where(F.col("_k") <= known).select(F.col("traj_id").alias("user"), "bin", "region")
-    # Only twins that agree somewhere meet a user: the others' rate is 0.
-    match = told.join(s.select(F.col("traj_id").alias("twin"), "bin", "region"), ["bin", "region"]).groupBy("user", "twin").agg((F.count("*") / known).alias("rate"))
-    top = match.withColumn("_best", F.max("rate").over(W.partitionBy("user"))).where((F.col("rate") == F.col("_best")) & (F.col("rate") > least)).select("user", "twin", "rate")
-    votes = top.join(s.select(F.col("traj_id").alias("twin"), "bin", "region"), "twin").groupBy("user", "rate", "bin", "region").agg(F.count("*").alias("n"))
-    modal = votes.groupBy("user", "rate", "bin").agg(F.max_by("region", F.struct("n", -F.col("region"))).alias("guess"))
-    right = modal.join(o.select(F.col("traj_id").alias("user"), "bin", "region"), ["user", "bin"]).groupBy("user", "rate").agg(F.avg((F.col("guess") == F.col("region")).cast("int")).alias("found"))
+    twins = s.select(F.col("traj_id").alias("twin"), "bin", "region")
+    asks, best, kinds = _best_twins(told, twins, known, least)
+    # Users who tell the same have the same diary; twins with equal regions in the told bins vote together.
+    said = kinds.join(twins, "twin").groupBy("diary", "bin", "region").agg(F.count("*").alias("n"))
+    votes = best.join(said, "diary").groupBy("ask", "rate", "bin", "region").agg(F.sum("n").alias("n"))
+    modal = votes.groupBy("ask", "rate", "bin").agg(F.max_by("region", F.struct("n", -F.col("region"))).alias("guess"))
+    own = asks.join(o.select(F.col("traj_id").alias("user"), "bin", "region"), "user")
+    right = own.join(modal, ["ask", "bin"]).groupBy("user", "rate").agg(F.avg((F.col("guess") == F.col("region")).cast("int")).alias("found"))
     return o.select(F.col("traj_id").alias("user")).distinct().join(right, "user", "left").fillna(0.0, ["rate", "found"])
 
 
+def _best_twins(told: DataFrame, diaries: DataFrame, known: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(user, ask): the regions told of each user; (ask, diary, rate): the diaries that agree with these best, on more than
+    least * known of them; (twin, diary): each twin's regions in the told bins.
+
+    A twin that agrees on `need` of them agrees on one of any known - need + 1, so only the rarest of a user's told regions
+    are looked up: a region that holds very many trips makes no pairs where rarer ones can stand in for it. Users who tell
+    the same, and twins with equal diaries, meet once.
+    """
+    need = math.floor(least * known + 1e-9) + 1
+    own = F.array_sort(F.collect_list(F.struct("bin", "region")))
+    asks = cut(told.groupBy("user").agg(own.alias("ask")))
+    bins = F.broadcast(told.select("bin").distinct())  # as many rows as bins
+    kinds = cut(diaries.join(bins, "bin", "left_semi").groupBy("twin").agg(own.alias("diary")))
+    once, whole = asks.select("ask").distinct(), kinds.groupBy("diary").agg(F.count("*").alias("n"))
+    places = cut(whole.select("diary", F.explode("diary").alias("at")))
+    spread = places.groupBy("at").agg(F.count("*").alias("often"))
+    rare = F.row_number().over(W.partitionBy("ask").orderBy(F.coalesce("often", F.lit(0)), "at"))
+    looked = once.select("ask", F.explode("ask").alias("at")).join(spread, "at", "left").withColumn("_r", rare).where(F.col("_r") <= F.size("ask") - need + 1).select("ask", "at")
+    met = cut(looked.join(places, "at").select("ask", "diary").distinct().withColumn("rate", F.size(F.array_intersect("ask", "diary")) / known).where(F.col("rate") > least))
+    best = cut(met.join(met.groupBy("ask").agg(F.max("rate").alias("rate")), ["ask", "rate"]))
+    return asks, best, kinds
+
+
 def bayesian_attack(o_cells: DataFrame, s_cells: DataFrame, zone: int, theta: float = 0.5) -> DataFrame:
     """One row: start_end, moves (divergences of trips through the zone from all trips), risk, passes."""
     through = s_cells.join(s_cells.where(F.col("cell") == zone).select(*TRIP).distinct(), TRIP, "left_semi")
@@ -106,29 +132,42 @@ def _by_growing_cells(left: DataFrame, data: DataFrame, settle) -> DataFrame:
         side *= 2
 
 
-def partial_sniffing(o: DataFrame, s: DataFrame, sniff: int, sensitive: int, threshold: int = 3, tol: float = 1.0) -> DataFrame:
+def partial_sniffing(o: DataFrame, s: DataFrame, sniff: int, sensitive: int, threshold: int = 5, tol: float = 0.001, side: int | None = None) -> DataFrame:
     """(i, j, dtw, n, visits, fails): for each original seen in the sniffed cell, the nearest synthetic one there.
 
-    It fails if the two meet at `threshold` points or the synthetic trip visits the sensitive cell. Points with cell. The
-    first points of two parts always meet, so a part that begins farther away than the best DTW so far cannot be nearer:
-    parts are met in cells about their first points that grow until the best one is inside.
+    n: points of the original within tol of the synthetic trip; visits: whether the synthetic trip comes through the
+    sensitive cell. It fails if n is `threshold` at least or if it visits. Points with cell. side: cells along the grid's
+    side; the routes between points count as visited then, else the points' cells only. Parts inside the cell are compared
+    by DTW over a SequenceTree, so only pairs are that its bounds do not settle.
     """
-    ready(o.sparkSession)
-    seen = lambda df, name: first_segment_in_cell(df, sniff).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias(name))
-    a = seen(o, "a").select(F.col("traj_id").alias("id"), F.col("a")[0]["x"].alias("x"), F.col("a")[0]["y"].alias("y"), "a")
-    b = seen(s, "b").select(F.col("traj_id").alias("j"), F.col("b")[0]["x"].alias("px"), F.col("b")[0]["y"].alias("py"), "b")
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        scored = pairs.select("id", "j", measure("dtw")("a", "b").alias("dtw"))
-        return scored.groupBy("id").agg(F.min_by("j", F.struct("dtw", "j")).alias("j"), F.min("dtw").alias("dtw")).withColumn("far", F.col("dtw"))
-
-    best = cut(_by_growing_cells(a, cut(b), nearest)).select(F.col("id").alias("i"), "j", "dtw")
-    meets = intersection_count(best.select("i", "j"), o, s, tol)
-    visits = s.where(F.col("cell") == sensitive).select(F.col("traj_id").alias("j"), F.lit(True).alias("visits")).distinct()
+    parts = lambda df, key, name: first_segment_in_cell(df, sniff).groupBy(F.col("traj_id").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda t: F.struct(t["x"].cast("double").alias("x"), t["y"].cast("double").alias("y"))).alias(name))
+    best = cut(SequenceTree(cut(parts(s, "j", "q"))).nearest(cut(parts(o, "id", "p")))).select(F.col("id").alias("i"), "j", F.col("d").alias("dtw"))
+    swapped = best.select(F.col("j").alias("i"), F.col("i").alias("j"))
+    meets = intersection_count(swapped, s, o, tol).select(F.col("j").alias("i"), F.col("i").alias("j"), "n")
+    route = s if side is None else fill_route(cell_sequence(s), side)
+    visits = route.where(F.col("cell") == sensitive).select(F.col("traj_id").alias("j"), F.lit(True).alias("visits")).distinct()
     out = best.join(meets, ["i", "j"]).join(visits, "j", "left").fillna(False, ["visits"])
     return out.select("i", "j", "dtw", "n", "visits", ((F.col("n") >= threshold) | F.col("visits")).alias("fails"))
 
 
+def sniffing_risk(o: DataFrame, s: DataFrame, grid: Grid, sniff_rank: int = 12, sensitive_rank: int = 10, threshold: int = 5, tol: float = 0.001, sensitive: int | None = None) -> DataFrame:
+    """One row of partial_sniffing for the cells with the 12th and 10th most visits of the originals' routes: sniff_cell,
+    sensitive_cell, sniffed (originals whose route meets the cell), matched, events, by_points, by_cell, failing (distinct
+    synthetic trips) and risk (their share of all synthetic trips, null without any). Points without cell."""
+    o, s = cut(assign_cell(o, grid)), cut(assign_cell(s, grid))
+    routes = cut(fill_route(cell_sequence(o), grid.n))
+    at = {r["rank"]: r["cell"] for r in nth_densest(routes, grid.n, sniff_rank).union(nth_densest(routes, grid.n, sensitive_rank)).collect()}
+    sniff, sensitive = at[sniff_rank], at[sensitive_rank] if sensitive is None else sensitive
+    found = cut(partial_sniffing(o, s, sniff, sensitive, threshold, tol, grid.n))
+    whole = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    points, cell = F.col("n") >= threshold, F.col("visits")
+    out = found.agg(F.count("*").alias("matched"), (whole(points) + whole(cell)).alias("events"), whole(points).alias("by_points"), whole(cell).alias("by_cell"), F.count_distinct(F.when(F.col("fails"), F.col("j"))).alias("failing"))
+    sniffed, trips = routes.where(F.col("cell") == sniff).agg(F.count_distinct(*TRIP).alias("sniffed")), s.agg(F.count_distinct(*TRIP).alias("trips"))
+    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  a row each
+    both = one(out).join(F.broadcast(one(sniffed)), "_one").join(F.broadcast(one(trips)), "_one")
+    return both.select(F.lit(sniff).cast("int").alias("sniff_cell"), F.lit(sensitive).cast("int").alias("sensitive_cell"), "sniffed", *out.columns, F.when(F.col("trips") > 0, F.col("failing") / F.col("trips")).alias("risk"))
+
+
 def knn_score_1d(values: DataFrame, k: int, block: int = 1 << 16) -> DataFrame:
     """(id, score): mean distance to the k nearest of (id, v), itself included.
 
@@ -170,33 +209,31 @@ def top_outliers(scores: DataFrame, n: int, exact: bool = True) -> DataFrame:
     return first.orderBy(F.desc("score"), "id").limit(n).select(F.col("_id").alias("id"), "score")
 
 
-def deniable(distances: DataFrame, most, closest: float, beta: float, kappa: int) -> DataFrame:
-    """(id, nearest, plausible, passes) from (id, d, gap): passes if the smallest d is above closest * most, or if kappa
-    originals have a gap within beta * most of it. most: a number, or None for the largest d of the id."""
-    near = distances.groupBy("id").agg(F.min("d").alias("nearest"), (F.max("d") if most is None else F.lit(float(most))).alias("most"))
-    close = distances.join(F.broadcast(near), "id").groupBy("id", "nearest", "most").agg(F.sum((F.abs(F.col("gap") - F.col("nearest")) <= beta * F.col("most")).cast("int")).alias("plausible"))  # a row a candidate
-    return close.select("id", "nearest", "plausible", ((F.col("nearest") > closest * F.col("most")) | (F.col("plausible") >= kappa)).alias("passes"))
-
-
 def plausible_deniability(cands: DataFrame, o: DataFrame, most: float | None = None, kind: str = "point", closest: float = 0.05, beta: float = 0.1, kappa: int = 3, signed: bool = False) -> DataFrame:
-    """(id, nearest, plausible, passes) of candidates (id, v), a stated set of checked size, against originals (v).
+    """(id, nearest, plausible, passes) of candidates (id, v) against originals (v).
 
-    kind: point (arrays of coordinates), length (numbers; signed: the nearest by signed difference) or dtw (arrays of
-    points, with the largest distance of a candidate as its measure).
+    passes: the nearest original is farther than closest * most, or `kappa` originals are within beta * most of the nearest
+    one's distance. most: a number, or None for a candidate's largest distance. kind: point (arrays of one or two
+    coordinates), length (numbers; signed: the nearest by signed difference) or dtw (arrays of points). Nearest, farthest
+    and counted originals come from a SequenceTree: most originals are counted or left out by whole nodes.
     """
-    if cands.limit(100_001).count() > 100_000:
-        raise ValueError("over 100,000 candidates are too many to send to every task")
-    pairs = o.select(F.col("v").alias("w")).join(F.broadcast(cands.select("id", "v")), F.lit(True))
-    if kind == "dtw":
-        ready(o.sparkSession)
-        d = cut(pairs.select("id", measure("dtw")("v", "w").alias("d"))).withColumn("gap", F.col("d"))  # computed once
-        return deniable(d, None, closest, beta, kappa)
-    if kind == "length":
-        far = F.col("w") - F.col("v")
-        d = pairs.select("id", (far if signed else F.abs(far)).alias("d"), F.abs(far).alias("gap"))
-    else:
-        d = pairs.select("id", F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)).alias("d")).withColumn("gap", F.col("d"))
-    return deniable(d, most, closest, beta, kappa)
+    point = lambda x, y: F.array(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    as_points = {
+        "length": point(F.col("v"), F.lit(0.0)),
+        "point": point(F.col("v")[0], F.coalesce(F.try_element_at("v", F.lit(2)), F.lit(0.0))) if kind == "point" else None,
+        "dtw": F.transform("v", lambda t: F.struct(t["x"].cast("double").alias("x"), t["y"].cast("double").alias("y"))) if kind == "dtw" else None,
+    }[kind]
+    data = cut(o.where("v is not null").select(F.monotonically_increasing_id().alias("j"), as_points.alias("q")))
+    asked = cut(cands.where("v is not null").select("id", as_points.alias("p")))
+    tree = SequenceTree(data)
+    near = tree.nearest(asked).select("id", F.col("d").alias("nearest"))
+    if kind == "length" and signed and tree.size:
+        least = data.agg(F.min(F.col("q")[0]["x"])).first()[0]
+        near = asked.select("id", (F.lit(least) - F.col("p")[0]["x"]).alias("nearest"))
+    span = tree.farthest(asked).withColumnRenamed("d", "most") if most is None else near.select("id", F.lit(float(most)).alias("most"))
+    known = cut(near.join(span, "id"))
+    counted = tree.count_within(cut(asked.join(known, "id").select("id", "p", F.col("nearest").alias("centre"), (beta * F.col("most")).alias("reach"))))
+    return known.join(counted, "id").select("id", "nearest", F.col("n").alias("plausible"), ((F.col("nearest") > closest * F.col("most")) | (F.col("n") >= kappa)).alias("passes"))
 
 
 def rare_cell_candidates(cells: DataFrame, n: int, descending: bool = True) -> DataFrame:

@@ -756,10 +756,53 @@ def _(spark, d):
     return attack.bayesian_attack(o, s, 8)
 
 
-@query("k4_partial_sniffing")
+def _dp(keys: str, rows: str, start: str, step: str, last: str) -> str:
+    """CTEs pr, w and scored (keys, d) of a table walked anti-diagonal by anti-diagonal, one list a pair.
+
+    rows: SELECT of keys and the arrays a and b. start, step: the list of anti-diagonal 0 and the value at (i, k - i) of
+    anti-diagonal k; d1 and d2 are the two before it. last: the condition of the last one, whose last place is the result.
+    """
+    used = ", ".join(f"w.{x.strip()}" for x in keys.split(","))
+    return f"""pr AS (SELECT *, len(a) AS m, len(b) AS n FROM ({rows}) WHERE len(a) > 0 AND len(b) > 0),
+ w AS (SELECT {keys}, 0 AS k, {start} AS d1, {start} AS d2 FROM pr
+ UNION SELECT {used}, w.k + 1, [{step} FOR i IN range(len(w.d1))], w.d1 FROM w JOIN pr USING ({keys}) WHERE NOT ({last})),
+ scored AS (SELECT {keys}, d1[len(d1)] AS d FROM w JOIN pr USING ({keys}) WHERE {last})"""
+
+
+_INF = "'inf'::DOUBLE"
+_DTW_COST = "sqrt(pow(a[{i}].x - b[{j}].x, 2) + pow(a[{i}].y - b[{j}].y, 2))"
+
+
+def _dtw(keys: str, rows: str) -> str:
+    start = f"[CASE WHEN z = 0 THEN {_DTW_COST.format(i='1', j='1')} ELSE {_INF} END FOR z IN range(m)]"
+    first = f"CASE WHEN w.k = 0 AND i >= 0 THEN {_INF} ELSE w.d2[i] END"
+    step = f"CASE WHEN w.k + 1 - i BETWEEN 0 AND n - 1 THEN {_DTW_COST.format(i='i + 1', j='w.k + 2 - i')} + least(w.d1[i + 1], w.d1[i], {first}) ELSE {_INF} END"
+    return _dp(keys, rows, start, step, "k = m + n - 2")
+
+
+_ROUTES = "rt AS (SELECT *, cell // 6 AS i, cell % 6 AS j, lead(cell) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS nx FROM cells), rd AS (SELECT *, coalesce(nx // 6 - i, 0) AS di, coalesce(nx % 6 - j, 0) AS dj FROM rt), ru AS (SELECT *, unnest(range(0, greatest(abs(di), abs(dj), 1))) AS t FROM rd), route AS (SELECT dataset, traj_id, CAST((i + sign(di) * least(t, abs(di))) * 6 + j + sign(dj) * least(t, abs(dj)) AS INTEGER) AS cell FROM ru)"
+_SNIFF = f"""WITH RECURSIVE {a.CELLS}, {_ROUTES}, rk AS (SELECT CAST(range AS INTEGER) AS cell, row_number() OVER (ORDER BY coalesce(v, 0) DESC, range) AS rank FROM range(36) LEFT JOIN (SELECT cell, count(*) AS v FROM route WHERE dataset = 'original' GROUP BY ALL) ON cell = range),
+ sn AS (SELECT cell AS sc FROM rk WHERE rank = 12), se AS (SELECT cell AS ec FROM rk WHERE rank = 10), f1 AS (SELECT *, min(CASE WHEN cell = sc THEN seq END) OVER (PARTITION BY dataset, traj_id) AS f FROM located, sn), f2 AS (SELECT *, min(CASE WHEN cell <> sc AND seq > f THEN seq END) OVER (PARTITION BY dataset, traj_id) AS e FROM f1),
+ part AS (SELECT dataset, traj_id, list({{'x': x, 'y': y}} ORDER BY seq) AS p FROM f2 WHERE seq >= f AND (e IS NULL OR seq < e) GROUP BY ALL),
+ {_dtw("oid, sid", "SELECT o.traj_id AS oid, s.traj_id AS sid, o.p AS a, s.p AS b FROM part o, part s WHERE o.dataset = 'original' AND s.dataset = 'synthetic'")},
+ best AS (SELECT oid, arg_min(sid, (d, sid)) AS sid, min(d) AS d FROM scored GROUP BY ALL),
+ met AS (SELECT best.*, (SELECT count(*) FROM pts p WHERE p.traj_id = oid AND EXISTS (SELECT 1 FROM pts q WHERE q.traj_id = best.sid AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) < 10)) AS n, sid IN (SELECT traj_id FROM route, se WHERE dataset = 'synthetic' AND cell = ec) AS visits FROM best)"""
+
+
+@query("k4_partial_sniffing", f"{_SNIFF} SELECT oid AS i, sid AS j, round(d, 6) AS dtw, n, visits, n >= 5 OR visits AS fails FROM met")
+def _(spark, d):
+    p = cut(a.located(spark, d))
+    o, s = both(p)
+    routes = cut(grid.fill_route(grid.cell_sequence(o), 6))
+    sniff, sensitive = (grid.nth_densest(routes, 6, rank).first().cell for rank in (12, 10))
+    return attack.partial_sniffing(o, s, sniff, sensitive, 5, 10.0, 6).select("i", "j", r6("dtw"), "n", "visits", "fails")
+
+
+@query("k4_sniffing_risk", f"{_SNIFF} SELECT sc AS sniff_cell, ec AS sensitive_cell, (SELECT count(DISTINCT traj_id) FROM route, sn WHERE dataset = 'original' AND cell = sn.sc) AS sniffed, count(oid) AS matched, (count(CASE WHEN n >= 5 THEN 1 END) + count(CASE WHEN visits THEN 1 END))::BIGINT AS events, count(CASE WHEN n >= 5 THEN 1 END) AS by_points, count(CASE WHEN visits THEN 1 END) AS by_cell, count(DISTINCT CASE WHEN n >= 5 OR visits THEN sid END) AS failing, round(count(DISTINCT CASE WHEN n >= 5 OR visits THEN sid END) * 1.0::DOUBLE / (SELECT count(DISTINCT traj_id) FROM pts WHERE dataset = 'synthetic'), 6) AS risk FROM sn, se LEFT JOIN met ON true GROUP BY sc, ec")
 def _(spark, d):
-    o, s = both(a.located(spark, d))
-    return attack.partial_sniffing(o, s, 20, 1).select("i", "j", r6("dtw"), "n", "visits", "fails")
+    o, s = both(a.points(spark, d))
+    out = attack.sniffing_risk(o, s, a.GRID, tol=10.0)
+    return out.withColumn("risk", F.round("risk", 6))
 
 
 @query("k5_first_segment", f"WITH {a.LOCATED}, f AS (SELECT *, min(CASE WHEN cell = 8 THEN seq END) OVER (PARTITION BY dataset, traj_id) AS f FROM located), e AS (SELECT *, min(CASE WHEN cell <> 8 AND seq > f THEN seq END) OVER (PARTITION BY dataset, traj_id) AS e FROM f) SELECT traj_id, seq FROM e WHERE seq >= f AND (e IS NULL OR seq < e)")
@@ -817,6 +860,16 @@ def _(spark, d):
     return attack.plausible_deniability(cands, o.select(F.col("d").alias("v")), span, "length", 0.1, 0.05, 100, signed=True).select("id", r6("nearest"), "plausible", "passes")
 
 
+@query("k9_dtw_deniability", f"""WITH RECURSIVE {a.SHORT}, tr AS (SELECT dataset, traj_id, list({{'x': x, 'y': y}} ORDER BY seq) AS p FROM trips GROUP BY ALL),
+ cand AS (SELECT traj_id AS id, p FROM tr WHERE dataset = 'synthetic' ORDER BY traj_id LIMIT 20), {_dtw("id, oid", "SELECT id, o.traj_id AS oid, cand.p AS a, o.p AS b FROM cand, tr o WHERE o.dataset = 'original'")},
+ near AS (SELECT id, min(d) AS nearest, max(d) AS most FROM scored GROUP BY ALL)
+ SELECT id, round(nearest, 6) AS nearest, sum((abs(d - nearest) <= 0.05::DOUBLE * most)::INTEGER)::BIGINT AS plausible, nearest > 0.1::DOUBLE * most OR sum((abs(d - nearest) <= 0.05::DOUBLE * most)::INTEGER) >= 100 AS passes FROM scored JOIN near USING (id) GROUP BY id, nearest, most""")
+def _(spark, d):
+    own = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
+    o, s = both(a.short_trips(spark, d).groupBy("dataset", F.col("traj_id").alias("id")).agg(own.alias("v")))
+    return attack.plausible_deniability(s.orderBy("id").limit(20).select("id", "v"), o.select("v"), None, "dtw", 0.1, 0.05, 100).select("id", r6("nearest"), "plausible", "passes")
+
+
 @query("k11_outlier_leakage")
 def _(spark, d):
     o, s = both(a.points(spark, d))
