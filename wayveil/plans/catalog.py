@@ -764,7 +764,7 @@ def _dp(keys: str, rows: str, start: str, step: str, last: str) -> str:
     """
     used = ", ".join(f"w.{x.strip()}" for x in keys.split(","))
     return f"""pr AS (SELECT *, len(a) AS m, len(b) AS n FROM ({rows}) WHERE len(a) > 0 AND len(b) > 0),
- w AS (SELECT {keys}, 0 AS k, {start} AS d1, {start} AS d2 FROM pr
+ w({keys}, k, d1, d2) USING KEY ({keys}) AS (SELECT {keys}, 0, {start}, {start} FROM pr
  UNION SELECT {used}, w.k + 1, [{step} FOR i IN range(len(w.d1))], w.d1 FROM w JOIN pr USING ({keys}) WHERE NOT ({last})),
  scored AS (SELECT {keys}, d1[len(d1)] AS d FROM w JOIN pr USING ({keys}) WHERE {last})"""
 
@@ -981,25 +981,51 @@ def _(spark, d):
 
 def _scores(spark, d, m):
     o, s = both(similarity.trajs(a.gps(spark, d)))
-    return similarity.compare(o, s, m, 10_000)
+    return similarity.compare(o, s, m, 10_000).withColumn("score", F.round("score", 6))
 
 
-@query("t1_t10_compare_edr")
+#: Every pair of the trips; the queries draw 10,000 where there are more, which is above scale 0.01.
+_TRIP_PAIRS = f"{a.GPS}, tr AS (SELECT dataset, traj_id, list({{'x': x, 'y': y}} ORDER BY seq) AS p FROM gps GROUP BY ALL)"
+_EVERY = "SELECT comparison, l.traj_id AS i, r.traj_id AS j, l.p AS a, r.p AS b FROM (VALUES ('OO', 'original', 'original'), ('OS', 'original', 'synthetic'), ('SS', 'synthetic', 'synthetic')) v(comparison, ld, rd) JOIN tr l ON l.dataset = ld JOIN tr r ON r.dataset = rd"
+_METRES = "(2 * 6371000 * asin(sqrt(least(pow(sin((radians(b[{j}].y) - radians(a[{i}].y)) / 2), 2) + cos(radians(a[{i}].y)) * cos(radians(b[{j}].y)) * pow(sin(radians(b[{j}].x - a[{i}].x) / 2), 2), 1))))"
+
+
+def _edit(rows: str, cost: str, gap: str, keys: str = "comparison, i, j") -> str:
+    """Least cost of edits: `cost` for points {i} and {j}, `gap` for a skip."""
+    here = "w.k + 1 - z"
+    inner = f"least(w.d2[z] + {cost.format(i='z', j=f'({here})')}, w.d1[z + 1] + {gap}, w.d1[z] + {gap})"
+    step = f"CASE WHEN z = 0 OR {here} = 0 THEN (w.k + 1) * {gap} WHEN {here} NOT BETWEEN 0 AND n THEN {_INF} ELSE {inner} END"
+    return _dp(keys, rows, f"[CASE WHEN z = 0 THEN 0.0::DOUBLE ELSE {_INF} END FOR z IN range(m + 1)]", step.replace("i IN", "z IN"), "k = m + n").replace("FOR i IN range(len(w.d1))", "FOR z IN range(len(w.d1))")
+
+
+def _subsequence(rows: str, same: str, weight: str, keys: str = "i, j") -> str:
+    """Heaviest common subsequence."""
+    here = "w.k + 1 - z"
+    inner = f"CASE WHEN {same.format(i='z', j=f'({here})')} THEN w.d2[z] + {weight.format(i='z')} ELSE greatest(w.d1[z + 1], w.d1[z]) END"
+    step = f"CASE WHEN z = 0 OR {here} <= 0 OR {here} > n THEN 0.0::DOUBLE ELSE {inner} END"
+    return _dp(keys, rows, "[0.0::DOUBLE FOR z IN range(m + 1)]", step, "k = m + n").replace("FOR i IN range(len(w.d1))", "FOR z IN range(len(w.d1))")
+
+
+@query("t1_t10_compare_edr", f"WITH RECURSIVE {_TRIP_PAIRS}, {_edit(_EVERY, f'CASE WHEN {_METRES} > 20000 THEN 1.0 ELSE 0.0 END', '1.0::DOUBLE')} SELECT comparison, i, j, round(d, 6) AS score FROM scored")
 def _(spark, d):
     return _scores(spark, d, measure("edr", threshold=20_000.0))
 
 
-@query("t3_compare_erp")
+@query("t3_compare_erp", f"WITH RECURSIVE {_TRIP_PAIRS}, {_edit(_EVERY, f'{_METRES} / 1000', '10.0::DOUBLE')} SELECT comparison, i, j, round(d, 6) AS score FROM scored")
 def _(spark, d):
     return _scores(spark, d, measure("erp", gap=10.0))
 
 
-@query("t6_compare_dtw")
+@query("t6_compare_dtw", f"WITH RECURSIVE {_TRIP_PAIRS}, {_dtw('comparison, i, j', _EVERY)} SELECT comparison, i, j, round(d, 6) AS score FROM scored")
 def _(spark, d):
     return _scores(spark, d, measure("dtw"))
 
 
-@query("t7_compare_tp")
+_LATE = "list_avg([exp(-greatest(z - ({n} - 1), 0)) FOR z IN range({m})])"
+_TP = f"-(0.99 * (list_avg([list_max([exp(-{_METRES.format(i='u', j='v')} / 1000) FOR v IN range(1, len(b) + 1)]) FOR u IN range(1, len(a) + 1)]) + list_avg([list_max([exp(-{_METRES.format(i='u', j='v')} / 1000) FOR u IN range(1, len(a) + 1)]) FOR v IN range(1, len(b) + 1)])) + 0.01 * ({_LATE.format(m='len(a)', n='len(b)')} + {_LATE.format(m='len(b)', n='len(a)')}))"
+
+
+@query("t7_compare_tp", f"WITH {_TRIP_PAIRS} SELECT comparison, i, j, round({_TP}, 6) AS score FROM ({_EVERY})")
 def _(spark, d):
     return _scores(spark, d, measure("tp"))
 
@@ -1028,6 +1054,28 @@ def _(spark, d):
     return _on_network(spark, d, matrix_measure("tp"))
 
 
+#: Each original with the synthetic trip of the next number.
+_NEXT = f"{a.SHORT}, {a.EDGES}, sg AS (SELECT dataset, traj_id, list({{'id': segment_id, 'length': length}} ORDER BY seq) AS p FROM trips JOIN edges ON segment_id = edge_id GROUP BY ALL)"
+_NEXT_PAIRS = "SELECT l.traj_id AS i, r.traj_id AS j, l.p AS a, r.p AS b FROM sg l JOIN sg r ON r.traj_id = l.traj_id + 1 WHERE l.dataset = 'original'"
+_SAME = "a[{i}].id = b[{j}].id"
+
+
+def _next_pairs(o, s):
+    return o.select(F.col("traj_id").alias("i"), (F.col("traj_id") + 1).alias("j")).join(s.select(F.col("traj_id").alias("j")), "j").select("i", "j")
+
+
+@query("t4_lors_next", f"WITH RECURSIVE {_NEXT}, {_subsequence(_NEXT_PAIRS, _SAME, 'a[{i}].length')} SELECT i, j, round(-d, 6) + 0 AS score FROM scored")
+def _(spark, d):
+    o, s = both(_segments(spark, d))
+    return similarity.score_pairs(_next_pairs(o, s), o, s, lors()).select("i", "j", (F.round("score", 6) + 0).alias("score"))
+
+
+@query("t5_lcrs_next", f"WITH RECURSIVE {_NEXT}, {_subsequence(_NEXT_PAIRS, _SAME, '1.0')} SELECT i, j, round(-d / (m + n - d), 6) + 0 AS score FROM scored JOIN pr USING (i, j)")
+def _(spark, d):
+    o, s = both(_segments(spark, d).withColumn("pts", F.transform("pts", lambda x: x["id"])))
+    return similarity.score_pairs(_next_pairs(o, s), o, s, measure("lcrs")).select("i", "j", (F.round("score", 6) + 0).alias("score"))
+
+
 @query("t4_lors")
 def _(spark, d):
     o, s = both(_segments(spark, d))
