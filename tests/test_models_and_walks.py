@@ -296,3 +296,47 @@ def test_measures_on_the_network(spark):
     for name, p, cost, gap in (("edr", {"threshold": 2000.0}, lambda x: float(x > 2000), 1.0), ("erp", {"gap": 2.0}, lambda x: x / 1000, 2.0)):
         got = {(r.i, r.j): r.score for r in similarity.score_on_network(pairs, table, table, edges, matrix_measure(name, **p)).collect()}
         assert len(got) == 25 and all(math.isclose(v, edit(trips_[i], trips_[j], cost, gap), abs_tol=1e-9) for (i, j), v in got.items())
+
+
+def test_markov_walks_over_ten_thousand_cells(spark):
+    """A dense matrix would have 800 MB; the moves that there are have some numbers each."""
+    n = 100
+    near = grid.neighbours(spark, n, with_self=False)
+    matrix = near.select(F.col("cell").alias("src"), F.col("other").alias("dst"), F.lit(0.125).alias("w"))
+    od = spark.createDataFrame([(0, 5050, 0.6), (77, 5050, 0.3), (9999, 3, 0.1)], "src int, dst int, p double")
+    extra = spark.createDataFrame([(0, 5050, 2.0, "geometric", 9)], "src int, dst int, mean double, family string, cap int")
+    got = synth.synth_grid_markov(od, extra, matrix, n, 400).orderBy("traj_id", "seq").collect()
+    walks = {}
+    for r in got:
+        walks.setdefault(r.traj_id, []).append(r.cell)
+    ends = Counter((w[0], w[-1]) for w in walks.values())
+    assert len(walks) == 400 and set(ends) == {(0, 5050), (77, 5050), (9999, 3)} and ends[0, 5050] > 180
+    for w in walks.values():
+        assert all(max(abs(x // n - y // n), abs(x % n - y % n)) <= 1 for x, y in zip(w, w[1:]))
+
+
+def test_walkers_of_a_common_end_are_dealt_over_tasks(spark, monkeypatch):
+    c = trips(spark, {1: [0, 7, 14], 2: [0, 7, 14], 3: [0, 1]})
+    od, extra = model.od_counts(c), model.fit_extra_lengths(c, 6)
+    walk = lambda: sorted(map(tuple, synth.synth_grid_markov(od, extra, model.transitions_weighted(c, 6), 6, 300).collect()))
+    one = walk()
+    monkeypatch.setattr(synth, "WALKERS", 10)
+    assert walk() == one
+
+
+def test_adaptive_walks_over_fifty_thousand_states(spark):
+    top = grid.Grid(0.0, 112.0, 0.0, 112.0, 112)
+    states = spark.range(112 * 112).select(F.col("id").cast("int").alias("cell"), F.lit(2).alias("m"))
+    states = adaptive.cut(adaptive.states_of(top, states))
+    near = adaptive.cut(adaptive.subcell_neighbours(states))
+    assert states.count() == 50_176
+    moves = near.select(F.col("state").alias("src"), F.col("other").alias("dst"), F.lit(1.0).alias("w"))
+    edge = states.select(F.lit(-1).alias("src"), F.col("state").alias("dst"), F.when(F.col("state") % 5000 == 7, 1.0).otherwise(0.0).alias("w"))
+    stop = states.select(F.col("state").alias("src"), F.lit(-2).alias("dst"), F.lit(2.0).alias("w"))
+    trips_ = spark.createDataFrame([(5007, 5019, 3.0), (10_007, 10_020, 1.0)], "src int, dst int, w double")
+    paths = adaptive.cut(adaptive.state_paths(states, near, trips_))
+    assert {(r.src, r.dst) for r in paths.collect()} == {(5007, 5019), (10_007, 10_020)}
+    none = spark.createDataFrame([], "prev int, cur int, next int, w double")
+    limits = spark.createDataFrame([], "src int, length double")
+    got = adaptive.synth_adaptive(states, near, moves.union(edge).union(stop), none, trips_, paths, limits, 112, 40).collect()
+    assert {r.traj_id for r in got} == set(range(40)) and {r.cell for r in got if r.seq == 0} <= set(range(7, 50_176, 5000))

@@ -20,8 +20,8 @@ from wayveil.functions.workers import ready
 from wayveil.operators.grid import Grid, adaptive_grid_two_level, assign_all_closed, assign_cell, density_weighted, two_level_size, uniform_grid
 from wayveil.operators.model import clip_round, laplace, queue_minus
 
-#: The most entries of a model that is sent to the tasks.
-MOST = 4_000_000
+#: The most bytes of each part of a model that is sent to the tasks.
+MOST_BYTES = 1 << 28
 
 
 def states_of(top: Grid, split: DataFrame) -> DataFrame:
@@ -93,45 +93,56 @@ def subcell_neighbours(states: DataFrame) -> DataFrame:
     return inside.union(across).select("state", "other").distinct()
 
 
-def _checked(df: DataFrame) -> list:
-    rows = df.limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"a model of over {MOST} entries is too large to send to every task")
-    return rows
+def _checked(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Columns of a model of checked size, in their order; numbers need 8 bytes each."""
+    most = MOST_BYTES // (8 * len(columns))
+    table = df.select(*columns).limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"a model of over {most} entries is too large to send to every task")
+    return [x.to_numpy() for x in table.sort_by([(c, "ascending") for c in columns])]
 
 
-def state_paths(states: DataFrame, near: DataFrame) -> DataFrame:
+def state_paths(states: DataFrame, near: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(src, dst, steps, coarse): states on the shortest path by distance of centres, and top cells that it passes.
 
-    Of paths of one length, the one with the fewest states, then the smallest states from its end on. The graph of the
-    states is sent to the tasks, of checked size; sources are dealt over them.
+    Of paths of one length, the one with the fewest states, then the smallest states from its end on. pairs: the (src, dst)
+    that are wanted, all by default; a search ends when it has its source's. The graph of the states is sent to the tasks,
+    of checked size; sources are dealt over them.
     """
     ready(states.sparkSession)
-    at = {r["state"]: (r["cell"], (r["x0"] + r["x1"]) / 2, (r["y0"] + r["y1"]) / 2) for r in _checked(states)}
-    links: dict[int, list] = {}
-    for r in _checked(near):
-        a, b = at[r["state"]], at[r["other"]]
-        links.setdefault(r["state"], []).append((r["other"], round(float(np.hypot(a[1] - b[1], a[2] - b[2])), 9)))
-    sent = states.sparkSession.sparkContext.broadcast(({k: v[0] for k, v in at.items()}, {k: sorted(v) for k, v in links.items()}))
+    state, cell, x0, x1, y0, y1 = _checked(states, "state", "cell", "x0", "x1", "y0", "y1")
+    x, y = (x0 + x1) / 2, (y0 + y1) / 2
+    a, b = _checked(near, "state", "other")
+    ia, ib = np.searchsorted(state, a), np.searchsorted(state, b)
+    sent = states.sparkSession.sparkContext.broadcast((state, cell, np.searchsorted(ia, np.arange(len(state) + 1)), ib, np.round(np.hypot(x[ia] - x[ib], y[ia] - y[ib]), 9)))
+
+    every = pairs is None
+
+    def search(src: int, wanted: set | None) -> list[tuple]:
+        state, cell, offsets, to, far = sent.value
+        start = int(np.searchsorted(state, src))
+        out, done, heap = [], set(), [(0.0, 1, start, start, 1)]
+        while heap and (wanted is None or wanted):
+            d, steps, at, _, coarse = heapq.heappop(heap)
+            if at in done:
+                continue
+            done.add(at)
+            if wanted is None or int(state[at]) in wanted:
+                out.append((src, int(state[at]), steps, coarse))
+                if wanted is not None:
+                    wanted.discard(int(state[at]))
+            for k in range(offsets[at], offsets[at + 1]):
+                if (there := int(to[k])) not in done:
+                    heapq.heappush(heap, (round(d + float(far[k]), 9), steps + 1, there, at, coarse + int(cell[there] != cell[at])))
+        return out
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, links = sent.value
         for batch in batches:
-            out = []
-            for src in batch["state"]:
-                done, heap = {}, [(0.0, 1, int(src), int(src), 1)]
-                while heap:
-                    d, steps, at, _, coarse = heapq.heappop(heap)
-                    if at in done:
-                        continue
-                    done[at] = True
-                    out.append((int(src), at, steps, coarse))
-                    for to, far in links.get(at, ()):
-                        if to not in done:
-                            heapq.heappush(heap, (round(d + far, 9), steps + 1, to, at, coarse + (cell[to] != cell[at])))
-            yield pd.DataFrame(out, columns=["src", "dst", "steps", "coarse"])
-
-    return states.select("state").repartition("state").mapInPandas(walk, "src int, dst int, steps int, coarse int")
+            for k, src in enumerate(batch["src"]):
+                yield pd.DataFrame(search(int(src), None if every else set(batch["wanted"][k].tolist())), columns=["src", "dst", "steps", "coarse"])
+
+    sources = states.select(F.col("state").alias("src")) if every else pairs.groupBy("src").agg(F.collect_set("dst").alias("wanted"))
+    return sources.repartition("src").mapInPandas(walk, "src int, dst int, steps int, coarse int")
 
 
 def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask: DataFrame, total: float, rounds: int = 25) -> DataFrame:
@@ -153,21 +164,43 @@ def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask:
     return scaled(cut(scaled(trips).where("w >= 0.8")))
 
 
+class _Rows:
+    """Numbers by key, row by row: for each key its columns and their weights, only those that are there."""
+
+    def __init__(self, key: np.ndarray, columns: np.ndarray, w: np.ndarray):
+        order = np.lexsort((columns, key))
+        self.keys, begin = np.unique(key[order], return_index=True)
+        self.offsets, self.columns, self.w = np.append(begin, len(key)), columns[order].astype(np.int64), w[order].astype(float)
+
+    def row(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        k = int(np.searchsorted(self.keys, key))
+        if k == len(self.keys) or self.keys[k] != key:
+            return self.columns[:0], self.w[:0]
+        return self.columns[self.offsets[k] : self.offsets[k + 1]], self.w[self.offsets[k] : self.offsets[k + 1]]
+
+
 class _Walker:
-    """Draws one trip over the states, or None where one of the rules rejects it."""
+    """Draws one trip over the states 0, 1, ..., or None where one of the rules rejects it.
+
+    first: rows of the next states and the end (number n) by state, and of the first states by n. second: the same by cur *
+    (n + 1) + prev, for states that have any. trips: rows of ends and weights by start; steps: of the paths' states.
+    """
 
-    def __init__(self, first, second, trips, steps, limit, cell, place, m, near, size):
-        self.first, self.second, self.trips, self.steps, self.limit = first, second, trips, steps, limit
+    def __init__(self, first, second, sensitive, trips, steps, limit, cell, place, m, near, size):
+        self.first, self.second, self.sensitive, self.trips, self.steps, self.limit = first, second, sensitive, trips, steps, limit
         self.cell, self.place, self.m, self.near, self.size = cell, place, m, near, size
-        self.mass_in = first[:-1, :-1].sum(axis=0)  # first: a row a state and one for the start; last column: the end
+        self.end = len(cell)
+        inner = (self.first.columns < self.end) & np.repeat(self.first.keys < self.end, np.diff(self.first.offsets))
+        self.mass_in = np.bincount(self.first.columns[inner], self.first.w[inner], self.end)
 
     def trip(self, rng: np.random.Generator) -> list[int] | None:
-        end = len(self.first) - 1
-        w = self.first[end, :-1]
-        now, before = int(rng.choice(end, p=w / w.sum())), end
-        ends, shares = self.trips.get(now, (None, None))
-        expected = self.steps.get((now, int(rng.choice(ends, p=shares))), 1) if ends is not None else 1
-        limit = self.limit.get(now, -1)
+        end = self.end
+        to, w = self.first.row(end)
+        to, w = to[to < end], w[to < end]
+        now, before = int(rng.choice(to, p=w / w.sum())), end
+        ends, w = self.trips.row(now)
+        expected = int(self.steps.row(now)[1][rng.choice(len(ends), p=w / w.sum())]) if len(ends) else 1
+        limit = self.limit[now]
         limit = limit if limit > 0 else int(0.8 * self.size)
         out, tops, here, tests, pending = [], 0, 0, 0, False
         while now != end:
@@ -181,12 +214,12 @@ class _Walker:
                 wide = len({self.cell[x] for x in out}) / tops > 0.6
                 if tops > limit * (1 if wide else 2) and rng.random() >= min(tests / self.size, 0.95):
                     return None
-            w = self._weights(now, before, len(out), tops, expected)
+            to, w = self._weights(now, before, len(out), tops, expected)
             before = now
             if w.sum() > 0:
-                now = int(rng.choice(len(w), p=w / w.sum()))
+                now = int(rng.choice(to, p=w / w.sum()))
             else:
-                options = self.near[now]
+                options = self.near.row(now)[0]
                 mass = self.mass_in[options]
                 now = int(rng.choice(options, p=mass / mass.sum() if mass.sum() > 0 else None))
             if len(out) > (200 if tops <= 2 else 100) or (len(out) > 8 and self._lingers(out)):
@@ -195,18 +228,16 @@ class _Walker:
                 return None
         return out
 
-    def _weights(self, now: int, before: int, steps: int, tops: int, expected: int) -> np.ndarray:
-        own = self.second.get(now)
-        if own is not None:
-            w = np.zeros(self.first.shape[1])
-            for to, x in own.get(before, ()):
-                w[to] = x
-        if own is None or w.sum() == 0:
-            w = self.first[now].copy()
+    def _weights(self, now: int, before: int, steps: int, tops: int, expected: int) -> tuple[np.ndarray, np.ndarray]:
+        to, w = self.second.row(now * (self.end + 1) + before) if now in self.sensitive else (None, np.zeros(0))
+        if w.sum() == 0:
+            to, w = self.first.row(now)
+        w = w.copy()
+        last = to == self.end
         if tops == 1:
-            w[-1] *= 0.5 * (0.2 if steps < 0.5 * expected else 1)
-        w[-1] *= 0.8
-        return w
+            w[last] *= 0.5 * (0.2 if steps < 0.5 * expected else 1)
+        w[last] *= 0.8
+        return to, w
 
     def _lingers(self, out: list[int]) -> bool:
         counts = np.sort(np.unique(out, return_counts=True)[1])[::-1]
@@ -224,24 +255,23 @@ def synth_adaptive(states: DataFrame, near: DataFrame, first: DataFrame, second:
     """
     spark = states.sparkSession
     ready(spark)
-    rows = _checked(states)
-    n = len(rows)
-    cell, m, place = {r["state"]: r["cell"] for r in rows}, {r["cell"]: r["m"] for r in rows}, {r["cell"]: (r["row"], r["col"]) for r in rows}
-    one = np.zeros((n + 1, n + 1))
-    for r in _checked(first):
-        if r["dst"] != -1 and r["src"] != -2:
-            one[r["src"] if r["src"] >= 0 else n, r["dst"] if r["dst"] >= 0 else n] = r["w"]
-    two: dict[int, dict] = {}
-    for r in _checked(second):
-        two.setdefault(r["cur"], {}).setdefault(r["prev"] if r["prev"] >= 0 else n, []).append((r["next"] if r["next"] >= 0 else n, r["w"]))
-    ends: dict[int, list] = {}
-    for r in sorted(_checked(trips.select("src", "dst", "w").where("w > 0"))):
-        ends.setdefault(r["src"], []).append((r["dst"], r["w"]))
-    drawn = {k: (np.array([x for x, _ in v]), np.array([w for _, w in v]) / sum(w for _, w in v)) for k, v in ends.items()}
-    beside: dict[int, list] = {}
-    for r in sorted(_checked(near)):
-        beside.setdefault(r["state"], []).append(r["other"])
-    sent = spark.sparkContext.broadcast((one, two, drawn, {(r["src"], r["dst"]): r["steps"] for r in _checked(paths)}, {r["src"]: r["length"] for r in _checked(limits)}, cell, place, m, {k: np.array(v) for k, v in beside.items()}, top_side))
+    state, cell, m, row, col = _checked(states, "state", "cell", "m", "row", "col")
+    n = len(state)
+    if not np.array_equal(state, np.arange(n)):
+        raise ValueError("states are numbered 0, 1, ...")
+    place = dict(zip(cell.tolist(), zip(row.tolist(), col.tolist())))
+    src, dst, w = _checked(first.where("dst != -1 and src != -2"), "src", "dst", "w")
+    one = _Rows(np.where(src < 0, n, src), np.where(dst < 0, n, dst), w)
+    cur, prev, to, w = _checked(second, "cur", "prev", "next", "w")
+    two = _Rows(cur.astype(np.int64) * (n + 1) + np.where(prev < 0, n, prev), np.where(to < 0, n, to), w)
+    # Paths only of pairs that trips go between.
+    wanted = trips.where("w > 0").select("src", "dst", "w").join(paths.select("src", "dst", "steps"), ["src", "dst"], "left").fillna(1, ["steps"])
+    src, dst, w, steps = _checked(wanted, "src", "dst", "w", "steps")
+    a, b = _checked(near, "state", "other")
+    limit = np.full(n, -1.0)
+    at, length = _checked(limits, "src", "length")
+    limit[at] = length
+    sent = spark.sparkContext.broadcast((one, two, set(np.unique(cur).tolist()), _Rows(src, dst, w), _Rows(src, dst, steps), limit, cell, place, dict(zip(cell.tolist(), m.tolist())), _Rows(a, b, np.ones(len(a))), top_side))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         walker = _Walker(*sent.value)

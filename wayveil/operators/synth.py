@@ -16,16 +16,50 @@ from wayveil.functions.workers import ready
 from wayveil.operators.attack import bayesian_attack, leaking_outliers, partial_sniffing
 from wayveil.operators.grid import Grid, neighbours
 
-#: The most entries of a model that is sent to the walkers.
-MOST = 4_000_000
-
-
-def _rows(df: DataFrame) -> list:
-    """The rows of a model of checked size."""
-    rows = df.limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"a model of over {MOST} entries is too large for the walkers")
-    return rows
+#: The most bytes of a model that is sent to the walkers, and of what a task makes of it for one end.
+MOST_BYTES = 1 << 30
+#: Walkers of one end that go to one task.
+WALKERS = 100_000
+
+
+def _columns(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """The columns of a model of checked size, in the order of its rows' first two columns; numbers need 8 bytes each."""
+    most = MOST_BYTES // (8 * len(columns))
+    table = df.select(*columns).limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"a model of over {most} entries is too large for the walkers")
+    table = table.sort_by([(c, "ascending") for c in columns[:2]])
+    return [table[c].to_numpy() for c in columns]
+
+
+class _Moves:
+    """Weights of moves between cells, row by row: only those that are there."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, cells: int, powers: int):
+        if (powers + 1) * cells * 8 > MOST_BYTES:
+            raise ValueError(f"{powers} steps over {cells} cells are too many for a task; take fewer powers")
+        self.src, self.dst, self.w, self.cells, self.powers = src.astype(np.int64), dst.astype(np.int64), w.astype(float), cells, powers
+        self.offsets = np.searchsorted(self.src, np.arange(cells + 1))
+        self.end, self.known = -1, np.zeros((1, cells))
+
+    def at(self, now: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Weights of single moves."""
+        if not len(self.src):
+            return np.zeros(now.shape)
+        keys = self.src * self.cells + self.dst
+        place = np.minimum(np.searchsorted(keys, now * self.cells + to), len(keys) - 1)
+        return np.where((keys[place] == now * self.cells + to) & (to >= 0), self.w[place], 0.0)
+
+    def reach(self, end: int, most: int) -> np.ndarray:
+        """Row k: for every cell the weight of being at `end` after k moves. The last end's rows are kept and added to."""
+        if end != self.end:
+            self.end, self.known = end, np.zeros((1, self.cells))
+            self.known[0, end] = 1
+        rows = [self.known]
+        for _ in range(min(most, self.powers) + 1 - len(self.known)):
+            rows.append(np.bincount(self.src, self.w * rows[-1][-1][self.dst], self.cells)[None])
+        self.known = np.concatenate(rows)
+        return self.known
 
 
 def _uniform(seed: int, ids: np.ndarray, step: int) -> np.ndarray:
@@ -42,13 +76,13 @@ def _draw(w: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.minimum((cum < (u * cum[:, -1])[:, None]).sum(axis=1), w.shape[1] - 1)
 
 
-def _reach(p: np.ndarray, end: int, most: int) -> np.ndarray:
-    """Row k: for every cell the weight of being at `end` after k moves."""
-    out = np.zeros((most + 1, len(p)))
-    out[0, end] = 1
-    for k in range(most):
-        out[k + 1] = p @ out[k]
-    return out
+def _rows(df: DataFrame) -> list:
+    """The rows of a model of checked size."""
+    most = MOST_BYTES // 256
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a model of over {most} entries is too large for the walkers")
+    return rows
 
 
 def _trips(ids: np.ndarray, cells: np.ndarray, size: np.ndarray) -> pd.DataFrame:
@@ -57,7 +91,6 @@ def _trips(ids: np.ndarray, cells: np.ndarray, size: np.ndarray) -> pd.DataFrame
     return pd.DataFrame({"dataset": "synthetic", "traj_id": np.repeat(ids, size), "seq": np.broadcast_to(at, cells.shape)[some].astype("int64"), "cell": cells[some].astype("int32")})
 
 
-_EMPTY = pd.DataFrame({"dataset": pd.Series(dtype=str), "traj_id": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64"), "cell": pd.Series(dtype="int32")})
 _TRIPS = "dataset string, traj_id long, seq long, cell int"
 
 
@@ -81,60 +114,47 @@ def synth_grid_markov(od: DataFrame, extra: DataFrame, matrix: DataFrame, n: int
     proportion to the move's weight times the weight of reaching the end in the steps left. Where no neighbour has any
     weight, the walker takes one step straight to the end and goes on. More than `powers` steps left count as so many.
 
-    The walkers of a batch with one end advance together. The model (n * n cells) is sent to the tasks, of checked size.
+    Walkers are dealt by their end, a very common one over several tasks; those of a batch advance together, with one
+    backward pass over the moves for each end. The model, a number a move, is sent to the tasks, of checked size.
     """
     spark = od.sparkSession
     ready(spark)
-    pairs = sorted((r["src"], r["dst"], r["p"]) for r in _rows(od))
     lengths = {(r["src"], r["dst"]): (r["family"], r["mean"], r["cap"]) for r in _rows(extra)}
-    p = np.zeros((n * n, n * n))
-    for r in _rows(matrix):
-        p[r["src"], r["dst"]] = r["w"]
+    moves = _Moves(*_columns(matrix, "src", "dst", "w"), n * n, powers)
     near = np.full((n * n, 8), -1)
-    held: dict[int, list] = {}
-    for r in sorted(neighbours(spark, n, with_self=False).collect()):
-        held.setdefault(r["cell"], []).append(r["other"])
-    for cell, others in held.items():
-        near[cell, : len(others)] = others
-    sent = spark.sparkContext.broadcast((np.array([x[:2] for x in pairs]).reshape(-1, 2), np.cumsum([x[2] for x in pairs]), lengths, p, near))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, cum, lengths, p, near = sent.value
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            if not len(ids) or not len(cum):
-                yield _EMPTY
-                continue
-            pick = np.minimum(np.searchsorted(cum, _uniform(seed, ids, 0) * cum[-1]), len(cum) - 1)
-            a, b = pairs[pick].T
-            size = np.maximum(np.maximum(abs(a // n - b // n), abs(a % n - b % n)), 1) + 1
-            more = _uniform(seed, ids, 1)
-            for k in np.unique(pick):
-                own = pick == k
-                if (found := lengths.get(tuple(pairs[k].tolist()))) is not None:
-                    size[own] += np.searchsorted(_extra(*found), more[own])
-            for end in np.unique(b):
-                own = np.flatnonzero(b == end)
-                yield _trips(ids[own], _walks(a[own], int(end), size[own], ids[own], p, near), size[own])
-
-    def _walks(start, end, size, ids, p, near):
-        reach = _reach(p, end, min(powers, int(size.max())))
+    src, dst = _columns(neighbours(spark, n, with_self=False), "cell", "other")
+    near[src, np.arange(len(src)) - np.searchsorted(src, src)] = dst
+    beside = moves.at(np.arange(n * n)[:, None], near)
+
+    def sized(pairs: np.ndarray, pick: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        a, b = pairs[pick].T
+        size = np.maximum(np.maximum(abs(a // n - b // n), abs(a % n - b % n)), 1) + 1
+        more = _uniform(seed, ids, 1)
+        for k in np.unique(pick):
+            own = pick == k
+            if (found := lengths.get(tuple(pairs[k].tolist()))) is not None:
+                size[own] += np.searchsorted(_extra(*found), more[own])
+        return size
+
+    def walks(model, start, end, size, ids):
+        moves, near, beside = model
+        reach = moves.reach(end, int(size.max()))
         cells = np.full((len(start), size.max()), -1)
         cells[:, 0] = start
         for i in range(1, int(size.max()) - 1):
             on = np.flatnonzero(i < size - 1)
             now, left = cells[on, i - 1], np.minimum(size[on] - i - 1, powers)
             options = near[now]
-            w = p[now[:, None], options] * reach[left[:, None], options] * (options >= 0)
+            w = beside[now] * reach[left[:, None], options]
             lost = w.sum(axis=1) < 1e-5
             w[lost, 0] = 1
             to = options[np.arange(len(on)), _draw(w, _uniform(seed, ids[on], i + 1))]
             straight = (now // n + np.sign(end // n - now // n)) * n + now % n + np.sign(end % n - now % n)
             cells[on, i] = np.where(lost, straight, to)
         cells[np.arange(len(start)), size - 1] = end
-        return cells
+        return cells, size
 
-    return spark.range(first_id, first_id + trips).mapInPandas(walk, _TRIPS)
+    return _walked(od, first_id, trips, seed, sized, walks, (moves, near, beside))
 
 
 def synth_median_length(od: DataFrame, lengths: DataFrame, matrix: DataFrame, n: int, trips: int, seed: int = 0, powers: int = 200) -> DataFrame:
@@ -142,46 +162,69 @@ def synth_median_length(od: DataFrame, lengths: DataFrame, matrix: DataFrame, n:
 
     While more than `powers` steps are left, that power of the matrix stands for the higher ones.
     """
-    spark = od.sparkSession
-    ready(spark)
-    pairs = sorted((r["src"], r["dst"], r["p"]) for r in _rows(od))
-    median = {(r["src"], r["dst"]): r["length"] for r in _rows(lengths)}
-    p = np.zeros((n * n, n * n))
-    for r in _rows(matrix):
-        p[r["src"], r["dst"]] = r["w"]
-    half = np.array([median.get(x[:2], 2) for x in pairs], float)
-    sent = spark.sparkContext.broadcast((np.array([x[:2] for x in pairs]).reshape(-1, 2), np.cumsum([x[2] for x in pairs]), half, p))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, cum, half, p = sent.value
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            if not len(ids) or not len(cum):
-                yield _EMPTY
-                continue
-            pick = np.minimum(np.searchsorted(cum, _uniform(seed, ids, 0) * cum[-1]), len(cum) - 1)
-            a, b = pairs[pick].T
-            size = np.maximum(2, np.rint(-np.log(_uniform(seed, ids, 1)) * half[pick] / np.log(2)).astype(int))
-            for end in np.unique(b):
-                own = np.flatnonzero(b == end)
-                yield _trips(ids[own], *_walks(a[own], int(end), size[own], ids[own], p))
-
-    def _walks(start, end, size, ids, p):
-        reach = _reach(p, end, min(powers, int(size.max())))
+    ready(od.sparkSession)
+    src, dst, length = _columns(lengths, "src", "dst", "length")
+    keys = src.astype(np.int64) * n * n + dst
+    moves = _Moves(*_columns(matrix, "src", "dst", "w"), n * n, powers)
+
+    def sized(pairs: np.ndarray, pick: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        asked = pairs[pick, 0] * n * n + pairs[pick, 1]
+        place = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+        half = np.where(keys[place] == asked, length[place], 2).astype(float) if len(keys) else np.full(len(ids), 2.0)
+        return np.maximum(2, np.rint(-np.log(_uniform(seed, ids, 1)) * half / np.log(2)).astype(int))
+
+    def walks(moves, start, end, size, ids):
+        reach = moves.reach(end, int(size.max()))
         cells, used = np.full((len(start), size.max()), -1), np.ones(len(start), int)
         cells[:, 0] = start
         for i in range(1, int(size.max()) - 1):
             on = np.flatnonzero(i < size - 1)
-            w = p[cells[on, used[on] - 1]] * reach[np.minimum(size[on] - i - 1, powers)]
-            go = w.sum(axis=1) > 0
-            on, w = on[go], w[go]
-            if len(on):
-                cells[on, used[on]] = _draw(w, _uniform(seed, ids[on], i + 1))
-                used[on] += 1
+            now = cells[on, used[on] - 1]
+            # The moves that there are from every walker's cell, one after the other.
+            each = np.diff(moves.offsets)[now]
+            who = np.repeat(np.arange(len(on)), each)
+            at = np.arange(len(who)) + np.repeat(moves.offsets[now] - np.cumsum(each) + each, each)
+            w = moves.w[at] * reach[np.minimum(size[on] - i - 1, powers)[who], moves.dst[at]]
+            who, to, w = who[w > 0], moves.dst[at][w > 0], w[w > 0]
+            some, first = np.unique(who, return_index=True)
+            if len(some):
+                cum, total = np.cumsum(w), np.add.reduceat(w, first)
+                last = np.append(first[1:], len(w)) - 1
+                place = np.searchsorted(cum, cum[first] - w[first] + _uniform(seed, ids[on[some]], i + 1) * total)
+                cells[on[some], used[on[some]]] = to[np.clip(place, first, last)]
+                used[on[some]] += 1
         cells[np.arange(len(start)), used] = end
         return cells, used + 1
 
-    return spark.range(trips).mapInPandas(walk, _TRIPS)
+    return _walked(od, 0, trips, seed, sized, walks, moves)
+
+
+def _walked(od: DataFrame, first_id: int, trips: int, seed: int, sized, walks, model) -> DataFrame:
+    """Trips of walkers with a pair of ends each, by od (src, dst, p). sized: their lengths; walks: their cells, for one end."""
+    spark = od.sparkSession
+    src, dst, p = _columns(od, "src", "dst", "p")
+    pairs, cum = np.stack([src, dst], axis=1).astype(np.int64), np.cumsum(p)
+    tasks = np.maximum(1, np.ceil(np.bincount(dst, p) * trips / max(p.sum(), 1e-300) / WALKERS)).astype(np.int64) if len(p) else np.ones(1, np.int64)
+    sent = spark.sparkContext.broadcast((pairs, cum, tasks, model))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs, cum, tasks, _ = sent.value
+        for batch in batches:
+            ids = batch["id"].to_numpy() if len(cum) else np.zeros(0, np.int64)
+            pick = np.minimum(np.searchsorted(cum, _uniform(seed, ids, 0) * (cum[-1] if len(cum) else 0)), len(cum) - 1)
+            a, b = pairs[pick].T if len(ids) else (ids, ids)
+            yield pd.DataFrame({"id": ids, "start": a, "end": b, "size": sized(pairs, pick, ids) if len(ids) else ids, "task": ids % tasks[b] if len(ids) else ids})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = sent.value[3]
+        for batch in batches:
+            ids, start, ends, size = (batch[c].to_numpy() for c in ("id", "start", "end", "size"))
+            for end in np.unique(ends):
+                own = np.flatnonzero(ends == end)
+                yield _trips(ids[own], *walks(model, start[own], int(end), size[own], ids[own]))
+
+    drawn = spark.range(first_id, first_id + trips).mapInPandas(draw, "id long, start long, end long, size long, task long")
+    return drawn.repartition("end", "task").sortWithinPartitions("end").mapInPandas(walk, _TRIPS)
 
 
 def synth_count_split(starts: DataFrame, moves: DataFrame, max_len: int = 125) -> DataFrame:

@@ -442,10 +442,13 @@ def _adaptive_model(p, top=_TOPGRID, beta: float = 0.8):
     """States, their neighbours, the trips' states, first-order moves, paths and calibrated trips, without noise."""
     states = adaptive.sqrt_states(p, top, beta)
     near, walked = cut(adaptive.subcell_neighbours(states)), grid.cell_sequence(adaptive.assign_states(p, top, states).withColumnRenamed("state", "cell"))
-    walked, paths = cut(walked), cut(adaptive.state_paths(states, near))
+    walked = cut(walked)
     first = cut(model.transitions_start_end(walked))
-    mask = model.two_step_mask(first.where("src >= 0 and dst >= 0"), near.select(F.col("state").alias("cell"), "other"))
+    mask = cut(model.two_step_mask(first.where("src >= 0 and dst >= 0"), near.select(F.col("state").alias("cell"), "other")))
     starts, stops = first.where("src = -1").select(F.col("dst").alias("src"), "w"), first.where("dst = -2").select(F.col("src").alias("dst"), "w")
+    # Paths of the pairs that trips may go between.
+    wanted = mask.select("src", "dst").join(starts.where("w > 0").select("src"), "src", "left_semi").join(stops.where("w > 0").select("dst"), "dst", "left_semi")
+    paths = cut(adaptive.state_paths(states, near, wanted))
     trips = adaptive.calibrate_trips(starts, stops, paths, mask, p.select("traj_id").distinct().count())
     return states, near, walked, first, paths, trips
 
