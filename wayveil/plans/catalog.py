@@ -50,6 +50,61 @@ def _(spark, d):
     return io.read_dat(spark, path).select("traj_id", F.col("seq").cast("long").alias("seq"), r6("x"), "y", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+@query("s3_geolife_round_trip", f"WITH {a.GPS} SELECT traj_id::VARCHAR AS \"user\", seq, round(x, 6) AS x, round(y, 6) AS y, ts FROM gps")
+def _(spark, d):
+    path = _shared(spark)
+    io.write_geolife(a.gps(spark, d).select(F.col("traj_id").alias("user"), F.lit("Trajectory").alias("log"), "seq", "x", "y", "ts"), path)
+    return io.read_geolife(spark, path, "*.txt").select("user", F.col("seq").cast("long").alias("seq"), r6("x"), r6("y"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("s4_tdrive_round_trip", f"WITH {a.GPS} SELECT traj_id AS taxi, ts, round(x, 6) AS x, round(y, 6) AS y FROM gps")
+def _(spark, d):
+    path = _shared(spark)
+    io.write_tdrive(a.gps(spark, d).withColumnRenamed("traj_id", "taxi"), path)
+    return io.read_tdrive(spark, path).select("taxi", F.col("ts").cast("timestamp_ntz").alias("ts"), r6("x"), r6("y"))
+
+
+@query("s5_porto_round_trip", f"WITH {a.SHORT}, n AS (SELECT *, count(*) OVER (PARTITION BY traj_id) AS n FROM trips) SELECT traj_id::VARCHAR AS trip, seq, round(x, 6) AS x, y, TIMESTAMP '1970-01-01' + to_seconds(1372636800 + traj_id + 15 * seq) AS ts FROM n WHERE n >= 3 AND traj_id % 5 <> 0")
+def _(spark, d):
+    path, own = _shared(spark), F.array_sort(F.collect_list(F.struct("seq", F.array("x", "y").alias("at"))))
+    trips = a.short_trips(spark, d).groupBy(F.col("traj_id").alias("trip")).agg(F.transform(own, lambda p: p["at"]).alias("line"))
+    io.write_porto(trips.select("trip", (F.lit(1372636800) + F.col("trip")).alias("start"), (F.col("trip") % 5 == 0).alias("missing"), "line"), path)
+    return io.read_porto(spark, path).select("trip", F.col("seq").cast("long").alias("seq"), r6("x"), "y", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("s6_trip_folder", f"WITH {a.GPS} SELECT traj_id, seq, round(x, 6) AS x, round(y, 6) AS y FROM gps")
+def _(spark, d):
+    path = _shared(spark)
+    io.write_traj_folder(a.gps(spark, d), path)
+    return io.read_traj_folder(spark, path).select("traj_id", F.col("seq").cast("long").alias("seq"), r6("x"), r6("y"))
+
+
+@query("s7_network_files", f"WITH {a.SHORT}, {a.EDGES} SELECT traj_id, seq AS \"order\", segment_id, e.start_node, e.end_node, round(length, 6) AS length, round(-8.7::DOUBLE + 0.03::DOUBLE * (e.start_node % 15), 6) AS lon FROM trips JOIN edges e ON edge_id = segment_id")
+def _(spark, d):
+    path, edges = _shared(spark), a.edges(spark, d)
+    segments = a.short_trips(spark, d).join(edges.withColumnRenamed("edge_id", "segment_id"), "segment_id").select("dataset", "traj_id", F.col("seq").alias("order"), "segment_id", "start_node", "end_node")
+    io.write_network(_nodes(spark), edges, segments, path)
+    nodes, edges, segments = io.read_network(spark, path)
+    both = segments.join(edges.select(F.col("edge_id").alias("segment_id"), "length"), "segment_id").join(nodes.withColumnRenamed("node_id", "start_node"), "start_node")
+    return both.select("traj_id", F.col("order").cast("long").alias("order"), "segment_id", "start_node", "end_node", r6("length"), r6("lon"))
+
+
+@query("s8_reports", f"WITH {a.POINTS} SELECT 'events' AS dataset, 'm' || (traj_id % 3) AS model, 0.5::DOUBLE AS epsilon, CAST(traj_id % 3 AS INTEGER) AS iteration, 'sniffing' AS attack, traj_id, count(*) AS n, round(max(x), 6) AS far FROM pts GROUP BY ALL")
+def _(spark, d):
+    path, found = _shared(spark), a.points(spark, d).groupBy("traj_id").agg(F.count("*").alias("n"), F.max("x").alias("far"))
+    for k in range(3):
+        io.write_report(found.where(F.col("traj_id") % 3 == k), path, "events", f"m{k}", 0.5, k, "sniffing")
+    return io.read_reports(spark, path, "traj_id long, n long, far double").select("dataset", "model", "epsilon", "iteration", "attack", "traj_id", "n", r6("far"))
+
+
+@query("s9_synthetic_files", f"WITH {a.POINTS} SELECT CASE traj_id % 4 WHEN 1 THEN 0.1 ELSE 1.0 END::DOUBLE AS epsilon, CAST(CASE traj_id % 4 WHEN 1 THEN 3 ELSE 7 END AS INTEGER) AS iteration, traj_id, seq, round(x, 6) AS x, y FROM pts WHERE dataset = 'synthetic'")
+def _(spark, d):
+    path, s = _shared(spark), both(a.points(spark, d))[1]
+    for rest, name in ((1, "eps_0.1/trips-iteration3.dat"), (3, "eps_1.0/trips-iteration7.dat")):
+        io.write_dat(s.where(F.col("traj_id") % 4 == rest), f"{path}/{name}")
+    return io.list_synthetic(io.read_dat(spark, f"{path}/eps_*/*.dat", "synthetic")).select("epsilon", "iteration", "traj_id", F.col("seq").cast("long").alias("seq"), r6("x"), "y")
+
+
 @query("p1_p2_p3_filters", f"WITH {a.GPS} SELECT traj_id, seq, round(x, 6) AS x, round(y, 6) AS y FROM gps WHERE x BETWEEN -8.6 AND -8.2 AND y BETWEEN 41.0 AND 41.3 AND x <> 0 AND y <> 0 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-02-15'")
 def _(spark, d):
     x, y = F.col("x"), F.col("y")

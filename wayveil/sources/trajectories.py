@@ -39,11 +39,28 @@ def write_dat(pts: DataFrame, path: str, header_colon: bool = True, decimals: in
     trips.select(F.concat(F.lit("#"), F.col("traj_id").cast("string"), F.lit(":" if header_colon else ""), F.lit("\n"), body).alias("value")).write.text(path)
 
 
-def read_geolife(spark: SparkSession, root: str) -> DataFrame:
-    """`.plt` logs under <user>/Trajectory: six header lines, then lat,lon,_,_,_,date,time."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.plt").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where("line >= 6").select("file", "line", F.split("text", ",").alias("f")).where(F.size("f") >= 7)
-    return lines.select(F.regexp_extract("file", r"([^/]+)/[^/]+/[^/]+$", 1).alias("user"), "file", (F.col("line") - 6).alias("seq"), F.col("f")[1].try_cast("double").alias("x"), F.col("f")[0].try_cast("double").alias("y"), parse_ts(F.concat_ws(" ", F.trim(F.col("f")[5]), F.trim(F.col("f")[6]))).alias("ts"))
+def _log_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """value, file: whole files under root, one a row."""
+    read = spark.read.option("recursiveFileLookup", "true")
+    return (read.option("pathGlobFilter", glob) if glob else read).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def _write_files(texts: DataFrame, root: str, *folders: str) -> None:
+    """A file for each row of (folders, value), under folders named `column=value`."""
+    texts.repartition(*folders).write.option("maxRecordsPerFile", 1).partitionBy(*folders).text(root)
+
+
+def read_geolife(spark: SparkSession, root: str, glob: str = "*.plt") -> DataFrame:
+    """`.plt` logs under <user>/Trajectory, or as write_geolife leaves them: six header lines, then lat,lon,_,_,_,date,time."""
+    lines = _log_files(spark, root, glob).select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where("line >= 6").select("file", "line", F.split("text", ",").alias("f")).where(F.size("f") >= 7)
+    return lines.select(F.regexp_extract("file", r"([^/=]+)/[^/]+/[^/]+$", 1).alias("user"), "file", (F.col("line") - 6).alias("seq"), F.col("f")[1].try_cast("double").alias("x"), F.col("f")[0].try_cast("double").alias("y"), parse_ts(F.concat_ws(" ", F.trim(F.col("f")[5]), F.trim(F.col("f")[6]))).alias("ts"))
+
+
+def write_geolife(pts: DataFrame, root: str) -> None:
+    """Points (user, log, seq, x, y, ts) as logs in the same form, a file a log, under user=<user>/log=<log>."""
+    line = F.concat_ws(",", F.col("y").cast("string"), F.col("x").cast("string"), F.lit("0,0,0"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"))
+    logs = pts.groupBy("user", "log").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("p"))
+    _write_files(logs.select("user", "log", F.concat(F.lit("Geolife trajectory\n" * 6), F.array_join(F.transform("p", lambda p: p["line"]), "\n")).alias("value")), root, "user", "log")
 
 
 def read_tdrive(spark: SparkSession, root: str) -> DataFrame:
@@ -52,6 +69,11 @@ def read_tdrive(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("taxi is not null and ts is not null and x is not null and y is not null")
 
 
+def write_tdrive(pts: DataFrame, root: str) -> None:
+    """Points (taxi, ts, x, y) as such logs."""
+    pts.select("taxi", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "x", "y").write.csv(root)
+
+
 def read_porto(spark: SparkSession, path: str, min_points: int = 3) -> DataFrame:
     """Taxi trips with a JSON polyline; rows with missing data and short lines go. A point each 15 s."""
     rows = spark.read.option("header", "true").option("escape", '"').csv(path).where("lower(trim(MISSING_DATA)) = 'false'")
@@ -60,14 +82,28 @@ def read_porto(spark: SparkSession, path: str, min_points: int = 3) -> DataFrame
 
 
 def read_traj_folder(spark: SparkSession, root: str, lat_lon: bool = True, min_points: int = 2) -> DataFrame:
-    """One file a trip, `a,b` or `(a, b)` a line; the trip's id is the number in the file name."""
-    whole = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    """One file a trip, `a,b` or `(a, b)` a line; the trip's id is that of its folder traj_id=<id>, else the number in the
+    file's name."""
+    whole = _log_files(spark, root)
     pairs = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.split(F.regexp_replace(x, r"[()\s]", ""), ",")), lambda p: F.size(p) >= 2)
-    trips = whole.select(F.regexp_extract("file", r"(\d+)[^/]*$", 1).cast("long").alias("traj_id"), pairs.alias("p")).where(F.size("p") >= min_points)
+    number = F.coalesce(*[F.nullif(F.regexp_extract("file", x, 1), F.lit("")) for x in (r"traj_id=(\d+)/[^/]*$", r"(\d+)[^/]*$")])
+    trips = whole.select(number.cast("long").alias("traj_id"), pairs.alias("p")).where(F.size("p") >= min_points)
     x, y = (1, 0) if lat_lon else (0, 1)
     return trips.select("traj_id", F.posexplode("p").alias("seq", "p")).select("traj_id", "seq", F.col("p")[x].try_cast("double").alias("x"), F.col("p")[y].try_cast("double").alias("y"))
 
 
+def write_porto(trips: DataFrame, path: str) -> None:
+    """Trips (trip, start in seconds, missing, line: an array of [x, y]) as such a table."""
+    trips.select(F.col("trip").alias("TRIP_ID"), F.col("start").alias("TIMESTAMP"), F.initcap(F.col("missing").cast("string")).alias("MISSING_DATA"), F.to_json("line").alias("POLYLINE")).write.option("header", "true").option("escape", '"').csv(path)
+
+
+def write_traj_folder(pts: DataFrame, root: str, lat_lon: bool = True) -> None:
+    """Points (traj_id, seq, x, y), a file a trip under traj_id=<id>, `a,b` a line."""
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in (("y", "x") if lat_lon else ("x", "y"))])
+    trips = pts.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("p"))
+    _write_files(trips.select("traj_id", F.array_join(F.transform("p", lambda p: p["line"]), "\n").alias("value")), root, "traj_id")
+
+
 def read_network(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and segments under root."""
     read = lambda name, schema: spark.read.schema(schema).option("header", "true").csv(f"{root}/{name}")
@@ -85,6 +121,12 @@ def write_report(df: DataFrame, root: str, dataset: str, model: str, epsilon: fl
     df.withColumns({k: F.lit(v) for k, v in keys.items()}).write.mode("append").partitionBy(*keys).option("header", "true").csv(root)
 
 
+def read_reports(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All reports under root with their own columns (schema) and their keys."""
+    keys = "dataset string, model string, epsilon double, iteration int, attack string"
+    return spark.read.schema(f"{schema}, {keys}").option("header", "true").csv(root)
+
+
 def list_synthetic(pts: DataFrame) -> DataFrame:
     """Adds epsilon and iteration, from folders `eps_<number>` and file names with `iteration<number>`."""
     return pts.withColumn("epsilon", F.regexp_extract("file", r"eps_([\d.]+)", 1).try_cast("double")).withColumn("iteration", F.regexp_extract("file", r"iteration_?(\d+)", 1).try_cast("int"))
