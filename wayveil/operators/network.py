@@ -140,7 +140,7 @@ def drop_repeated(pts: DataFrame, key: str) -> DataFrame:
 
 
 def _nearest_in_buckets(places: DataFrame, lines: DataFrame, d, size: float) -> DataFrame:
-    """(x, y, id): the nearest of the lines (id, lon, lat, lon2, lat2) to each place."""
+    """(x, y, id): the nearest of the lines (id, lon, lat, lon2, lat2) to each place; distances equal to 12 decimals tie."""
     b = lines.agg(F.min(F.least("lon", "lon2")).alias("x0"), F.max(F.greatest("lon", "lon2")).alias("x1"), F.min(F.least("lat", "lat2")).alias("y0"), F.max(F.greatest("lat", "lat2")).alias("y1")).first()
     q = places.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     if b["x0"] is None or q["x0"] is None:
@@ -152,7 +152,7 @@ def _nearest_in_buckets(places: DataFrame, lines: DataFrame, d, size: float) ->
         span = lambda a, c: F.explode(F.sequence(at(F.least(a, c)), at(F.greatest(a, c))))
         held = lines.withColumn("u", span("lon", "lon2")).withColumn("v", span("lat", "lat2"))
         asks = left.withColumn("_a", F.explode(ring)).withColumn("_b", F.explode(ring)).select("x", "y", (at(F.col("x")) + F.col("_a")).alias("u"), (at(F.col("y")) + F.col("_b")).alias("v"))
-        best = asks.join(held, ["u", "v"]).groupBy("x", "y").agg(F.min(F.struct(d.alias("d"), "id")).alias("m"))
+        best = asks.join(held, ["u", "v"]).groupBy("x", "y").agg(F.min(F.struct(F.round(d, 12).alias("d"), "id")).alias("m"))
         last = size > whole
         done = cut((best if last else best.where(F.col("m.d") <= size)).select("x", "y", F.col("m.id").alias("id")))
         out = done if out is None else out.union(done)

@@ -179,12 +179,15 @@ def _(spark, d):
     return clean.clean_split(a.gps(spark, d), ["dataset", "traj_id"], max_time=43_200, max_distance=0.9).select("traj_id", "seq", "part")
 
 
-@query("c2_clean_split_first")
+_FAST = f"(n.t - r.t <= 0 OR {_STEP} * 111000 / (n.t - r.t) > 40)"
+
+
+@query("c2_clean_split_first", f"WITH RECURSIVE {a.GPS}, g AS MATERIALIZED (SELECT dataset, traj_id, x, y, epoch(ts) AS t, seq, row_number() OVER (PARTITION BY dataset, traj_id ORDER BY ts, seq) AS k FROM gps), r AS (SELECT dataset, traj_id, k, seq, x, y, t, 0 AS part, true AS kept FROM g WHERE k = 1 UNION ALL SELECT dataset, traj_id, k, seq, CASE WHEN ok THEN x ELSE rx END, CASE WHEN ok THEN y ELSE ry END, CASE WHEN ok THEN t ELSE rt END, CASE WHEN ok AND t - rt > 43200 THEN part + 1 ELSE part END, ok FROM (SELECT n.dataset, n.traj_id, n.k, n.seq, n.x, n.y, n.t, r.x AS rx, r.y AS ry, r.t AS rt, r.part, {_STEP} >= 0.0001::DOUBLE AND (n.t - r.t > 43200 OR NOT {_FAST}) AS ok FROM r JOIN g n ON n.dataset = r.dataset AND n.traj_id = r.traj_id AND n.k = r.k + 1)) SELECT traj_id, seq, part FROM r WHERE kept")
 def _(spark, d):
     return clean.clean_split(a.gps(spark, d), ["dataset", "traj_id"], max_time=43_200, max_distance=None, split_first=True, bad_if_no_time=True).select("traj_id", "seq", "part")
 
 
-@query("c3_clean_porto")
+@query("c3_clean_porto", f"WITH RECURSIVE {a.GPS}, r AS (SELECT dataset, traj_id, -1::BIGINT AS seq, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, false AS has, 0 AS passed, 0 AS steps, false AS kept FROM gps WHERE seq = 0 UNION ALL SELECT dataset, traj_id, seq, CASE WHEN good THEN x ELSE rx END, CASE WHEN good THEN y ELSE ry END, has OR good, CASE WHEN good OR bad THEN passed + 1 ELSE passed END, passed, good FROM (SELECT *, NOT bad AND x BETWEEN -8.7 AND -8.0 AND y BETWEEN 40.95 AND 41.4 AS good FROM (SELECT n.dataset, n.traj_id, n.seq, n.x, n.y, r.x AS rx, r.y AS ry, has, passed, has AND ({_STEP} < 0.0001::DOUBLE OR {_STEP} * 111000 / 15 > 4000) AS bad FROM r JOIN gps n ON n.dataset = r.dataset AND n.traj_id = r.traj_id AND n.seq = r.seq + 1))) SELECT traj_id, seq, TIMESTAMP '1970-01-01' + to_seconds(1372636800 + 15 * steps) AS ts FROM r WHERE kept")
 def _(spark, d):
     lines = a.gps(spark, d).drop("ts").withColumn("start", F.lit(1_372_636_800).cast("long"))
     return clean.clean_porto(lines, ["dataset", "traj_id"], -8.7, -8.0, 40.95, 41.4, max_speed=4000.0).select("traj_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"))
@@ -986,7 +989,10 @@ def _(spark, d):
     return network.nearest_road(a.gps(spark, d), _nodes(spark), size=0.02).select("traj_id", "seq", "node_id")
 
 
-@query("m11_nearest_edge")
+_ALONG = "least(greatest(((x - lon) * (lon2 - lon) + (y - lat) * (lat2 - lat)) / nullif(pow(lon2 - lon, 2) + pow(lat2 - lat, 2), 0), 0), 1)"
+
+
+@query("m11_nearest_edge", f"WITH {a.GPS}, {a.EDGES}, nodes AS (SELECT CAST(range AS BIGINT) AS node_id, -8.7::DOUBLE + 0.03::DOUBLE * (range % 15) AS lon, 41.0::DOUBLE + 0.03::DOUBLE * (range // 15) AS lat FROM range(199)), li AS (SELECT edge_id, u.lon, u.lat, v.lon AS lon2, v.lat AS lat2 FROM edges JOIN nodes u ON u.node_id = start_node JOIN nodes v ON v.node_id = end_node), ds AS (SELECT DISTINCT x, y FROM gps), al AS (SELECT *, coalesce({_ALONG}, 0) AS t FROM ds, li), ne AS (SELECT x, y, arg_min(edge_id, (round(sqrt(pow(x - (lon + t * (lon2 - lon)), 2) + pow(y - (lat + t * (lat2 - lat)), 2)), 12), edge_id)) AS edge_id FROM al GROUP BY ALL), w AS (SELECT traj_id, dataset, seq, edge_id, lag(edge_id) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS b FROM gps JOIN ne USING (x, y)) SELECT traj_id, seq, edge_id FROM w WHERE b IS NULL OR b <> edge_id")
 def _(spark, d):
     return network.drop_repeated(network.nearest_road(a.gps(spark, d), _nodes(spark), a.edges(spark, d), 0.02), "edge_id").select("traj_id", "seq", "edge_id")
 
