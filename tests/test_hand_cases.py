@@ -151,7 +151,7 @@ def test_registry_and_segments(spark):
 def test_nearest_node_and_anchor_times(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0)], "node_id long, lon double, lat double")
     p = pts(spark, [(1, 0, 0.1, 0, 0), (1, 1, 40, 40, 1)])
-    assert {r.seq: r.node_id for r in network.nearest_road(p, nodes, size=1.0).collect()} == {0: 1, 1: 2}
+    assert {r.seq: r.node_id for r in network.nearest_road(p, nodes).collect()} == {0: 1, 1: 2}
     g = spark.createDataFrame([("o", 1, k, t) for k, t in enumerate([None, 10, None, None, 40, None])], "dataset string, traj_id long, seq long, t long")
     assert [r.t for r in network.interp_anchor_times(g).orderBy("seq").collect()] == [None, 10, 20, 30, 40, 40]
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayveil.operators import adaptive, attack, clean, grid, model, network, synth
+from wayveil.operators.boxes import BoxTree
 from wayveil.plans import adapters as a
 from wayveil.plans import catalog
 
@@ -139,6 +140,21 @@ def test_knn_over_uneven_points(spark):
         assert np.allclose([got[k] for k in range(len(points))], want)
 
 
+def test_knn_where_a_third_of_the_points_stand_in_one_spot(spark):
+    rng = np.random.default_rng(8)
+    points = np.concatenate([np.full((300, 2), 0.5), rng.integers(0, 4, (300, 2)) / 2, rng.random((300, 2))])
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "id long, x double, y double")
+    got = {r.id: r.score for r in attack.knn_score_2d(df, 5).collect()}
+    assert np.allclose([got[k] for k in range(len(points))], brute_knn(points, points, 5))
+    asks = points[::-1]
+    found = {r.id: r.score for r in attack.knn_score_2d(df, 5, spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(asks)], "id long, x double, y double")).collect()}
+    own, far = np.hypot(*(points[:, None] - points[None]).transpose(2, 0, 1)).round(12), np.hypot(*(asks[:, None] - points[None]).transpose(2, 0, 1)).round(12)
+    assert np.allclose([found[k] for k in range(len(points))], [np.sort(np.rec.fromarrays([far[k], own[k]]))[:5].f1.mean() for k in range(len(points))])
+    tree = BoxTree(adaptive.cut(df.select(F.col("id").alias("j"), *[F.col(v).alias(f"{v}{k}") for v in "xy" for k in "01"])))
+    met = tree.around(df, 5).groupBy("id").count().agg(F.max("count"), F.avg("count")).first()
+    assert met[0] < 300 and met[1] < 120  # no query meets the spot's points one by one
+
+
 def dtw(x, y):
     cost = np.full((len(x) + 1, len(y) + 1), np.inf)
     cost[0, 0] = 0
@@ -263,7 +279,7 @@ def test_nearest_edge_against_brute_force(spark):
         t = 0 if (u == v).all() else np.clip((q - u) @ (v - u) / ((v - u) @ (v - u)), 0, 1)
         return np.hypot(*(q - (u + t * (v - u))))
 
-    got = {r.seq: (r.node_id, r.edge_id) for r in network.nearest_road(pts, nodes, edges, 0.05).collect()}
+    got = {r.seq: (r.node_id, r.edge_id) for r in network.nearest_road(pts, nodes, edges).collect()}
     for k, q in enumerate(p):
         assert got[k][0] == np.argmin(np.hypot(*(at - q).T)) and got[k][1] == np.argmin([far(q, at[u], at[v]) for _, u, v, _ in lines])
 

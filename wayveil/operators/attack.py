@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.tables import cut, ranked
+from wayveil.operators.boxes import BoxTree
 from wayveil.operators.grid import TRIP, Grid, assign_cell, cell_sequence, data_bounds, fill_route, nth_densest
 from wayveil.operators.model import od_counts, transitions
 from wayveil.operators.sequences import SequenceTree
@@ -99,39 +100,6 @@ def intersection_count(pairs: DataFrame, a: DataFrame, b: DataFrame, tol: float)
     return pairs.join(counts, ["i", "j"], "left").fillna(0, ["n"])
 
 
-#: Cells of the finest level of a search by growing cells, along each side.
-FINEST = 1 << 10
-
-
-def _by_growing_cells(left: DataFrame, data: DataFrame, settle) -> DataFrame:
-    """What `settle` finds for every query, meeting the data in 3 x 3 cells that double until a query is settled.
-
-    left: queries with id, x, y. data: px, py and more. settle: from the pairs of one level to a row for each query, with
-    id and far: all data within that distance of the query are among the pairs. A query is settled where a cell is as wide.
-    """
-    b = data.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"), F.count("*").alias("n")).first()
-    q = left.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if not b["n"] or q["x0"] is None:
-        return settle(left.crossJoin(data.limit(0))).drop("far")
-    x0, y0 = min(b["x0"], q["x0"]), min(b["y0"], q["y0"])
-    whole = max(max(b["x1"], q["x1"]) - x0, max(b["y1"], q["y1"]) - y0, 1e-9)
-    side, out, left = whole / min(FINEST, max(1, int(b["n"] ** 0.5))), None, cut(left)
-    around = F.expr("explode(flatten(transform(sequence(-1, 1), p -> transform(sequence(-1, 1), q -> struct(p, q)))))")
-    while True:
-        at = lambda v, low: F.floor((F.col(v) - low) / side)  # noqa: B023, E731
-        cells = left.withColumn("_o", around).withColumn("_u", at("x", x0) + F.col("_o.p")).withColumn("_v", at("y", y0) + F.col("_o.q")).drop("_o")
-        found = settle(cells.join(data.withColumn("_u", at("px", x0)).withColumn("_v", at("py", y0)), ["_u", "_v"]).drop("_u", "_v"))
-        last = side > whole  # then 3 x 3 cells hold everything
-        done = cut(found if last else found.where(F.col("far") <= side))
-        out = done if out is None else out.union(done)
-        if last:
-            return out.drop("far")
-        left = cut(left.join(done.select("id"), "id", "left_anti"))
-        if not left.limit(1).count():
-            return out.drop("far")
-        side *= 2
-
-
 def partial_sniffing(o: DataFrame, s: DataFrame, sniff: int, sensitive: int, threshold: int = 5, tol: float = 0.001, side: int | None = None) -> DataFrame:
     """(i, j, dtw, n, visits, fails): for each original seen in the sniffed cell, the nearest synthetic one there.
 
@@ -189,18 +157,14 @@ def knn_score_2d(points: DataFrame, k: int, queries: DataFrame | None = None) ->
     queries: (id, x, y) whose nearest points are sought, where they are not the points themselves; distances are still
     those between the points.
     """
-    data = points.select(F.col("x").alias("px"), F.col("y").alias("py"))
-    left = points.select("id", "x", "y", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    data = points.where("x is not null and y is not null").select(F.monotonically_increasing_id().alias("j"), *[F.col(v).cast("double").alias(f"{v}{k}") for v in "xy" for k in "01"])
+    left = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("ox"), F.col("y").cast("double").alias("oy"))
     if queries is not None:
         left = left.drop("x", "y").join(queries.select("id", "x", "y"), "id").select("id", "x", "y", "ox", "oy")
-
-    def mean(pairs: DataFrame) -> DataFrame:
-        d = pairs.select("id", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")).alias("d"), F.hypot(F.col("px") - F.col("ox"), F.col("py") - F.col("oy")).alias("own"))
-        best = d.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "own"))).where(F.col("r") <= k)
-        met = best.groupBy("id").agg(F.avg("own").alias("score"), F.max("d").alias("d"), F.count("*").alias("n"))
-        return met.select("id", "score", F.when(F.col("n") >= k, F.col("d")).otherwise(float("inf")).alias("far"))
-
-    return _by_growing_cells(left, cut(data), mean)
+    own = lambda x, y: F.hypot(F.col("x0") - F.col(x), F.col("y0") - F.col(y))
+    pairs = BoxTree(cut(data)).around(cut(left), k, own("ox", "oy")).select("id", own("x", "y").alias("d"), own("ox", "oy").alias("own"))
+    best = pairs.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "own"))).where(F.col("r") <= k)
+    return best.groupBy("id").agg(F.avg("own").alias("score"))
 
 
 def top_outliers(scores: DataFrame, n: int, exact: bool = True) -> DataFrame:

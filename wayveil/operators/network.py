@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import coord_key, dist_to_segment, haversine_m
 from wayveil.functions.tables import cut, ranked
+from wayveil.operators.boxes import DECIMALS, BoxTree, in_pieces
 from wayveil.operators.grid import TRIP
 
 
@@ -115,53 +116,32 @@ def downsample(pts: DataFrame, most: int = 50) -> DataFrame:
     return trips.select(*TRIP, F.posexplode(F.transform(at, lambda i: F.element_at("p", i + 1))).alias("seq", "q")).select(*TRIP, "seq", "q.x", "q.y")
 
 
-def nearest_road(pts: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, size: float = 0.01) -> DataFrame:
-    """Adds node_id, the nearest node, and with edges edge_id, the nearest edge (ties: the smaller id).
-
-    Places meet nodes in 3 x 3 buckets of `size` degrees that double for those not settled. An edge stands in every bucket
-    that its box touches.
-    """
-    places = cut(pts.select("x", "y").distinct())
-    d = F.hypot(F.col("x") - F.col("lon"), F.col("y") - F.col("lat"))
-    near = _nearest_in_buckets(places, nodes.select(F.col("node_id").alias("id"), "lon", "lat", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), d, size)
-    out = pts.join(near.withColumnRenamed("id", "node_id"), ["x", "y"])
+def nearest_road(pts: DataFrame, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Adds node_id, the nearest node, and with edges edge_id, the nearest edge (ties, also of distances equal to 12
+    decimals: the smaller id). Distinct places are looked up once, in a BoxTree of nodes or of pieces of edges."""
+    places = cut(pts.select("x", "y").distinct().withColumn("id", F.monotonically_increasing_id()))
+    boxed = nodes.select(F.col("node_id").alias("j"), *[F.col(c).cast("double").alias(f"{v}{k}") for v, c in (("x", "lon"), ("y", "lat")) for k in "01"])
+    tree = BoxTree(cut(boxed.where("x0 is not null and y0 is not null")))
+    out = pts.join(_nearest(tree, places, F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")), "node_id"), ["x", "y"])
     if edges is not None:
         at = lambda k, x, y: nodes.select(F.col("node_id").alias(k), F.col("lon").alias(x), F.col("lat").alias(y))
-        lines = edges.join(at("start_node", "lon", "lat"), "start_node").join(at("end_node", "lon2", "lat2"), "end_node").select(F.col("edge_id").alias("id"), "lon", "lat", "lon2", "lat2")
+        lines = edges.join(at("start_node", "lon", "lat"), "start_node").join(at("end_node", "lon2", "lat2"), "end_node").select(F.col("edge_id").alias("j"), "lon", "lat", "lon2", "lat2")
         d = dist_to_segment(F.col("x"), F.col("y"), F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-        out = out.join(_nearest_in_buckets(places, lines, d, size).withColumnRenamed("id", "edge_id"), ["x", "y"])
+        out = out.join(_nearest(BoxTree(cut(in_pieces(lines, tree.whole))), places, d, "edge_id"), ["x", "y"])
     return out
 
 
+def _nearest(tree: BoxTree, places: DataFrame, d, name: str) -> DataFrame:
+    pairs = tree.around(places, 1)
+    return pairs.groupBy("x", "y").agg(F.min(F.struct(F.round(d, DECIMALS).alias("d"), "j")).alias("m")).select("x", "y", F.col("m.j").alias(name))
+
+
 def drop_repeated(pts: DataFrame, key: str) -> DataFrame:
     """Points whose key (node_id or edge_id) is not that of the point before."""
     same = F.col(key).eqNullSafe(F.lag(key).over(W.partitionBy(*TRIP).orderBy("seq"))) & (F.row_number().over(W.partitionBy(*TRIP).orderBy("seq")) > 1)
     return pts.withColumn("_same", same).where("not _same").drop("_same")
 
 
-def _nearest_in_buckets(places: DataFrame, lines: DataFrame, d, size: float) -> DataFrame:
-    """(x, y, id): the nearest of the lines (id, lon, lat, lon2, lat2) to each place; distances equal to 12 decimals tie."""
-    b = lines.agg(F.min(F.least("lon", "lon2")).alias("x0"), F.max(F.greatest("lon", "lon2")).alias("x1"), F.min(F.least("lat", "lat2")).alias("y0"), F.max(F.greatest("lat", "lat2")).alias("y1")).first()
-    q = places.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if b["x0"] is None or q["x0"] is None:
-        return places.select("x", "y", F.lit(None).cast("long").alias("id")).limit(0)
-    whole = max(max(b["x1"], q["x1"]) - min(b["x0"], q["x0"]), max(b["y1"], q["y1"]) - min(b["y0"], q["y0"]))
-    ring, out, left = F.sequence(F.lit(-1), F.lit(1)), None, places
-    while True:
-        at = lambda c: F.floor(c / size)  # noqa: B023, E731
-        span = lambda a, c: F.explode(F.sequence(at(F.least(a, c)), at(F.greatest(a, c))))
-        held = lines.withColumn("u", span("lon", "lon2")).withColumn("v", span("lat", "lat2"))
-        asks = left.withColumn("_a", F.explode(ring)).withColumn("_b", F.explode(ring)).select("x", "y", (at(F.col("x")) + F.col("_a")).alias("u"), (at(F.col("y")) + F.col("_b")).alias("v"))
-        best = asks.join(held, ["u", "v"]).groupBy("x", "y").agg(F.min(F.struct(F.round(d, 12).alias("d"), "id")).alias("m"))
-        last = size > whole
-        done = cut((best if last else best.where(F.col("m.d") <= size)).select("x", "y", F.col("m.id").alias("id")))
-        out = done if out is None else out.union(done)
-        left = cut(left.join(done.select("x", "y"), ["x", "y"], "left_anti"))
-        if last or not left.limit(1).count():
-            return out
-        size *= 2
-
-
 def network_distance(pairs: DataFrame, edges: DataFrame, cutoff: float = 10_000.0) -> DataFrame:
     """(a, b, d) for pairs of nodes: shortest undirected paths from distinct sources; the cutoff beyond it or without a path.
 

@@ -986,7 +986,7 @@ def _(spark, d):
 
 @query("m11_nearest_road", f"WITH {a.GPS}, {a.EDGES}, nodes AS (SELECT CAST(range AS BIGINT) AS node_id, -8.7::DOUBLE + 0.03::DOUBLE * (range % 15) AS lon, 41.0::DOUBLE + 0.03::DOUBLE * (range // 15) AS lat FROM range(199)), ds AS (SELECT DISTINCT x, y FROM gps), nn AS (SELECT x, y, arg_min(node_id, (round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 12), node_id)) AS node_id FROM ds, nodes GROUP BY ALL) SELECT traj_id, seq, node_id FROM gps JOIN nn USING (x, y)")
 def _(spark, d):
-    return network.nearest_road(a.gps(spark, d), _nodes(spark), size=0.02).select("traj_id", "seq", "node_id")
+    return network.nearest_road(a.gps(spark, d), _nodes(spark)).select("traj_id", "seq", "node_id")
 
 
 _ALONG = "least(greatest(((x - lon) * (lon2 - lon) + (y - lat) * (lat2 - lat)) / nullif(pow(lon2 - lon, 2) + pow(lat2 - lat, 2), 0), 0), 1)"
@@ -994,7 +994,7 @@ _ALONG = "least(greatest(((x - lon) * (lon2 - lon) + (y - lat) * (lat2 - lat)) /
 
 @query("m11_nearest_edge", f"WITH {a.GPS}, {a.EDGES}, nodes AS (SELECT CAST(range AS BIGINT) AS node_id, -8.7::DOUBLE + 0.03::DOUBLE * (range % 15) AS lon, 41.0::DOUBLE + 0.03::DOUBLE * (range // 15) AS lat FROM range(199)), li AS (SELECT edge_id, u.lon, u.lat, v.lon AS lon2, v.lat AS lat2 FROM edges JOIN nodes u ON u.node_id = start_node JOIN nodes v ON v.node_id = end_node), ds AS (SELECT DISTINCT x, y FROM gps), al AS (SELECT *, coalesce({_ALONG}, 0) AS t FROM ds, li), ne AS (SELECT x, y, arg_min(edge_id, (round(sqrt(pow(x - (lon + t * (lon2 - lon)), 2) + pow(y - (lat + t * (lat2 - lat)), 2)), 12), edge_id)) AS edge_id FROM al GROUP BY ALL), w AS (SELECT traj_id, dataset, seq, edge_id, lag(edge_id) OVER (PARTITION BY dataset, traj_id ORDER BY seq) AS b FROM gps JOIN ne USING (x, y)) SELECT traj_id, seq, edge_id FROM w WHERE b IS NULL OR b <> edge_id")
 def _(spark, d):
-    return network.drop_repeated(network.nearest_road(a.gps(spark, d), _nodes(spark), a.edges(spark, d), 0.02), "edge_id").select("traj_id", "seq", "edge_id")
+    return network.drop_repeated(network.nearest_road(a.gps(spark, d), _nodes(spark), a.edges(spark, d)), "edge_id").select("traj_id", "seq", "edge_id")
 
 
 def _nodes(spark):
