@@ -7,9 +7,10 @@ inside the chunk in which it begins; that chunk alone counts it, so overlaps cou
 chunks, whatever stands around them: copies and common passages collapse to one row of the dictionary with a frequency.
 
 1. The dictionary: distinct (lang, chunk) with the number of its words that begin phrases and its frequency, a table.
-2. Words are counted inside the distinct chunks, weighted. Longer phrases follow one length after the other: a phrase is
-   counted only where its first and last parts, one word shorter, can both be frequent enough. Tasks know these from a
-   bitmap of fixed size, so a few others are counted too; the counts themselves are exact and decide.
+2. Words are counted inside the distinct chunks, weighted. Longer phrases follow one length after the other, first by
+   64-bit hashes, where both parts one word shorter can be frequent enough: a batch of chunks sends each bucket of hashes
+   one row. Hashes that reach the least count are marked in a bitmap of fixed size, and the phrases that are marked, a few
+   others among them, are counted as strings. These counts are exact and decide.
 3. Candidates get the counts of their parts from shorter phrases, the score of their lowest cut, and the most frequent
    longer candidate that holds them. A word that begins or ends very many phrases is dealt over SALTS tasks.
 
@@ -20,6 +21,7 @@ empty, a null lang is "und". Repeated rows count each. Other columns are ignored
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +39,13 @@ _PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09]] = True
 _U = np.uint64
-#: Bits of the bitmap of frequent phrases: 4 MB, whatever their number.
-BITS = 1 << 25
+#: A bitmap of frequent phrases has 2 ** PLACE bits, 4 MB, whatever their number.
+PLACE = 25
+#: Chunks of the dictionary that a bucket of hashes stands for, about.
+BUCKET = 1 << 17
 SALTS = 16
 #: Bytes of chunks that are counted together in a task.
-_FLUSH = 8 << 20
+_FLUSH = 16 << 20
 
 
 class Pieces(Words):
@@ -100,7 +104,7 @@ def _chunks(most: int, every: int):
     return work
 
 
-def dictionary(docs: DataFrame, most: int = 3, every: int = 8) -> DataFrame:
+def dictionary(docs: DataFrame, most: int = 3, every: int = 16) -> DataFrame:
     """The parse: distinct (lang, chunk, own) with freq. own: how many of the chunk's words begin phrases."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
@@ -108,9 +112,14 @@ def dictionary(docs: DataFrame, most: int = 3, every: int = 8) -> DataFrame:
     return cut(parsed.groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq")))
 
 
-def _place(lang: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap for hashes of langs and phrases."""
-    return ((lang * _U(0x9E3779B97F4A7C15) + phrase) * _U(0xBF58476D1CE4E5B9)) >> _U(64 - 25)
+def _key(lang: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """One hash of the hashes of langs and phrases; its first bits are the place in the bitmap."""
+    return mix(lang * _U(0x9E3779B97F4A7C15) + phrase)
+
+
+def _marked(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    place = key >> _U(64 - PLACE)
+    return (bitmap[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
 
 
 class _Grams:
@@ -142,14 +151,26 @@ class _Grams:
         """Places of the words that begin runs of `size` words which their chunk counts."""
         return np.flatnonzero((self.inner < self.own[self.chunk]) & (self.inner + size <= self.sizes[self.chunk]))
 
-    def counted(self, size: int, bitmap: np.ndarray | None) -> pa.Table:
+    def keys(self, at: np.ndarray, size: int) -> np.ndarray:
+        return _key(self.lang_hash[self.lang[self.chunk[at]]], self.runs(at, size)) if len(at) else np.zeros(0, _U)
+
+    def hoped(self, size: int, parts: np.ndarray) -> np.ndarray:
+        """Places of runs whose parts, one word shorter, are both marked."""
         at = self.begins(size)
-        if bitmap is not None:
-            lang = self.lang_hash[self.lang[self.chunk[at]]]
-            for shift in (0, 1):
-                place = _place(lang, self.runs(at + shift, size - 1)) if len(at) else np.zeros(0, _U)
-                keep = (bitmap[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
-                at, lang = at[keep], lang[keep]
+        for shift in (0, 1):
+            at = at[_marked(parts, self.keys(at + shift, size - 1))]
+        return at
+
+    def summed(self, size: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of such runs, sorted, and their occurrences."""
+        at = self.hoped(size, parts)
+        keys, which = np.unique(self.keys(at, size), return_inverse=True)
+        return keys, np.bincount(which, self.freq[self.chunk[at]], len(keys)).astype(np.int64)
+
+    def counted(self, size: int, marks: np.ndarray | None = None) -> pa.Table:
+        """lang, phrase, n: runs of `size` words, the marked ones only, if there are marks."""
+        at = self.begins(size)
+        at = at if marks is None else at[_marked(marks, self.keys(at, size))]
         key = self.lang[self.chunk[at]]
         for k in range(size):  # exact: the prefix's number and the word's
             key = np.unique(key, return_inverse=True)[1] * max(len(self.words), 1) + self.code[at + k]
@@ -160,7 +181,7 @@ class _Grams:
         phrase = self.words.take(pa.array(self.code[one])).cast(pa.large_string())
         for k in range(1, size):
             phrase = pc.binary_join_element_wise(phrase, self.words.take(pa.array(self.code[one + k])).cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
-        return pa.table({"lang": self.langs.take(pa.array(self.lang[self.chunk[one]])).cast(pa.string()), "phrase": phrase.cast(pa.string()), "n": freq})
+        return pa.table({"lang": self.langs.take(pa.array(self.lang[self.chunk[one]])).cast(pa.string()), "phrase": phrase.cast(pa.string()), "size": pa.array(np.full(len(one), size, np.int32)), "n": freq})
 
 
 def _hashed(strings: pa.Array) -> np.ndarray:
@@ -169,42 +190,81 @@ def _hashed(strings: pa.Array) -> np.ndarray:
     return np.array([mix(((raw[a:b].astype(_U) + _U(1)) * powers(_BASE, b - a)).sum(dtype=_U).reshape(1))[0] for a, b in zip(offsets[:-1], offsets[1:])], _U)
 
 
-def _count(size: int, bitmap):
-    """Partial counts of the phrases of `size` words in the dictionary's rows."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[_Grams]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.nbytes for x in held) >= _FLUSH:
+            yield _Grams(pa.Table.from_batches(held))
+            held = []
+    if held:
+        yield _Grams(pa.Table.from_batches(held))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for grams in _gathered(batches):
+        yield from grams.counted(1).to_batches()
+
+
+def _count(marks: dict):
+    """Partial counts of the marked phrases of all sizes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(x.nbytes for x in held) >= _FLUSH:
-                yield from _Grams(pa.Table.from_batches(held)).counted(size, bits).to_batches()
-                held = []
-        if held:
-            yield from _Grams(pa.Table.from_batches(held)).counted(size, bits).to_batches()
+        for grams in _gathered(batches):
+            for size, bitmap in marks.items():
+                yield from grams.counted(size, np.frombuffer(bitmap.value, np.uint8)).to_batches()
 
     return work
 
 
-def _frequent(counts: DataFrame):
-    """The bitmap of the phrases in a table of counts, sent to every task. It has BITS bits, made of blocks of rows."""
+def _hash(size: int, parts, bits: int):
+    """A row for each batch and bucket, the first `bits` bits of hashes: sorted hashes and their occurrences."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.table({"lang": batch.column(0), "chunk": batch.column(1), "own": pa.array(np.ones(batch.num_rows, np.int32)), "freq": pa.array(np.ones(batch.num_rows, np.int64))})
-            grams = _Grams(table)
-            size = int(grams.sizes[0])
-            place = _place(grams.lang_hash[grams.lang], grams.runs(grams.offsets[:-1] - grams.offsets[0], size)).astype(np.int64)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grams in _gathered(batches):
+            keys, n = grams.summed(size, np.frombuffer(parts.value, np.uint8))
+            buckets, begin = np.unique(keys >> _U(64 - bits), return_index=True)
+            ends = np.append(begin[1:], len(keys))
+            packed = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(begin, ends)], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), packed(keys), packed(n)], names=["bucket", "keys", "n"])
+
+    return work
+
+
+def _reaching(least: int):
+    """The words of 64 bits of the bitmap that a bucket's hashes with `least` occurrences mark."""
+
+    def work(bucket: pa.Table) -> pa.Table:
+        keys, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in bucket[c]]) for c, kind in (("keys", _U), ("n", np.int64)))
+        order = np.argsort(keys)
+        keys = keys[order]
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        place = (keys[begin][np.add.reduceat(n[order], begin) >= least] >> _U(64 - PLACE)).astype(np.int64)
+        word, which = np.unique(place >> 6, return_inverse=True)
+        bits = np.zeros(len(word), np.int64)
+        np.bitwise_or.at(bits, which, np.left_shift(np.int64(1), place & 63))
+        return pa.table({"word": word, "bits": bits})
+
+    return work
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of words (lang, phrase)."""
+    for batch in batches:
+        if batch.num_rows:
+            ones = lambda kind: pa.array(np.ones(batch.num_rows, kind))  # noqa: B023, E731
+            grams = _Grams(pa.table({"lang": batch.column(0), "chunk": batch.column(1), "own": ones(np.int32), "freq": ones(np.int64)}))
+            place = (grams.keys(np.arange(batch.num_rows), 1) >> _U(64 - PLACE)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(np.left_shift(np.int64(1), place & 63))], names=["word", "bits"])
 
-    rows = counts.select("lang", "phrase").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(BITS // 64, np.int64)
-    found = rows.toArrow()  # at most BITS / 64 rows
+
+def _sent(rows: DataFrame):
+    """The bitmap of rows (word, bits), sent to every task."""
+    found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2 ** PLACE / 64 rows
+    out = np.zeros((1 << PLACE) // 64, np.int64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return counts.sparkSession.sparkContext.broadcast(out.tobytes())
+    return rows.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def _parts(phrase: Column, words: int, k: int) -> tuple[Column, Column]:
@@ -227,7 +287,7 @@ def score_of(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     return F.when(reaches(near + 1), near + 1).when(reaches(near), near).otherwise(near - 1)
 
 
-def collocations(docs: DataFrame, least: int = 10, most: int = 3, top: int = 2000, percent: int = 50, every: int = 8) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, most: int = 3, top: int = 2000, percent: int = 50, every: int = 16) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each lang's best `top` phrases of 2 to `most` words in docs (text, lang).
 
     least: occurrences of a candidate. percent: a candidate goes if a longer one holds it and has that share of its
@@ -235,13 +295,17 @@ def collocations(docs: DataFrame, least: int = 10, most: int = 3, top: int = 200
     """
     with scratch(docs.sparkSession) as keep:
         parse = dictionary(docs, most, every)
-        schema = "lang string, phrase string, n long"
-        partial = lambda size, bitmap: parse.mapInArrow(_count(size, bitmap), schema).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        words = cut(partial(1, None))
+        schema = "lang string, phrase string, size int, n long"
+        words = cut(parse.mapInArrow(_words, schema).groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
         total = cut(words.groupBy("lang").agg(F.sum("n").alias("total")))
-        counts = [words.where(F.col("n") >= least)]
+        frequent = words.where(F.col("n") >= least)
+        bits = max(6, min(PLACE, math.ceil(math.log2(parse.count() / BUCKET + 1)) + 4))
+        parts, marks = _sent(frequent.select("lang", "phrase").mapInArrow(_mark, "word long, bits long")), {}
         for size in range(2, most + 1):
-            counts.append(cut(partial(size, _frequent(counts[-1])).where(F.col("n") >= least)))
+            hashed = parse.mapInArrow(_hash(size, parts, bits), "bucket long, keys binary, n binary")
+            parts = marks[size] = _sent(hashed.groupBy("bucket").applyInArrow(_reaching(least), "word long, bits long"))
+        phrases = cut(parse.mapInArrow(_count(marks), schema).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+        counts = [frequent, *[phrases.where(F.col("size") == size).drop("size") for size in range(2, most + 1)]]
         scored, longer = [], []
         for size in range(2, most + 1):
             rows = counts[size - 1].withColumnRenamed("n", "a")
