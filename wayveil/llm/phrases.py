@@ -45,7 +45,7 @@ PLACE = 25
 BUCKET = 1 << 17
 SALTS = 16
 #: Bytes of chunks that are counted together in a task.
-_FLUSH = 16 << 20
+_FLUSH = 8 << 20
 
 
 class Pieces(Words):
