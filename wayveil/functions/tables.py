@@ -67,3 +67,8 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     before = totals.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
     return spread.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")  # a row a range
+
+
+def with_share(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Adds each row's share of the sum of column n; the sum is one row, sent to every task."""
+    return df.crossJoin(F.broadcast(df.agg(F.sum(n).alias("_all")))).withColumn(name, F.col(n) / F.col("_all")).drop("_all")

@@ -172,14 +172,6 @@ def adaptive_split_trips(pts: DataFrame, g: Grid, densities: DataFrame, trips: i
     return out.withColumn("share", F.coalesce(F.col("touching") / F.nullif(F.sum("touching").over(total), F.lit(0)), F.lit(0.0)))
 
 
-def adaptive_grid_sqrt(densities: DataFrame, beta_factor: float) -> DataFrame:
-    """Flat sub-cells: sub, cell, m, si, sj with m = max(1, rint(sqrt(d * beta)))."""
-    m = F.greatest(F.rint(F.sqrt(F.greatest(F.col("density"), F.lit(0.0)) * beta_factor)), F.lit(1.0)).cast("int")
-    subs = densities.select("cell", m.alias("m")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") * F.col("m") - 1)))
-    order = W.orderBy("cell", "k")  # a row a sub-cell
-    return subs.select((F.row_number().over(order) - 1).alias("sub"), "cell", "m", F.floor(F.col("k") / F.col("m")).cast("int").alias("si"), (F.col("k") % F.col("m")).alias("sj"))
-
-
 def two_level_size(points: int) -> int:
     """Cells a side of the top level."""
     return min(60, int((points / 600) ** 0.5))

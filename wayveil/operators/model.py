@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import unit_hash
-from wayveil.functions.tables import cut
+from wayveil.functions.tables import cut, with_share
 from wayveil.operators.grid import TRIP, grid_steps, neighbours
 
 
@@ -68,7 +68,7 @@ def dp_median_length(cells: DataFrame, eps: float | None, seed: int = 0) -> Data
 def od_counts(cells: DataFrame) -> DataFrame:
     """(src, dst, n, p): trips by first and last cell."""
     n = ends(cells).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))))
+    return with_share(n, "n", "p")
 
 
 def moves(cells: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def moves(cells: DataFrame) -> DataFrame:
 def transitions(cells: DataFrame) -> DataFrame:
     """(src, dst, n, p): moves between cells."""
     n = moves(cells).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))))
+    return with_share(n, "n", "p")
 
 
 def transitions_weighted(cells: DataFrame, n: int, eps: float | None = None, adjacent_only: bool = True, seed: int = 0) -> DataFrame:
@@ -220,7 +220,7 @@ def scale_counts(counts: DataFrame, total: int) -> DataFrame:
 
     T lies between total and total + rows; each job tries 64 values between the bounds and keeps the gap that holds it.
     """
-    shares = cut(counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))))
+    shares = cut(with_share(counts, "n", "p"))
     low, high = total, total + shares.count() + 1
     while high - low > 1:
         step = max(1, (high - low + 63) // 64)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import dist_to_segment, unit_hash
-from wayveil.functions.tables import cut
+from wayveil.functions.tables import cut, with_share
 from wayveil.functions.workers import ready
 from wayveil.operators.grid import TRIP, assign_cell, cell_sequence, data_bounds, passes_through
 from wayveil.operators.model import od_counts
@@ -201,7 +201,7 @@ def coverage_ranking(o_cells: DataFrame, s_cells: DataFrame, n: int) -> DataFram
 
 def matrix_error(a: DataFrame, b: DataFrame, key: list[str], w: str = "n") -> DataFrame:
     """One row: L1 distance of two matrices, each scaled to sum 1."""
-    share = lambda df, name: df.select(*key, (F.col(w) / F.sum(w).over(W.partitionBy(F.lit(0)))).alias(name))
+    share = lambda df, name: with_share(df, w, name).select(*key, name)
     return share(a, "a").join(share(b, "b"), key, "full").fillna(0.0, ["a", "b"]).agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("error"))
 
 
@@ -211,4 +211,4 @@ def bin_density(values: DataFrame, v: str, edges: list[float]) -> DataFrame:
     spark = values.sparkSession
     counts = values.where(F.col(v).between(edges[0], edges[-1])).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
     every = spark.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").fillna(0, ["n"])
-    return every.select("bin", (F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))).alias("share"))
+    return with_share(every, "n", "share").select("bin", "share")
