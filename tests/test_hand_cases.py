@@ -91,6 +91,13 @@ def test_count_split(spark):
     assert sum(got.values()) == 10 and got.keys() <= {(0, 0), (0, 1), (0, 2)}
 
 
+def test_count_split_of_one_start_spreads_over_rounds(spark):
+    starts = spark.createDataFrame([(0, 3000), (1, 1), (2, 0)], "cell int, n long")
+    moves = spark.createDataFrame([(a, b, 0.3) for a in range(4) for b in range(4) if a != b], "src int, dst int, p double")
+    whole, rounds = (sorted((tuple(r.cells), r.copies) for r in synth.synth_count_split(starts, moves, max_len=9, steps=n).collect()) for n in (10**6, 40))
+    assert whole == rounds and sum(n for _, n in whole) == 3001 and max(len(c) for c, _ in whole) > 4
+
+
 def test_neighbours_rule(spark):
     got = {}
     for r in grid.neighbours(spark, 20).collect():

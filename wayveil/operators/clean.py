@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import point_time
+from wayveil.functions.tables import cut, ranked
 from wayveil.functions.workers import ready
 
 TRIP = ["dataset", "traj_id"]
@@ -18,59 +19,130 @@ def _own(order: str = "seq"):
     return W.partitionBy(*TRIP).orderBy(order)
 
 
-def clean_split(raw: DataFrame, key: list[str], min_distance: float = 1e-4, max_speed: float = 40.0, max_time: float = 900.0, max_distance: float | None = 0.05, split_first: bool = False, bad_if_no_time: bool = False, splits: bool = True) -> DataFrame:
+#: Points of one log that a task walks at a time.
+BLOCK = 1 << 16
+
+
+def _walked(raw: DataFrame, key: list[str], order: list, walk, counter: str, block: int) -> DataFrame:
+    """The rows that walk(log, last) keeps of each log, with a running counter.
+
+    walk: (sorted log, last kept x, y, t or None) -> (kept rows with `counter` from 0, the new last, the counter's end).
+    A log of up to `block` points is one group. A longer one is cut into blocks by places in the order; each block is
+    walked at once from a guess of the point kept before it, which is what the block before it ended with in the last
+    round, and again while that guess is not what the block before it ends with now. Two walks soon keep the same point,
+    so two rounds are common; the first blocks of a log are right after as many rounds, so the rounds end. States are a
+    row a block. Then every block is walked from its right state.
+    """
+    spark = raw.sparkSession
+    ready(spark)
+    types = {f.name: f.dataType.simpleString() for f in raw.schema}
+    out = ", ".join(f"`{c}` {t}" for c, t in types.items()) + f", {counter} long"
+    keys = ", ".join(f"`{c}` {types[c]}" for c in key)
+    sizes = cut(raw.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]))
+    whole = lambda df: df.groupBy(*key).applyInPandas(lambda log: walk(log, None)[0], out)
+    if sizes.isEmpty():
+        return whole(raw)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
+    placed = ranked(raw.join(sizes, same, "left_semi"), [*key, *order], "_place")
+    blocks = cut(placed.withColumn("_block", F.floor(F.col("_place") / block)).drop("_place"))
+    unit = [*key, "_block"]
+    before = W.partitionBy(*key).orderBy("_block")
+    state = "has boolean, lx double, ly double, lt double"
+
+    def last(row) -> tuple | None:
+        return (row.lx, row.ly, row.lt) if row.has else None
+
+    def end(log: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        if not len(log) or not len(states):
+            return pd.DataFrame(columns=[*unit, *[f"{p}{c}" for p in "io" for c in ("has", "lx", "ly", "lt")], "n"])
+        row = next(states.itertuples())
+        _, now, n = walk(log.drop(columns="_block"), last(row))
+        ids = states[unit].iloc[:1].reset_index(drop=True)
+        ids[["ihas", "ilx", "ily", "ilt"]] = [[row.has, row.lx, row.ly, row.lt]]
+        ids[["ohas", "olx", "oly", "olt"]] = [[now is not None, *(now or (None, None, None))]]
+        return ids.assign(n=n)
+
+    def rows(log: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        kept = walk(log.drop(columns="_block"), last(next(states.itertuples())))[0]
+        return kept.assign(**{counter: kept[counter] + states["before"].iloc[0]})
+
+    fields = ["has", "lx", "ly", "lt"]
+    ends = f"{keys}, _block long, " + ", ".join(f"{p}{f}" for p in "io" for f in state.split(", ")) + ", n long"
+    todo = blocks.select(*unit).distinct().selectExpr(*[f"`{c}`" for c in unit], "false AS has", *[f"CAST(NULL AS double) AS {c}" for c in fields[1:]])
+    known = None
+    while True:
+        todo = cut(todo)
+        if todo.isEmpty():
+            break
+        some = blocks.join(todo.select("_block").distinct(), "_block", "left_semi")
+        new = some.groupBy(*unit).cogroup(todo.groupBy(*unit)).applyInPandas(end, ends)
+        if known is not None:
+            # What was walked before, but for the blocks walked anew.
+            newest = known.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+            new = newest.withColumn("_top", F.max("_new").over(W.partitionBy(*unit))).where("_new = _top").drop("_new", "_top")
+        known = cut(new)
+        fits = F.lit(True)
+        told = known
+        for c in fields:
+            told = told.withColumn(f"_{c}", F.lag(f"o{c}").over(before))
+            fits = fits & F.col(f"i{c}").eqNullSafe(F.coalesce(F.col(f"_{c}"), F.lit(False)) if c == "has" else F.col(f"_{c}"))
+        todo = told.where(~fits).select(*unit, *[F.col(f"_{c}").alias(c) for c in fields])
+    total = F.coalesce(F.sum("n").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    right = known.select(*unit, *[F.col(f"i{c}").alias(c) for c in fields], total.alias("before"))
+    long_ones = blocks.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(rows, out)
+    return whole(raw.join(sizes, same, "left_anti")).unionByName(long_ones)
+
+
+def clean_split(raw: DataFrame, key: list[str], min_distance: float = 1e-4, max_speed: float = 40.0, max_time: float = 900.0, max_distance: float | None = 0.05, split_first: bool = False, bad_if_no_time: bool = False, splits: bool = True, block: int = BLOCK) -> DataFrame:
     """Adds `part` and drops bad points, comparing each with the last point that was kept.
 
     split_first: test for a split (time gap only) before speed. bad_if_no_time: no time passed counts as too fast.
-    A group is one raw log; filter by box and date first.
+    A group is one raw log of any length; filter by box and date first.
     """
-    ready(raw.sparkSession)
 
-    def walk(log: pd.DataFrame) -> pd.DataFrame:
+    def walk(log: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple | None, int]:
         log = log.sort_values(["ts", "seq"], kind="stable")
         x, y, t = log["x"].to_numpy(), log["y"].to_numpy(), log["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        keep, part, last, now = np.zeros(len(log), bool), np.zeros(len(log), np.int32), -1, 0
+        keep, part, now = np.zeros(len(log), bool), np.zeros(len(log), np.int64), 0
         for k in range(len(log)):
-            if last >= 0:
-                gap, far = t[k] - t[last], float(np.hypot(x[k] - x[last], y[k] - y[last]))
+            if last is not None:
+                gap, far = t[k] - last[2], float(np.hypot(x[k] - last[0], y[k] - last[1]))
                 if far < min_distance:
                     continue
-                cut = splits and (gap > max_time or (max_distance is not None and not split_first and far > max_distance))
+                parted = splits and (gap > max_time or (max_distance is not None and not split_first and far > max_distance))
                 fast = (gap > 0 and far * 111_000 / gap > max_speed) or (gap <= 0 and bad_if_no_time)
-                if fast and not (split_first and cut):
+                if fast and not (split_first and parted):
                     continue
-                now += cut
-            keep[k], part[k], last = True, now, k
-        return log.assign(part=part)[keep]
+                now += parted
+            keep[k], part[k], last = True, now, (float(x[k]), float(y[k]), float(t[k]))
+        return log.assign(part=part)[keep], last, int(now)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema) + ", part int"
-    return raw.groupBy(*key).applyInPandas(walk, schema)
+    kept = _walked(raw, key, [F.col("ts").asc_nulls_last(), "seq"], walk, "part", block)
+    return kept.withColumn("part", F.col("part").cast("int"))
 
 
-def clean_porto(raw: DataFrame, key: list[str], left: float, right: float, bottom: float, top: float, min_distance: float = 1e-4, max_speed: float = 40.0, step_s: int = 15) -> DataFrame:
+def clean_porto(raw: DataFrame, key: list[str], left: float, right: float, bottom: float, top: float, min_distance: float = 1e-4, max_speed: float = 40.0, step_s: int = 15, block: int = BLOCK) -> DataFrame:
     """Lines sampled at a fixed rate (key, seq, x, y, start): drops noise, leaps and points outside the box; adds ts.
 
     A point is compared with the last one that was kept. Noise and leaps take their time with them; a point outside the
-    box takes none, so the times of what follows move up.
+    box takes none, so the times of what follows move up. A line may be of any length.
     """
-    ready(raw.sparkSession)
 
-    def walk(line: pd.DataFrame) -> pd.DataFrame:
+    def walk(line: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple | None, int]:
         line = line.sort_values("seq", kind="stable")
         x, y = line["x"].to_numpy(), line["y"].to_numpy()
-        keep, at, last, passed = np.zeros(len(line), bool), np.zeros(len(line), np.int64), -1, 0
+        keep, at, passed = np.zeros(len(line), bool), np.zeros(len(line), np.int64), 0
         for k in range(len(line)):
-            far = float(np.hypot(x[k] - x[last], y[k] - y[last])) if last >= 0 else None
+            far = float(np.hypot(x[k] - last[0], y[k] - last[1])) if last is not None else None
             bad = far is not None and (far < min_distance or far * 111_000 / step_s > max_speed)
             if not bad and left <= x[k] <= right and bottom <= y[k] <= top:
-                keep[k], at[k], last = True, passed, k
+                keep[k], at[k], last = True, passed, (float(x[k]), float(y[k]), 0.0)
             elif not bad:
                 continue
             passed += 1
-        return line.assign(at=at)[keep]
+        return line.assign(at=at)[keep], last, passed
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema)
-    kept = raw.groupBy(*key).applyInPandas(walk, f"{schema}, at long")
+    kept = _walked(raw, key, ["seq"], walk, "at", block)
     return kept.withColumn("ts", point_time(F.col("start"), F.col("at"), step_s)).drop("at")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,10 +228,12 @@ def _walked(od: DataFrame, first_id: int, trips: int, seed: int, sized, walks, m
     return drawn.repartition("end", "task").sortWithinPartitions("end").mapInPandas(walk, _TRIPS)
 
 
-def synth_count_split(starts: DataFrame, moves: DataFrame, max_len: int = 125) -> DataFrame:
+def synth_count_split(starts: DataFrame, moves: DataFrame, max_len: int = 125, steps: int = 5_000) -> DataFrame:
     """(cells, copies): each prefix's count is split over its next states by floors of the largest total that fits.
 
-    starts: (cell, n). moves: (src, dst, p), the rest of 1 being the end. Deterministic; starts are independent.
+    starts: (cell, n). moves: (src, dst, p), the rest of 1 being the end. Deterministic. A task splits up to `steps`
+    prefixes below each row, the shortest first, and hands the others back as rows, which are dealt anew: the trips of one
+    start spread over all tasks after the first round, and a round's rows reach `steps` times as many prefixes.
     """
     spark = starts.sparkSession
     ready(spark)
@@ -247,22 +250,38 @@ def synth_count_split(starts: DataFrame, moves: DataFrame, max_len: int = 125) -
                 return parts
         return [int(s * c + 1e-9) for _, s in shares]
 
+    def below(prefix: list[int], copies: int) -> Iterator[tuple[list[int], int, bool]]:
+        """Ended trips, and prefixes that are still to be split."""
+        line, left = deque([(prefix, copies)]), steps
+        while line and left:
+            left -= 1
+            prefix, c = line.popleft()
+            shares = sent.value.get(prefix[-1], []) if len(prefix) < max_len else []
+            parts = split(c, shares)
+            rest = c - sum(parts)
+            if rest > 0:
+                yield prefix if len(prefix) > 1 else prefix * 2, rest, False
+            line.extend(([*prefix, d], k) for (d, _), k in zip(shares, parts) if k > 0)
+        yield from ((p, c, True) for p, c in line)
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
         for batch in batches:
-            out = []
-            for cell, n in zip(batch["cell"], batch["n"]):
-                stack = [([int(cell)], int(n))]
-                while stack:
-                    prefix, c = stack.pop()
-                    shares = sent.value.get(prefix[-1], []) if len(prefix) < max_len else []
-                    parts = split(c, shares)
-                    rest = c - sum(parts)
-                    if rest > 0:
-                        out.append((prefix if len(prefix) > 1 else prefix * 2, rest))
-                    stack += [([*prefix, d], k) for (d, _), k in zip(shares, parts) if k > 0]
-            yield pd.DataFrame(out, columns=["cells", "copies"])
-
-    return starts.mapInPandas(walk, "cells array<int>, copies long")
+            for cells, copies in zip(batch["cells"], batch["copies"]):
+                out += below([int(x) for x in cells], int(copies))
+                if len(out) >= 4 * steps:
+                    yield pd.DataFrame(out, columns=["cells", "copies", "open"])
+                    out = []
+        yield pd.DataFrame(out, columns=["cells", "copies", "open"])
+
+    ended, todo = None, starts.select(F.array(F.col("cell").cast("int")).alias("cells"), F.col("n").cast("long").alias("copies"))
+    while ended is None or not todo.isEmpty():
+        # Dealt by their own hash, so that a task that is run again gets the same rows.
+        dealt = todo.repartition(spark.sparkContext.defaultParallelism, F.xxhash64("cells", "copies"))
+        done = cut(dealt.mapInPandas(walk, "cells array<int>, copies long, open boolean"))
+        new, todo = done.where("not open").drop("open"), done.where("open").drop("open")
+        ended = new if ended is None else ended.unionByName(new)
+    return ended
 
 
 def realise_points(cells: DataFrame, g: Grid, seed: int = 0, how: str = "uniform", subs: DataFrame | None = None, start: str = "00:00:00", step_min: float = 15.0, date: str = "2009-01-01") -> DataFrame:

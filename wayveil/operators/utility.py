@@ -13,6 +13,7 @@ from wayveil.functions.tables import cut, with_share
 from wayveil.functions.workers import ready
 from wayveil.operators.grid import TRIP, assign_cell, cell_sequence, data_bounds, passes_through
 from wayveil.operators.model import od_counts
+from wayveil.operators.ranking import agreement
 
 TINY = 2.0**-52
 
@@ -182,21 +183,16 @@ def pattern_support_error(o_top: DataFrame, s_patterns: DataFrame) -> DataFrame:
 
 
 def pattern_ranking(o_top: DataFrame, s_patterns: DataFrame) -> DataFrame:
-    """One row: Kendall tau of supports over the original's top patterns (top-k x top-k pairs)."""
+    """One row: Kendall tau of supports over the original's top patterns; a tie on either side counts nothing."""
     both = o_top.withColumnRenamed("support", "o").join(s_patterns.withColumnRenamed("support", "s"), "pattern", "left").fillna(0, ["s"])
-    a, b = both.select(F.col("pattern").alias("p1"), F.col("o").alias("o1"), F.col("s").alias("s1")), both.select(F.col("pattern").alias("p2"), F.col("o").alias("o2"), F.col("s").alias("s2"))
-    sign = F.signum(F.col("o1") - F.col("o2")) * F.signum(F.col("s1") - F.col("s2"))
-    return a.join(F.broadcast(b), F.col("p1") < F.col("p2")).agg(F.coalesce(F.sum(sign) / F.count("*"), F.lit(0.0)).alias("tau"))
+    return agreement(both, "o", "s", "pattern").select(F.coalesce(F.col("score") / F.nullif(F.col("pairs"), F.lit(0)), F.lit(0.0)).alias("tau"))
 
 
 def coverage_ranking(o_cells: DataFrame, s_cells: DataFrame, n: int) -> DataFrame:
     """One row: Kendall tau of trips by cell. A synthetic tie is reversed where o_i > o_j, concordant where o_i < o_j."""
     every = o_cells.sparkSession.range(n * n).select(F.col("id").cast("int").alias("cell"))
     counts = every.join(passes_through(o_cells).withColumnRenamed("trips", "o"), "cell", "left").join(passes_through(s_cells).withColumnRenamed("trips", "s"), "cell", "left").fillna(0, ["o", "s"])
-    a, b = counts.toDF("c1", "o1", "s1"), counts.toDF("c2", "o2", "s2")
-    same = ((F.col("o1") > F.col("o2")) & (F.col("s1") > F.col("s2"))) | ((F.col("o1") < F.col("o2")) & (F.col("s1") <= F.col("s2")))
-    turned = ((F.col("o1") > F.col("o2")) & (F.col("s1") <= F.col("s2"))) | ((F.col("o1") < F.col("o2")) & (F.col("s1") > F.col("s2")))
-    return a.join(F.broadcast(b), F.col("c1") < F.col("c2")).agg(((F.sum(same.cast("int")) - F.sum(turned.cast("int"))) / F.count("*")).alias("tau"))  # n^2 x n^2 cells
+    return agreement(counts, "o", "s", "cell", b_ties_by_key=True).select((F.col("score") / F.nullif(F.col("pairs"), F.lit(0))).alias("tau"))
 
 
 def matrix_error(a: DataFrame, b: DataFrame, key: list[str], w: str = "n") -> DataFrame:
