@@ -1,7 +1,9 @@
 """Secrets, token counts and token files against plain single-process versions."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -52,6 +54,27 @@ def test_ledger_scans_only_what_is_new(spark):
     assert whole.count() == 3
 
 
+def test_repeated_rows_are_read_once(spark):
+    rows = spark.createDataFrame([(1, "token=abcdefghijkl")] * 1000 + [(2, "token=abcdefghijkl"), (None, None), (3, "")], "doc_id long, text string").repartition(7)
+    new = secrets.scan(secrets.versions(rows, "doc_id", "text"))
+    assert new.count() == 2 and new.where("n_assign = 1").count() == 1
+    found, ledger = secrets.secret_scan(rows)
+    assert found.count() == 1003 and found.where("n_assign = 1").count() == 1001 and ledger.count() == 2
+
+
+def test_web_tokens_in_hostile_texts():
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
+    draw, pieces = random.Random(3), ["eyJ", "eyJ", ".", ".", "abcdefgh", "x", "-_", " ", "é", "12345678"]
+    for _ in range(20_000):
+        text = "".join(draw.choices(pieces, k=draw.randrange(1, 14)))
+        want = ",".join(f"webtoken:{m.start()}:{m.end()}" for m in plain.finditer(text))
+        assert ",".join(x for x in secrets.scan_text(text)[4].split(",") if x.startswith("web")) == want
+    began = time.process_time()
+    for hostile in ("eyJ", "eyJabcdefgh.", "token ", "token", "-----BEGIN ", "AKIA", "ey", "0123456789abcdef."):
+        secrets.scan_text(hostile * (1_000_000 // len(hostile)))
+    assert time.process_time() - began < 60
+
+
 def library():
     from tokenizers import Tokenizer
 

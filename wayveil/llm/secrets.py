@@ -4,8 +4,10 @@ Every version of every path is content-addressed by the SHA-256 of its text. The
 rule_version) pairs that were scanned, with their findings. A scan takes only the blobs that the ledger has not seen
 under the present rules, reads each of them once, appends to the ledger and joins the findings back to all paths.
 
-A rule version is a hash of the rules themselves. A null text counts as empty. Repeated rows each get a result row. A null path is a path like any other. Other columns
-are ignored. Positions are code points, end exclusive; spans are ordered by start, then by kind in the order of KINDS.
+A rule version is a hash of the rules themselves. A null text counts as empty. Repeated rows each get a result row, and
+their text is read once. A null path is a path like any other. Other columns are ignored. Positions are code points, end
+exclusive; spans are ordered by start, then by kind in the order of KINDS. Every pattern takes time in proportion to the
+text: a run of the characters of a web token is looked at once, from its first "eyJ" that enough characters follow.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches, cut
 
 _FLAGS = re.ASCII
-#: Kind, pattern, the group that is measured, its least length.
+_WORD = "[A-Za-z0-9_-]"
+#: Kind, pattern, the group that is measured, its least length. A group named "span" is the span, else the match.
 KINDS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+", _FLAGS), 0, 18),
     ("hex", re.compile(r"[0-9a-f]{16,}", _FLAGS), 0, 16),  # runs are maximal, so the shorter ones need not be matched
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----", _FLAGS), 0, 1),
-    ("webtoken", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", _FLAGS), 0, 1),
+    ("webtoken", re.compile(rf"(?<!{_WORD})(?>{_WORD}*?(?=eyJ{_WORD}{{8}}))(?P<span>{_WORD}++\.{_WORD}{{8,}}+\.{_WORD}++)", _FLAGS), 0, 1),
 )
 #: Changes with the rules.
 RULE_VERSION = hashlib.sha256(repr([(kind, p.pattern, int(p.flags), group, least) for kind, p, group, least in KINDS]).encode()).hexdigest()[:16]
@@ -39,7 +42,8 @@ def scan_text(text: str | None) -> tuple[int, int, int, str, str]:
     """Counts of the base kinds, SHA-256 of their spans, and all spans as kind:start:end, joined by commas."""
     found = []
     for order, (kind, pattern, group, least) in enumerate(KINDS):
-        found += [(m.start(), order, kind, m.end()) for m in pattern.finditer(text or "") if m.end(group) - m.start(group) >= least]
+        span = pattern.groupindex.get("span", 0)
+        found += [(m.start(span), order, kind, m.end(span)) for m in pattern.finditer(text or "") if m.end(group) - m.start(group) >= least]
     found.sort()
     said = [(kind, f"{kind}:{start}:{end}") for start, _, kind, end in found]
     counts = [sum(kind == k for k, _ in said) for kind in BASE]
@@ -56,12 +60,10 @@ def versions(table: DataFrame, path: str, text: str) -> DataFrame:
 def scan(history: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """New ledger rows: (blob, rule_version, findings) of the blobs in history that the ledger lacks under these rules."""
     bounded_batches(history.sparkSession)
-    # The first path of a blob carries its text to the scan; copies never leave their task.
-    first = history.groupBy("blob").agg(F.min("path").alias("path"))
+    # One text a blob leaves each task, so repeated rows, under one path or many, are neither sent nor read again.
+    unseen = history.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
-        first = first.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    once = first.select(F.col("blob").alias("want"), F.col("path").alias("at"))
-    unseen = history.join(once, (F.col("path").eqNullSafe(F.col("at"))) & (F.col("blob") == F.col("want")), "left_semi")
+        unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +71,13 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rule_version: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.string()) for i in range(5))], names=["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     found = unseen.select("blob", "text").mapInArrow(read, f"blob string, {FINDINGS}")
-    return found.dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
+    return found.withColumn("rule_version", F.lit(rule_version))
+
+
+def _by_path(history: DataFrame, known: DataFrame, path: str, rule_version: str) -> DataFrame:
+    """The findings of every row's path."""
+    joined = history.select("path", "blob").join(known.where(F.col("rule_version") == rule_version).drop("rule_version"), "blob")
+    return joined.select(F.col("path").alias(path), "blob", *[x.split()[0] for x in FINDINGS.split(", ")])
 
 
 def scan_with_ledger(table: DataFrame, folder: str, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,9 +86,9 @@ def scan_with_ledger(table: DataFrame, folder: str, path: str = "doc_id", text:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
     ledger = spark.read.parquet(folder) if there else None
-    new = cut(scan(versions(table, path, text), ledger))
-    new.write.mode("append").parquet(folder)
-    return secret_scan(table, path, text, spark.read.parquet(folder))[0]
+    history = versions(table, path, text)
+    cut(scan(history, ledger)).write.mode("append").parquet(folder)
+    return _by_path(history, spark.read.parquet(folder), path, RULE_VERSION)
 
 
 def secret_scan(table: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -88,6 +96,4 @@ def secret_scan(table: DataFrame, path: str = "doc_id", text: str = "text", ledg
     history = versions(table, path, text)
     new = cut(scan(history, ledger, rule_version))
     whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    known = whole.where(F.col("rule_version") == rule_version).drop("rule_version")
-    joined = history.select("path", "blob").join(known, "blob")
-    return joined.select(F.col("path").alias(path), "blob", *[x.split()[0] for x in FINDINGS.split(", ")]), whole
+    return _by_path(history, whole, path, rule_version), whole
