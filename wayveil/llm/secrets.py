@@ -32,6 +32,8 @@ KINDS = (
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----", _FLAGS), 0, 1),
     ("webtoken", re.compile(rf"(?<!{_WORD})(?>{_WORD}*?(?=eyJ{_WORD}{{8}}))(?P<span>{_WORD}++\.{_WORD}{{8,}}+\.{_WORD}++)", _FLAGS), 0, 1),
 )
+#: What every match of a kind holds; a text without it is not searched.
+NEEDED = {"access": "AKIA", "pem": "PRIVATE KEY", "webtoken": "eyJ"}
 #: Changes with the rules.
 RULE_VERSION = hashlib.sha256(repr([(kind, p.pattern, int(p.flags), group, least) for kind, p, group, least in KINDS]).encode()).hexdigest()[:16]
 BASE = ("assign", "access", "hex")
@@ -40,10 +42,12 @@ FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans
 
 def scan_text(text: str | None) -> tuple[int, int, int, str, str]:
     """Counts of the base kinds, SHA-256 of their spans, and all spans as kind:start:end, joined by commas."""
-    found = []
+    found, text = [], text or ""
     for order, (kind, pattern, group, least) in enumerate(KINDS):
+        if NEEDED.get(kind, "") not in text:
+            continue
         span = pattern.groupindex.get("span", 0)
-        found += [(m.start(span), order, kind, m.end(span)) for m in pattern.finditer(text or "") if m.end(group) - m.start(group) >= least]
+        found += [(m.start(span), order, kind, m.end(span)) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     found.sort()
     said = [(kind, f"{kind}:{start}:{end}") for start, _, kind, end in found]
     counts = [sum(kind == k for k, _ in said) for kind in BASE]
