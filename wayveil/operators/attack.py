@@ -89,14 +89,31 @@ def first_segment_in_cell(pts: DataFrame, cell: int) -> DataFrame:
     return run.where("_in and _run = 1").drop("_in", "_run")
 
 
-def intersection_count(pairs: DataFrame, a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
-    """(i, j, n): points of b's trip nearer than tol to a's, over buckets of size tol. pairs: (i, j)."""
-    at = lambda v: F.floor(F.col(v) / tol)
+def intersection_count(pairs: DataFrame, a: DataFrame, b: DataFrame, tol: float, parts: int = 8) -> DataFrame:
+    """(i, j, n): points of b's trip nearer than tol to a's. pairs: (i, j).
+
+    Each trip's points are gathered in sub-cells of side tol / parts with the box around those in it. Sub-cells meet within
+    buckets of size tol, so however many points stand in a bucket, a pair of trips makes 9 * parts^4 rows there at most. Boxes
+    wholly nearer than tol count all their points and boxes wholly farther none; points meet only where neither is told.
+    """
+    side = tol / parts
+    spots = lambda df, who, p: df.where(~F.isnan("x") & ~F.isnan("y")).select(F.col("traj_id").alias(who), "seq", F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"), F.floor(F.col("x") / side).alias(f"{p}u"), F.floor(F.col("y") / side).alias(f"{p}v"))
+    boxes = lambda df, who, p: df.groupBy(who, f"{p}u", f"{p}v").agg(*[f(f"{p}{c}").alias(f"{p}{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))])
+    left, right = spots(a, "i", "a"), spots(b, "j", "b")
+    bucket = lambda c: F.floor(F.col(c) / parts)
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), p -> transform(sequence(-1, 1), q -> struct(p, q))))"))
-    left = a.select(F.col("traj_id").alias("i"), F.col("x").alias("xa"), F.col("y").alias("ya"), at("x").alias("_u"), at("y").alias("_v")).withColumn("_o", around).withColumn("u", F.col("_u") + F.col("_o.p")).withColumn("v", F.col("_v") + F.col("_o.q"))
-    right = b.select(F.col("traj_id").alias("j"), "seq", "x", "y", at("x").alias("u"), at("y").alias("v"))
-    near = pairs.join(left, "i").join(right, ["j", "u", "v"]).where(F.hypot(F.col("x") - F.col("xa"), F.col("y") - F.col("ya")) < tol)
-    counts = near.select("i", "j", "seq").distinct().groupBy("i", "j").agg(F.count("*").alias("n"))
+    la = boxes(left, "i", "a").withColumn("_o", around).withColumn("u", bucket("au") + F.col("_o.p")).withColumn("v", bucket("av") + F.col("_o.q")).drop("_o")
+    rb = boxes(right, "j", "b").withColumn("u", bucket("bu")).withColumn("v", bucket("bv"))
+    least = lambda c: F.greatest(F.col(f"b{c}0") - F.col(f"a{c}1"), F.col(f"a{c}0") - F.col(f"b{c}1"), F.lit(0.0))
+    most = lambda c: F.greatest(F.col(f"b{c}1") - F.col(f"a{c}0"), F.col(f"a{c}1") - F.col(f"b{c}0"))
+    met = pairs.select("i", "j").distinct().join(la, "i").join(rb, ["j", "u", "v"]).where(F.hypot(least("x"), least("y")) < tol)
+    met = cut(met.select("i", "j", "au", "av", "bu", "bv", (F.hypot(most("x"), most("y")) < tol).alias("sure")))
+    own = ["i", "j", "bu", "bv"]
+    sure = met.where("sure").select(*own).distinct()
+    told = sure.join(right, ["j", "bu", "bv"]).select("i", "j", "seq")
+    rest = met.where("not sure").drop("sure").join(sure, own, "left_anti").join(left.drop("seq").distinct(), ["i", "au", "av"]).join(right, ["j", "bu", "bv"])
+    near = told.unionByName(rest.where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) < tol).select("i", "j", "seq"))
+    counts = near.distinct().groupBy("i", "j").agg(F.count("*").alias("n"))
     return pairs.join(counts, ["i", "j"], "left").fillna(0, ["n"])
 
 
