@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,8 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-#: Tables cut inside each open scratch.
-_open: list[dict[int, tuple[str, DataFrame]]] = []
+class _Open(threading.local):
+    """Tables cut inside each open scratch of a thread: operators that run at once do not delete each other's."""
+
+    def __init__(self):
+        self.stack: list[dict[int, tuple[str, DataFrame]]] = []
+
+
+_open = _Open()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,27 +39,27 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _open:
-        _open[-1][id(out)] = (path, out)  # held, so that its id stays its own
+    if _open.stack:
+        _open.stack[-1][id(out)] = (path, out)  # held, so that its id stays its own
     return out
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes the tables that are cut inside, all but those handed to the function it gives."""
-    _open.append({})
+    _open.stack.append({})
 
     def keep(df: DataFrame) -> DataFrame:
-        known = _open[-1].pop(id(df), None)
-        if known and len(_open) > 1:
-            _open[-2][id(df)] = known  # the caller's to delete or to keep
+        known = _open.stack[-1].pop(id(df), None)
+        if known and len(_open.stack) > 1:
+            _open.stack[-2][id(df)] = known  # the caller's to delete or to keep
         return df
 
     try:
         yield keep
     finally:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path, _ in _open.pop().values():
+        for path, _ in _open.stack.pop().values():
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
 
