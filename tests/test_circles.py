@@ -1,4 +1,4 @@
-"""Trips that touch circles: boxes of trips decide what they can, blocks of circles give the same counts."""
+"""Trips that touch circles; blocks of circles give the same counts."""
 
 import math
 import random

@@ -40,51 +40,25 @@ QUERY_BLOCK = 1 << 16
 
 def touching(pts: DataFrame, queries: DataFrame, still_hits: bool = True) -> DataFrame:
     """(query_id, n): trips that touch each circle. still_hits: a step without length counts as a hit."""
-    known = segments(pts).where("x is not null and y is not null and y2 is not null")
-    steps = known.withColumns({f"{v}{k}": f(v, f"{v}2") for v in "xy" for k, f in ((0, F.least), (1, F.greatest))})
     near = dist_to_segment(F.col("cx"), F.col("cy"), F.col("x"), F.col("y"), F.col("x2"), F.col("y2")) <= F.col("r")
-    still = (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")) if still_hits else F.lit(False)
-    return _trips_that_hit(steps, queries, near, still)
+    still = (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))
+    return _trips_that_hit(segments(pts), queries, near | (still if still_hits else F.lit(False)))
 
 
 def touching_points(pts: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, n): trips with a point inside each circle."""
-    boxes = pts.select(*TRIP, "x", "y", *[F.col(v).alias(f"{v}{k}") for v in "xy" for k in (0, 1)])
-    return _trips_that_hit(boxes, queries, F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= F.col("r"), F.lit(False))
-
-
-def _trips_that_hit(rows: DataFrame, queries: DataFrame, near: Column, always: Column) -> DataFrame:
-    """(query_id, n): trips with a row that is `near` the circle or `always` a hit. rows: trips' parts with boxes x0, x1, y0, y1.
-
-    A trip's box tells for most circles that all of it lies inside or outside, and such trips are only counted; parts meet the
-    circles whose edges cross their trip's box. The slack leaves what rounding could decide to the parts.
-    """
-    total = F.col("x0") + F.col("x1") + F.col("y0") + F.col("y1")
-    rows = rows.where(total.isNotNull() & ~F.isnan(total))  # null and NaN are near nothing
-    ends = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
-    boxes = cut(rows.groupBy(*TRIP).agg(*ends, F.max(always).alias("always")))
-    out = lambda v: F.greatest(F.col(f"{v}0") - F.col(f"c{v}"), F.col(f"c{v}") - F.col(f"{v}1"), F.lit(0.0))
-    far = lambda v: F.greatest(F.abs(F.col(f"{v}0") - F.col(f"c{v}")), F.abs(F.col(f"{v}1") - F.col(f"c{v}")))
-    slack = 1e-9 * (F.col("r") + F.abs("cx") + F.abs("cy") + far("x") + far("y"))
-    inside = F.coalesce(F.col("always"), F.lit(False)) | (F.hypot(far("x"), far("y")) <= F.col("r") - slack)
-    own, blocks = queries.select("query_id", "cx", "cy", "r"), -(-queries.count() // QUERY_BLOCK)
-    own = cut(ranked(own, ["query_id", "cx", "cy", "r"], "_rank")) if blocks > 1 else own.withColumn("_rank", F.lit(0))
-    counts = []
-    for k in range(blocks):
-        some = own.where(F.floor(F.col("_rank") / QUERY_BLOCK) == k).drop("_rank")
-        # The stated query set, QUERY_BLOCK rows at most, against a row a trip.
-        met = boxes.join(F.broadcast(some), F.coalesce(F.col("always"), F.lit(False)) | (F.hypot(out("x"), out("y")) <= F.col("r") + slack)).withColumn("inside", inside)
-        counts.append(met.where("inside").groupBy("query_id").agg(F.count("*").alias("n")))
-        crossed = met.where("not inside").select(*[F.col(c).alias(f"_{c}") for c in TRIP], "query_id", "cx", "cy", "r")
-        same = F.lit(True)
-        for c in TRIP:
-            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        hits = rows.join(crossed, same).groupBy("query_id", *TRIP).agg(F.max(near).alias("hit")).where("hit")
-        counts.append(hits.groupBy("query_id").agg(F.count("*").alias("n")))
-    found = queries.select("query_id")
-    if not counts:
-        return found.withColumn("n", F.lit(0).cast("long"))
-    return found.join(reduce(DataFrame.union, counts).groupBy("query_id").agg(F.sum("n").alias("n")), "query_id", "left").fillna(0, ["n"])
+    return _trips_that_hit(pts, queries, F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= F.col("r"))
+
+
+def _trips_that_hit(parts: DataFrame, queries: DataFrame, hit: Column) -> DataFrame:
+    """(query_id, n): trips with a part that hits the circle. The stated query set meets the parts QUERY_BLOCK rows at a time."""
+    blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
+    asked = cut(ranked(queries, ["query_id", "cx", "cy", "r"], "_rank")) if blocks > 1 else queries.withColumn("_rank", F.lit(0))
+    parts = cut(parts) if blocks > 1 else parts
+    some = [asked.where(F.floor(F.col("_rank") / QUERY_BLOCK) == k) if blocks > 1 else asked for k in range(blocks)]
+    hits = [parts.join(F.broadcast(x), hit).select("query_id", *TRIP).distinct() for x in some]  # at most QUERY_BLOCK rows
+    counts = reduce(DataFrame.union, [x.groupBy("query_id").agg(F.count("*").alias("n")) for x in hits])
+    return queries.select("query_id").join(counts, "query_id", "left").fillna(0, ["n"])
 
 
 def query_error(o: DataFrame, s: DataFrame, queries: DataFrame, sanity: float = 0.01, points: bool = False) -> DataFrame:
