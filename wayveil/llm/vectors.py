@@ -12,8 +12,9 @@ nodes known are refined until no new link comes up:
    centroid and radius. Two of them, or one and itself, whose angle and radii bound every pair below the threshold's angle
    are linked throughout, and only counted; those that the bounds keep apart are done; the rest are compared block against
    block, handing on a count for each node. So links between groups whose lists hold only their own members are found.
-4. Audit: of the nodes with ids divisible by 50, at most `audit` a part by hash, the links are counted against all nodes of
-   the part. While the mean share found is under `target`, the number of tables is doubled and the descent goes on.
+4. Audit: the links of every node that has a row with an id divisible by 50 are counted against all nodes of its part, block
+   against block. While the mean share found is under `target`, the number of tables is doubled and the descent goes on. Where
+   `most_tables` tables do not reach it, all nodes of a part are compared, block against block, and the result is exact.
 
 Links are pairs found with cosine >= threshold in double precision. Null, zero and non-finite vectors, and rows with a null
 label or a null id, link with nothing; they are returned as their own component. Rows that repeat an id are vectors of
@@ -306,7 +307,7 @@ def linked(lists: DataFrame, nodes: DataFrame, threshold: float, k: int) -> Data
     return few.union(named.select("node", held.alias("links"), F.coalesce("over", "comp").alias("comp")))
 
 
-def audited_recall(nodes: DataFrame, found: DataFrame, threshold: float, audit: int) -> float:
+def audited_recall(nodes: DataFrame, named: DataFrame, found: DataFrame, threshold: float) -> float:
     """The mean share of their links that the audited nodes have; 1 where none has any. found: (node, links)."""
 
     def count(rows: pa.Table) -> pa.Table:
@@ -316,35 +317,75 @@ def audited_recall(nodes: DataFrame, found: DataFrame, threshold: float, audit:
         close[node[asks][:, None] == node[rest][None, :]] = False
         return pa.table({"node": node[asks], "links": close @ n[rest]})
 
-    rank = F.row_number().over(W.partitionBy("part").orderBy(F.xxhash64("node", F.lit(50)), "node"))
-    asks = nodes.where("first % 50 = 0").withColumn("rank", rank).where(F.col("rank") <= audit)
-    dealt = _dealt(nodes.select("part", "node", "n", "unit"), "part", 4 * BLOCK)
-    cols = ["part", "block", "side", "node", "n", "unit"]
-    blocks = cut(dealt.select("part", "blocks").distinct())
-    rows = dealt.withColumn("side", F.lit(1)).select(*cols).union(asks.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0)).select(*cols))
-    true = rows.groupBy("part", "block").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("all_links")).where("all_links > 0")
+    asks = nodes.join(named.where("vec_id % 50 = 0").select("node").distinct(), "node").select("part", "node", "n", "unit")
+    ways = {"asks": _dealt(asks, "part", BLOCK), "rest": _dealt(nodes.select("part", "node", "n", "unit"), "part", 4 * BLOCK)}
+    ways = {k: cut(v) for k, v in ways.items()}
+    sizes = {k: v.select("part", F.col("blocks").alias("across")).distinct() for k, v in ways.items()}
+    over = F.explode(F.sequence(F.lit(0), F.col("across") - 1))
+    cols = ["part", "i", "j", "side", "node", "n", "unit"]
+    queries = ways["asks"].join(sizes["rest"], "part").withColumn("j", over).withColumn("i", F.col("block")).withColumn("side", F.lit(0))
+    others = ways["rest"].join(sizes["asks"], "part").withColumn("i", over).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
+    true = queries.select(*cols).union(others.select(*cols)).groupBy("part", "i", "j").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("all_links")).where("all_links > 0")
     got = true.join(found.select("node", "links"), "node", "left").agg(F.avg(F.least(F.coalesce("links", F.lit(0)) / F.col("all_links"), F.lit(1.0)))).first()[0]
     return 1.0 if got is None else got
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.93, k: int = 10, tables: int = 10, audit: int = 1000, target: float = 0.97) -> DataFrame:
+def _forest(close: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what a symmetric matrix of links connects, fewer than it has rows."""
+    unseen, out = close.any(axis=1), []
+    while unseen.any():
+        front = np.flatnonzero(unseen)[:1]
+        unseen[front] = False
+        while len(front):
+            new = np.flatnonzero(close[front].any(axis=0) & unseen)
+            out += zip(front[close[front][:, new].argmax(axis=0)].tolist(), new.tolist())
+            unseen[new], front = False, new
+    return out
+
+
+def exactly_linked(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, comp) of nodes with links, each block of a part against each. A task hands on a count for each node and
+    edges of a forest, fewer than its nodes, never its pairs."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        x, node, n, side = _matrix(rows["unit"]), *(rows[c].to_numpy() for c in ("node", "n", "side"))
+        close = x @ x.T >= threshold
+        np.fill_diagonal(close, False)
+        if (side == 1).any():  # the blocks' own pairs belong to the tasks of one block
+            close &= side[:, None] != side[None, :]
+        links, some = close @ n, close.any(axis=1)
+        tree = _forest(close)
+        ends = np.array(tree, np.int64).reshape(-1, 2)
+        kinds = [(node[some], node[some], links[some]), (node[ends[:, 0]], node[ends[:, 1]], np.zeros(len(ends), np.int64))]
+        return pa.table({c: np.concatenate([k[i] for k in kinds]) for i, c in enumerate(("a", "b", "links"))})
+
+    units = _pairs_of_blocks(_dealt(nodes.select("part", "node", "n", "unit"), "part", BLOCK), "part")
+    found = cut(units.groupBy("part", "i", "j").applyInArrow(compare, "a long, b long, links long"))
+    counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    return counts.join(components(found.where("a != b").select("a", "b")), "node").select("node", "links", "comp")
+
+
+def near_vectors(table: DataFrame, threshold: float = 0.93, k: int = 10, tables: int = 10, target: float = 0.97, most_tables: int = 160) -> DataFrame:
     """vec_id, n_links, component_id, kept, audited_recall for every row of table (vec_id, embedding, label)."""
     bounded_batches(table.sparkSession)
     with scratch(table.sparkSession) as keep:
-        return keep(_near_vectors(table, threshold, k, tables, audit, target))
+        return keep(_near_vectors(table, threshold, k, tables, target, most_tables))
 
 
-def _near_vectors(table: DataFrame, threshold: float, k: int, tables: int, audit: int, target: float) -> DataFrame:
+def _near_vectors(table: DataFrame, threshold: float, k: int, tables: int, target: float, most_tables: int) -> DataFrame:
     nodes, named = nodes_of(table)
     reach = float(np.cos(min(2 * np.arccos(threshold), np.pi)))
     lists, done = cut(nearest(first_edges(nodes, reach, k, tables), k)), tables
     while True:
         lists = descend(lists, nodes, threshold, reach, k)
         found = cut(linked(lists, nodes, threshold, k))
-        recall = audited_recall(nodes, found, threshold, audit)
+        recall = audited_recall(nodes, named, found, threshold)
         log.info("near_vectors: %d tables, audited recall %.4f", done, recall)
         if recall >= target:
             break
+        if 2 * done > most_tables:
+            found, recall = cut(exactly_linked(nodes, threshold)), 1.0
+            break
         lists, done = cut(nearest(lists.union(first_edges(nodes, reach, k, done, done)), k)), 2 * done
     # A component's id is its smallest vec_id; copies of a node are linked with each other.
     by_node = cut(nodes.select("node", "first", "n").join(found, "node", "left").select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "node").alias("comp")))
