@@ -76,7 +76,11 @@ def assign_states(pts: DataFrame, top: Grid, states: DataFrame, closed: bool = F
         around = lambda v: F.explode(F.array_distinct(F.array(bound(up(*v) - 1), bound(up(*v)), bound(up(*v) + 1))))
         at = at.withColumn("si", around(x)).withColumn("sj", around(y)).join(states.select("cell", "si", "sj", "state", "x0", "x1", "y0", "y1"), ["cell", "si", "sj"])
         return at.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select(*pts.columns, "state")
+    # The division can round over an edge, so the states' own edges, as states_of takes them, decide.
+    edge = lambda low, step, place, k: F.lit(low) + F.lit(step) * (F.col(place) + k / F.col("m"))
+    moved = lambda v, k, low, step, place: F.when((F.col(k) > 0) & (F.col(v) <= edge(low, step, place, F.col(k))), F.col(k) - 1).when((F.col(k) < F.col("m") - 1) & (F.col(v) > edge(low, step, place, F.col(k) + 1)), F.col(k) + 1).otherwise(F.col(k)).cast("int")
     at = at.withColumn("si", bound(down(*x))).withColumn("sj", bound(down(*y)))
+    at = at.withColumn("si", moved("x", "si", top.x0, top.w, "row")).withColumn("sj", moved("y", "sj", top.y0, top.h, "col"))
     return at.join(states.select("cell", "si", "sj", "state"), ["cell", "si", "sj"]).select(*pts.columns, "state")
 
 
