@@ -125,7 +125,7 @@ def nearest_road(pts: DataFrame, nodes: DataFrame, edges: DataFrame | None = Non
     out = pts.join(_nearest(tree, places, F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")), "node_id"), ["x", "y"])
     if edges is not None:
         at = lambda k, x, y: nodes.select(F.col("node_id").alias(k), F.col("lon").alias(x), F.col("lat").alias(y))
-        lines = edges.join(at("start_node", "lon", "lat"), "start_node").join(at("end_node", "lon2", "lat2"), "end_node").select(F.col("edge_id").alias("j"), "lon", "lat", "lon2", "lat2")
+        lines = edges.join(at("start_node", "lon", "lat"), "start_node").join(at("end_node", "lon2", "lat2"), "end_node").groupBy("lon", "lat", "lon2", "lat2").agg(F.min("edge_id").alias("j"))  # of edges along one line the smallest id is the nearest
         d = dist_to_segment(F.col("x"), F.col("y"), F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
         out = out.join(_nearest(BoxTree(cut(in_pieces(lines, tree.whole))), places, d, "edge_id"), ["x", "y"])
     return out
