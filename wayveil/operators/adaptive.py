@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayveil.functions.tables import cut, ranked
-from wayveil.functions.workers import ready
+from wayveil.functions.workers import ready, tasks
 from wayveil.operators.grid import Grid, adaptive_grid_two_level, assign_all_closed, assign_cell, density_weighted, two_level_size, uniform_grid
 from wayveil.operators.model import clip_round, laplace, queue_minus
 
@@ -146,7 +146,8 @@ def state_paths(states: DataFrame, near: DataFrame, pairs: DataFrame | None = No
                 yield pd.DataFrame(search(int(src), None if every else set(batch["wanted"][k].tolist())), columns=["src", "dst", "steps", "coarse"])
 
     sources = states.select(F.col("state").alias("src")) if every else pairs.groupBy("src").agg(F.collect_set("dst").alias("wanted"))
-    return sources.repartition("src").mapInPandas(walk, "src int, dst int, steps int, coarse int")
+    # A search is much work for few bytes, so sources go to a stated number of tasks.
+    return sources.repartition(tasks(states.sparkSession), "src").mapInPandas(walk, "src int, dst int, steps int, coarse int")
 
 
 def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask: DataFrame, total: float, rounds: int = 25) -> DataFrame:
