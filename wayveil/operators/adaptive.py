@@ -157,14 +157,16 @@ def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask:
     vanish, where that is possible; then trips are scaled to `total`, pairs under 0.8 go, and the rest is scaled again.
     """
     # Only pairs that both sides allow: a start or stop without mass has no trips.
-    base = paths.join(mask.select("src", "dst"), ["src", "dst"]).join(starts.select("src", F.col("w").alias("a")), "src").join(stops.select("dst", F.col("w").alias("b")), "dst")
-    base = cut(base.where("a > 0 and b > 0").select("src", "dst", "a", "b", F.greatest(F.col("steps"), F.lit(1)).alias("steps"), F.lit(1.0).alias("v")))
-    for k in range(rounds):
-        for side, want in (("src", "a"), ("dst", "b")):
-            base = base.withColumn("v", F.col("v") * F.col(want) / F.sum("v").over(W.partitionBy(side)))
-        if k % 5 == 4:
-            base = cut(base)
-    trips = base.select("src", "dst", (F.col("v") * F.col("steps")).alias("w"))
+    starts, stops = cut(starts.where("w > 0").select("src", F.col("w").alias("a"))), cut(stops.where("w > 0").select("dst", F.col("w").alias("b")))
+    allowed = paths.join(mask.select("src", "dst"), ["src", "dst"]).join(F.broadcast(starts), "src", "left_semi").join(F.broadcast(stops), "dst", "left_semi")
+    base = cut(allowed.select("src", "dst", F.greatest(F.col("steps"), F.lit(1)).alias("steps")))
+    # A pair's weight is a factor of its start times one of its stop, so only a number a state moves in a round.
+    x, y = None, stops.select("dst", F.lit(1.0).alias("y"))
+    for _ in range(rounds):
+        x = cut(base.join(F.broadcast(y), "dst").groupBy("src").agg(F.sum("y").alias("_s")).join(F.broadcast(starts), "src").select("src", (F.col("a") / F.col("_s")).alias("x")))
+        y = cut(base.join(F.broadcast(x), "src").groupBy("dst").agg(F.sum("x").alias("_s")).join(F.broadcast(stops), "dst").select("dst", (F.col("b") / F.col("_s")).alias("y")))
+    x = starts.select("src", F.lit(1.0).alias("x")) if x is None else x
+    trips = base.join(F.broadcast(x), "src").join(F.broadcast(y), "dst").select("src", "dst", (F.col("x") * F.col("y") * F.col("steps")).alias("w"))
     scaled = lambda df: df.crossJoin(F.broadcast(df.agg(F.sum("w").alias("_all")))).withColumn("w", F.try_divide("w", "_all") * total).drop("_all")  # noqa: E731  one row
     return scaled(cut(scaled(trips).where("w >= 0.8")))
 
