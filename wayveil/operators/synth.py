@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -332,14 +333,21 @@ def defend_bayesian(o_cells: DataFrame, synthetic: DataFrame, zone: int, theta:
 
 def _refilled(kept: DataFrame, missing: int, first: int, generate, avoid: list[int], rounds: int) -> DataFrame:
     """kept (points with cell) and `missing` new trips, with ids from `first` on, that avoid some cells: drawn in rounds
-    until there are enough."""
+    until there are enough. A round draws as many as the share of good ones in the round before asks for, and the first good
+    ones by id are taken, so rounds do not grow with the trips."""
+    asked = missing
     for k in range(rounds):
         if not missing:
             return kept
-        new = cut(generate(missing, k, first))
+        new = cut(generate(asked, k, first))
         good = new.join(new.where(F.col("cell").isin(avoid)).select("traj_id").distinct(), "traj_id", "left_anti")
-        missing -= good.select("traj_id").distinct().count()
-        first, kept = first + new.select("traj_id").distinct().count() + 1, cut(kept.unionByName(good.select(*kept.columns)))
+        ids = cut(good.select("traj_id").distinct())
+        found = ids.count()
+        if found > missing:
+            good = good.join(ids.orderBy("traj_id").limit(missing), "traj_id", "left_semi")
+        first, kept = first + asked, cut(kept.unionByName(good.select(*kept.columns)))
+        missing -= min(found, missing)
+        asked = math.ceil(1.1 * missing * min(asked / max(found, 1), 100.0)) + 1
     if missing:
         raise ValueError(f"{missing} new trips still meet the avoided cells after {rounds} rounds")
     return kept
