@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from wayveil.operators import adaptive, synth
+from wayveil.operators import adaptive, attack, synth
 
 
 def test_fit_moves_a_number_a_state_not_the_pairs(spark, monkeypatch):
@@ -39,3 +39,13 @@ def test_a_round_draws_as_many_as_the_last_one_lost(spark):
     out = synth._refilled(kept, 500, 100, generate, [7], 50)
     assert out.count() == out.select("traj_id").distinct().count() == 501 and out.where("cell = 7").count() == 1
     assert len(rounds) <= 6
+
+
+def test_points_in_one_spot_make_one_row_a_query(spark, monkeypatch):
+    sizes = []
+    real = attack.BoxTree
+    monkeypatch.setattr(attack, "BoxTree", lambda items: sizes.append(items.count()) or real(items))
+    df = spark.range(3000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y")).union(spark.createDataFrame([(5000, 10.0, 0.0)], "id long, x double, y double"))
+    got = {r.id: r.score for r in attack.knn_score_2d(df, 1500).collect()}
+    assert sizes == [4] and len(got) == 3001
+    assert np.isclose(got[0], 500 / 1500) and np.isclose(got[5000], (10.0 - 10.0 + 1000 * 8.0 + 499 * 9.0) / 1500)

@@ -26,9 +26,11 @@ DECIMALS = 12
 
 
 class BoxTree:
-    """The tree over items: j, a number that orders equally near ones, and a box x0, x1, y0, y1, beside other columns."""
+    """The tree over items: j, a number that orders equally near ones, and a box x0, x1, y0, y1, beside other columns; c, where
+    there is one, is how many items a row stands for."""
 
     def __init__(self, items: DataFrame, fanout: int = FANOUT):
+        items = items if "c" in items.columns else items.withColumn("c", F.lit(1).cast("long"))
         b = items.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("x0", "x1", "y0", "y1") for f in (F.min, F.max)]).first()
         self.size, place = b["n"], F.lit(0).cast("long")
         for k, v in enumerate("xy"):
@@ -42,7 +44,7 @@ class BoxTree:
         numbered = items.withColumn("_z", place).withColumn("_n", F.monotonically_increasing_id())
         self.members = cut(ranked(numbered, ["_z", "j", "_n"], "_r").withColumn("node", up("_r")).drop("_z", "_r", "_n"))
         sums = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("j0").alias("j0"), F.sum("c").alias("c")]
-        self.levels, below, n = [], self.members.select("node", "x0", "x1", "y0", "y1", F.col("j").alias("j0"), F.lit(1).cast("long").alias("c")), self.size
+        self.levels, below, n = [], self.members.select("node", "x0", "x1", "y0", "y1", F.col("j").alias("j0"), "c"), self.size
         while True:
             n = -(-n // fanout)
             below = below.groupBy("node").agg(*sums).withColumn("parent", up("node") if n > fanout else F.lit(0).cast("long"))
