@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayveil.functions import measures
 from wayveil.operators import attack
@@ -99,3 +100,19 @@ def test_nothing_to_search(spark):
     queries = frame(spark, [(1, [(0.0, 0.0)])], "id", "p")
     assert tree.nearest(queries).count() == 0 and tree.farthest(queries).count() == 0
     assert attack.plausible_deniability(queries.withColumnRenamed("p", "v"), none.select(none.q.alias("v")), None, "dtw").count() == 0
+
+
+def test_lone_points_stand_in_leaves_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda: [{"x": float(x), "y": float(y)} for x, y in rng.uniform(0, 100, (1 if rng.random() < 0.8 else 3, 2))]
+    data, asks = ([(k, draw()) for k in range(n)] for n in (600, 40))
+    at = "array<struct<x:double,y:double>>"
+    tree = SequenceTree(spark.createDataFrame(data, f"j long, q {at}"), fanout=8)
+    mixed = tree.members.groupBy("node").agg(F.min("n0").alias("low"), F.max("n0").alias("high")).where("low = 1 and high > 1")
+    assert mixed.count() <= 1
+    side = lambda rows, v: [np.array([t[v] for t in r]) for r in rows]
+    every = [(k, i, p, q) for k, p in asks for i, q in data]
+    d = measures.dtw_many(*(side([e[s] for e in every], v) for s in (2, 3) for v in "xy"))
+    best = {k: min((x, i) for (a, i, _, _), x in zip(every, d) if a == k) for k, _ in asks}
+    found = {r.id: (r.d, r.j) for r in tree.nearest(spark.createDataFrame(asks, f"id long, p {at}")).collect()}
+    assert found == best
