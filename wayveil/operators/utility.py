@@ -80,20 +80,27 @@ def trip_error(o_cells: DataFrame, s_cells: DataFrame) -> DataFrame:
     return jsd(od_counts(o_cells), od_counts(s_cells), ["src", "dst"])
 
 
+#: Points of a trip that are compared pair by pair.
+FEW = 16
+
+
 def diameter(pts: DataFrame) -> DataFrame:
-    """(dataset, traj_id, d): the largest distance inside each trip, over its convex hull."""
+    """(dataset, traj_id, d): the largest distance inside each trip; of more than FEW points, over its convex hull."""
     ready(pts.sparkSession)
 
     def widest(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([_widest(np.column_stack([x, y])) for x, y in zip(xs, ys)], dtype=float)
 
-    trips = pts.groupBy(*TRIP).agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
-    return trips.select(*TRIP, F.pandas_udf(widest, "double")("xs", "ys").alias("d"))
+    trips = pts.groupBy(*TRIP).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("p"))
+    apart = F.transform("p", lambda a: F.array_max(F.transform("p", lambda b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]))))
+    few = trips.where(F.size("p") <= FEW).select(*TRIP, F.array_max(apart).alias("d"))  # most trips: no Python
+    many = trips.where(F.size("p") > FEW).select(*TRIP, F.pandas_udf(widest, "double")(F.transform("p", lambda a: a["x"]), F.transform("p", lambda a: a["y"])).alias("d"))
+    return few.union(many)
 
 
 def _widest(p: np.ndarray) -> float:
     p = np.unique(p, axis=0)
-    hull = np.array(_chain(p) + _chain(p[::-1])) if len(p) > 16 else p
+    hull = np.array(_chain(p) + _chain(p[::-1])) if len(p) > FEW else p
     return max((float(np.hypot(*(hull - v).T).max()) for v in hull), default=0.0)
 
 
