@@ -220,46 +220,76 @@ def id_range(pts: DataFrame, low: int, high: int) -> DataFrame:
     return pts.where(F.col("traj_id").between(low, high))
 
 
+#: Pieces of stretches that are weighed at a time.
+PIECES = 1 << 15
+
+
 def mdl_simplify(pts: DataFrame) -> DataFrame:
-    """Characteristic points: a stretch grows while its perpendicular and angular cost does not exceed 0 bits."""
-    ready(pts.sparkSession)
+    """Characteristic points: a stretch grows while its perpendicular and angular cost does not exceed 0 bits.
 
-    def cost(p: np.ndarray, i: int, k: int) -> float:
-        a, b = p[i:k], p[i + 1 : k + 1]
-        whole = np.broadcast_to(p[k] - p[i], a.shape)
-        skip = (a == p[i]).all(axis=1) & (b == p[k]).all(axis=1)
-        piece = b - a
-        longer = (np.hypot(*(p[k] - p[i])) > np.hypot(piece[:, 0], piece[:, 1]))[:, None]
-        s0, base = np.where(longer, p[i], a), np.where(longer, whole, piece)
-        q0, q1 = np.where(longer, a, p[i]), np.where(longer, b, p[k])
-        other = q1 - q0
-        norm = (base * base).sum(axis=1)
-        safe = np.where(norm == 0, 1, norm)
-        off = lambda q: np.linalg.norm(q - s0 - (((q - s0) * base).sum(axis=1) / safe)[:, None] * base, axis=1)
-        d0, d1 = off(q0), off(q1)
-        across = np.where(norm == 0, np.spacing(1.0), np.where(d0 + d1 == 0, 0, (d0**2 + d1**2) / np.where(d0 + d1 == 0, 1, d0 + d1)))
-        size, dot = np.linalg.norm(other, axis=1), (base * other).sum(axis=1)
-        product = np.sqrt(norm) * size
-        cosine = dot / np.where(product == 0, 1, product)
-        turn = np.where((base == other).all(axis=1), 0, np.where(dot <= 0, size, size * np.sqrt(np.maximum(1 - cosine**2, 0))))
-        bits = lambda v: float(np.log2(v)) if v > 0 else 0.0
-        return bits(across[~skip].sum()) + bits(turn[~skip].sum())
-
-    def chosen(p: np.ndarray) -> list[int]:
-        keep, i, k = [0], 0, 1
-        while k < len(p):
-            if k - 1 > i and cost(p, i, k) > 0:
-                i = k - 1
-                keep.append(i)
-                k = i + 1
-            else:
-                k += 1
-        return sorted({*keep, len(p) - 1})
+    The trips of a batch are walked side by side, a point a round; stretches of one length are weighed at once.
+    """
+    ready(pts.sparkSession)
 
     def walk(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([chosen(np.column_stack([x, y]).astype(float)) for x, y in zip(xs, ys)])
+        return pd.Series(_characteristic(xs, ys))
 
     rest = [c for c in pts.columns if c not in TRIP]
     trips = pts.groupBy(*TRIP).agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in rest if c != "seq"]))).alias("p"))
-    kept = trips.withColumn("k", F.pandas_udf(walk, "array<int>")(F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"])))
+    side = lambda v: F.transform("p", lambda q: q[v].cast("double"))
+    kept = trips.withColumn("k", F.pandas_udf(walk, "array<int>")(side("x"), side("y")))
     return kept.select(*TRIP, F.explode(F.transform("k", lambda i: F.element_at("p", i + 1))).alias("q")).select(*TRIP, *[f"q.{c}" for c in rest]).select(*pts.columns)
+
+
+def _characteristic(xs, ys) -> list[np.ndarray]:
+    """The places of each trip's characteristic points, in order; the first and the last are among them."""
+    n = np.array([len(x) for x in xs], np.int64)
+    if not n.sum():
+        return [np.zeros(0, np.int64) for _ in n]
+    p = np.column_stack([np.concatenate(list(v)).astype(float) for v in (xs, ys)])
+    first = np.concatenate([[0], np.cumsum(n)])
+    keep, start = np.zeros(len(p), bool), np.zeros(len(n), np.int64)
+    keep[first[:-1][n > 0]] = keep[first[1:][n > 0] - 1] = True
+    longest_first = np.argsort(-n, kind="stable")
+    upto = np.searchsorted(-n[longest_first], -np.arange(n.max() + 1))  # so many trips have more than k points
+    for k in range(2, n.max()):
+        live = longest_first[: upto[k]]
+        size = k - start[live]
+        for length in np.unique(size[size > 1]):
+            some, step = live[size == length], max(1, PIECES // length)
+            for at in range(0, len(some), step):
+                now = some[at : at + step]
+                over = now[_bits(p, first[now] + start[now], length) > 0]
+                keep[first[over] + k - 1] = True
+                start[over] = k - 1
+    places = np.flatnonzero(keep)
+    ends = np.searchsorted(places, first)
+    return [places[ends[t] : ends[t + 1]] - first[t] for t in range(len(n))]
+
+
+def _bits(p: np.ndarray, i: np.ndarray, length: int) -> np.ndarray:
+    """The cost of stretches from the points i on, all of `length` steps."""
+    at = i[:, None] + np.arange(length)
+    a, b, p0, p1 = p[at], p[at + 1], p[i][:, None], p[i + length][:, None]
+    whole, piece = np.broadcast_to(p1 - p0, a.shape), b - a
+    skip = (a == p0).all(axis=2) & (b == p1).all(axis=2)
+    longer = (np.hypot(whole[..., 0], whole[..., 1]) > np.hypot(piece[..., 0], piece[..., 1]))[..., None]
+    s0, base = np.where(longer, p0, a), np.where(longer, whole, piece)
+    q0, q1 = np.where(longer, a, p0), np.where(longer, b, p1)
+    other = q1 - q0
+    norm = (base * base).sum(axis=2)
+    safe = np.where(norm == 0, 1, norm)
+    off = lambda q: np.linalg.norm(q - s0 - (((q - s0) * base).sum(axis=2) / safe)[..., None] * base, axis=2)
+    d0, d1 = off(q0), off(q1)
+    across = np.where(norm == 0, np.spacing(1.0), np.where(d0 + d1 == 0, 0, (d0**2 + d1**2) / np.where(d0 + d1 == 0, 1, d0 + d1)))
+    size, dot = np.linalg.norm(other, axis=2), (base * other).sum(axis=2)
+    product = np.sqrt(norm) * size
+    cosine = dot / np.where(product == 0, 1, product)
+    turn = np.where((base == other).all(axis=2), 0, np.where(dot <= 0, size, size * np.sqrt(np.maximum(1 - cosine**2, 0))))
+    total = np.zeros(len(i))
+    for part in (across, turn):
+        v = part.sum(axis=1)
+        for r in np.flatnonzero(skip.any(axis=1)):  # a step that is the whole stretch: sums without it
+            v[r] = part[r][~skip[r]].sum()
+        total += np.log2(v, where=v > 0, out=np.zeros(len(v)))
+    return total
