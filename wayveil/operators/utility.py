@@ -50,15 +50,27 @@ def touching_points(pts: DataFrame, queries: DataFrame) -> DataFrame:
     return _trips_that_hit(pts, queries, F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= F.col("r"))
 
 
+#: Circles whose hits are the bits of one number.
+_BITS = 64
+
+
 def _trips_that_hit(parts: DataFrame, queries: DataFrame, hit: Column) -> DataFrame:
-    """(query_id, n): trips with a part that hits the circle. The stated query set meets the parts QUERY_BLOCK rows at a time."""
+    """(query_id, n): trips with a part that hits the circle. The stated query set meets the parts QUERY_BLOCK rows at a time.
+
+    A trip keeps a bit a circle, not a row, so what a task holds is a number for each _BITS circles of each of its trips.
+    """
+    ids = queries.select("query_id").distinct()
     blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
-    asked = cut(ranked(queries, ["query_id", "cx", "cy", "r"], "_rank")) if blocks > 1 else queries.withColumn("_rank", F.lit(0))
-    parts = cut(parts) if blocks > 1 else parts
+    ids = cut(ranked(ids, ["query_id"], "_rank") if blocks > 1 else ids.withColumn("_rank", F.monotonically_increasing_id()))
+    asked = queries.join(ids, "query_id").withColumn("_word", F.floor(F.col("_rank") / _BITS)).withColumn("_bit", (F.col("_rank") % _BITS).cast("int"))
+    asked, parts = (cut(asked), cut(parts)) if blocks > 1 else (asked, parts)
     some = [asked.where(F.floor(F.col("_rank") / QUERY_BLOCK) == k) if blocks > 1 else asked for k in range(blocks)]
-    hits = [parts.join(F.broadcast(x), hit).select("query_id", *TRIP).distinct() for x in some]  # at most QUERY_BLOCK rows
-    counts = reduce(DataFrame.union, [x.groupBy("query_id").agg(F.count("*").alias("n")) for x in hits])
-    return queries.select("query_id").join(counts, "query_id", "left").fillna(0, ["n"])
+    mask = F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask")
+    hits = [parts.join(F.broadcast(x.select("cx", "cy", "r", "_word", "_bit")), hit).groupBy(*TRIP, "_word").agg(mask) for x in some]  # at most QUERY_BLOCK circles
+    own = F.explode(F.filter(F.sequence(F.lit(0), F.lit(_BITS - 1)), lambda k: F.getbit("_mask", k) == 1)).alias("_bit")
+    counts = reduce(DataFrame.union, [x.select("_word", own).groupBy("_word", "_bit").agg(F.count("*").alias("n")) for x in hits])
+    named = counts.join(ids, F.col("_rank") == F.col("_word") * _BITS + F.col("_bit")).select("query_id", "n")
+    return queries.select("query_id").join(named, "query_id", "left").fillna(0, ["n"])
 
 
 def query_error(o: DataFrame, s: DataFrame, queries: DataFrame, sanity: float = 0.01, points: bool = False) -> DataFrame:
