@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wayveil.operators import utility
+from wayveil.operators import grid, utility
 
 
 def _trips(spark, trips, points):
@@ -20,3 +20,23 @@ def test_a_trip_keeps_a_number_for_many_circles(spark):
     want = {k: len({p.traj_id for p in rows for q in qs if q.query_id == k and (p.x - q.cx) ** 2 + (p.y - q.cy) ** 2 <= q.r**2}) for k in range(150)}
     assert {r.query_id: r.n for r in found.collect()} == want
     assert "bit_or" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_between_are_numbered_without_another_shuffle(spark):
+    pts = _trips(spark, 40, 25)
+    g = grid.Grid(0.0, 100.0, 0.0, 100.0, 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # trips go on from batch to batch
+    try:
+        found = grid.insert_midpoints(pts.unionByName(pts.where("traj_id = 5").withColumn("traj_id", F.lit(None).cast("long"))), g)
+        got = found.orderBy("traj_id", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for r in got:
+        by.setdefault(r.traj_id, []).append(r)
+    assert len(by) == 41 and all([r.seq for r in rows] == list(range(len(rows))) and [r.ts for r in rows] == sorted(r.ts for r in rows) for rows in by.values())
+    assert [(r.seq, r.x, r.y, r.ts) for r in by[None]] == [(r.seq, r.x, r.y, r.ts) for r in by[5]]
+    given = {(r.traj_id, r.x, r.y, r.ts) for r in pts.collect()}
+    assert given <= {(r.traj_id, r.x, r.y, r.ts) for r in got} and len(got) > 2 * len(given)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInPandas")[0]
