@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayveil.sources import trajectories as io
@@ -79,3 +80,39 @@ def test_reports_and_synthetic_files(spark, tmp_path):
 def test_dense_ids_follow_the_order(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000 * 3).alias("traj_id"), F.lit("original").alias("dataset"))
     assert {(r.traj_id) for r in io.dense_ids(df).collect()} == set(range(1000))
+
+
+def test_a_log_is_one_file_and_nothing_beside_it(spark, tmp_path):
+    """Spark's writer leaves a checksum beside each log and takes a process for the rights of each."""
+    pts = spark.range(900).select((F.col("id") % 300).alias("traj_id"), F.floor(F.col("id") / 300).alias("seq"), F.col("id").cast("double").alias("x"), (F.col("id") / 8).alias("y"))
+    want = sorted((r.traj_id, r.seq, r.x, r.y) for r in pts.collect())
+    io.write_traj_folder(pts, str(tmp_path / "trips"))
+    files = [p for p in (tmp_path / "trips").rglob("*") if p.is_file()]
+    assert len(files) == 300 and {p.parent.name for p in files} == {f"traj_id={k}" for k in range(300)}
+    assert sorted(tuple(r) for r in io.read_traj_folder(spark, str(tmp_path / "trips")).collect()) == want
+    with pytest.raises(Exception, match="trips"):
+        io.write_traj_folder(pts, str(tmp_path / "trips"))
+
+
+def test_folders_are_named_as_spark_names_them(spark, tmp_path):
+    names = ["a b", "x:y", "50%", "p/q", "e=f", "ü", "[k]{l}^\\'\"#*?\t", "", None]
+    texts = spark.createDataFrame([(n, str(k)) for k, n in enumerate(names)], "user string, value string")
+    io._write_files(texts, str(tmp_path / "ours"), "user")
+    texts.coalesce(1).write.option("maxRecordsPerFile", 1).partitionBy("user").text(str(tmp_path / "theirs"))
+    read = lambda name: sorted((p.parent.name, p.read_text()) for p in (tmp_path / name).rglob("*.txt"))
+    assert read("ours") == read("theirs") and len(read("ours")) == len(names)
+
+
+def test_logs_go_through_any_file_system(spark, tmp_path):
+    (tmp_path / "far").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.logs.link./far", f"file://{tmp_path}/far")
+    pts = spark.createDataFrame([("u", "l", 0, 1.5, 2.5, datetime(2009, 1, 1)), ("u", "l", 1, 3.5, 4.5, datetime(2009, 1, 2)), ("v", "l", 0, 5.5, 6.5, datetime(2009, 1, 3))], "user string, log string, seq int, x double, y double, ts timestamp")
+    for root in ("viewfs://logs/far/geo", str(tmp_path / "near")):
+        io.write_geolife(pts, root)
+        got = io.read_geolife(spark, root, "*.txt").select("user", "seq", "x", "y", "ts").collect()
+        assert sorted(tuple(r) for r in got) == sorted((r.user, r.seq, r.x, r.y, r.ts) for r in pts.collect())
+
+
+def test_no_logs(spark, tmp_path):
+    io.write_traj_folder(spark.createDataFrame([], "traj_id long, seq long, x double, y double"), str(tmp_path / "none"))
+    assert io.read_traj_folder(spark, str(tmp_path / "none")).count() == 0

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayveil.functions.scalar import parse_ts, point_time
 from wayveil.functions.tables import ranked
+from wayveil.functions.workers import ready
 
 
 def read_dat(spark: SparkSession, path: str, dataset: str = "original", min_points: int = 1, require_ts: bool = False, ids: str = "header") -> DataFrame:
@@ -45,15 +52,47 @@ def _log_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     return (read.option("pathGlobFilter", glob) if glob else read).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
 
+def _folder(column: str, value) -> str:
+    """`column=value` with what Spark escapes in the names of folders."""
+    return f"{column}=" + ("__HIVE_DEFAULT_PARTITION__" if value in (None, "") else re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{[\]^]""", lambda m: f"%{ord(m[0]):02X}", str(value)))
+
+
 def _write_files(texts: DataFrame, root: str, *folders: str) -> None:
-    """A file for each row of (folders, value), under folders named `column=value`."""
-    texts.repartition(*folders).write.option("maxRecordsPerFile", 1).partitionBy(*folders).text(root)
+    """A file for each row of (folders, value), under folders named `column=value`.
+
+    In a mounted folder the tasks write each file under another name and rename it, so a task that runs again changes
+    nothing. Spark's writer starts a process for the rights of every folder and file there and moves all of them on the driver.
+    """
+    spark = texts.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() != "file":
+        return texts.repartition(*folders).write.option("maxRecordsPerFile", 1).partitionBy(*folders).text(root)
+    if system.exists(at):
+        raise FileExistsError(root)
+    system.mkdirs(at)
+    base = system.makeQualified(at).toUri().getPath()
+
+    def write(batches):
+        for rows in batches:
+            for *keys, value in rows.itertuples(index=False):
+                folder = os.path.join(base, *map(_folder, folders, keys))
+                os.makedirs(folder, exist_ok=True)
+                new = os.path.join(folder, f"_{uuid.uuid4().hex}")
+                with open(new, "w", encoding="utf-8", newline="") as out:
+                    out.write((value or "") + "\n")
+                os.replace(new, os.path.join(folder, f"part-{zlib.crc32(repr(keys).encode()):08x}.txt"))
+            yield pd.DataFrame({"n": [len(rows)]})
+
+    ready(spark)
+    texts.select(*[F.col(c).cast("string") for c in folders], "value").mapInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
 def read_geolife(spark: SparkSession, root: str, glob: str = "*.plt") -> DataFrame:
     """`.plt` logs under <user>/Trajectory, or as write_geolife leaves them: six header lines, then lat,lon,_,_,_,date,time."""
-    lines = _log_files(spark, root, glob).select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where("line >= 6").select("file", "line", F.split("text", ",").alias("f")).where(F.size("f") >= 7)
-    return lines.select(F.regexp_extract("file", r"([^/=]+)/[^/]+/[^/]+$", 1).alias("user"), "file", (F.col("line") - 6).alias("seq"), F.col("f")[1].try_cast("double").alias("x"), F.col("f")[0].try_cast("double").alias("y"), parse_ts(F.concat_ws(" ", F.trim(F.col("f")[5]), F.trim(F.col("f")[6]))).alias("ts"))
+    logs = _log_files(spark, root, glob).select("file", F.regexp_extract("file", r"([^/=]+)/[^/]+/[^/]+$", 1).alias("user"), "value")  # once a file, not once a line
+    lines = logs.select("user", "file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where("line >= 6").select("user", "file", "line", F.split("text", ",").alias("f")).where(F.size("f") >= 7)
+    return lines.select("user", "file", (F.col("line") - 6).alias("seq"), F.col("f")[1].try_cast("double").alias("x"), F.col("f")[0].try_cast("double").alias("y"), parse_ts(F.concat_ws(" ", F.trim(F.col("f")[5]), F.trim(F.col("f")[6]))).alias("ts"))
 
 
 def write_geolife(pts: DataFrame, root: str) -> None:
