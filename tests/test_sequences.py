@@ -116,3 +116,28 @@ def test_lone_points_stand_in_leaves_of_their_own(spark):
     best = {k: min((x, i) for (a, i, _, _), x in zip(every, d) if a == k) for k, _ in asks}
     found = {r.id: (r.d, r.j) for r in tree.nearest(spark.createDataFrame(asks, f"id long, p {at}")).collect()}
     assert found == best
+
+
+def test_few_pairs_are_left_for_trips_that_leap(spark):
+    """Trips whose points have nothing to do with each other, as those from order lines: one leaf gave a poor first guess."""
+    rng = np.random.default_rng(11)
+    leaps = lambda n: [rng.uniform((0, 0), (100, 50), (int(rng.integers(1, 8)), 2)).round(2) for _ in range(n)]
+    tree = SequenceTree(frame(spark, enumerate(leaps(4000)), "j", "q"))
+    assert tree.candidates(frame(spark, enumerate(leaps(12)), "id", "p")).count() < 0.3 * 4000 * 12
+
+
+def test_bounds_hold(spark):
+    rng = np.random.default_rng(13)
+    data, asked = lists(rng, 300, 7, 9.0), lists(rng, 30, 7, 9.0)
+    tree = SequenceTree(frame(spark, enumerate(data), "j", "q"), 8)
+    pairs = tree._start(frame(spark, enumerate(asked), "id", "p"))
+    for level in range(len(tree.levels)):
+        pairs = tree._down(pairs, level)
+        nodes = pairs.select("id", "node", "lb", "ub").collect() if level == len(tree.levels) - 1 else []
+        pairs = pairs.select("id", "p", "node")
+    held = {r.j: r.node for r in tree.members.select("j", "node").collect()}
+    ds = {(i, j): dtw(p, q) for i, p in enumerate(asked) for j, q in enumerate(data) if j in held}
+    by = {(r.id, r.node): (r.lb, r.ub) for r in nodes}
+    assert all(by[i, held[j]][0] <= d * (1 + 1e-9) and d <= by[i, held[j]][1] * (1 + 1e-9) for (i, j), d in ds.items())
+    alone = tree._pairs(pairs).select("id", "j", "lb", "ub").collect()
+    assert len(alone) == len(ds) and all(r.lb <= ds[r.id, r.j] * (1 + 1e-9) and ds[r.id, r.j] <= r.ub * (1 + 1e-9) for r in alone)
