@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from wayveil.functions.tables import cut, ranked
 from wayveil.functions.workers import ready, tasks
 from wayveil.operators.grid import Grid, adaptive_grid_two_level, assign_all_closed, assign_cell, density_weighted, two_level_size, uniform_grid
 from wayveil.operators.model import clip_round, laplace, queue_minus
+from wayveil.operators.paths import Lattice
 
 #: The most bytes of each part of a model that is sent to the tasks.
 MOST_BYTES = 1 << 28
@@ -110,20 +112,22 @@ def state_paths(states: DataFrame, near: DataFrame, pairs: DataFrame | None = No
     """(src, dst, steps, coarse): states on the shortest path by distance of centres, and top cells that it passes.
 
     Of paths of one length, the one with the fewest states, then the smallest states from its end on. pairs: the (src, dst)
-    that are wanted, all by default; a search ends when it has its source's. The graph of the states is sent to the tasks,
-    of checked size; sources are dealt over them.
+    that are wanted, all by default. States that states_of made are searched from many sources at once (Lattice); in other
+    graphs a search goes state by state and ends when it has its source's pairs. The graph of the states is sent to the tasks, of
+    checked size; sources are dealt over them.
     """
     ready(states.sparkSession)
     state, cell, x0, x1, y0, y1 = _checked(states, "state", "cell", "x0", "x1", "y0", "y1")
     x, y = (x0 + x1) / 2, (y0 + y1) / 2
     a, b = _checked(near, "state", "other")
     ia, ib = np.searchsorted(state, a), np.searchsorted(state, b)
-    sent = states.sparkSession.sparkContext.broadcast((state, cell, np.searchsorted(ia, np.arange(len(state) + 1)), ib, np.round(np.hypot(x[ia] - x[ib], y[ia] - y[ib]), 9)))
+    far = np.round(np.hypot(x[ia] - x[ib], y[ia] - y[ib]), 9)
+    sent = states.sparkSession.sparkContext.broadcast((state, cell, np.searchsorted(ia, np.arange(len(state) + 1)), ib, far, Lattice.of(cell, ia, ib, far)))
 
     every = pairs is None
 
     def search(src: int, wanted: set | None) -> list[tuple]:
-        state, cell, offsets, to, far = sent.value
+        state, cell, offsets, to, far, _ = sent.value
         start = int(np.searchsorted(state, src))
         out, done, heap = [], set(), [(0.0, 1, start, start, 1)]
         while heap and (wanted is None or wanted):
@@ -140,14 +144,34 @@ def state_paths(states: DataFrame, near: DataFrame, pairs: DataFrame | None = No
                     heapq.heappush(heap, (round(d + float(far[k]), 9), steps + 1, there, at, coarse + int(cell[there] != cell[at])))
         return out
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(src: int, dst: np.ndarray, steps: np.ndarray, coarse: np.ndarray) -> pa.RecordBatch:
+        columns = {"src": np.full(len(dst), src), "dst": dst, "steps": steps, "coarse": coarse}
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns.values()], names=list(columns))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, cell, *_, lattice = sent.value
         for batch in batches:
-            for k, src in enumerate(batch["src"]):
-                yield pd.DataFrame(search(int(src), None if every else set(batch["wanted"][k].tolist())), columns=["src", "dst", "steps", "coarse"])
+            asked = batch.column("src").to_numpy()
+            wanted = None if every else batch.column("wanted")
+            if lattice is None:
+                for k, src in enumerate(asked.tolist()):
+                    rows = search(src, None if every else set(wanted[k].as_py()))
+                    yield found(src, *np.array([r[1:] for r in rows], np.int64).reshape(-1, 3).T)
+                continue
+            at = np.searchsorted(state, asked)
+            order = np.argsort(cell[at], kind="stable")
+            step = max(1, (1 << 20) // len(state))
+            for own in np.split(order, np.flatnonzero(np.diff(cell[at[order]])) + 1):
+                for some in (own[k : k + step] for k in range(0, len(own), step)):
+                    steps, coarse = lattice.search(at[some])
+                    for row, k in enumerate(some.tolist()):
+                        to = np.arange(len(state)) if every else np.searchsorted(state, wanted[k].values.to_numpy())
+                        to = to[steps[row, to] > 0]
+                        yield found(asked[k], state[to], steps[row, to], coarse[row, to])
 
     sources = states.select(F.col("state").alias("src")) if every else pairs.groupBy("src").agg(F.collect_set("dst").alias("wanted"))
     # A search is much work for few bytes, so sources go to a stated number of tasks.
-    return sources.repartition(tasks(states.sparkSession), "src").mapInPandas(walk, "src int, dst int, steps int, coarse int")
+    return sources.repartition(tasks(states.sparkSession), "src").mapInArrow(walk, "src int, dst int, steps int, coarse int")
 
 
 def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask: DataFrame, total: float, rounds: int = 25) -> DataFrame:
