@@ -108,11 +108,12 @@ def _checked(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [x.to_numpy() for x in table.sort_by([(c, "ascending") for c in columns])]
 
 
-def state_paths(states: DataFrame, near: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def state_paths(states: DataFrame, near: DataFrame, pairs: DataFrame | None = None, arrays: bool = False) -> DataFrame:
     """(src, dst, steps, coarse): states on the shortest path by distance of centres, and top cells that it passes.
 
     Of paths of one length, the one with the fewest states, then the smallest states from its end on. pairs: the (src, dst)
-    that are wanted, all by default. States that states_of made are searched from many sources at once (Lattice); in other
+    that are wanted, all by default, or (src, wanted), a row a source, as allowed_ends gives them. arrays: a row a source, (src,
+    dst, steps), whose dst and steps are arrays. States that states_of made are searched from many sources at once (Lattice); in other
     graphs a search goes state by state and ends when it has its source's pairs. The graph of the states is sent to the tasks, of
     checked size; sources are dealt over them.
     """
@@ -145,6 +146,9 @@ def state_paths(states: DataFrame, near: DataFrame, pairs: DataFrame | None = No
         return out
 
     def found(src: int, dst: np.ndarray, steps: np.ndarray, coarse: np.ndarray) -> pa.RecordBatch:
+        if arrays:
+            whole = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array([src], pa.int32()), whole(dst), whole(steps)], names=["src", "dst", "steps"])
         columns = {"src": np.full(len(dst), src), "dst": dst, "steps": steps, "coarse": coarse}
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns.values()], names=list(columns))
 
@@ -169,9 +173,53 @@ def state_paths(states: DataFrame, near: DataFrame, pairs: DataFrame | None = No
                         to = to[steps[row, to] > 0]
                         yield found(asked[k], state[to], steps[row, to], coarse[row, to])
 
+    out = "src int, dst array<int>, steps array<int>" if arrays else "src int, dst int, steps int, coarse int"
+    if not every and "wanted" in pairs.columns:
+        return pairs.select("src", "wanted").mapInArrow(walk, out)  # dealt already
     sources = states.select(F.col("state").alias("src")) if every else pairs.groupBy("src").agg(F.collect_set("dst").alias("wanted"))
     # A search is much work for few bytes, so sources go to a stated number of tasks.
-    return sources.repartition(tasks(states.sparkSession), "src").mapInArrow(walk, "src int, dst int, steps int, coarse int")
+    return sources.repartition(tasks(states.sparkSession), "src").mapInArrow(walk, out)
+
+
+def allowed_ends(moves: DataFrame, near: DataFrame, starts: DataFrame, stops: DataFrame) -> DataFrame:
+    """(src, wanted): for each of the starts (src) those of the stops (dst) that two_step_mask of the moves (src, dst) allows it.
+
+    A row a start instead of a row a pair: a move's row of ends goes to the starts within two steps of it, and grows there by
+    the steps that are left. The graph of the states is sent to the tasks, of checked size.
+    """
+    spark = near.sparkSession
+    ready(spark)
+    a, b = _checked(near, "state", "other")
+    stop = _checked(stops.select("dst"), "dst")[0]
+    n = int(max(*(int(v.max(initial=-1)) for v in (a, b, stop)), moves.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0)) + 1
+    sent = spark.sparkContext.broadcast((np.searchsorted(a, np.arange(n + 1)), b, stop))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offsets, to, stop = sent.value
+        last = np.zeros(n, bool)
+        last[stop] = True
+        for batch in batches:
+            for src, rows in zip(batch.column("src").to_pylist(), batch.column("rows")):
+                left = np.full(n, 3, np.int8)
+                for far, ends in zip(rows.values.field("far").to_numpy(), rows.values.field("ends")):
+                    ends = ends.values.to_numpy()
+                    left[ends] = np.minimum(left[ends], far)
+                for far in (0, 1):
+                    at = np.flatnonzero(left == far)
+                    size = offsets[at + 1] - offsets[at]
+                    beside = to[np.arange(size.sum()) + np.repeat(offsets[at] - np.cumsum(size) + size, size)]
+                    left[beside[left[beside] > far + 1]] = far + 1
+                ends = np.flatnonzero((left < 3) & last).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([src], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.array(ends))], names=["src", "wanted"])
+
+    rows = cut(moves.groupBy(F.col("src").alias("at")).agg(F.collect_set("dst").alias("ends")))
+    one = near.select(F.col("state").alias("src"), F.col("other").alias("at"))
+    two = one.join(one.select(F.col("src").alias("at"), F.col("at").alias("_t")), "at").select("src", F.col("_t").alias("at"))
+    alone = rows.select(F.col("at").alias("src"), "at")
+    ball = alone.withColumn("far", F.lit(0)).union(one.withColumn("far", F.lit(1))).union(two.withColumn("far", F.lit(2)))
+    ball = cut(ball.join(starts.select("src"), "src", "left_semi").groupBy("src", "at").agg(F.min("far").alias("far")))
+    dealt = ball.join(rows.hint("merge"), "at").repartition(max(tasks(spark), n // 512), "src")
+    return dealt.groupBy("src").agg(F.collect_list(F.struct("far", "ends")).alias("rows")).mapInArrow(grow, "src int, wanted array<int>")
 
 
 def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask: DataFrame, total: float, rounds: int = 25) -> DataFrame:
@@ -180,19 +228,73 @@ def calibrate_trips(starts: DataFrame, stops: DataFrame, paths: DataFrame, mask:
     A trip of a pair weighs 1 / steps. The sums are fitted in turn, which lessens both errors in every round until they
     vanish, where that is possible; then trips are scaled to `total`, pairs under 0.8 go, and the rest is scaled again.
     """
-    # Only pairs that both sides allow: a start or stop without mass has no trips.
-    starts, stops = cut(starts.where("w > 0").select("src", F.col("w").alias("a"))), cut(stops.where("w > 0").select("dst", F.col("w").alias("b")))
-    allowed = paths.join(mask.select("src", "dst"), ["src", "dst"]).join(F.broadcast(starts), "src", "left_semi").join(F.broadcast(stops), "dst", "left_semi")
-    base = cut(allowed.select("src", "dst", F.greatest(F.col("steps"), F.lit(1)).alias("steps")))
-    # A pair's weight is a factor of its start times one of its stop, so only a number a state moves in a round.
-    x, y = None, stops.select("dst", F.lit(1.0).alias("y"))
+    allowed = paths.join(mask.select("src", "dst"), ["src", "dst"]).join(F.broadcast(starts.where("w > 0")), "src", "left_semi").join(F.broadcast(stops.where("w > 0")), "dst", "left_semi")
+    rows = allowed.groupBy("src").agg(F.collect_list(F.struct("dst", "steps")).alias("_p"))
+    return calibrate_rows(starts, stops, rows.select("src", F.col("_p.dst").cast("array<int>").alias("dst"), F.col("_p.steps").cast("array<int>").alias("steps")), total, rounds)
+
+
+def calibrate_rows(starts: DataFrame, stops: DataFrame, paths: DataFrame, total: float, rounds: int = 25) -> DataFrame:
+    """As calibrate_trips, with the allowed paths as (src, dst, steps), a row a start with arrays of stops and of steps.
+
+    A pair's weight is a factor of its start times one of its stop: a start's follows from its row and the stops' factors, so a
+    round reads the rows once and sends a number a stop, of checked size.
+    """
+    spark = starts.sparkSession
+    ready(spark)
+    # Only starts and stops with mass have trips.
+    base = cut(paths.where("size(dst) > 0").join(F.broadcast(starts.where("w > 0").select("src", F.col("w").cast("double").alias("a"))), "src").select("src", "a", "dst", "steps"))
+    dst, b = _checked(stops.where("w > 0").select("dst", F.col("w").cast("double").alias("b")), "dst", "b")
+    n = int(dst.max(initial=-1)) + 1
+    mass, y = np.zeros(n), np.zeros(n)
+    mass[dst], y[dst] = b, 1.0
+
+    def factors(batch: pa.RecordBatch, y: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each pair of the rows: its place in the rows and its stop; and the starts' factors."""
+        own = batch.column("dst")
+        size, to = own.value_lengths().to_numpy(), own.flatten().to_numpy()
+        first = np.cumsum(size) - size
+        return size, to, np.ones(len(size)) if y is None else batch.column("a").to_numpy() / np.add.reduceat(y[to], first)
+
+    def summed(sent):
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(n)
+            for batch in batches:
+                size, to, x = factors(batch, sent.value)
+                out += np.bincount(to, np.repeat(x, size), n)
+            some = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(out[some])], names=["dst", "s"])
+
+        return over
+
+    before = None
     for _ in range(rounds):
-        x = cut(base.join(F.broadcast(y), "dst").groupBy("src").agg(F.sum("y").alias("_s")).join(F.broadcast(starts), "src").select("src", (F.col("a") / F.col("_s")).alias("x")))
-        y = cut(base.join(F.broadcast(x), "src").groupBy("dst").agg(F.sum("x").alias("_s")).join(F.broadcast(stops), "dst").select("dst", (F.col("b") / F.col("_s")).alias("y")))
-    x = starts.select("src", F.lit(1.0).alias("x")) if x is None else x
-    trips = base.join(F.broadcast(x), "src").join(F.broadcast(y), "dst").select("src", "dst", (F.col("x") * F.col("y") * F.col("steps")).alias("w"))
-    scaled = lambda df: df.crossJoin(F.broadcast(df.agg(F.sum("w").alias("_all")))).withColumn("w", F.try_divide("w", "_all") * total).drop("_all")  # noqa: E731  one row
-    return scaled(cut(scaled(trips).where("w >= 0.8")))
+        before, sent = y, spark.sparkContext.broadcast(y)
+        to, s = _checked(base.select("a", "dst").mapInArrow(summed(sent), "dst int, s double").groupBy("dst").agg(F.sum("s").alias("s")), "dst", "s")
+        y = y.copy()
+        y[to] = mass[to] / s
+        sent.unpersist()
+    sent = spark.sparkContext.broadcast((before, y))
+
+    def weights(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        before, y = sent.value
+        size, to, x = factors(batch, before)
+        return np.repeat(batch.column("src").to_numpy(), size), to, np.repeat(x, size) * y[to] * np.maximum(batch.column("steps").flatten().to_numpy(), 1)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([float(weights(batch)[2].sum())])], names=["w"])
+
+    every = base.mapInArrow(whole, "w double").agg(F.sum("w")).first()[0]
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, to, w = weights(batch)
+            w = w / every * total
+            some = w >= 0.8
+            yield pa.RecordBatch.from_arrays([pa.array(src[some].astype(np.int32)), pa.array(to[some].astype(np.int32)), pa.array(w[some])], names=["src", "dst", "w"])
+
+    trips = cut(base.mapInArrow(large, "src int, dst int, w double") if every else spark.createDataFrame([], "src int, dst int, w double"))
+    return trips.crossJoin(F.broadcast(trips.agg(F.sum("w").alias("_all")))).withColumn("w", F.try_divide("w", "_all") * total).drop("_all")  # one row
 
 
 class _Rows:
